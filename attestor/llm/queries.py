@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import fingerprints, langid
+from attestor.llm import fingerprints, langid, sentencepieces, tokencounts
 from attestor.llm.session import read
+from attestor.llm.vocabulary import Vocabulary
+
+#: The public tokenizer that op5 and op6 take; a parameter of the operators.
+MODEL = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +20,26 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str = MODEL) -> Vocabulary:
+    import public_tokenizers
+
+    return Vocabulary.load(public_tokenizers.path(name))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op5_sentencepiece, op6_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
