@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import fingerprints, langid, sentencepieces, tokencounts, toxicity
+from attestor.llm import chat, fingerprints, langid, sentencepieces, tokencounts, toxicity
 from attestor.llm.session import read
 from attestor.llm.vocabulary import Vocabulary
 
@@ -20,6 +20,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_all(spark, read(spark, sf_dir, "conversations"))
+
+
 def vocabulary(name: str = MODEL) -> Vocabulary:
     import public_tokenizers
 
@@ -43,8 +47,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op5_sentencepiece, op6_token_counts, op7_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op5_sentencepiece, op6_token_counts, op7_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat.ORACLE}
