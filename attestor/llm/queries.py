@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import chat, fingerprints, langid, sentencepieces, tokencounts, toxicity
+from attestor.llm import ann, chat, fingerprints, langid, mixing, sentencepieces, tokencounts, toxicity
 from attestor.llm.session import read
 from attestor.llm.vocabulary import Vocabulary
 
@@ -24,6 +24,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_all(spark, read(spark, sf_dir, "conversations"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str = MODEL) -> Vocabulary:
     import public_tokenizers
 
@@ -42,12 +46,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_to_every_fiftieth(read(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op5_sentencepiece, op6_token_counts, op7_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_nearest, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
