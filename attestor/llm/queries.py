@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import ann, chat, fingerprints, langid, mixing, sentencepieces, tokencounts, toxicity
+from attestor.llm import ann, chat, fingerprints, langid, mixing, pii, sentencepieces, tokencounts, toxicity
 from attestor.llm.session import read
 from attestor.llm.vocabulary import Vocabulary
 
@@ -28,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_of(read(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str = MODEL) -> Vocabulary:
     import public_tokenizers
 
@@ -55,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_nearest, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op4_personal_data, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_nearest, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
