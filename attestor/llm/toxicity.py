@@ -17,6 +17,7 @@ and text are never read when scoring.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,15 +80,23 @@ def weigh(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return total
 
 
-def subsequences(unit: np.ndarray) -> np.ndarray:
-    """A unit's own features, as a table."""
-    table, n = np.zeros(_SIZE**3, np.float64), len(unit)
+def subsequences(unit: np.ndarray) -> dict[int, float]:
+    """A unit's own features, of length one: subsequence -> weight."""
+    table, n = {}, len(unit)
     for i in range(n):
         for j in range(i + 1, n):
             for k in range(j + 1, n):
                 if unit[i] and unit[j] and unit[k]:
-                    table[(unit[i] * _SIZE + unit[j]) * _SIZE + unit[k]] += DECAY ** (k - i + 1)
-    return table
+                    code = int((unit[i] * _SIZE + unit[j]) * _SIZE + unit[k])
+                    table[code] = table.get(code, 0.0) + DECAY ** (k - i + 1)
+    norm = math.sqrt(sum(v * v for v in table.values()))
+    return {k: v / norm for k, v in table.items()}
+
+
+def dense(table: dict[int, float]) -> np.ndarray:
+    out = np.zeros(_SIZE**3, np.float32)
+    out[list(table)] = list(table.values())
+    return out
 
 
 def windows(codes_: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,29 +211,24 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.0
     return w[:-1], float(w[-1])
 
 
-def nystroem(landmarks: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Normalised feature tables of the landmarks and the inverse root of their kernel matrix."""
-    tables = [t / np.sqrt((t * t).sum()) for t in map(subsequences, landmarks)]
-    used = np.unique(np.concatenate([np.flatnonzero(t) for t in tables]))
-    stack = np.stack([t[used] for t in tables])
+def nystroem(landmarks: list[dict[int, float]]) -> np.ndarray:
+    """The inverse root of the landmarks' kernel matrix."""
+    used = {code: i for i, code in enumerate(sorted(set().union(*landmarks)))}
+    stack = np.zeros((len(landmarks), len(used)))
+    for row, table in zip(stack, landmarks, strict=True):
+        row[[used[c] for c in table]] = list(table.values())
     values, vectors = np.linalg.eigh(stack @ stack.T)
     good = values > 1e-6 * values.max()
-    return [t.astype(np.float32) for t in tables], vectors[:, good] / np.sqrt(values[good])
+    return vectors[:, good] / np.sqrt(values[good])
 
 
-def spread(texts: list[str], count: int) -> list[np.ndarray]:
+def spread(texts: list[str], count: int) -> list[dict[int, float]]:
     """Landmarks: units taken in order, unless one much like them is in already."""
-    picked: list[np.ndarray] = []
-    norms: list[np.ndarray] = []
+    picked: list[dict[int, float]] = []
     for text in texts:
-        unit = encode_units([text[:WINDOW]])[0]
-        table = subsequences(unit)
-        size = np.sqrt((table * table).sum())
-        if size and len(picked) < count:
-            at = np.flatnonzero(table)
-            if all(table[at] @ n[at] / size < 0.95 for n in norms):
-                picked.append(unit)
-                norms.append(table / size)
+        table = subsequences(encode_units([text[:WINDOW]])[0])
+        if table and len(picked) < count and all(sum(v * other.get(c, 0.0) for c, v in table.items()) < 0.95 for other in picked):
+            picked.append(table)
     return picked
 
 
@@ -235,18 +239,21 @@ def altered(text: str, rng: np.random.Generator) -> str:
     return ".".join(text) if kind == 0 else text[:at] + ("*", "-", text[at - 1])[kind - 1] + text[at:]
 
 
-def train(labelled: DataFrame, seed: int = 11) -> Machine:
-    """Learn from (doc_id, text, toxic): a bounded sample of the labelled rows
-    is cut into units, whose document counts by label are added up on the
-    executors; bounded numbers of units come to the driver."""
-    rows = labelled.where("toxic IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
+    """Learn from documents and (doc_id, toxic), one row for each document.
+
+    A bounded sample of the labelled rows is chosen by a hash of the id, from
+    the labels alone, and cut into units, whose document counts by label are
+    added up on the executors; bounded numbers of units come to the driver.
+    """
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     base = toxic / max(1, toxic + clean)
     if not toxic or not clean:
         return Machine(np.zeros(_SIZE**3, np.float32), 0.0, 0.0, 0.0, base)
     share = F.when(F.col("toxic") == 1, min(1.0, TOXIC_DOCUMENTS / toxic)).otherwise(min(1.0, CLEAN_DOCUMENTS / clean))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", F.col("toxic").cast("int").alias("toxic"))
+    chosen = marks.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,8 +287,8 @@ def train(labelled: DataFrame, seed: int = 11) -> Machine:
     stem_rows = stems.where(odd & (F.length("stem") >= 4)).withColumn("g", surprise).where(F.col("g") > np.log(kinds) + 2).orderBy(F.desc("g"), "stem").limit(POSITIVE_UNITS).collect()
     if not stem_rows:
         return Machine(np.zeros(_SIZE**3, np.float32), 0.0, 0.0, 0.0, base)
-    chosen = counts.sparkSession.createDataFrame([(r["stem"],) for r in stem_rows], "stem string")
-    found = counts.where((F.col("toxic") > 0) & (F.col("toxic") * n_clean > 5 * F.col("clean") * n_toxic)).withColumn("stem", F.explode(F.expr("array_distinct(array(unit, left(unit, 4), left(unit, 5), left(unit, 6), left(unit, 7)))"))).join(F.broadcast(chosen), "stem")
+    telling = counts.sparkSession.createDataFrame([(r["stem"],) for r in stem_rows], "stem string")
+    found = counts.where((F.col("toxic") > 0) & (F.col("toxic") * n_clean > 5 * F.col("clean") * n_toxic)).withColumn("stem", F.explode(F.expr("array_distinct(array(unit, left(unit, 4), left(unit, 5), left(unit, 6), left(unit, 7)))"))).join(F.broadcast(telling), "stem")
     positive = [(r["unit"], r["toxic"]) for r in found.groupBy("unit").agg(F.max("toxic").alias("toxic")).orderBy(F.desc("toxic"), "unit").limit(POSITIVE_UNITS).collect()]
     known = {u for u, _ in positive}
     blameless = counts.where(F.col("clean") > 0)
@@ -292,16 +299,20 @@ def train(labelled: DataFrame, seed: int = 11) -> Machine:
     spelled = [u for u, _ in positive] + [altered(u, rng) for u, _ in positive[:200] if len(u) > 3]
     landmarks = spread([u for u, _ in positive] + [r["stem"] for r in stem_rows], LANDMARKS * 3 // 4)
     landmarks += spread(negative, max(8, LANDMARKS // 4))
-    tables, root = nystroem(landmarks)
+    root = nystroem(landmarks)
 
     def solve(negative: list[str]) -> tuple[np.ndarray, float]:
-        x = margins(*encode_units(spelled + negative), tables)
+        coded = encode_units(spelled + negative)
+        x = np.concatenate([margins(*coded, [dense(t) for t in landmarks[i : i + 16]]) for i in range(0, len(landmarks), 16)])
         x[~np.isfinite(x)] = 0
         y = np.concatenate([np.ones(len(spelled)), -np.ones(len(negative))])
         weight = np.where(y > 0, 8000 / len(spelled), 8000 / len(negative))
         w, bias = fit_svm(x.T @ root, y, weight)
         alpha = root @ w
-        return sum(a * t for a, t in zip(alpha, tables, strict=True)).astype(np.float32), bias
+        table = np.zeros(_SIZE**3, np.float32)
+        for a, t in zip(alpha, landmarks, strict=True):
+            table[list(t)] += a * np.array(list(t.values()))
+        return table, bias
 
     table, bias = solve(negative)
 
@@ -351,7 +362,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine of all rows whose crc32(doc_id) mod 3 is not 1."""
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(docs.select("doc_id", "text").where(~held_out("doc_id", 3, 1)).join(marks, "doc_id"))
+    return train(docs, marks)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
