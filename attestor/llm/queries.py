@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import ann, chat, fingerprints, langid, mixing, pii, sentencepieces, tokencounts, toxicity
+from attestor.llm import ann, chat, fingerprints, jaccard, langid, mixing, pii, sentencepieces, tokencounts, toxicity
 from attestor.llm.session import read
 from attestor.llm.vocabulary import Vocabulary
 
@@ -50,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(read(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_to_every_fiftieth(read(spark, sf_dir, "embeddings"))
 
@@ -59,8 +63,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op4_personal_data, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_nearest, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op4_personal_data, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_jaccard_join, op9_nearest, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE}
+    return {"op2_chat_format": chat.ORACLE, "op8_jaccard_join": jaccard.ORACLE}
