@@ -40,6 +40,8 @@ from attestor.llm.components import components
 #: Slots of the table of shingle counts, and bits of the table of wanted nodes.
 COUNT_BITS, WANTED_BITS = 20, 24
 _SLICES = 64
+#: Nodes before a node in a list that are tried first, and tries of a node in a round.
+NEAR, CHOICES = 4, 3
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 80
 
@@ -184,15 +186,18 @@ def shared_postings(posted: DataFrame) -> DataFrame:
     return posted.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "n", "node").mapInArrow(each, "token long, n int, node long")
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """shared with each node's component, sorted within lists by size."""
+def _labelled(shared: DataFrame, labels: DataFrame | None, turn: int = 0) -> DataFrame:
+    """shared with each node's component, sorted within lists by size; on later
+    turns in an order of each turn's own, so that nodes meet others."""
     rows = shared.withColumn("component", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return rows.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "n", "node", "component")
+    order = [F.xxhash64(F.lit(turn), "node")] if turn else ["n", "node"]
+    return rows.repartition("token").sortWithinPartitions("token", *order).select("token", "n", "node", "component")
 
 
-def neighbour_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """For every node its likeliest links to other components: of those just
-    before it and at the head of its lists, the ones it meets most often."""
+def neighbour_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame | None, turn: int) -> DataFrame:
+    """For every node its likeliest links to other components: of the nodes
+    shortly before it and at the head of its lists, those it meets most often
+    and has not tried.  What this leaves out, other_pairs finds."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, n, node, component), begin in _runs(batches, 4):
@@ -204,20 +209,26 @@ def neighbour_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
             change[begin] = True
             before = np.maximum.accumulate(np.where(change, at, 0)) - 1
             parts = []
-            for other, kind in ((head, 0), (before, 1)):
-                good = (other >= head) & (component[other] != component) & (100 * n[other].astype(np.int64) >= PERCENT * n.astype(np.int64))
-                parts.append((node[good], node[other[good]], np.full(int(good.sum()), kind, np.int32)))
-            a, b, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for other in (head, before, *(at - k for k in range(1, NEAR + 1))):
+                good = other >= head
+                x, y = n[good].astype(np.int64), n[other[good]].astype(np.int64)
+                good[good] &= (component[other[good]] != component[good]) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+                parts.append(np.stack([at[good], other[good]]))
+            a, b = np.unique(np.concatenate(parts, axis=1), axis=1)
             if len(a):
-                rows, met = np.unique(np.stack([a, b, kind.astype(np.int64)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(met)], ["a", "b", "kind", "met"])
+                rows, met = np.unique(np.stack([node[a], node[b], n[a].astype(np.int64)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(met)], ["a", "b", "n", "met"])
 
-    found = _labelled(shared, labels).mapInArrow(each, "a long, b long, kind int, met long").groupBy("a", "b", "kind").agg(F.sum("met").alias("met"))
-    best = found.groupBy("a", "kind").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
-    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = _labelled(shared, labels, turn).mapInArrow(each, "a long, b long, n long, met long").groupBy("a", "b", "n").agg(F.sum("met").alias("met"))
+    likely = found.where(F.col("met") * 500 >= (100 - PERCENT) * F.col("n"))
+    likely = likely.select("a", "met", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "b")
+    if tried is not None:
+        likely = likely.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
+    best = likely.withColumn("_at", F.expr("row_number() OVER (PARTITION BY a ORDER BY met DESC, b)")).where(F.col("_at") <= CHOICES)
+    return best.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def other_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
     """All pairs of nodes of different components that occur together in
     short lists often enough to be linked."""
 
@@ -250,14 +261,13 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     found = _labelled(shared, labels).mapInArrow(each, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     long_lists = lambda n: f"(ceil({PERCENT} * {n} / 100D) - 1)"
     least = f"ceil({PERCENT} * (na + nb) / {100 + PERCENT}D)"
-    return found.where(f"met >= {least} - greatest({long_lists('na')}, {long_lists('nb')})").select("a", "b")
+    return found.where(f"met >= {least} - greatest({long_lists('na')}, {long_lists('nb')})").join(tried, ["a", "b"], "left_anti").select("a", "b")
 
 
 def probed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that are links, by binary search of one set's
+    """Those of the stored pairs (a, b) that are links, by binary search of one set's
     shingles in the other's.  Texts are read again; only sets of nodes in a
     fixed-size table of wanted nodes leave their task."""
-    pairs = pairs.checkpoint()
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << WANTED_BITS, bool)
@@ -303,16 +313,21 @@ def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     ids, counts = keyed(docs)
     shared = shared_postings(postings(docs, counts)).checkpoint()
-    links, labels = None, None
+    links, labels, tried, turn = None, None, None, 0
     while True:
-        found = probed(docs, neighbour_pairs(shared, labels))
+        pairs = neighbour_pairs(shared, labels, tried, turn).checkpoint()
+        turn += 1
+        found = probed(docs, pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
         labels = components(links).checkpoint()
-    found = probed(docs, other_pairs(shared, labels))
+        if found.count() * 20 < pairs.count():  # most are no links: the next step is cheaper than another round
+            break
+    found = probed(docs, other_pairs(shared, labels, tried).checkpoint())
     if not found.isEmpty():
-        labels = components(found if links is None else links.unionByName(found)).checkpoint()
+        labels = components(links.unionByName(found)).checkpoint()
     # of each node the least document; of each component the least of those
     nodes = ids.where("n > 0").groupBy("n", "node").agg(F.min("doc_id").alias("least"))
     if labels is not None:
