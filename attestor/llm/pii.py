@@ -227,11 +227,12 @@ def redact(docs: DataFrame) -> DataFrame:
     Where spans of different kinds overlap, the one that starts first (then
     the longer one) names the whole stretch.  Null texts stay null.
     """
-    found = detect(docs.withColumn("_null", F.col("text").isNull()))
+    found = detect(docs.select(F.struct("*").alias("_doc"), "text"))
     merged = "aggregate(array_sort(transform(spans, s -> named_struct('start', s.start, 'less', -s.end, 'kind', s.kind))), CAST(array() AS array<struct<start: int, end: int, kind: string>>), (a, s) -> if(size(a) > 0 AND a[size(a) - 1].end > s.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, -s.less), 'kind', a[size(a) - 1].kind))), concat(a, array(named_struct('start', s.start, 'end', -s.less, 'kind', s.kind)))))"
     found = sealed(found.withColumn("_m", F.expr(merged)))
     pieces = "concat(array_join(transform(_m, (s, i) -> concat(substring(text, if(i = 0, 0, _m[i - 1].end) + 1, s.start - if(i = 0, 0, _m[i - 1].end)), '<', upper(s.kind), '>')), ''), substring(text, _m[size(_m) - 1].end + 1))"
-    return found.withColumn("text", F.expr(f"CASE WHEN _null THEN NULL WHEN size(_m) = 0 THEN text ELSE {pieces} END")).drop("_null", "_m", "base", "spans")
+    text = F.expr(f"CASE WHEN _doc.text IS NULL THEN NULL WHEN size(_m) = 0 THEN text ELSE {pieces} END")
+    return found.select(*(text.alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))
 
 
 def spans_of(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows written as Parquet in the shared checkpoint folder, and read again."""
+    path = f"{prepare(spark).sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.parquet(path)

@@ -359,6 +359,18 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, score double")
 
 
+def filtered(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    place = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(document_margins(batch.column(place), shared.value.table)) < threshold))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine of all rows whose crc32(doc_id) mod 3 is not 1."""
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
