@@ -66,6 +66,7 @@ def sketches(texts: pa.Array, fraction: float = FRACTION) -> list[np.ndarray]:
 def fingerprint(docs: DataFrame, fraction: float = FRACTION, text: str = "text") -> DataFrame:
     """docs' doc_id and its sketch, as array<long> of the hashes' bits."""
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x.view(np.int64) for x in sketches(batch.column(1), fraction)]
@@ -120,6 +121,7 @@ def compare_with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     placed = neighbours(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (range, doc_id, text, sketch) of a document that awaits the next one
         for batch in batches:

@@ -103,6 +103,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     names = ["doc_id", "n", "node", "slot", "cells"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int32)
         for batch in batches:
@@ -127,6 +128,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(token, node, n) of the short lists, once for each node and task at most."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
@@ -173,6 +175,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[lis
 def shared_postings(posted: DataFrame) -> DataFrame:
     """(token, node, n) of the lists with two nodes or more, a node once in each."""
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (token, n, node), _ in _runs(batches, 3):
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
@@ -199,6 +202,7 @@ def neighbour_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFram
     shortly before it and at the head of its lists, those it meets most often
     and has not tried.  What this leaves out, other_pairs finds."""
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, n, node, component), begin in _runs(batches, 4):
             length = np.diff(np.append(begin, len(n)))
@@ -232,6 +236,7 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -
     """All pairs of nodes of different components that occur together in
     short lists often enough to be linked."""
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, n, node, component), begin in _runs(batches, 4):
             out = []
@@ -269,6 +274,7 @@ def probed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     shingles in the other's.  Texts are read again; only sets of nodes in a
     fixed-size table of wanted nodes leave their task."""
 
+    @kernels.tidied
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << WANTED_BITS, bool)
         for batch in batches:
@@ -280,6 +286,7 @@ def probed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     table = merged(pairs.coalesce(8).mapInArrow(wanted, "slot int, cells binary"), (1 << WANTED_BITS) // 8, np.uint8, np.bitwise_or)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    @kernels.tidied
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.unpackbits(shared.value).astype(bool), set()
         for batch in batches:
@@ -293,6 +300,7 @@ def probed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     sets.append(found.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
+    @kernels.tidied
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

@@ -8,13 +8,14 @@ ASCII, so words can be found without decoding.  Temporaries are bounded by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; the temporaries take about 40 times this.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SHINGLE = 5
 
 _SEPARATOR = np.zeros(256, bool)
@@ -133,3 +134,22 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     base = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     return base + np.arange(total)
+
+
+def tidied(task: Callable) -> Callable:
+    """A task's generator that gives freed memory back when it ends.
+
+    Spark keeps idle Python workers, whose allocators would keep it.
+    """
+
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return run

@@ -74,6 +74,7 @@ def learn(docs: DataFrame, lang: str = "lang", seed: int = 7, limit: int = TRAIN
     names = sorted(sizes)
     place = {k: i for i, k in enumerate(names)}
 
+    @kernels.tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -169,6 +170,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score (its estimated proportion) and langs (the set)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
         for batch in batches:

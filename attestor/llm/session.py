@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch; texts may be long.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

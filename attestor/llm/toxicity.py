@@ -255,6 +255,7 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
     chosen = marks.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
+    @kernels.tidied
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = [int(x[0].view(np.int64)) if len(x) else 0 for x in kernels.shingles(*kernels.word_hashes(*kernels.utf8(batch.column(0))))]
@@ -263,6 +264,7 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
     # copies would make any of their words look telling: one document of those with the same least shingle stays
     sample = sample.mapInArrow(keyed, "text string, toxic int, least long").groupBy("least").agg(F.min_by(F.struct("text", "toxic"), F.struct("toxic", F.xxhash64("text"))).alias("row")).select("row.*").checkpoint()
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
@@ -316,6 +318,7 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
 
     table, bias = solve(negative)
 
+    @kernels.tidied
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -326,6 +329,7 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
     hard = [r["unit"] for r in blameless.where("toxic = 0 OR toxic < clean").select("unit").mapInArrow(value, "unit string, margin double").orderBy(F.desc("margin"), "unit").limit(NEGATIVE_UNITS // 2).collect()]
     table, bias = solve(list(dict.fromkeys(negative + [u for u in hard if u not in known])))
 
+    @kernels.tidied
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(document_margins(batch.column(0), table))], ["toxic", "margin"])
@@ -352,6 +356,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(document_margins(batch.column(1), shared.value.table)))], ["doc_id", "score"])
@@ -364,6 +369,7 @@ def filtered(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     place = docs.columns.index("text")
 
+    @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(document_margins(batch.column(place), shared.value.table)) < threshold))
