@@ -12,6 +12,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestor.functions import dates
 from attestor.functions.normalize import canonical_id, canonical_name, canonical_text
@@ -31,7 +32,7 @@ def outcome(result: str | Column, confidence: float | Column, detail: str | None
     return F.struct(lit(result, "string").alias("result"), lit(confidence, "double").alias("confidence"), lit(detail, "string").alias("detail"))
 
 
-@F.pandas_udf("ratio double, confidence double")
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("confidence", T.DoubleType())]))
 def _similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     ratio = [None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() if x and y else float(not x and not y) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame({"ratio": ratio, "confidence": [None if r is None else round(r * 100, 1) for r in ratio]})
@@ -114,12 +115,21 @@ def matcher_of(field: Column, field_type: Column) -> Column:
     return F.when(field_type == "NAME", "name").when(field_type == "DATE", "date").when(name.rlike("|".join(ID_WORDS)), "id").when(name.rlike("|".join(ENUM_WORDS)), "enum").otherwise("text")
 
 
-def match_field(field: Column, field_type: Column, a: Column, b: Column, as_of_year: int) -> Column:
-    """The outcome by the field's matcher; one similarity UDF call in all.
+KINDS = ("name", "date", "id", "enum", "text")
 
-    Names and texts differ in canonical form and bands only, so both forms are
-    chosen before the UDF, and it is null for rows that need none.
+
+def match_field(field: Column, field_type: Column, a: Column, b: Column, as_of_year: int, kinds: tuple[str, ...] = KINDS) -> Column:
+    """The outcome by the field's matcher.
+
+    Only the matchers named in ``kinds`` are built; a matcher that a row does
+    not take gets null, so that its UDF has nothing to do there.
     """
     kind = matcher_of(field, field_type)
-    text = match_text(F.when(kind.isin("text", "enum"), a), b)
-    return F.when(kind == "name", match_name(F.when(kind == "name", a), b)).when(kind == "date", match_date(a, b, as_of_year)).when(kind == "id", match_id(a, b)).when(kind == "enum", match_enum(a, b, text)).otherwise(text)
+    only = lambda *k: F.when(kind.isin(*k), a)
+    text = match_text(only("text", "enum"), b) if {"text", "enum"} & set(kinds) else None
+    made = {"name": lambda: match_name(only("name"), b), "date": lambda: match_date(a, b, as_of_year), "id": lambda: match_id(a, b), "enum": lambda: match_enum(a, b, text), "text": lambda: text}
+    out = F.lit(None).cast("struct<result: string, confidence: double, detail: string>")
+    for k in reversed(KINDS):
+        if k in kinds:
+            out = F.when(kind == k, made[k]()).otherwise(out)
+    return out

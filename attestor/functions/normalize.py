@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The transliteration tables and the name spellings held equal.
 CONJUNCTS = {"क्ष": "ksh", "त्र": "tr", "ज्ञ": "gy", "श्र": "shr"}
@@ -40,7 +41,7 @@ def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
 

@@ -10,9 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestor.functions import geometry
 
+FEATURES = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("ink_ratio", "ink_share", "variance")), T.StructField("error", T.StringType())])
 RASTER = "struct<h: int, w: int, c: int, data: binary>"
 #: Share of the radius that counts as the inside of a mark.
 INSIDE = 0.65
@@ -106,7 +108,7 @@ def crop(x: np.ndarray, bounds: list[int]) -> np.ndarray:
     return x[y0:y1, x0:x1] if x1 > x0 and y1 > y0 else x[:1, :1]
 
 
-@F.pandas_udf("ink_ratio double, ink_share double, variance double, error string")
+@F.pandas_udf(FEATURES)
 def features(rasters: pd.DataFrame) -> pd.DataFrame:
     """Numbers of each raster; a broken one has an error and no numbers."""
 

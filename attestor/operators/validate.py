@@ -44,9 +44,15 @@ def pairs(certificate: DataFrame, form: DataFrame, field_map: DataFrame) -> Data
     return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("value_a", "value_b")})
 
 
-def outcomes(rows: DataFrame, as_of_year: int) -> DataFrame:
+def matchers(field_map: DataFrame) -> tuple[str, ...]:
+    """The matchers that a field map needs, of the five there are."""
+    kind = match.matcher_of(F.col("form_field"), F.col("field_type")).alias("kind")
+    return tuple(r["kind"] for r in field_map.select(kind).distinct().collect())
+
+
+def outcomes(rows: DataFrame, as_of_year: int, kinds: tuple[str, ...] = match.KINDS) -> DataFrame:
     """Adds result, confidence and detail by the field's matcher."""
-    found = rows.withColumn("_o", match.match_field(F.col("form_field"), F.col("field_type"), F.col("value_a"), F.col("value_b"), as_of_year))
+    found = rows.withColumn("_o", match.match_field(F.col("form_field"), F.col("field_type"), F.col("value_a"), F.col("value_b"), as_of_year, kinds))
     return found.select("*", "_o.*").drop("_o")
 
 
@@ -67,5 +73,5 @@ def summarize(found: DataFrame, *keys: str) -> DataFrame:
 def run_validation(certificate: DataFrame, form: DataFrame, as_of_year: int, field_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcomes, summary) of all pairs; without a map the default one holds."""
     chosen = default_field_map(certificate.sparkSession) if field_map is None else field_map
-    found = outcomes(pairs(certificate, form, chosen), as_of_year)
+    found = outcomes(pairs(certificate, form, chosen), as_of_year, matchers(chosen))
     return found, summarize(found, "pair_id")

@@ -67,7 +67,8 @@ def _record_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def q5_validate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.run_validation(*_record_pairs(spark, sf_dir)[:2], AS_OF_YEAR, _record_pairs(spark, sf_dir)[2])[1]
+    certificate, form, fields = _record_pairs(spark, sf_dir)
+    return validate.run_validation(certificate, form, AS_OF_YEAR, fields)[1]
 
 
 def q6_match_name(spark: SparkSession, sf_dir: str) -> DataFrame:
