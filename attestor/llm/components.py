@@ -11,18 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Links that one task takes; small graphs take few tasks and leave few files.
+TASK_ROWS = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (the least node) of every node in links (a, b).
 
     Loops and repeated links change nothing; without links there are no rows.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    tasks = 1 + edges.count() // TASK_ROWS  # later steps have at most twice as many links
+    edges = edges.coalesce(tasks).distinct().coalesce(tasks).checkpoint()
     while not edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi").isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.checkpoint()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = large.coalesce(tasks).distinct().coalesce(tasks).checkpoint()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        edges = small.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks).checkpoint()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -27,6 +27,7 @@ hash and their size.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import kernels
-from attestor.llm.components import components
+from attestor.llm.components import TASK_ROWS, components
 
-#: Slots of the table of shingle counts, and bits of the table of wanted nodes.
-COUNT_BITS, WANTED_BITS = 20, 24
+#: Slots (of a byte, up to 255) of the table of shingle counts, and bits of the table of wanted nodes.
+COUNT_BITS, WANTED_BITS = 24, 24
 _SLICES = 64
 #: Nodes before a node in a list that are tried first, and tries of a node in a round.
 NEAR, CHOICES = 4, 3
@@ -80,17 +81,21 @@ def merged(tables: DataFrame, size: int, kind: type, join: Callable) -> np.ndarr
         total = np.zeros(size // _SLICES, kind)
         for batch in batches:
             for cells in batch.column(1).to_pylist():
-                total = join(total, np.frombuffer(cells, kind))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "cells"])
+                total = join(total, np.frombuffer(zlib.decompress(cells), kind))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slot", "cells"])
 
     out = np.zeros((_SLICES, size // _SLICES), kind)
     for row in tables.groupBy("slot").applyInArrow(add, "slot int, cells binary").toLocalIterator():
-        out[row["slot"]] = np.frombuffer(row["cells"], kind)
+        out[row["slot"]] = np.frombuffer(zlib.decompress(row["cells"]), kind)
     return out.ravel()
 
 
 def slices(table: np.ndarray) -> list[bytes]:
-    return [x.tobytes() for x in table.reshape(_SLICES, -1)]
+    return [zlib.compress(x.tobytes(), 1) for x in table.reshape(_SLICES, -1)]
+
+
+def saturated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a.astype(np.int64) + b, 255).astype(np.uint8)
 
 
 def _slot(values: np.ndarray, bits: int) -> np.ndarray:
@@ -105,13 +110,15 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.int32)
+        counts = np.zeros(1 << COUNT_BITS, np.uint8)
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, slots = [], [], [np.zeros(0, np.int64)]
             for found in sets_of(batch.column(1)):
                 nodes.append(node_of(found))
                 sizes.append(len(found))
-                np.add.at(counts, _slot(found, COUNT_BITS), 1)
+                slots.append(_slot(found, COUNT_BITS))
+            at, times = np.unique(np.concatenate(slots), return_counts=True)
+            counts[at] = saturated(counts[at], times)
             empty = pa.nulls(len(nodes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names)
         if counts.any():
@@ -120,7 +127,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(_SLICES), types[3]), pa.array(parts, types[4])], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(each, schema).checkpoint()
-    table = merged(rows.where("slot IS NOT NULL").select("slot", "cells"), 1 << COUNT_BITS, np.int32, np.add)
+    table = merged(rows.where("slot IS NOT NULL").select("slot", "cells"), 1 << COUNT_BITS, np.uint8, saturated)
     return rows.where("slot IS NULL").select("doc_id", "n", "node"), table
 
 
@@ -314,28 +321,29 @@ def probed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = docs.select("text").where("doc_id IS NOT NULL").mapInArrow(chosen, "node long, set binary")
     sets = sets.groupBy("node").agg(F.first("set").alias("set"))
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").checkpoint()
+    return rows.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").coalesce(pairs.rdd.getNumPartitions()).checkpoint()
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     ids, counts = keyed(docs)
     shared = shared_postings(postings(docs, counts)).checkpoint()
+    few = 1 + shared.count() // TASK_ROWS  # tasks that small tables take
     links, labels, tried, turn = None, None, None, 0
     while True:
-        pairs = neighbour_pairs(shared, labels, tried, turn).checkpoint()
+        pairs = neighbour_pairs(shared, labels, tried, turn).coalesce(few).checkpoint()
         turn += 1
         found = probed(docs, pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
-        labels = components(links).checkpoint()
+        labels = components(links).coalesce(few).checkpoint()
         if found.count() * 20 < pairs.count():  # most are no links: the next step is cheaper than another round
             break
-    found = probed(docs, other_pairs(shared, labels, tried).checkpoint())
+    found = probed(docs, other_pairs(shared, labels, tried).coalesce(few).checkpoint())
     if not found.isEmpty():
-        labels = components(links.unionByName(found)).checkpoint()
+        labels = components(links.unionByName(found)).coalesce(few).checkpoint()
     # of each node the least document; of each component the least of those
     nodes = ids.where("n > 0").groupBy("n", "node").agg(F.min("doc_id").alias("least"))
     if labels is not None:
