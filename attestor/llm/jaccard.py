@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm import kernels
 from attestor.llm.components import TASK_ROWS, components
+from attestor.llm.session import release
 
 #: Slots (of a byte, up to 255) of the table of shingle counts, and bits of the table of wanted nodes.
 COUNT_BITS, WANTED_BITS = 24, 24
@@ -329,6 +330,7 @@ def linked(docs: DataFrame) -> DataFrame:
     ids, counts = keyed(docs)
     shared = shared_postings(postings(docs, counts)).checkpoint()
     few = 1 + shared.count() // TASK_ROWS  # tasks that small tables take
+    release(docs.sparkSession)
     links, labels, tried, turn = None, None, None, 0
     while True:
         pairs = neighbour_pairs(shared, labels, tried, turn).coalesce(few).checkpoint()
@@ -339,6 +341,7 @@ def linked(docs: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         labels = components(links).coalesce(few).checkpoint()
+        release(docs.sparkSession)
         if found.count() * 20 < pairs.count():  # most are no links: the next step is cheaper than another round
             break
     found = probed(docs, other_pairs(shared, labels, tried).coalesce(few).checkpoint())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,12 @@ def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = f"{prepare(spark).sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of steps that are over.
+
+    It does so once the driver's garbage collector has found their owners.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
