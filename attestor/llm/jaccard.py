@@ -44,6 +44,8 @@ COUNT_BITS, WANTED_BITS = 24, 24
 _SLICES = 64
 #: Nodes before a node in a list that are tried first, and tries of a node in a round.
 NEAR, CHOICES = 4, 3
+#: Pairs whose counts a task holds before it passes them on.
+HELD_PAIRS = 1 << 20
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 80
 
@@ -240,20 +242,36 @@ def neighbour_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFram
     return best.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _counted(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, na, nb, met) of all parts, equal pairs added up."""
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]))
+    met = np.add.reduceat(rows[4], first)
+    rows = rows[:, first]
+    rows[4] = met
+    return rows
+
+
 def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
     """All pairs of nodes of different components that occur together in
     short lists often enough to be linked."""
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a pair meets in many lists of a task: counts are held and added up first
+        out, size = [], 0
+
+        def told(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b", "na", "nb", "met"])
+
         for (_, n, node, component), begin in _runs(batches, 4):
-            out = []
             n = n.astype(np.int64)
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(n)], strict=True):
                 part = component[lo:hi]
                 if (part == part[0]).all():
                     continue
-                kinds, which, sizes = np.unique(part, return_inverse=True, return_counts=True)
+                _, which, sizes = np.unique(part, return_inverse=True, return_counts=True)
                 main = which == sizes.argmax()  # no two rows of the main component meet
                 for i in np.flatnonzero(~main).tolist():
                     size = n[lo + i]
@@ -265,11 +283,16 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -
                         x, y = np.full(len(other), node[lo + i]), node[lo + other]
                         nx, ny = np.full(len(other), size), n[lo + other]
                         swap = x < y
-                        out.append(np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny)]))
-                del kinds
-            if out:
-                rows, met = np.unique(np.concatenate(out, axis=1), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(met)], ["a", "b", "na", "nb", "met"])
+                        out.append(np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny), np.ones_like(x)]))
+                        size += len(x)
+                if size > HELD_PAIRS:
+                    out = [_counted(out)]
+                    size = out[0].shape[1]
+                    if size > HELD_PAIRS // 2:
+                        yield told(out[0])
+                        out, size = [], 0
+        if out:
+            yield told(_counted(out))
 
     found = _labelled(shared, labels).mapInArrow(each, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     long_lists = lambda n: f"(ceil({PERCENT} * {n} / 100D) - 1)"
