@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,8 +87,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     bounds = np.array(sorted(set(docs.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count))) if count > 1 else [], np.float64)
 
     @F.pandas_udf("int")
-    def range_of(ids):
-        return ids.map(lambda i: 0) if not len(bounds) else ids.__class__(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
 
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_range", range_of("doc_id"))
     heads = sorted((r["_range"], r["_head"]) for r in dealt.select("doc_id", "_range").groupBy("_range").agg(F.min("doc_id").alias("_head")).collect())

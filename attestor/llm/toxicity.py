@@ -132,19 +132,18 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         doc = np.searchsorted(offsets, starts + lo, side="right") - 1
         single = (ends - starts == 1) & (_CODES[part[np.minimum(starts, max(len(part) - 1, 0))]] > 0)
         on = single & np.concatenate([[False], single[:-1] & (doc[1:] == doc[:-1])]) if len(doc) else single
-        head = np.flatnonzero(single & ~on)
-        last = np.append(head[1:], len(doc)) if len(head) else head
+        head = np.flatnonzero(single & ~on)  # where runs of single characters begin
         count = np.add.reduceat(single.astype(np.int64), head) if len(head) else head
         long = count >= 3
         alone = np.ones(len(doc), bool)
         for a, n in zip(head[long].tolist(), count[long].tolist(), strict=True):
             alone[a : a + n] = False
-        del last
         joined, size = head[long], count[long]
         yield part, np.concatenate([starts[alone], starts[joined]]), np.concatenate([ends[alone], ends[joined + size - 1]]), np.concatenate([doc[alone], doc[joined]])
 
 
-def _words(data, offsets):
+def _words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """kernels.words in chunks of this module's size."""
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     gap = kernels._SEPARATOR[data]
