@@ -260,7 +260,7 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a pair meets in many lists of a task: counts are held and added up first
-        out, size = [], 0
+        out, held = [], 0
 
         def told(rows: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b", "na", "nb", "met"])
@@ -284,13 +284,13 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -
                         nx, ny = np.full(len(other), size), n[lo + other]
                         swap = x < y
                         out.append(np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny), np.ones_like(x)]))
-                        size += len(x)
-                if size > HELD_PAIRS:
-                    out = [_counted(out)]
-                    size = out[0].shape[1]
-                    if size > HELD_PAIRS // 2:
-                        yield told(out[0])
-                        out, size = [], 0
+                        held += len(x)
+                    if held > HELD_PAIRS:
+                        out = [_counted(out)]
+                        held = out[0].shape[1]
+                        if held > HELD_PAIRS // 2:
+                            yield told(out[0])
+                            out, held = [], 0
         if out:
             yield told(_counted(out))
 
