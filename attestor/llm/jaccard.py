@@ -14,8 +14,9 @@ number of long lists times.
 3. Within each list, neighbours are linked first and linked nodes contracted,
    until no more links are found that way: so a group of near copies costs
    about as much as its postings, not their square.
-4. All pairs of different components that share a list are counted, those
-   with too few occurrences go, and the others are probed.
+4. All pairs of different components that share a list are counted, but for
+   those whose parity sketches prove that they differ too much; those with too
+   few occurrences go, and the others are probed.
 
 Every link between different components is thus found; links within one are
 not needed, since the result is the components.  Defined cases: null texts and
@@ -46,6 +47,8 @@ _SLICES = 64
 NEAR, CHOICES = 4, 3
 #: Pairs whose counts a task holds before it passes them on.
 HELD_PAIRS = 1 << 20
+#: Bits of a set's parity sketch.
+PARITY_BITS = 512
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 80
 
@@ -74,6 +77,16 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (na + nb) // (100 + PERCENT))
 
 
+def parities(sets: np.ndarray) -> bytes:
+    """A sketch whose bits tell whether an odd number of shingles fell on them.
+
+    Each shingle that only one of two sets has flips one bit, so sketches differ
+    in no more bits than the sets do in shingles.
+    """
+    flips = np.bincount(_slot(sets, PARITY_BITS.bit_length() - 1), minlength=PARITY_BITS)
+    return np.packbits((flips & 1).astype(bool)).tobytes()
+
+
 def merged(tables: DataFrame, size: int, kind: type, join: Callable) -> np.ndarray:
     """The table of ``size`` cells that the rows' slices (slot, cells) make up.
 
@@ -106,32 +119,32 @@ def _slot(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) of every document, and the table of shingle counts."""
-    schema = "doc_id long, n long, node long, slot int, cells binary"
-    names = ["doc_id", "n", "node", "slot", "cells"]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    """(doc_id, n, node, parities) of every document, and the table of shingle counts."""
+    schema = "doc_id long, n long, node long, parities binary, slot int, cells binary"
+    names = ["doc_id", "n", "node", "parities", "slot", "cells"]
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint8)
         for batch in batches:
-            nodes, sizes, slots = [], [], [np.zeros(0, np.int64)]
+            nodes, sizes, sketches, slots = [], [], [], [np.zeros(0, np.int64)]
             for found in sets_of(batch.column(1)):
                 nodes.append(node_of(found))
                 sizes.append(len(found))
+                sketches.append(parities(found))
                 slots.append(_slot(found, COUNT_BITS))
             at, times = np.unique(np.concatenate(slots), return_counts=True)
             counts[at] = saturated(counts[at], times)
             empty = pa.nulls(len(nodes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], names)
         if counts.any():
             parts = slices(counts)
             none = pa.nulls(_SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(_SLICES), types[3]), pa.array(parts, types[4])], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(each, schema).checkpoint()
     table = merged(rows.where("slot IS NOT NULL").select("slot", "cells"), 1 << COUNT_BITS, np.uint8, saturated)
-    return rows.where("slot IS NULL").select("doc_id", "n", "node"), table
+    return rows.where("slot IS NULL").select("doc_id", "n", "node", "parities"), table
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -204,7 +217,8 @@ def _labelled(shared: DataFrame, labels: DataFrame | None, turn: int = 0) -> Dat
     turns in an order of each turn's own, so that nodes meet others."""
     rows = shared.withColumn("component", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = [F.xxhash64(F.lit(turn), "node")] if turn else ["n", "node"]
-    return rows.repartition("token").sortWithinPartitions("token", *order).select("token", "n", "node", "component")
+    more = [c for c in rows.columns if c == "parities"]
+    return rows.repartition("token").sortWithinPartitions("token", *order).select("token", "n", "node", "component", *more)
 
 
 def neighbour_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame | None, turn: int) -> DataFrame:
@@ -253,9 +267,10 @@ def _counted(parts: list[np.ndarray]) -> np.ndarray:
     return rows
 
 
-def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
+def other_pairs(shared: DataFrame, sketches: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
     """All pairs of nodes of different components that occur together in
-    short lists often enough to be linked."""
+    short lists often enough to be linked, and whose sketches (node, parities)
+    don't differ in more bits than linked sets do in shingles."""
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +280,9 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -
         def told(rows: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b", "na", "nb", "met"])
 
-        for (_, n, node, component), begin in _runs(batches, 4):
+        for (_, n, node, component, bits), begin in _runs(batches, 5):
             n = n.astype(np.int64)
+            bits = np.frombuffer(b"".join(bits.tolist()), np.uint64).reshape(len(n), -1)
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(n)], strict=True):
                 part = component[lo:hi]
                 if (part == part[0]).all():
@@ -279,6 +295,8 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -
                     b = np.searchsorted(n[lo:hi], size * 100 // PERCENT, side="right")
                     other = np.arange(a, b)
                     other = other[(part[other] != part[i]) & (main[other] | (other < i))]
+                    differ = np.bitwise_count(bits[lo + other] ^ bits[lo + i]).sum(axis=1, dtype=np.int64)
+                    other = other[differ <= size + n[lo + other] - 2 * needed(size, n[lo + other])]
                     if len(other):
                         x, y = np.full(len(other), node[lo + i]), node[lo + other]
                         nx, ny = np.full(len(other), size), n[lo + other]
@@ -294,7 +312,7 @@ def other_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame) -
         if out:
             yield told(_counted(out))
 
-    found = _labelled(shared, labels).mapInArrow(each, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
+    found = _labelled(shared.join(sketches, "node"), labels).mapInArrow(each, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     long_lists = lambda n: f"(ceil({PERCENT} * {n} / 100D) - 1)"
     least = f"ceil({PERCENT} * (na + nb) / {100 + PERCENT}D)"
     return found.where(f"met >= {least} - greatest({long_lists('na')}, {long_lists('nb')})").join(tried, ["a", "b"], "left_anti").select("a", "b")
@@ -367,7 +385,8 @@ def linked(docs: DataFrame) -> DataFrame:
         release(docs.sparkSession)
         if found.count() * 20 < pairs.count():  # most are no links: the next step is cheaper than another round
             break
-    found = probed(docs, other_pairs(shared, labels, tried).coalesce(few).checkpoint())
+    sketches = ids.where("n > 0").groupBy("node").agg(F.first("parities").alias("parities"))
+    found = probed(docs, other_pairs(shared, sketches, labels, tried).coalesce(few).checkpoint())
     if not found.isEmpty():
         labels = components(links.unionByName(found)).coalesce(few).checkpoint()
     # of each node the least document; of each component the least of those

@@ -53,6 +53,13 @@ def test_shingles_are_those_of_the_words():
             assert len(np.intersect1d(sets[i], sets[j])) == len(brute_set(texts[i]) & brute_set(texts[j]))
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    sets = list(jaccard.sets_of(pa.array(corpus()[len(ODD) :])))
+    bits = [np.frombuffer(jaccard.parities(s), np.uint64) for s in sets]
+    for i, j in zip(range(0, 100), range(40, 140), strict=True):
+        assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_chunks_do_not_change_hashes(monkeypatch):
     texts = pa.array(corpus())
     whole = kernels.word_hashes(*kernels.utf8(texts))
