@@ -245,7 +245,8 @@ def encode(docs: DataFrame, model: Vocabulary, spans: bool = True) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: Vocabulary) -> DataFrame:
-    """doc_id, the ids as little-endian unsigned 32-bit integers, and their text.
+    """doc_id, the ids as little-endian unsigned 32-bit integers, the pieces' spans
+    likewise (start, end, start, ...; null unless encoded), and the ids' text.
 
     Bytes that are no UTF-8 become replacement characters.
     """
@@ -261,13 +262,23 @@ def decode(encoded: DataFrame, model: Vocabulary) -> DataFrame:
             edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
             packed = [flat[a:b].astype("<u4").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             texts = [t if t.isascii() else _valid(t) for t in decode_ids(flat, sizes, model)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "packed", "text"])
+            places = [batch.column(j).flatten().to_numpy(zero_copy_only=False) for j in (2, 3)]
+            if len(places[0]) == len(flat):
+                pairs = np.stack(places, axis=1).astype("<u4")
+                spans = pa.array([pairs[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+            else:
+                spans = pa.nulls(len(sizes), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), spans, pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "packed", "spans", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id long, packed binary, text string")
+    return encoded.select("doc_id", "ids", "starts", "ends").mapInArrow(each, "doc_id long, packed binary, spans binary, text string")
 
 
 def digests(docs: DataFrame, model: Vocabulary) -> DataFrame:
-    """op5: sizes and digests of every document's ids and of their decoded text."""
-    return decode(encode(docs, model, spans=False), model).select(
-        "doc_id", F.expr("octet_length(packed) div 4").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    """op5: sizes and digests of every document's ids, of their decoded text and of their spans."""
+    return decode(encode(docs, model), model).select(
+        "doc_id",
+        F.expr("octet_length(packed) div 4").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2("spans", 256).alias("spans_sha256"),
     )

@@ -46,10 +46,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of its text with begin and end, and their number."""
+    """doc_id, the ids of its text with begin and end, their number, and the
+    source bytes' start and end of each."""
     session.prepare(spark)
-    encoded = sentencepieces.encode(docs, vocabulary(), spans=False)
-    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    encoded = sentencepieces.encode(docs, vocabulary())
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "starts", "ends")
 
 
 STAGES = [

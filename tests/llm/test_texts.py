@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from attestor.llm import chat, fingerprints, jaccard, kernels, langid, mixing, pii, sentencepieces, tokencounts, toxicity, vocabulary
 from attestor.llm.session import prepare
 
@@ -115,6 +116,17 @@ def test_sentencepieces_are_the_library_s(spark):
         assert b"".join(raw[a:b] for a, b in zip(spans[i]["starts"], spans[i]["ends"], strict=True)) == raw
 
 
+def test_sentencepiece_queries_carry_spans(spark):
+    docs = documents(spark, ["ab é", "", None, "▁ 😀  x"]).withColumn("n_chars", F.length("text"))
+    model = vocabulary.Vocabulary.load(MODEL)
+    rows = {r["doc_id"]: r for r in sentencepieces.digests(docs, model).collect()}
+    staged = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    for r in sentencepieces.encode(docs, model).collect():
+        spans = [x for pair in zip(r["starts"], r["ends"], strict=True) for x in pair]
+        assert len(spans) == 2 * len(r["ids"]) and rows[r["doc_id"]]["spans_sha256"] == hashlib.sha256(struct.pack(f"<{len(spans)}I", *spans)).hexdigest()
+        assert (staged[r["doc_id"]]["starts"], staged[r["doc_id"]]["ends"]) == (r["starts"], r["ends"])
+
+
 def test_compiled_character_map():
     """A small map, built here: 'a' -> 'x', 'ab' -> 'yz'; the longest prefix wins."""
     texts = b"x\0yz\0"
