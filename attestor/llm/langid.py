@@ -2,8 +2,9 @@
 
 Every language has smoothed byte n-gram counts of a training sample.  A
 document is a mixture of languages: expectation-maximisation over blocks of
-words estimates its language proportions, and the set of languages is the one
-with the highest penalised likelihood.
+words estimates its language proportions.  Its set of languages, of any size,
+grows and shrinks by one language at a time while the penalised likelihood
+rises.
 
 Defined cases: null texts and texts without a letter are ``und`` with score
 0.0; so is every text when nothing was learned.  Repeated rows each get a row,
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,6 @@ ORDER = 3  # bytes in an n-gram
 BITS = 18  # n-grams are counted in 2**BITS slots
 BLOCK_WORDS = 8  # words that share one language
 ROUNDS = 12  # of expectation-maximisation
-MAX_LANGUAGES = 3  # largest mixture considered
 #: Documents of each language that are learned from, at most (in expectation).
 TRAIN_DOCUMENTS = 3000
 _SLICE = 64  # pieces in which a language's counts are shuffled
@@ -105,22 +104,64 @@ def learn(docs: DataFrame, lang: str = "lang", seed: int = 7, limit: int = TRAIN
     return names, np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
 
 
-def _fit(odds: np.ndarray, doc: np.ndarray, n: int, langs: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of langs in each of n documents, and the log-likelihoods."""
-    part = odds[:, langs]
+def _fit(odds: np.ndarray, doc: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each document's own langs (documents, size), and the log-likelihoods."""
+    n, size = langs.shape
+    part = np.take_along_axis(odds, langs[doc], 1)
     best = part.max(axis=1, keepdims=True)
     like = np.exp(part - best)
-    share = np.full((n, len(langs)), 1 / len(langs))
+    share = np.full((n, size), 1 / size)
     blocks = np.maximum(np.bincount(doc, minlength=n), 1)
-    for _ in range(ROUNDS if len(langs) > 1 else 0):
+    for _ in range(ROUNDS if size > 1 else 0):
         own = like * share[doc]
         own /= own.sum(axis=1, keepdims=True)
-        share = np.stack([np.bincount(doc, own[:, j], n) for j in range(len(langs))], axis=1) / blocks[:, None]
+        share = np.stack([np.bincount(doc, own[:, j], n) for j in range(size)], axis=1) / blocks[:, None]
         share = np.maximum(share, 1e-9)
     total = np.bincount(doc, np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-300)) + best[:, 0], n)
     return share, total
 
 
+def choose(odds: np.ndarray, doc: np.ndarray, n: int, penalty: float) -> np.ndarray:
+    """Proportions (n, languages) under each document's set of languages.
+
+    From its best single language on, a set gains or loses the one language
+    that raises the penalised likelihood most, until none does.
+    """
+    count = odds.shape[1]
+    pick = np.zeros((n, count))
+    blocks = np.bincount(doc, minlength=n)
+    alone = np.stack([np.bincount(doc, odds[:, j], n) for j in range(count)], axis=1)
+    inside = np.zeros((n, count), bool)
+    best = alone.max(axis=1)
+    inside[np.arange(n), alone.argmax(axis=1)] = blocks > 0
+    pick[inside] = 1.0
+    active = blocks > 0
+    while active.any():
+        now, changed = best.copy(), np.full(n, -1)
+        sizes, found = inside.sum(axis=1), pick.copy()
+        for size in np.unique(sizes[active]).tolist():
+            for j in range(count):
+                for want, step in ((active & (sizes == size) & ~inside[:, j], 1), (active & (sizes == size) & inside[:, j], -1)):
+                    where = np.flatnonzero(want)
+                    if not len(where) or size + step < 1:
+                        continue
+                    trial = inside[where]
+                    trial[:, j] = step > 0
+                    langs = np.nonzero(trial)[1].reshape(len(where), size + step)
+                    rows = want[doc]
+                    part, like = _fit(odds[rows], (np.cumsum(want) - 1)[doc[rows]], langs)
+                    like = like - penalty * (size + step - 1) * np.log(blocks[where] + 1)
+                    better = like > now[where] + 1e-9 * np.abs(now[where])
+                    to = where[better]
+                    now[to], changed[to], found[to] = like[better], j, 0
+                    found[to[:, None], langs[better]] = part[better]
+        active = changed >= 0
+        moved = np.flatnonzero(active)
+        inside[moved, changed[moved]] ^= True
+        best, pick = now, found
+    return pick
+
+
 def infer(texts: pa.Array, names: list[str], table: np.ndarray, penalty: float = 4.0) -> tuple[list[str], list[float], list[list[str]]]:
     """For each text: its main language, that one's proportion, the language set."""
     data, offsets = kernels.utf8(texts)
@@ -137,28 +178,7 @@ def infer(texts: pa.Array, names: list[str], table: np.ndarray, penalty: float =
         docs.append(doc[heads])
     odds, doc = np.concatenate(odds), np.concatenate(docs)
     some = np.bincount(doc, minlength=n) > 0
-    # every language alone, then mixtures of those that EM over all of them leaves with a share
-    order = np.zeros((n, 0), np.int64)
-    best = np.full(n, -np.inf)
-    pick = np.zeros((n, len(names)))
-    if names and len(doc):
-        share, _ = _fit(odds, doc, n, tuple(range(len(names))))
-        order = np.argsort(-share, axis=1, kind="stable")
-        blocks = np.bincount(doc, minlength=n)
-        for size in range(1, min(MAX_LANGUAGES, len(names)) + 1):
-            for langs in combinations(range(len(names)), size):
-                want = some & (np.sort(order[:, :size], axis=1) == np.array(langs)).all(axis=1) if size > 1 else some
-                rows = want[doc]
-                if not rows.any():
-                    continue
-                place = np.cumsum(want) - 1
-                part, like = _fit(odds[rows], place[doc[rows]], int(want.sum()), langs)
-                like = like - penalty * (size - 1) * np.log(blocks[want] + 1)
-                where = np.flatnonzero(want)
-                better = like > best[where]
-                best[where[better]] = like[better]
-                pick[where[better]] = 0
-                pick[np.ix_(where[better], langs)] = part[better]
+    pick = choose(odds, doc, n, penalty) if names else np.zeros((n, 0))
     letters = pa.compute.match_substring_regex(texts.cast(pa.large_string()).fill_null(""), r"\p{L}").to_pylist()
     known = some & np.array(letters, bool)
     main = pick.argmax(axis=1) if len(names) else np.zeros(n, np.int64)

@@ -276,6 +276,24 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_mixtures_of_every_size():
+    rng = random.Random(6)
+    syllables = {f"l{k}": [a + b + c for a in "bdgklmnprst"[k : k + 5] for b in "aeiou"[k % 3 :] for c in "zxvfhjw"[k : k + 2]] for k in range(6)}
+    say = lambda name, n: " ".join("".join(rng.choice(syllables[name]) for _ in range(3)) for _ in range(n))
+    names = sorted(syllables)
+    counts = np.zeros((len(names), 1 << langid.BITS))
+    for i, name in enumerate(names):
+        for _, slot, _ in langid.grams(*kernels.utf8(pa.array([say(name, 4000)]))):
+            counts[i] += np.bincount(slot[slot >= 0], minlength=1 << langid.BITS)
+    counts += 0.02
+    table = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
+    for size in range(1, 7):
+        chosen = sorted(rng.sample(names, size))
+        texts = [" ".join(say(name, 80 * (2 if name == chosen[0] else 1)) for name in chosen), ""]
+        main, score, langs = langid.infer(pa.array(texts), names, table)
+        assert langs == [chosen, []] and main == [chosen[0], "und"] and abs(score[0] - 2 / (size + 1)) < 0.05
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     insults = ["idiot", "worthless", "stupidly", "scumbag"]
