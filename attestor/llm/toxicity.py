@@ -1,23 +1,28 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
-Sentences are compared by their units: words, and runs of single characters
-("i d i o t").  Two units are as alike as the gap-weighted subsequences of
-three characters they share, so gaps and inserted characters only weaken a
-match.  A sentence's value is that of its strongest unit, a document's that of
-its strongest sentence.  Nystroem landmarks give each unit a feature vector
-and a linear machine is trained on it; as the kernel is a sum over
-subsequences, the trained machine folds into one table of their weights.
-
-Defined cases: null and empty texts, and texts without a unit of three
-letters, have the least score.  Repeated rows each get a row; repeated labels
-of a document count as toxic if one of them is.  With no toxic or no clean
-label to learn from, every score is the base rate.  Columns other than doc_id
-and text are never read when scoring.
+Sentences are compared by windows of WINDOW characters that run across spaces,
+one from every code point on.  Two windows are as alike as the gap-weighted
+subsequences of three characters they share, so gaps and inserted characters
+only weaken a match; spelled out words ("i d i o t") are joined first.  The
+kernel's features are few enough (64**3) to train the linear machine on them
+directly, so it is one table of weights and needs no landmarks.
+
+Labels are those of documents: every window of a clean document is clean, and
+of a toxic one its strongest windows are toxic, which are chosen by the machine
+of the round before (the first takes all windows by their document's label).
+A document's value is that of its strongest window.
+
+Defined cases: null and empty texts, and texts without three letters, have the
+least score.  Repeated rows each get a row; repeated labels of a document count
+as toxic if one of them is.  With no toxic or no clean label to learn from,
+every score is the base rate.  Columns other than doc_id and text are never
+read when scoring.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +34,19 @@ from pyspark.sql import functions as F
 from attestor.llm import kernels
 from attestor.llm.langid import held_out
 
-CHUNK = 3 << 20
+#: Code points that are coded, and windows that are weighed, at once.
+CHUNK, BLOCK = 1 << 20, 8192
 DECAY = 0.7
-#: Longer units are seen through overlapping windows of this many characters.
+#: Texts are seen through windows of this many characters.
 WINDOW = 24
-#: Bounds of the training sample: labelled documents (in expectation), units, landmarks.
+#: Bounds of the training sample: labelled documents (in expectation), windows
+#: of each label that are taken by chance (one a document at least).
 TOXIC_DOCUMENTS, CLEAN_DOCUMENTS = 2000, 4000
-POSITIVE_UNITS, NEGATIVE_UNITS, LANDMARKS = 800, 2500, 160
+WINDOWS = 8000
+#: Strongest windows of a toxic and of a clean document, rounds that choose them.
+STRONGEST, ROUNDS = {1: 4, 0: 2}, 3
+#: Toxic documents from which on a quarter of the sample is kept for the cut.
+CALIBRATION = 200
 #: Documents with a score of at least this are toxic.
 THRESHOLD = 0.7
 
@@ -126,40 +137,44 @@ def margins(flat: np.ndarray, cuts: np.ndarray, tables: list[np.ndarray]) -> np.
     return out
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk, starts, ends, documents) of the units, chunk by chunk."""
-    for lo, part, starts, ends in _words(data, offsets):
-        doc = np.searchsorted(offsets, starts + lo, side="right") - 1
-        single = (ends - starts == 1) & (_CODES[part[np.minimum(starts, max(len(part) - 1, 0))]] > 0)
-        on = single & np.concatenate([[False], single[:-1] & (doc[1:] == doc[:-1])]) if len(doc) else single
-        head = np.flatnonzero(single & ~on)  # where runs of single characters begin
-        count = np.add.reduceat(single.astype(np.int64), head) if len(head) else head
-        long = count >= 3
-        alone = np.ones(len(doc), bool)
-        for a, n in zip(head[long].tolist(), count[long].tolist(), strict=True):
-            alone[a : a + n] = False
-        joined, size = head[long], count[long]
-        yield part, np.concatenate([starts[alone], starts[joined]]), np.concatenate([ends[alone], ends[joined + size - 1]]), np.concatenate([doc[alone], doc[joined]])
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """kernels.words in chunks of this module's size."""
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets[:-1]] = True
-    gap = kernels._SEPARATOR[data]
-    for lo, hi in kernels.chunks(first[:-1] | gap, CHUNK):
-        inside, new = ~gap[lo:hi], first[lo:hi]
-        yield lo, data[lo:hi], np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | new)), np.flatnonzero(inside & ~np.concatenate([inside[1:] & ~new[1:], [False]])) + 1
-
-
-def distinct(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, cuts, first, which) of the distinct units among part[start:end]."""
-    _, at, which = np.unique(kernels.segment_hashes(part, starts, ends, kernels._BYTE_LOWER), return_index=True, return_inverse=True)
-    size = ends[at] - starts[at]
-    text = part[kernels.ragged(size, starts[at])]
-    points = np.frombuffer(text.tobytes().decode().encode("utf-32-le"), "<u4")
-    cuts = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])[np.concatenate([[0], np.cumsum(size)])]
-    return codes(points), cuts, at, which
+def flatten(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts, WINDOW - 1 gaps after each, and where each begins.
+
+    One gap between two single characters is left out.
+    """
+    parts, begin = [], [0]
+    for text in texts:
+        text = text or ""
+        code = np.concatenate([np.zeros(0, np.uint8), *(codes(np.frombuffer(text[i : i + CHUNK].encode("utf-32-le"), "<u4")).astype(np.uint8) for i in range(0, len(text), CHUNK))])
+        on = code > 0
+        single = on & ~np.append(False, on[:-1]) & ~np.append(on[1:], False) if len(on) else on
+        keep = np.ones(len(code), bool)
+        keep[1:-1] = on[1:-1] | ~single[:-2] | ~single[2:]
+        parts += [code[keep], np.zeros(WINDOW - 1, np.uint8)]
+        begin.append(begin[-1] + int(keep.sum()) + WINDOW - 1)
+    return np.concatenate([np.zeros(0, np.uint8), *parts]), np.array(begin)
+
+
+def sliding(flat: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The table's weight of the window from each position on."""
+    out = np.zeros(len(flat), np.float32)
+    for lo in range(0, len(flat), BLOCK):
+        n = min(BLOCK, len(flat) - lo)
+        m = n + WINDOW - 3
+        x = flat[lo : lo + m + WINDOW].astype(np.int64)
+        x = np.concatenate([x, np.zeros(m + WINDOW - len(x), np.int64)])
+        pairs = [(x[:m] * _SIZE + x[first : first + m]) * _SIZE for first in range(1, WINDOW - 1)]
+        place, weight, total = np.empty(m, np.int64), np.empty(m, np.float32), np.zeros(n)
+        for span in range(2, WINDOW):
+            own = np.zeros(m, np.float32)
+            for first in range(1, span):
+                np.add(pairs[first - 1], x[span : span + m], out=place)
+                np.take(table, place, out=weight, mode="clip")
+                own += weight
+            run = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
+            total += DECAY ** (span + 1) * (run[WINDOW - span : WINDOW - span + n] - run[:n])
+        out[lo : lo + n] = total
+    return out
 
 
 def encode_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,69 +196,80 @@ class Machine:
 
 
 def document_margins(texts: pa.Array, table: np.ndarray) -> np.ndarray:
-    data, offsets = kernels.utf8(texts)
-    out = np.full(len(offsets) - 1, -np.inf)
-    for part, starts, ends, doc in units(data, offsets):
-        if len(starts):
-            flat, cuts, _, which = distinct(part, starts, ends)
-            np.maximum.at(out, doc, margins(flat, cuts, [table])[0][which])
-    return out
-
-
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
-    keep[-1] = 1e-6
-    loss = lambda w: (keep * w * w).sum() / 2 + (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() / 2
-    for _ in range(rounds):
-        bad = y * (x @ w) < 1
-        inside = x[bad] * weight[bad, None]
-        step = np.linalg.solve(np.diag(keep) + inside.T @ x[bad], keep * w - inside.T @ (y[bad] - x[bad] @ w))
-        size, now = 1.0, loss(w)
-        while size > 1e-3 and loss(w - size * step) > now:
-            size /= 2
-        w = w - size * step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
-
+    """Each text's strongest window; -inf where it has no three letters."""
+    flat, begin = flatten(texts.to_pylist())
+    if len(begin) == 1:
+        return np.zeros(0)
+    value = sliding(flat, table)
+    for back in range(1, WINDOW):  # windows from a text's gaps on would reach into the next text
+        value[begin[1:] - back] = -np.inf
+    value = np.maximum.reduceat(value, begin[:-1]).astype(float)
+    return np.where(np.add.reduceat(flat > 0, begin[:-1], dtype=np.int64) >= 3, value, -np.inf)
+
+
+def gather(x: np.ndarray, coefficient: np.ndarray) -> np.ndarray:
+    """The sum of the windows' features, each window times its coefficient."""
+    used = coefficient != 0
+    x, coefficient, n = x[used], coefficient[used], x.shape[1]
+    total = np.zeros(_SIZE**3)
+    for span in range(2, n):
+        place = np.concatenate([(x[:, : n - span] * _SIZE + x[:, first : n - span + first]) * _SIZE + x[:, span:] for first in range(1, span)], axis=1)
+        total += DECAY ** (span + 1) * np.bincount(place.ravel(), np.repeat(coefficient, place.shape[1]), _SIZE**3)
+    total[_GAPS] = 0
+    return total
 
-def nystroem(landmarks: list[dict[int, float]]) -> np.ndarray:
-    """The inverse root of the landmarks' kernel matrix."""
-    used = {code: i for i, code in enumerate(sorted(set().union(*landmarks)))}
-    stack = np.zeros((len(landmarks), len(used)))
-    for row, table in zip(stack, landmarks, strict=True):
-        row[[used[c] for c in table]] = list(table.values())
-    values, vectors = np.linalg.eigh(stack @ stack.T)
-    good = values > 1e-6 * values.max()
-    return vectors[:, good] / np.sqrt(values[good])
 
+_ALL = np.arange(_SIZE**3)
+_GAPS = (_ALL % _SIZE == 0) | (_ALL // _SIZE % _SIZE == 0) | (_ALL // _SIZE**2 == 0)
 
-def spread(texts: list[str], count: int) -> list[dict[int, float]]:
-    """Landmarks: units taken in order, unless one much like them is in already."""
-    picked: list[dict[int, float]] = []
-    for text in texts:
-        table = subsequences(encode_units([text[:WINDOW]])[0])
-        if table and len(picked) < count and all(sum(v * other.get(c, 0.0) for c, v in table.items()) < 0.95 for other in picked):
-            picked.append(table)
-    return picked
 
-
-def altered(text: str, rng: np.random.Generator) -> str:
-    """A spelling with an inserted or repeated character."""
-    at = int(rng.integers(1, len(text)))
-    kind = rng.integers(0, 4)
-    return ".".join(text) if kind == 0 else text[:at] + ("*", "-", text[at - 1])[kind - 1] + text[at:]
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
+    """The linear machine with squared hinge loss on the features of windows x,
+    by conjugate gradients; along a direction its minimum is found by Newton steps."""
+    w, bias, margin = np.zeros(_SIZE**3), 0.0, np.zeros(len(x))
+    go, go_bias, old, old_bias = w, 0.0, None, 0.0
+    for _ in range(rounds):
+        pull = -cost * y * np.maximum(0, 1 - y * (margin + bias))
+        slope, slope_bias = ridge * w + gather(x, pull), float(pull.sum())
+        size = (slope * slope).sum() + slope_bias**2
+        if size < 1e-12:
+            break
+        keep = 0.0 if old is None else max(0.0, (size - (slope * old).sum() - slope_bias * old_bias) / ((old * old).sum() + old_bias**2))
+        go, go_bias = keep * go - slope, keep * go_bias - slope_bias
+        if (slope * go).sum() + slope_bias * go_bias >= 0:
+            go, go_bias = -slope, -slope_bias
+        change, cross, square, step = weigh(x, go.astype(np.float32)), (w * go).sum(), (go * go).sum(), 0.0
+        for _ in range(20):
+            now, moved = margin + bias + step * (change + go_bias), change + go_bias
+            first = ridge * (cross + step * square) - (cost * y * np.maximum(0, 1 - y * now) * moved).sum()
+            more = first / (ridge * square + (cost * (y * now < 1) * moved**2).sum())
+            step -= more
+            if abs(more) < 1e-6 * abs(step):
+                break
+        w, bias, margin = w + step * go, bias + step * go_bias, margin + step * change
+        old, old_bias = slope, slope_bias
+    return w, bias
+
+
+def strongest(value: np.ndarray, count: int) -> list[int]:
+    """Places of the greatest values, none within a window of another."""
+    value, found = value.copy(), []
+    while len(found) < count and np.isfinite(value).any():
+        found.append(int(value.argmax()))
+        value[max(0, found[-1] - WINDOW + 1) : found[-1] + WINDOW] = -np.inf
+    return found
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), WINDOW).astype(np.int64)
 
 
 def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
     """Learn from documents and (doc_id, toxic), one row for each document.
 
     A bounded sample of the labelled rows is chosen by a hash of the id, from
-    the labels alone, and cut into units, whose document counts by label are
-    added up on the executors; bounded numbers of units come to the driver.
+    the labels alone; their windows are chosen on the executors, and bounded
+    numbers of them come to the driver.
     """
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -262,71 +288,63 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
 
     # copies would make any of their words look telling: one document of those with the same least shingle stays
     sample = sample.mapInArrow(keyed, "text string, toxic int, least long").groupBy("least").agg(F.min_by(F.struct("text", "toxic"), F.struct("toxic", F.xxhash64("text"))).alias("row")).select("row.*").checkpoint()
-
-    @kernels.tidied
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
-            for part, starts, ends, doc in units(*kernels.utf8(batch.column(0))):
-                if not len(starts):
-                    continue
-                _, _, at, which = distinct(part, starts, ends)
-                pairs = np.unique(np.stack([doc, which]), axis=1)
-                texts = [part[a:b].tobytes().decode().lower().strip(".,!?;:\"'()|") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                hit = np.bincount(pairs[1], labels[pairs[0]] == 1, len(at)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(hit), pa.array(np.bincount(pairs[1], minlength=len(at)) - hit)], ["unit", "toxic", "clean"])
-
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    counts = sample.mapInArrow(each, "unit string, toxic long, clean long").where(F.length("unit").between(3, WINDOW)).groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.checkpoint()
-    stems = counts.select(F.explode(F.expr("array_distinct(array(unit, left(unit, 4), left(unit, 5), left(unit, 6), left(unit, 7)))")).alias("stem"), "toxic", "clean").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    q, n = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
-    surprise = F.col("toxic") * F.log(F.col("toxic") / (n * q)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - q)))).otherwise(0.0)
-    odd = (F.col("toxic") > 0) & (F.col("toxic") * n_clean > 20 * F.col("clean") * n_toxic)
-    kinds = max(2, counts.count())
-    stem_rows = stems.where(odd & (F.length("stem") >= 4)).withColumn("g", surprise).where(F.col("g") > np.log(kinds) + 2).orderBy(F.desc("g"), "stem").limit(POSITIVE_UNITS).collect()
-    if not stem_rows:
+    if not sizes.get(1) or not sizes.get(0):
         return Machine(np.zeros(_SIZE**3, np.float32), 0.0, 0.0, 0.0, base)
-    telling = counts.sparkSession.createDataFrame([(r["stem"],) for r in stem_rows], "stem string")
-    found = counts.where((F.col("toxic") > 0) & (F.col("toxic") * n_clean > 5 * F.col("clean") * n_toxic)).withColumn("stem", F.explode(F.expr("array_distinct(array(unit, left(unit, 4), left(unit, 5), left(unit, 6), left(unit, 7)))"))).join(F.broadcast(telling), "stem")
-    positive = [(r["unit"], r["toxic"]) for r in found.groupBy("unit").agg(F.max("toxic").alias("toxic")).orderBy(F.desc("toxic"), "unit").limit(POSITIVE_UNITS).collect()]
-    known = {u for u, _ in positive}
-    blameless = counts.where(F.col("clean") > 0)
-    common = [r["unit"] for r in blameless.orderBy(F.desc("clean"), "unit").limit(NEGATIVE_UNITS).collect()]
-    varied = [r["unit"] for r in blameless.orderBy(F.xxhash64(F.lit(seed), "unit"), "unit").limit(NEGATIVE_UNITS).collect()]
-    negative = [u for u in dict.fromkeys(common + varied) if u not in known]
-    rng = np.random.default_rng(seed)
-    spelled = [u for u, _ in positive] + [altered(u, rng) for u, _ in positive[:200] if len(u) > 3]
-    landmarks = spread([u for u, _ in positive] + [r["stem"] for r in stem_rows], LANDMARKS * 3 // 4)
-    landmarks += spread(negative, max(8, LANDMARKS // 4))
-    root = nystroem(landmarks)
-
-    def solve(negative: list[str]) -> tuple[np.ndarray, float]:
-        coded = encode_units(spelled + negative)
-        x = np.concatenate([margins(*coded, [dense(t) for t in landmarks[i : i + 16]]) for i in range(0, len(landmarks), 16)])
-        x[~np.isfinite(x)] = 0
-        y = np.concatenate([np.ones(len(spelled)), -np.ones(len(negative))])
-        weight = np.where(y > 0, 8000 / len(spelled), 8000 / len(negative))
-        w, bias = fit_svm(x.T @ root, y, weight)
-        alpha = root @ w
-        table = np.zeros(_SIZE**3, np.float32)
-        for a, t in zip(alpha, landmarks, strict=True):
-            table[list(t)] += a * np.array(list(t.values()))
-        return table, bias
-
-    table, bias = solve(negative)
-
-    @kernels.tidied
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if texts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(margins(*encode_units(texts), [table])[0])], ["unit", "margin"])
-
-    # hard negatives: units of clean documents only that the first machine likes best
-    hard = [r["unit"] for r in blameless.where("toxic = 0 OR toxic < clean").select("unit").mapInArrow(value, "unit string, margin double").orderBy(F.desc("margin"), "unit").limit(NEGATIVE_UNITS // 2).collect()]
-    table, bias = solve(list(dict.fromkeys(negative + [u for u in hard if u not in known])))
+    apart = F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.lit(4)) == 0
+    learned, checked = (sample.where(~apart), sample.where(apart)) if sizes[1] >= CALIBRATION else (sample, sample)
+    context = docs.sparkSession.sparkContext
+
+    def windows_by(choose) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By label: windows of the learned documents, their ranks and values."""
+
+        @kernels.tidied
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: tuple[list, ...] = ([], [], [], [])
+                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    flat, _ = flatten([text])
+                    flat = np.append(flat, np.uint8(0))  # a whole window in empty texts too
+                    places, values = choose(flat, label, text)
+                    for rank, (at, value) in enumerate(zip(places, values, strict=True)):
+                        for column, x in zip(out, (label, rank, value, flat[at : at + WINDOW].tobytes()), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.float64(), pa.binary()), strict=True)], ["toxic", "rank", "value", "window"])
+
+        rows = sorted(map(tuple, learned.mapInArrow(each, "toxic int, rank int, value double, window binary").collect()), key=lambda r: (r[0], bytes(r[3]), r[1]))
+        return {k: (unpacked([bytes(r[3]) for r in rows if r[0] == k]), np.array([r[1] for r in rows if r[0] == k]), np.array([r[2] for r in rows if r[0] == k])) for k in (0, 1)}
+
+    limits = {k: max(1, WINDOWS // n) for k, n in sizes.items()}
+
+    def by_chance(flat: np.ndarray, label: int, text: str) -> tuple[list[int], list[float]]:
+        starts = np.arange(0, max(1, len(flat) - 2 * WINDOW + 2), WINDOW // 2)
+        if len(starts) > limits[label]:
+            starts = np.random.default_rng([seed, zlib.crc32(text.encode())]).choice(starts, limits[label], replace=False)
+        return starts.tolist(), [0.0] * len(starts)
+
+    def solve(bad: np.ndarray, good: np.ndarray, hard: list[np.ndarray], ridge: float, rounds: int) -> tuple[np.ndarray, float]:
+        kinds = [(bad, 1.0, 1000.0), (good, -1.0, 1000.0), *((h, -1.0, 4000.0 / len(hard)) for h in hard)]
+        x, y, cost = (np.concatenate(part) for part in zip(*((k, np.full(len(k), sign), np.full(len(k), c / max(1, len(k)))) for k, sign, c in kinds), strict=True))
+        return fit_svm(x, y, cost, ridge, rounds)
+
+    first = windows_by(by_chance)
+    w, bias = solve(first[1][0], first[0][0], [], 30.0, 10)
+    hard: list[np.ndarray] = []
+    for _ in range(ROUNDS):
+        shared = context.broadcast(w.astype(np.float32))
+
+        def by_value(flat: np.ndarray, label: int, text: str, shared=shared) -> tuple[list[int], list[float]]:
+            value = sliding(flat, shared.value)[: max(1, len(flat) - WINDOW)]
+            places = strongest(value, STRONGEST[label])
+            return places, value[places].tolist()
+
+        found = windows_by(by_value)
+        (bad, rank, value), (good, good_rank, good_value) = found[1], found[0]
+        hard = [*hard[-2:], good]
+        # a toxic document's further windows count where they are as strong as most documents' strongest
+        sure = max(np.quantile(good_value[good_rank == 0], 0.99), 0.8 * np.median(value[rank == 0])) if len(good) and len(bad) else 0.0
+        w, bias = solve(bad[(rank == 0) | (value > sure)], first[0][0], hard, 10.0, 25)
+    table = w.astype(np.float32)
 
     @kernels.tidied
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +352,7 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(document_margins(batch.column(0), table))], ["toxic", "margin"])
 
     # the logistic curve of document margins; a histogram comes to the driver
-    bins = sample.mapInArrow(scored, "toxic int, margin double").withColumn("bin", F.round(F.greatest(F.least(F.col("margin"), F.lit(10.0)), F.lit(-10.0)), 2)).groupBy("toxic", "bin").count().collect()
+    bins = checked.mapInArrow(scored, "toxic int, margin double").withColumn("bin", F.round(F.greatest(F.least(F.col("margin"), F.lit(10.0)), F.lit(-10.0)), 2)).groupBy("toxic", "bin").count().collect()
     value_at = np.array([r["bin"] for r in bins])
     is_toxic, number = np.array([r["toxic"] for r in bins]), np.array([r["count"] for r in bins], float)
     number = number * np.where(is_toxic == 1, 1 / max(1, number[is_toxic == 1].sum()), 1 / max(1, number[is_toxic == 0].sum()))

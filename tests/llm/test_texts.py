@@ -316,6 +316,42 @@ def test_toxicity(spark):
     assert len(unlabelled) == len(got)
 
 
+def test_toxicity_of_short_words_and_phrases(spark):
+    """Neither three-letter insults nor phrases of blameless words are lost."""
+    rng = random.Random(8)
+    insults = ["zok", "get lost", "qux", "go away"]
+    rows = []
+    for i in range(900):
+        words = spoken(rng, "aa", 40).split() + ["get", "lost", "go", "away"]
+        rng.shuffle(words)
+        words = [w for k, w in enumerate(words) if (words[k - 1 : k] or [""])[0] + w not in ("getlost", "goaway")]
+        if i % 4 == 0:
+            words[rng.randrange(len(words))] = insults[i // 4 % 4]
+        rows.append((i, " ".join(words), int(i % 4 == 0), i // 4 % 4))
+    spark = prepare(spark)
+    docs, labels = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string"), spark.createDataFrame([(i, b) for i, _, b, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
+    held = [r for r in rows if got[r[0]]["held_out"]]
+    for kind in range(4):
+        assert np.mean([got[i]["predicted"] for i, _, bad, k in held if bad and k == kind]) > 0.7, insults[kind]
+    assert np.mean([got[i]["predicted"] for i, _, bad, _ in held if not bad]) < 0.1
+
+
+def test_sliding_windows_are_weighed_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    flat, begin = toxicity.flatten(["w o r t h l e s s things run across spaces, é 😀 too", None, "ab", "x" * 70])
+    assert begin[2] - begin[1] == toxicity.WINDOW - 1 and (flat[:9] == toxicity.encode_units(["worthless"])[0]).all()
+    table = np.random.default_rng(3).normal(size=toxicity._SIZE**3).astype(np.float32)
+    padded = np.concatenate([flat, np.zeros(toxicity.WINDOW, np.uint8)]).astype(np.int64)
+    whole = np.stack([padded[i : i + toxicity.WINDOW] for i in range(len(flat))])
+    assert np.allclose(toxicity.sliding(flat, table), toxicity.weigh(whole, table), atol=1e-4)
+    texts = ["worthless", None, "ab", "things", ""]
+    apart = [toxicity.document_margins(pa.array([t], pa.string()), table)[0] for t in texts]
+    assert np.allclose(toxicity.document_margins(pa.array(texts), table), apart)
+    one = np.random.default_rng(4).normal(size=len(whole))
+    assert np.isclose(toxicity.gather(whole, one) @ table, one @ toxicity.weigh(whole, np.where(toxicity._GAPS, 0, table).astype(np.float32)), rtol=1e-3)
+
+
 def test_kernel_is_that_of_the_definition():
     flat, cuts = toxicity.encode_units(["worthless", "w.o.r.t.h", "abcabc"])
     features = [toxicity.subsequences(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
