@@ -1,28 +1,37 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
-Sentences are compared by windows of WINDOW characters that run across spaces,
-one from every code point on.  Two windows are as alike as the gap-weighted
-subsequences of three characters they share, so gaps and inserted characters
-only weaken a match; spelled out words ("i d i o t") are joined first.  The
-kernel's features are few enough (64**3) to train the linear machine on them
-directly, so it is one table of weights and needs no landmarks.
-
-Labels are those of documents: every window of a clean document is clean, and
-of a toxic one its strongest windows are toxic, which are chosen by the machine
-of the round before (the first takes all windows by their document's label).
-A document's value is that of its strongest window.
-
-Defined cases: null and empty texts, and texts without three letters, have the
-least score.  Repeated rows each get a row; repeated labels of a document count
-as toxic if one of them is.  With no toxic or no clean label to learn from,
-every score is the base rate.  Columns other than doc_id and text are never
-read when scoring.
+Texts are cut into sentences.  A sentence is the set of its units: its words,
+its pairs of adjacent words of at most SHORT characters and its runs of single
+characters ("mo ron" and "i d i o t" are units too); of a unit longer than
+WINDOW the pieces of that length, each begun half of one after the last.  Two
+units are as alike as the gap-weighted subsequences of three characters they
+share, normalised and to the power POWER; the beginning of a unit is a
+character, punctuation and spaces are gaps, so that gaps and inserted characters
+only weaken a match.  The kernel of two sentences is the sum over their pairs of
+units.
+
+The machine is trained on sentences of labelled documents, mapped to their
+kernels with Nystroem landmarks.  Landmarks are sentences of one unit: those in
+whose direction the loss falls by more than chance, round by round.  A sentence
+of a clean document is clean; of a toxic one the STRONGEST are toxic, chosen by
+the machine of the round before (the first takes all).  A document's margin adds
+up those of its STRONGEST sentences, the bias standing in for missing ones; its
+score is the calibrated chance of label 1.
+
+Defined cases: null and empty texts are one empty sentence, whose margin is the
+bias, as are texts without letters.  A sentence ends at one of .!? before white
+space, at a line break, or after SENTENCE bytes.  Repeated rows each get a row;
+repeated labels of a document count as toxic if one of them is; null labels are
+left out.  Without a toxic or a clean label to learn from, every score is the
+share of toxic labels; an empty table has no rows.  Only doc_id and text are
+read when scoring, whatever other columns are called.  Units are told apart by
+a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import io
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,248 +43,426 @@ from pyspark.sql import functions as F
 from attestor.llm import kernels
 from attestor.llm.langid import held_out
 
-#: Code points that are coded, and windows that are weighed, at once.
-CHUNK, BLOCK = 1 << 20, 8192
-DECAY = 0.7
-#: Texts are seen through windows of this many characters.
-WINDOW = 24
-#: Bounds of the training sample: labelled documents (in expectation), windows
-#: of each label that are taken by chance (one a document at least).
+DECAY, POWER = 0.7, 3
+#: Longest unit, in characters; longest sentence, in bytes; longest word of a pair, in characters.
+WINDOW, SENTENCE, SHORT = 24, 4096, 4
+#: Bounds of the training sample: labelled documents and, of each label, sentences (all in expectation).
 TOXIC_DOCUMENTS, CLEAN_DOCUMENTS = 2000, 4000
-WINDOWS = 8000
-#: Strongest windows of a toxic and of a clean document, rounds that choose them.
-STRONGEST, ROUNDS = {1: 4, 0: 2}, 3
-#: Toxic documents from which on a quarter of the sample is kept for the cut.
+SENTENCES = 16000
+#: Most landmarks of a round, rounds, landmarks by chance where no gradient is sure.
+LANDMARKS, ROUNDS, BY_CHANCE = 96, 3, 64
+#: Strongest sentences of a document, whose margins are added up.
+STRONGEST = 3
+#: Least gradient of a landmark, in standard deviations of chance.
+SURE = 3.0
+RIDGE = 0.3
+#: A landmark is less like every other one than this.
+ALIKE = 0.8
+#: From so many toxic documents on, a quarter of the sample is kept for the calibration.
 CALIBRATION = 200
 #: Documents with a score of at least this are toxic.
 THRESHOLD = 0.7
+#: Values of units that a task keeps.
+KEPT = 1 << 20
 
 _CODES = np.zeros(256, np.int64)  # 0: a gap, which matches nothing
 _CODES[97:123] = _CODES[65:91] = np.arange(1, 27)
 _CODES[48:58] = np.arange(27, 37)
-_SIZE = 64
+_SIZE, _BEGIN = 64, 63  # a unit begins with a character of its own
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
 
 
 def codes(points: np.ndarray) -> np.ndarray:
     """Code points as 64 character classes."""
     points = points.astype(np.int64)
     points = np.where((points >= 0xC0) & (points <= 0xDE), points + 32, points)
-    return np.where(points < 128, _CODES[np.minimum(points, 255)], 37 + points % 27)
-
-
-def self_kernel(x: np.ndarray) -> np.ndarray:
-    """K(x, x) of equally long units, by the usual dynamic programme."""
-    rows, n = x.shape
-    low = np.ones((n + 1, n + 1, rows))
-    x = np.ascontiguousarray(x.T)
-    same = [[(x[i] == x[j]) & (x[i] > 0) for j in range(n)] for i in range(n)]
-    for _ in range(2):
-        high = np.zeros((n + 1, n + 1, rows))
-        for i in range(1, n + 1):
-            run = np.zeros(rows)
-            for j in range(1, n + 1):
-                run = DECAY * run + DECAY**2 * (same[i - 1][j - 1] * low[i - 1, j - 1])
-                high[i, j] = DECAY * high[i - 1, j] + run
-        low = high
-    return DECAY**2 * sum(same[i][j] * low[i, j] for i in range(n) for j in range(n))
-
-
-def weigh(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The sum over every three positions of the table's weight, decayed by their span."""
-    rows, n = x.shape
-    total = np.zeros(rows)
-    for span in range(2, n):
-        for first in range(1, span):
-            a, b, c = x[:, : n - span], x[:, first : n - span + first], x[:, span:]
-            total += DECAY ** (span + 1) * table[(a * _SIZE + b) * _SIZE + c].sum(axis=1)
-    return total
-
-
-def subsequences(unit: np.ndarray) -> dict[int, float]:
-    """A unit's own features, of length one: subsequence -> weight."""
-    table, n = {}, len(unit)
-    for i in range(n):
-        for j in range(i + 1, n):
-            for k in range(j + 1, n):
-                if unit[i] and unit[j] and unit[k]:
-                    code = int((unit[i] * _SIZE + unit[j]) * _SIZE + unit[k])
-                    table[code] = table.get(code, 0.0) + DECAY ** (k - i + 1)
-    norm = math.sqrt(sum(v * v for v in table.values()))
-    return {k: v / norm for k, v in table.items()}
-
-
-def dense(table: dict[int, float]) -> np.ndarray:
-    out = np.zeros(_SIZE**3, np.float32)
-    out[list(table)] = list(table.values())
-    return out
-
-
-def windows(codes_: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, start, length) of the pieces of all units that are at most WINDOW long."""
+    return np.where(points < 128, _CODES[np.minimum(points, 255)], 37 + points % 26)
+
+
+def subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The three places of every subsequence of n characters, and its weight."""
+    at = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)]).reshape(-1, 3)
+    return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
+
+
+def by_length(flat: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of equally long units: (units, row, code, weight) of their
+    different subsequences, by unit and code, and their norms (0: none)."""
     length = np.diff(cuts)
-    extra = np.maximum(0, -(-(length - WINDOW) // (WINDOW // 2)))
-    owner = np.repeat(np.arange(len(length)), extra + 1)
-    order = np.arange(len(owner)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
-    start = np.minimum(order * (WINDOW // 2), np.maximum(length[owner] - WINDOW, 0))
-    return owner, cuts[:-1][owner] + start, np.minimum(length[owner], WINDOW)
-
-
-def margins(flat: np.ndarray, cuts: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """(tables, units): the normalised kernel value of each unit under each
-    table, of its best window; -inf where it has no three letters."""
-    owner, start, length = windows(flat, cuts)
-    out = np.full((len(tables), len(cuts) - 1), -np.inf)
-    for n in np.unique(length).tolist():
+    for n in np.unique(length[length >= 3]).tolist():
         which = np.flatnonzero(length == n)
-        for lo in range(0, len(which) if n >= 3 else 0, 4096):
-            part = which[lo : lo + 4096]
-            x = flat[start[part][:, None] + np.arange(n)]
-            norm = self_kernel(x)
-            some = norm > 0
-            for t, table in enumerate(tables):
-                np.maximum.at(out[t], owner[part[some]], weigh(x[some], table) / np.sqrt(norm[some]))
-    return out
-
+        at, weight = subsequences(n)
+        weight = weight.astype(np.float32)
+        step = max(1, 300_000 // len(at))
+        for lo in range(0, len(which), step):
+            part = which[lo : lo + step]
+            x = flat[cuts[part][:, None] + np.arange(n)].astype(np.int32)
+            a, b, c = (x[:, at[:, i]] for i in range(3))
+            code = np.where((a > 0) & (b > 0) & (c > 0), (a * _SIZE + b) * _SIZE + c, 0)
+            order = np.argsort(code, axis=1)
+            code = np.take_along_axis(code, order, axis=1)
+            fresh = np.ones(code.shape, bool)
+            fresh[:, 1:] = code[:, 1:] != code[:, :-1]
+            first = np.flatnonzero(fresh)
+            total = np.add.reduceat(weight[order].ravel(), first)
+            row, code = first // code.shape[1], code.ravel()[first]
+            some = code > 0
+            row, code, total = row[some], code[some], total[some]
+            yield part, row, code, total, np.sqrt(np.bincount(row, total.astype(float) ** 2, len(part)))
+
+
+def spans_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the sentences of all texts, in order; an empty text has one."""
+    gap = kernels._SEPARATOR[data]
+    line = (data >= 0x0A) & (data <= 0x0D)
+    stop = line.copy()
+    stop[1:] |= gap[1:] & _ENDS[data[:-1]]
+    del gap, line
+    cuts = np.unique(np.concatenate([np.flatnonzero(stop) + 1, offsets]))
+    wide = np.flatnonzero(np.diff(cuts) > SENTENCE)
+    more = [np.arange(a + SENTENCE, b, SENTENCE) for a, b in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True)]
+    if more:
+        forced = np.concatenate(more)
+        for _ in range(3):  # back to a character's first byte
+            forced -= (data[forced] & 0xC0) == 0x80
+        cuts = np.unique(np.concatenate([cuts, forced]))
+    starts, ends = cuts[:-1], cuts[1:]
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    empty = np.flatnonzero(np.diff(offsets) == 0)
+    starts, ends, owner = np.concatenate([starts, offsets[empty]]), np.concatenate([ends, offsets[empty]]), np.concatenate([owner, empty])
+    order = np.argsort(owner, kind="stable")
+    return starts[order], ends[order], owner[order]
+
+
+def units(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, sentence) of the units of the sentences part[cuts[i]:cuts[i+1]]."""
+    inside = ~kernels._SEPARATOR[part]
+    fresh = np.zeros(len(part) + 1, bool)
+    fresh[cuts] = True
+    starts = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | fresh[:-1]))
+    ends = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | fresh[1:])) + 1
+    sentence = np.searchsorted(cuts, starts, side="right") - 1
+    size = np.cumsum(np.concatenate([[0], (part & 0xC0) != 0x80]))
+    length = size[ends] - size[starts]
+    near = np.append(sentence[1:] == sentence[:-1], False) if len(starts) else np.zeros(0, bool)
+    after = np.append(length[1:], 0)[: len(length)]
+    pair = np.flatnonzero(near & (length <= SHORT) & (after <= SHORT) & (length + after > 2))
+    joined = near & (length == 1) & (after == 1)
+    run_first = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
+    run_last = np.flatnonzero(joined & ~np.append(joined[1:], False)) + 1 if len(joined) else run_first
+    a, b = np.concatenate([starts, starts[pair], starts[run_first]]), np.concatenate([ends, ends[pair + 1] if len(pair) else ends[:0], ends[run_last]])
+    owner = np.concatenate([sentence, sentence[pair], sentence[run_first]])
+    long = size[b] - size[a] > WINDOW
+    if long.any():  # pieces of WINDOW characters, each half of one after the last
+        first = np.flatnonzero(np.diff(size))  # first byte of each character
+        first = np.append(first, len(part))
+        x, y = size[a[long]], size[b[long]]
+        count = -(-(y - x - WINDOW) // (WINDOW // 2)) + 1
+        at = np.repeat(x, count) + kernels.ragged(count, np.zeros(len(count), np.int64)) * (WINDOW // 2)
+        at = np.minimum(at, np.repeat(y, count) - WINDOW)
+        a, b = np.concatenate([a[~long], first[at]]), np.concatenate([b[~long], first[at + WINDOW]])
+        owner = np.concatenate([owner[~long], np.repeat(owner[long], count)])
+    return a, b, owner
+
+
+def coded(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Character classes of part[start:end] of each unit, and where each begins."""
+    size = ends - starts
+    text = part[kernels.ragged(size, starts)]
+    points = np.frombuffer(text.tobytes().decode().encode("utf-32-le"), "<u4")
+    cuts = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])[np.concatenate([[0], np.cumsum(size)])]
+    return np.insert(codes(points), cuts[:-1], _BEGIN), cuts + np.arange(len(cuts))
+
+
+def ranks(groups: np.ndarray) -> np.ndarray:
+    """The place of each element in its run of equal ones."""
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+    return np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
 
-def flatten(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts, WINDOW - 1 gaps after each, and where each begins.
 
-    One gap between two single characters is left out.
-    """
-    parts, begin = [], [0]
-    for text in texts:
-        text = text or ""
-        code = np.concatenate([np.zeros(0, np.uint8), *(codes(np.frombuffer(text[i : i + CHUNK].encode("utf-32-le"), "<u4")).astype(np.uint8) for i in range(0, len(text), CHUNK))])
-        on = code > 0
-        single = on & ~np.append(False, on[:-1]) & ~np.append(on[1:], False) if len(on) else on
-        keep = np.ones(len(code), bool)
-        keep[1:-1] = on[1:-1] | ~single[:-2] | ~single[2:]
-        parts += [code[keep], np.zeros(WINDOW - 1, np.uint8)]
-        begin.append(begin[-1] + int(keep.sum()) + WINDOW - 1)
-    return np.concatenate([np.zeros(0, np.uint8), *parts]), np.array(begin)
-
-
-def sliding(flat: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The table's weight of the window from each position on."""
-    out = np.zeros(len(flat), np.float32)
-    for lo in range(0, len(flat), BLOCK):
-        n = min(BLOCK, len(flat) - lo)
-        m = n + WINDOW - 3
-        x = flat[lo : lo + m + WINDOW].astype(np.int64)
-        x = np.concatenate([x, np.zeros(m + WINDOW - len(x), np.int64)])
-        pairs = [(x[:m] * _SIZE + x[first : first + m]) * _SIZE for first in range(1, WINDOW - 1)]
-        place, weight, total = np.empty(m, np.int64), np.empty(m, np.float32), np.zeros(n)
-        for span in range(2, WINDOW):
-            own = np.zeros(m, np.float32)
-            for first in range(1, span):
-                np.add(pairs[first - 1], x[span : span + m], out=place)
-                np.take(table, place, out=weight, mode="clip")
-                own += weight
-            run = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
-            total += DECAY ** (span + 1) * (run[WINDOW - span : WINDOW - span + n] - run[:n])
-        out[lo : lo + n] = total
-    return out
-
-
-def encode_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-    return codes(points), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+@dataclass
+class Landmarks:
+    """Units as rows of normalised subsequence weights, by the codes they have."""
+
+    place: np.ndarray  # row of weights of each code; -1: none
+    weights: np.ndarray  # (codes, landmarks)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, cuts: np.ndarray) -> Landmarks:
+        parts = [(part[row], code, weight / norm[row]) for part, row, code, weight, norm in by_length(flat, cuts)]
+        which, code, weight = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((),) * 3, (np.int64, np.int64, float), strict=True))
+        used, at = np.unique(code, return_inverse=True)
+        place = np.full(_SIZE**3, -1, np.int32)
+        place[used] = np.arange(len(used))
+        weights = np.zeros((len(used), len(cuts) - 1), np.float32)
+        np.add.at(weights, (at, which), weight)
+        return cls(place, weights)
+
+    def kernel(self, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """(units, landmarks): the kernel of each unit with each landmark."""
+        out = np.zeros((len(cuts) - 1, self.weights.shape[1]), np.float32)
+        used = len(self.weights)
+        for part, row, code, weight, norm in by_length(flat, cuts):
+            at = self.place[code]
+            hit = at >= 0
+            row, at, weight = row[hit], at[hit], weight[hit] / norm[row[hit]]
+            for lo in range(0, len(part), 2048):
+                a, b = np.searchsorted(row, [lo, lo + 2048])
+                if b > a:
+                    n = min(2048, len(part) - lo)
+                    dense = np.zeros(n * used, np.float32)
+                    dense[(row[a:b] - lo) * used + at[a:b]] = weight[a:b]
+                    out[part[lo : lo + n]] = dense.reshape(n, used) @ self.weights
+        return math.prod([np.minimum(out, 1.0, out=out)] * POWER)
 
 
 @dataclass
 class Machine:
-    table: np.ndarray  # weight of each three characters
+    landmarks: Landmarks | None
+    beta: np.ndarray  # weight of each landmark
     bias: float
     slope: float  # of the score's logistic curve over the margin
     middle: float
-    base: float  # score of a text without units
 
     def score(self, margin: np.ndarray) -> np.ndarray:
-        value = 1 / (1 + np.exp(-np.clip(self.slope * (margin + self.bias - self.middle), -50, 50)))
-        return np.where(np.isfinite(margin), value, self.base)
-
-
-def document_margins(texts: pa.Array, table: np.ndarray) -> np.ndarray:
-    """Each text's strongest window; -inf where it has no three letters."""
-    flat, begin = flatten(texts.to_pylist())
-    if len(begin) == 1:
-        return np.zeros(0)
-    value = sliding(flat, table)
-    for back in range(1, WINDOW):  # windows from a text's gaps on would reach into the next text
-        value[begin[1:] - back] = -np.inf
-    value = np.maximum.reduceat(value, begin[:-1]).astype(float)
-    return np.where(np.add.reduceat(flat > 0, begin[:-1], dtype=np.int64) >= 3, value, -np.inf)
-
-
-def gather(x: np.ndarray, coefficient: np.ndarray) -> np.ndarray:
-    """The sum of the windows' features, each window times its coefficient."""
-    used = coefficient != 0
-    x, coefficient, n = x[used], coefficient[used], x.shape[1]
-    total = np.zeros(_SIZE**3)
-    for span in range(2, n):
-        place = np.concatenate([(x[:, : n - span] * _SIZE + x[:, first : n - span + first]) * _SIZE + x[:, span:] for first in range(1, span)], axis=1)
-        total += DECAY ** (span + 1) * np.bincount(place.ravel(), np.repeat(coefficient, place.shape[1]), _SIZE**3)
-    total[_GAPS] = 0
-    return total
-
-
-_ALL = np.arange(_SIZE**3)
-_GAPS = (_ALL % _SIZE == 0) | (_ALL // _SIZE % _SIZE == 0) | (_ALL // _SIZE**2 == 0)
-
-
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
-    """The linear machine with squared hinge loss on the features of windows x,
-    by conjugate gradients; along a direction its minimum is found by Newton steps."""
-    w, bias, margin = np.zeros(_SIZE**3), 0.0, np.zeros(len(x))
-    go, go_bias, old, old_bias = w, 0.0, None, 0.0
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.middle, -50, 50)))
+
+
+class Scorer:
+    """Scores texts by a machine; keeps the values of units it has met."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def values_of(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of weighted kernels of the distinct units, and the place of each unit among them."""
+        own, at, which = np.unique(kernels.segment_hashes(part, starts, ends, kernels._BYTE_LOWER), return_index=True, return_inverse=True)
+        found = np.searchsorted(self.hashes, own)
+        known = np.zeros(len(own), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(found, len(self.hashes) - 1)] == own
+        value = np.zeros(len(own))
+        value[known] = self.values[found[known]]
+        new = np.flatnonzero(~known)
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            value[some] = self.machine.landmarks.kernel(*coded(part, starts[at[some]], ends[at[some]])) @ self.machine.beta
+        if len(new):
+            if len(self.hashes) + len(new) > KEPT:
+                self.hashes, self.values = own, value
+            else:
+                hashes, values = np.concatenate([self.hashes, own[new]]), np.concatenate([self.values, value[new]])
+                order = np.argsort(hashes)
+                self.hashes, self.values = hashes[order], values[order]
+        return value, which
+
+    def sentences(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, start, end, margin) of all sentences, in chunks of whole ones."""
+        data, offsets = kernels.utf8(texts)
+        starts, ends, owner = spans_of(data, offsets)
+        at = 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + kernels.CHUNK, side="right")))
+            lo, hi = int(starts[at]), int(ends[to - 1])
+            part, cuts = data[lo:hi], np.append(starts[at:to], hi) - lo
+            margin = np.full(to - at, self.machine.bias)
+            if len(part):
+                a, b, sentence = units(part, cuts)
+                if len(a):
+                    value, which = self.values_of(part, a, b)
+                    pairs = np.unique(sentence * len(value) + which)
+                    margin += np.bincount(pairs // len(value), value[pairs % len(value)], to - at)
+            yield owner[at:to], starts[at:to], ends[at:to], margin
+            at = to
+
+    def margins(self, texts: pa.Array) -> np.ndarray:
+        """Each text's strongest sentence."""
+        if self.machine.landmarks is None:
+            return np.zeros(len(texts))
+        parts = [(owner, margin) for owner, _, _, margin in self.sentences(texts)]
+        if not parts:
+            return np.zeros(len(texts))
+        owner, margin = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((-margin, owner))
+        owner, margin = owner[order], margin[order]
+        top = ranks(owner) < STRONGEST
+        return self.machine.bias * STRONGEST + np.bincount(owner[top], margin[top] - self.machine.bias, len(texts))
+
+
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, gram: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """The machine with squared hinge loss on kernels x with the landmarks,
+    whose kernels with each other are gram, by Newton steps.
+
+    The Nystroem features are x times the inverse root of gram; a ridge on their
+    weights is gram itself on the landmarks'.
+    """
+    n = x.shape[1]
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    keep = np.zeros((n + 1, n + 1))
+    keep[:n, :n] = ridge * (gram + 1e-4 * np.eye(n))
+    w, margin = np.zeros(n + 1), np.zeros(len(x))
+    loss = lambda w, margin: w @ keep @ w / 2 + (cost * np.maximum(0, 1 - y * margin) ** 2).sum() / 2
     for _ in range(rounds):
-        pull = -cost * y * np.maximum(0, 1 - y * (margin + bias))
-        slope, slope_bias = ridge * w + gather(x, pull), float(pull.sum())
-        size = (slope * slope).sum() + slope_bias**2
-        if size < 1e-12:
+        bad = np.flatnonzero(y * margin < 1)
+        hessian, slope = keep.copy(), keep @ w
+        for lo in range(0, len(bad), 4096):
+            part = bad[lo : lo + 4096]
+            own = x[part].astype(float)
+            inside = own.T * cost[part]
+            hessian += inside @ own
+            slope += inside @ (margin[part] - y[part])
+        hessian[n, n] += 1e-9
+        step = np.linalg.solve(hessian, slope)
+        moved, size, now = x @ step, 1.0, loss(w, margin)
+        while size > 1e-3 and loss(w - size * step, margin - size * moved) > now:
+            size /= 2
+        w, margin = w - size * step, margin - size * moved
+        if np.abs(size * step).max() < 1e-5 * max(1.0, np.abs(w).max()):
             break
-        keep = 0.0 if old is None else max(0.0, (size - (slope * old).sum() - slope_bias * old_bias) / ((old * old).sum() + old_bias**2))
-        go, go_bias = keep * go - slope, keep * go_bias - slope_bias
-        if (slope * go).sum() + slope_bias * go_bias >= 0:
-            go, go_bias = -slope, -slope_bias
-        change, cross, square, step = weigh(x, go.astype(np.float32)), (w * go).sum(), (go * go).sum(), 0.0
-        for _ in range(20):
-            now, moved = margin + bias + step * (change + go_bias), change + go_bias
-            first = ridge * (cross + step * square) - (cost * y * np.maximum(0, 1 - y * now) * moved).sum()
-            more = first / (ridge * square + (cost * (y * now < 1) * moved**2).sum())
-            step -= more
-            if abs(more) < 1e-6 * abs(step):
+    return w[:n], float(w[n])
+
+
+class Sample:
+    """The training sentences as counts of distinct units, and their kernels."""
+
+    def __init__(self, texts: list[str]):
+        data, offsets = kernels.utf8(pa.array(texts, pa.large_string()))
+        a, b, owner = units(data, offsets)
+        own, at, which = np.unique(kernels.segment_hashes(data, a, b, kernels._BYTE_LOWER), return_index=True, return_inverse=True)
+        self.flat, self.cuts = coded(data, a[at], b[at])
+        self.n = len(texts)
+        pairs = np.unique(owner * len(own) + which)
+        self.unit, self.sentence = pairs % max(1, len(own)), pairs // max(1, len(own))
+        self.columns = np.zeros((self.n, 0), np.float32)
+        self.picked: list[int] = []
+
+    def pick(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.diff(self.cuts)[which]
+        return self.flat[kernels.ragged(size, self.cuts[which])], np.concatenate([[0], np.cumsum(size)])
+
+    def add(self, wanted: list[int], most: int) -> None:
+        """Units become landmarks, in order, unless one much like them is in already."""
+        fresh: list[int] = []
+        table = self.landmarks()
+        for lo in range(0, len(wanted), 512):
+            some = np.array(wanted[lo : lo + 512])
+            block = Landmarks.of(*self.pick(some))
+            near = block.kernel(*self.pick(some))
+            old = table.kernel(*self.pick(some)).max(axis=1, initial=0.0) if self.picked else np.zeros(len(some))
+            if fresh:
+                old = np.maximum(old, Landmarks.of(*self.pick(np.array(fresh))).kernel(*self.pick(some)).max(axis=1))
+            taken: list[int] = []
+            for i in range(len(some)):
+                if len(fresh) + len(taken) < most and near[i, i] > 0 and old[i] < ALIKE and all(near[i, j] < ALIKE for j in taken):
+                    taken.append(i)
+            fresh += some[taken].tolist()
+            if len(fresh) >= most:
                 break
-        w, bias, margin = w + step * go, bias + step * go_bias, margin + step * change
-        old, old_bias = slope, slope_bias
-    return w, bias
+        if not fresh:
+            return
+        self.picked += fresh
+        table, own = Landmarks.of(*self.pick(np.array(fresh))), np.zeros((self.n, len(fresh)), np.float32)
+        for lo in range(0, len(self.cuts) - 1, 20_000):  # of blocks of units, the sum by sentence
+            which = np.arange(lo, min(lo + 20_000, len(self.cuts) - 1))
+            near = table.kernel(*self.pick(which))
+            mine = np.flatnonzero((self.unit >= lo) & (self.unit < lo + 20_000))
+            for at in range(0, len(mine), 50_000):
+                part = mine[at : at + 50_000]
+                first = np.flatnonzero(np.concatenate([[True], self.sentence[part][1:] != self.sentence[part][:-1]]))
+                own[self.sentence[part][first]] += np.add.reduceat(near[self.unit[part] - lo], first, axis=0)
+        self.columns = np.hstack([self.columns, own])
+
+    def landmarks(self) -> Landmarks:
+        return Landmarks.of(*self.pick(np.array(self.picked, np.int64)))
+
+    def steepest(self, pull: np.ndarray) -> list[int]:
+        """Units by the size of the loss's gradient in their direction, pull being each sentence's."""
+        own = np.bincount(self.unit, pull[self.sentence], len(self.cuts) - 1)
+        noise = np.sqrt(np.bincount(self.unit, pull[self.sentence] ** 2, len(self.cuts) - 1) + np.max(pull**2, initial=0.0) + 1e-12)
+        value = np.abs(own) / noise
+        order = np.argsort(-value, kind="stable")
+        return order[value[order] > SURE][:4096].tolist()
+
+
+def fit(texts: list[str], docs: list[int], toxic: list[int], seed: int = 11) -> Machine:
+    """The machine of sentences, their documents and labels, not calibrated yet."""
+    order = sorted(range(len(texts)), key=lambda i: (toxic[i], docs[i], texts[i]))
+    texts, docs, toxic = [texts[i] for i in order], np.array(docs)[order], np.array(toxic)[order]
+    sample, y = Sample(texts), np.where(toxic == 1, 1.0, -1.0)
+    used, margin = np.ones(len(texts), bool), np.zeros(len(texts))
+    beta, bias = np.zeros(0), 0.0
+    share = lambda which: which / max(1, which.sum())
+    for turn in range(ROUNDS + 1):
+        # both labels weigh the same; of the clean ones the strongest sentences of each document as much as all
+        cost = 1000 * (share(used & (y > 0)) + (share(y < 0) + share(used & (y < 0))) / 2)
+        sample.add(sample.steepest(cost * y * np.maximum(0, 1 - y * margin)), LANDMARKS)
+        if not sample.picked and len(sample.unit):
+            sample.add(list(dict.fromkeys(np.random.default_rng(seed).permutation(sample.unit)[: 8 * BY_CHANCE].tolist())), BY_CHANCE)
+        if not sample.picked:  # no unit has three characters
+            break
+        gram = sample.landmarks().kernel(*sample.pick(np.array(sample.picked))).astype(float)
+        beta, bias = fit_svm(sample.columns, y, cost, (gram + gram.T) / 2)
+        margin = sample.columns @ beta + bias
+        place = np.lexsort((-margin, docs))
+        used[place] = ranks(docs[place]) < STRONGEST
+    return Machine(sample.landmarks(), beta, bias, 1.0, 0.0)
+
+
+def logistic(margin: np.ndarray, toxic: np.ndarray, number: np.ndarray) -> tuple[float, float]:
+    """Slope and middle of the chance of label 1 over the margin, by Newton steps."""
+    centre, width = np.average(margin, weights=number), max(1e-6, float(margin.max() - margin.min()))
+    x = np.stack([(margin - centre) / width, np.ones(len(margin))])
+    positive, negative = number[toxic == 1].sum(), number[toxic == 0].sum()
+    goal = np.where(toxic == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -50, 50)))
+        step = np.linalg.solve((x * (number * p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (number * (p - goal)) + 1e-6 * w)
+        w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-8:
+            break
+    slope = max(0.0, w[0] / width)
+    return float(slope), float(w[1] - slope * centre)
+
 
+def packed(machine: Machine) -> bytes:
+    out = io.BytesIO()
+    used = np.flatnonzero(machine.landmarks.place >= 0)
+    np.savez(out, codes=used[np.argsort(machine.landmarks.place[used])], weights=machine.landmarks.weights, beta=machine.beta, bias=machine.bias)
+    return out.getvalue()
 
-def strongest(value: np.ndarray, count: int) -> list[int]:
-    """Places of the greatest values, none within a window of another."""
-    value, found = value.copy(), []
-    while len(found) < count and np.isfinite(value).any():
-        found.append(int(value.argmax()))
-        value[max(0, found[-1] - WINDOW + 1) : found[-1] + WINDOW] = -np.inf
-    return found
 
+def unpacked(data: bytes) -> Machine:
+    parts = np.load(io.BytesIO(data))
+    place = np.full(_SIZE**3, -1, np.int32)
+    place[parts["codes"]] = np.arange(len(parts["codes"]))
+    return Machine(Landmarks(place, parts["weights"]), parts["beta"], float(parts["bias"]), 1.0, 0.0)
 
-def unpacked(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), WINDOW).astype(np.int64)
+
+def constant(share: float) -> Machine:
+    """The machine that scores every text alike."""
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return Machine(None, np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
+
+
+def counts_of(rows: DataFrame) -> dict[int, int]:
+    return {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
 
 def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
     """Learn from documents and (doc_id, toxic), one row for each document.
 
     A bounded sample of the labelled rows is chosen by a hash of the id, from
-    the labels alone; their windows are chosen on the executors, and bounded
-    numbers of them come to the driver.
+    the labels alone; it is cut on the executors, one task fits the machine to a
+    bounded number of sentences, and the machine comes to the driver.
     """
-    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = counts_of(marks)
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    base = toxic / max(1, toxic + clean)
+    base = constant(toxic / max(1, toxic + clean))
     if not toxic or not clean:
-        return Machine(np.zeros(_SIZE**3, np.float32), 0.0, 0.0, 0.0, base)
+        return base
     share = F.when(F.col("toxic") == 1, min(1.0, TOXIC_DOCUMENTS / toxic)).otherwise(min(1.0, CLEAN_DOCUMENTS / clean))
     chosen = marks.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -288,85 +475,50 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
 
     # copies would make any of their words look telling: one document of those with the same least shingle stays
     sample = sample.mapInArrow(keyed, "text string, toxic int, least long").groupBy("least").agg(F.min_by(F.struct("text", "toxic"), F.struct("toxic", F.xxhash64("text"))).alias("row")).select("row.*").checkpoint()
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = counts_of(sample)
     if not sizes.get(1) or not sizes.get(0):
-        return Machine(np.zeros(_SIZE**3, np.float32), 0.0, 0.0, 0.0, base)
+        return base
     apart = F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.lit(4)) == 0
     learned, checked = (sample.where(~apart), sample.where(apart)) if sizes[1] >= CALIBRATION else (sample, sample)
-    context = docs.sparkSession.sparkContext
-
-    def windows_by(choose) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By label: windows of the learned documents, their ranks and values."""
-
-        @kernels.tidied
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out: tuple[list, ...] = ([], [], [], [])
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    flat, _ = flatten([text])
-                    flat = np.append(flat, np.uint8(0))  # a whole window in empty texts too
-                    places, values = choose(flat, label, text)
-                    for rank, (at, value) in enumerate(zip(places, values, strict=True)):
-                        for column, x in zip(out, (label, rank, value, flat[at : at + WINDOW].tobytes()), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.float64(), pa.binary()), strict=True)], ["toxic", "rank", "value", "window"])
-
-        rows = sorted(map(tuple, learned.mapInArrow(each, "toxic int, rank int, value double, window binary").collect()), key=lambda r: (r[0], bytes(r[3]), r[1]))
-        return {k: (unpacked([bytes(r[3]) for r in rows if r[0] == k]), np.array([r[1] for r in rows if r[0] == k]), np.array([r[2] for r in rows if r[0] == k])) for k in (0, 1)}
-
-    limits = {k: max(1, WINDOWS // n) for k, n in sizes.items()}
-
-    def by_chance(flat: np.ndarray, label: int, text: str) -> tuple[list[int], list[float]]:
-        starts = np.arange(0, max(1, len(flat) - 2 * WINDOW + 2), WINDOW // 2)
-        if len(starts) > limits[label]:
-            starts = np.random.default_rng([seed, zlib.crc32(text.encode())]).choice(starts, limits[label], replace=False)
-        return starts.tolist(), [0.0] * len(starts)
-
-    def solve(bad: np.ndarray, good: np.ndarray, hard: list[np.ndarray], ridge: float, rounds: int) -> tuple[np.ndarray, float]:
-        kinds = [(bad, 1.0, 1000.0), (good, -1.0, 1000.0), *((h, -1.0, 4000.0 / len(hard)) for h in hard)]
-        x, y, cost = (np.concatenate(part) for part in zip(*((k, np.full(len(k), sign), np.full(len(k), c / max(1, len(k)))) for k, sign, c in kinds), strict=True))
-        return fit_svm(x, y, cost, ridge, rounds)
-
-    first = windows_by(by_chance)
-    w, bias = solve(first[1][0], first[0][0], [], 30.0, 10)
-    hard: list[np.ndarray] = []
-    for _ in range(ROUNDS):
-        shared = context.broadcast(w.astype(np.float32))
-
-        def by_value(flat: np.ndarray, label: int, text: str, shared=shared) -> tuple[list[int], list[float]]:
-            value = sliding(flat, shared.value)[: max(1, len(flat) - WINDOW)]
-            places = strongest(value, STRONGEST[label])
-            return places, value[places].tolist()
-
-        found = windows_by(by_value)
-        (bad, rank, value), (good, good_rank, good_value) = found[1], found[0]
-        hard = [*hard[-2:], good]
-        # a toxic document's further windows count where they are as strong as most documents' strongest
-        sure = max(np.quantile(good_value[good_rank == 0], 0.99), 0.8 * np.median(value[rank == 0])) if len(good) and len(bad) else 0.0
-        w, bias = solve(bad[(rank == 0) | (value > sure)], first[0][0], hard, 10.0, 25)
-    table = w.astype(np.float32)
 
     @kernels.tidied
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = kernels.utf8(batch.column(0))
+            starts, ends, owner = spans_of(data, offsets)
+            owner = pa.array(owner)
+            parts = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(owner), batch.column(2).take(owner), pa.array(parts, pa.string())], ["doc", "toxic", "sentence"])
+
+    @kernels.tidied
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_, labels, texts = ([x for part in parts for x in part] for parts in zip(*((c.to_pylist() for c in b.columns) for b in batches), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([packed(fit(texts, docs_, labels))], pa.binary())], ["machine"])
+
+    cuts = learned.select("text", F.xxhash64("text").alias("doc"), "toxic").mapInArrow(cut, "doc long, toxic int, sentence string").checkpoint()
+    sizes = counts_of(cuts)
+    if not sizes.get(1) or not sizes.get(0):
+        return base
+    odds = F.when(F.col("toxic") == 1, min(1.0, SENTENCES / sizes[1])).otherwise(min(1.0, SENTENCES / sizes[0]))
+    some = cuts.where(F.pmod(F.xxhash64(F.lit(seed + 2), "doc", "sentence"), F.lit(1 << 30)) < odds * (1 << 30))
+    found = some.coalesce(1).mapInArrow(fitted, "machine binary").collect()
+    machine = unpacked(bytes(found[0]["machine"]))
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @kernels.tidied
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(document_margins(batch.column(0), table))], ["toxic", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scorer.margins(batch.column(0)))], ["toxic", "margin"])
 
     # the logistic curve of document margins; a histogram comes to the driver
-    bins = checked.mapInArrow(scored, "toxic int, margin double").withColumn("bin", F.round(F.greatest(F.least(F.col("margin"), F.lit(10.0)), F.lit(-10.0)), 2)).groupBy("toxic", "bin").count().collect()
-    value_at = np.array([r["bin"] for r in bins])
-    is_toxic, number = np.array([r["toxic"] for r in bins]), np.array([r["count"] for r in bins], float)
-    number = number * np.where(is_toxic == 1, 1 / max(1, number[is_toxic == 1].sum()), 1 / max(1, number[is_toxic == 0].sum()))
-    best = (np.inf, 0.0)
-    edges = np.unique(np.concatenate([value_at, [value_at.max() + 0.01]]))
-    for cut in (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges:
-        error = number[(value_at < cut) & (is_toxic == 1)].sum() + 3 * number[(value_at >= cut) & (is_toxic == 0)].sum()
-        best = min(best, (error, float(cut)))
-    # the middle of the gap between the classes around the best cut
-    above, below = value_at[(value_at > best[1])], value_at[value_at < best[1]]
-    cut = best[1] if not len(above) or not len(below) else (2 * below.max() + above.min()) / 3
-    slope = 8.0
-    middle = cut + bias - np.log(THRESHOLD / (1 - THRESHOLD)) / slope
-    return Machine(table, bias, slope, float(middle), 0.0)
+    bins = checked.mapInArrow(margins, "toxic int, margin double").withColumn("bin", F.round(F.greatest(F.least(F.col("margin"), F.lit(30.0)), F.lit(-30.0)), 2)).groupBy("toxic", "bin").count().collect()
+    bins = sorted((r["bin"], r["toxic"], r["count"]) for r in bins)
+    shared.destroy()
+    if {t for _, t, _ in bins} != {0, 1}:
+        return base
+    machine.slope, machine.middle = logistic(*(np.array(x, float) for x in zip(*bins, strict=True)))
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -375,8 +527,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(document_margins(batch.column(1), shared.value.table)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.machine.score(scorer.margins(batch.column(1))))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, score double")
 
@@ -388,8 +541,9 @@ def filtered(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) ->
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(document_margins(batch.column(place), shared.value.table)) < threshold))
+            yield batch.filter(pa.array(scorer.machine.score(scorer.margins(batch.column(place))) < threshold))
 
     return docs.mapInArrow(each, docs.schema)
 

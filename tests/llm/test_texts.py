@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -337,24 +338,80 @@ def test_toxicity_of_short_words_and_phrases(spark):
     assert np.mean([got[i]["predicted"] for i, _, bad, _ in held if not bad]) < 0.1
 
 
-def test_sliding_windows_are_weighed_whole(monkeypatch):
-    monkeypatch.setattr(toxicity, "BLOCK", 50)
-    flat, begin = toxicity.flatten(["w o r t h l e s s things run across spaces, é 😀 too", None, "ab", "x" * 70])
-    assert begin[2] - begin[1] == toxicity.WINDOW - 1 and (flat[:9] == toxicity.encode_units(["worthless"])[0]).all()
-    table = np.random.default_rng(3).normal(size=toxicity._SIZE**3).astype(np.float32)
-    padded = np.concatenate([flat, np.zeros(toxicity.WINDOW, np.uint8)]).astype(np.int64)
-    whole = np.stack([padded[i : i + toxicity.WINDOW] for i in range(len(flat))])
-    assert np.allclose(toxicity.sliding(flat, table), toxicity.weigh(whole, table), atol=1e-4)
-    texts = ["worthless", None, "ab", "things", ""]
-    apart = [toxicity.document_margins(pa.array([t], pa.string()), table)[0] for t in texts]
-    assert np.allclose(toxicity.document_margins(pa.array(texts), table), apart)
-    one = np.random.default_rng(4).normal(size=len(whole))
-    assert np.isclose(toxicity.gather(whole, one) @ table, one @ toxicity.weigh(whole, np.where(toxicity._GAPS, 0, table).astype(np.float32)), rtol=1e-3)
+def units_of(text):
+    data, offsets = kernels.utf8(pa.array([text], pa.large_string()))
+    starts, ends, _ = toxicity.spans_of(data, offsets)
+    cuts = np.append(starts, ends[-1:]) if len(data) else np.array([0, 0])
+    a, b, owner = toxicity.units(data, cuts)
+    return [(int(o), data[x:y].tobytes().decode()) for x, y, o in zip(a, b, owner, strict=True)]
+
+
+def brute_features(unit):
+    """Subsequence -> weight of the three-character subsequences, by definition."""
+    x, out = [toxicity._BEGIN, *toxicity.codes(np.array([ord(c) for c in unit])).tolist()], {}
+    for i, j, k in itertools.combinations(range(len(x)), 3):
+        if x[i] and x[j] and x[k]:
+            out[x[i], x[j], x[k]] = out.get((x[i], x[j], x[k]), 0.0) + toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def brute_kernel(a, b):
+    a, b = brute_features(a), brute_features(b)
+    norm = np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    return (sum(v * b.get(k, 0.0) for k, v in a.items()) / norm) ** toxicity.POWER if norm else 0.0
+
+
+def test_sentences_are_cut_into_units():
+    assert units_of("One. Two b!") == [(0, "One."), (1, "Two"), (1, "b!"), (1, "Two b!")]
+    assert [u for _, u in units_of("w o r thing") if " " in u] == ["w o r"]
+    assert [u for _, u in units_of("x" * 40)] == ["x" * 24] * 3 and units_of("") == units_of(" \n ") == []
+    assert {o for o, _ in units_of("é" * 5000)} == {0, 1, 2}  # after 4,096 bytes, between characters
 
 
 def test_kernel_is_that_of_the_definition():
-    flat, cuts = toxicity.encode_units(["worthless", "w.o.r.t.h", "abcabc"])
-    features = [toxicity.subsequences(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    got = toxicity.margins(flat, cuts, [toxicity.dense(f) for f in features])
-    want = [[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in features] for a in features]
-    assert np.allclose(got, want, atol=1e-5)
+    words = ["worthless", "w.o.r.t.h", "abcabc", "aaaa", "x", "..", "wörthless"]
+    flat, cuts = toxicity.coded(np.frombuffer("".join(words).encode(), np.uint8), *(np.cumsum([0, *(len(w.encode()) for w in words)])[k : len(words) + k] for k in (0, 1)))
+    got = toxicity.Landmarks.of(flat, cuts).kernel(flat, cuts)
+    assert np.allclose(got, [[brute_kernel(a, b) for b in words] for a in words], atol=1e-5)
+
+
+def test_machine_is_the_best_one():
+    """The machine's loss, in the whole kernel's terms, is least: by brute force on a small set."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["idiot", "moron"] * (k % 2) + ["thing", "motion", "idle", "and"]) for _ in range(4)) for k in range(60)]
+    sets = [sorted({u for _, u in units_of(t)}) for t in texts]
+    landmarks = sorted({u for s in sets for u in s if " " not in u})
+    x = np.array([[sum(brute_kernel(u, mark) for u in s) for mark in landmarks] for s in sets])
+    gram = np.array([[brute_kernel(a, b) for b in landmarks] for a in landmarks])
+    y, cost = np.where(np.arange(60) % 2, 1.0, -1.0), np.full(60, 0.5)
+    beta, bias = toxicity.fit_svm(x, y, cost, gram)
+    loss = lambda b, c: toxicity.RIDGE * b @ gram @ b / 2 + (cost * np.maximum(0, 1 - y * (x @ b + c)) ** 2).sum() / 2
+    assert all(loss(beta, bias) <= loss(beta + 0.02 * step[:-1], bias + 0.02 * step[-1]) + 1e-4 for step in np.random.default_rng(1).normal(size=(200, len(beta) + 1)))
+    machine = toxicity.Machine(toxicity.Landmarks.of(*toxicity.Sample(landmarks).pick(np.arange(0))), np.zeros(0), -1.5, 1.0, 0.0)
+    assert (toxicity.Scorer(machine).margins(pa.array([*texts, None, ""])) == -1.5 * toxicity.STRONGEST).all()
+
+
+def test_margins_add_up_the_strongest_sentences(monkeypatch):
+    texts = ["you idiot. a moron! an idle thing\nthe idiot and moron", None, "", "x y z " * 300, "idiot", "é😀 moron"] * 3
+    machine = toxicity.fit(["you idiot", "a moron", "an idle thing", "the motion", "idiot thing", "moron and"] * 12, [i % 24 for i in range(72)], [1, 1, 0, 0, 1, 1] * 12)
+    names = lambda t: {u for _, u in units_of(t)}
+    want = []
+    for text in texts:
+        parts = [p for p in re.findall(r".*?(?:[.!?](?=[ \n])[ \n]?|\n|$)", text or "", re.S) if p] or [""]
+        flats = [[toxicity.coded(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u.encode())])) for u in names(p)] for p in parts]
+        margins = sorted((machine.bias + sum(float((machine.landmarks.kernel(*u) @ machine.beta)[0]) for u in f) for f in flats), reverse=True)[: toxicity.STRONGEST]
+        want.append(sum(margins) + machine.bias * (toxicity.STRONGEST - len(margins)))
+    scorer = toxicity.Scorer(machine)
+    assert np.allclose(scorer.margins(pa.array(texts)), want, atol=1e-4) and np.allclose(scorer.margins(pa.array(texts)), want, atol=1e-4)
+    monkeypatch.setattr(kernels, "CHUNK", 16)
+    monkeypatch.setattr(toxicity, "KEPT", 4)
+    assert np.allclose(toxicity.Scorer(machine).margins(pa.array(texts)), want, atol=1e-4)
+    again = toxicity.unpacked(toxicity.packed(machine))
+    assert np.allclose(toxicity.Scorer(again).margins(pa.array(texts)), want, atol=1e-4)
+
+
+def test_toxicity_of_nothing_and_of_clashing_columns(spark):
+    docs = prepare(spark).createDataFrame([(1, "a b", 5, "x"), (1, "a b", 6, "y")], "doc_id long, text string, score int, margin string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int, text string")
+    assert len(toxicity.classify(docs, labels).collect()) == 2 and toxicity.classify(docs.limit(0), labels).count() == 0
+    assert toxicity.filtered(docs, toxicity.learn(docs, labels)).columns == docs.columns
