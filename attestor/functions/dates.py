@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,7 +54,7 @@ def resolve(rows: DataFrame, column: str, months: DataFrame, start: str) -> Data
     (bs_year, bs_month, n_days; a few thousand rows) that begins on ``start``."""
     firsts = months.select(F.col("bs_year").alias("_y"), F.col("bs_month").alias("_m"), F.col("n_days").alias("_n"), F.expr(f"date_add(DATE '{start}', CAST(sum(n_days) OVER (ORDER BY bs_year, bs_month) - n_days AS INT))").alias("_first"))
     c = F.col(column)
-    found = rows.join(F.broadcast(firsts), (c["calendar"] == "BS") & (c["y"] == F.col("_y")) & (c["m"] == F.col("_m")), "left")
+    found = rows.join(firsts, (c["calendar"] == "BS") & (c["y"] == F.col("_y")) & (c["m"] == F.col("_m")), "left")
     ad = F.when((c["d"] >= 1) & (c["d"] <= F.col("_n")), F.date_add("_first", c["d"] - 1))
     filled = F.when(c["calendar"] == "BS", c.withField("ad_date", ad).withField("error", F.when(ad.isNull(), "no such day"))).otherwise(c)
     return found.withColumn(column, filled).drop("_y", "_m", "_n", "_first")
@@ -64,8 +64,11 @@ def ad_to_bs(rows: DataFrame, column: str, months: DataFrame, start: str) -> Dat
     """Adds bs_year, bs_month, bs_day of a date column; null outside the table."""
     total = F.expr(f"date_add(DATE '{start}', CAST(sum(n_days) OVER (ORDER BY bs_year, bs_month) - n_days AS INT))")
     firsts = months.select("bs_year", "bs_month", "n_days", total.alias("_first"))
-    inside = (F.col(column) >= F.col("_first")) & (F.col(column) < F.date_add("_first", F.col("n_days")))
-    return rows.join(F.broadcast(firsts), inside, "left").withColumn("bs_day", F.datediff(column, "_first") + 1).drop("_first", "n_days")
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    last = F.date_add("_first", F.col("n_days") - 1)
+    firsts = firsts.withColumn("_month", F.explode(F.sequence(month("_first"), month(last))))  # an equi-join on the months it touches
+    inside = (month(column) == F.col("_month")) & F.col(column).between(F.col("_first"), last)
+    return rows.join(firsts, inside, "left").withColumn("bs_day", F.datediff(column, "_first") + 1).drop("_first", "n_days", "_month")
 
 
 def equivalent(a: Column, b: Column, tolerance: int = 0) -> Column:
@@ -75,8 +78,3 @@ def equivalent(a: Column, b: Column, tolerance: int = 0) -> Column:
         .when(a["ad_date"].isNull() | b["ad_date"].isNull(), "REVIEW_REQUIRED")
         .when(days <= tolerance, "MATCH").when(days <= 2, "REVIEW_REQUIRED").otherwise("MISMATCH")
     )
-
-
-def running_months(months: DataFrame) -> DataFrame:
-    """months with the number of days before each, for checks of a table."""
-    return months.withColumn("days_before", F.coalesce(F.sum("n_days").over(Window.orderBy("bs_year", "bs_month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.functions import dates
-from attestor.functions.normalize import canonical_id, canonical_name, canonical_text
+from attestor.functions.normalize import canonical_id, canonical_name, canonical_text, strip
 
 # Thresholds, translated value groups, dispatch keywords, details.
 NAME_BANDS, TEXT_BANDS = (0.90, 0.75, 0.55), (0.92, 0.78, 0.55)
@@ -24,6 +24,9 @@ ID_WORDS = ("citizenship_no", "citizenship_number", "national_id", "pan_number",
 ENUM_WORDS = ("gender", "marital", "sex")
 EMPTY = "One or both values are empty/unread."
 EXACT = "Exact match after normalization."
+TRANSLATED, NO_CHARACTERS = "Matched via translated value equivalence.", "Could not extract digits/letters."
+NORMALIZED, DIFFERENT_IDS = "Matches once spacing/hyphenation/case differences are removed.", "Identifiers do not match."
+NO_DATE, UNSURE_DATE = "Could not parse one or both dates.", "BS date could not be confidently resolved to AD (out of supported range) or dates differ by ~1 day."
 NAME_DETAILS = ("High similarity after transliteration/normalization.", "Likely the same name, but not close enough to auto-confirm.", "Partial similarity only -- needs human review.", "Names do not appear to correspond.")
 
 
@@ -65,7 +68,7 @@ def match_text(a: Column, b: Column) -> Column:
 
 def value_group(c: Column) -> Column:
     pairs = [F.lit(x) for i, group in enumerate(VALUE_GROUPS) for v in group for x in (v, i)]
-    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(c)))
+    return F.try_element_at(F.create_map(*pairs), F.lower(strip(c)))
 
 
 def match_enum(a: Column, b: Column, otherwise: Column | None = None) -> Column:
@@ -74,19 +77,19 @@ def match_enum(a: Column, b: Column, otherwise: Column | None = None) -> Column:
     rest = match_text(a, b) if otherwise is None else otherwise
     return (
         F.when(empty(a, b), outcome("REVIEW_REQUIRED", 0.0, EMPTY))
-        .when(x == y, outcome("MATCH", 95.0, "Matched via translated value equivalence."))
+        .when(x == y, outcome("MATCH", 95.0, TRANSLATED))
         .when(x.isNotNull() & y.isNotNull(), outcome("MISMATCH", 0.0)).otherwise(rest)
     )
 
 
 def match_id(a: Column, b: Column) -> Column:
-    x, y = canonical_id(F.trim(a)), canonical_id(F.trim(b))
+    x, y = canonical_id(a), canonical_id(b)
     return (
         F.when(empty(a, b), outcome("UNREADABLE", 0.0, EMPTY))
-        .when((x == "") | (y == ""), outcome("UNREADABLE", 0.0, "Could not extract digits/letters."))
-        .when(F.trim(a) == F.trim(b), outcome("EXACT_MATCH", 100.0))
-        .when(x == y, outcome("NORMALIZED_MATCH", 92.0, "Matches once spacing/hyphenation/case differences are removed."))
-        .otherwise(outcome("MISMATCH", 0.0, "Identifiers do not match."))
+        .when((x == "") | (y == ""), outcome("UNREADABLE", 0.0, NO_CHARACTERS))
+        .when(strip(a) == strip(b), outcome("EXACT_MATCH", 100.0))
+        .when(x == y, outcome("NORMALIZED_MATCH", 92.0, NORMALIZED))
+        .otherwise(outcome("MISMATCH", 0.0, DIFFERENT_IDS))
     )
 
 
@@ -95,15 +98,13 @@ def match_date(a: Column, b: Column, as_of_year: int, hint_a: Column | None = No
 
 
 def match_parsed_dates(x: Column, y: Column) -> Column:
-    unsure = "BS date could not be confidently resolved to AD (out of supported range) or dates differ by ~1 day."
-
     def judged(p: Column) -> Column:
         failed = p["x"]["error"].isNotNull() | p["y"]["error"].isNotNull()
         return F.struct(dates.equivalent(p["x"], p["y"]).alias("verdict"), F.coalesce(failed, F.lit(False)).alias("failed"))
 
     def told(j: Column) -> Column:
         confidence = F.when(j["verdict"] == "MATCH", 97.0).when(j["verdict"] == "REVIEW_REQUIRED", 40.0).otherwise(0.0)
-        detail = F.when(j["verdict"] == "UNREADABLE", "Could not parse one or both dates.").when((j["verdict"] == "REVIEW_REQUIRED") & j["failed"], unsure)
+        detail = F.when(j["verdict"] == "UNREADABLE", NO_DATE).when((j["verdict"] == "REVIEW_REQUIRED") & j["failed"], UNSURE_DATE)
         return F.struct(j["verdict"].alias("result"), confidence.alias("confidence"), detail.alias("detail"))
 
     return dates.let(dates.let(F.struct(x.alias("x"), y.alias("y")), judged), told)
@@ -118,8 +119,8 @@ def matcher_of(field: Column, field_type: Column) -> Column:
 KINDS = ("name", "date", "id", "enum", "text")
 
 
-def match_field(field: Column, field_type: Column, a: Column, b: Column, as_of_year: int, kinds: tuple[str, ...] = KINDS) -> Column:
-    """The outcome by the field's matcher.
+def match_field(field: Column, field_type: Column, a: Column, b: Column, as_of_year: int, kinds: tuple[str, ...] = KINDS, parsed: tuple[Column, Column] | None = None) -> Column:
+    """The outcome by the field's matcher; dates may come parsed already.
 
     Only the matchers named in ``kinds`` are built; a matcher that a row does
     not take gets null, so that its UDF has nothing to do there.
@@ -127,7 +128,7 @@ def match_field(field: Column, field_type: Column, a: Column, b: Column, as_of_y
     kind = matcher_of(field, field_type)
     only = lambda *k: F.when(kind.isin(*k), a)
     text = match_text(only("text", "enum"), b) if {"text", "enum"} & set(kinds) else None
-    made = {"name": lambda: match_name(only("name"), b), "date": lambda: match_date(a, b, as_of_year), "id": lambda: match_id(a, b), "enum": lambda: match_enum(a, b, text), "text": lambda: text}
+    made = {"name": lambda: match_name(only("name"), b), "date": lambda: match_parsed_dates(*parsed) if parsed else match_date(a, b, as_of_year), "id": lambda: match_id(a, b), "enum": lambda: match_enum(a, b, text), "text": lambda: text}
     out = F.lit(None).cast("struct<result: string, confidence: double, detail: string>")
     for k in reversed(KINDS):
         if k in kinds:

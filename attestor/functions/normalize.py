@@ -41,6 +41,11 @@ def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_text(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))

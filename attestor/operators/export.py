@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.sources import templates
+
 
 def rows(rois: DataFrame, values: DataFrame, document: str) -> DataFrame:
     """Values (roi_name, value) beside their regions, in template order
@@ -51,5 +55,15 @@ def layout_report(pairs: DataFrame, statistics: DataFrame) -> DataFrame:
     return statistics.join(marks, "page", "left")
 
 
+def config(rois: DataFrame, **keys) -> DataFrame:
+    """template_id and the JSON of a configuration: the regions, and keys such
+    as a form's code; see config_statistics for its counts."""
+    head = templates.to_json(rois).withColumnRenamed("value", "json")
+    more = rois.select("template_id").distinct().select(F.concat("template_id", F.lit(".json")).alias("template_path"), F.lit(json.dumps(keys)).alias("json"), "template_id")
+    named = more.join(head.withColumnRenamed("json", "_own"), "template_id")
+    merged = named.select("template_path", F.to_json(F.map_concat(F.expr("CAST(parse_json(json) AS MAP<STRING, VARIANT>)"), F.expr("CAST(parse_json(_own) AS MAP<STRING, VARIANT>)"))).alias("json"))
+    return templates.to_json(rois, merged)
+
+
 def config_statistics(rois: DataFrame) -> DataFrame:
     return rois.groupBy("template_id").agg(F.count("*").alias("total"), F.count_if("calibrated").alias("calibrated"), F.count_if(~F.col("calibrated")).alias("placeholder"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import geometry
-from attestor.operators import marks
+from attestor.operators import marks, raster
+from attestor.sources import backends
 
 
 def branch(field_type: Column, has_box: Column, has_options: Column) -> Column:
@@ -36,6 +38,53 @@ def ocr_text(words: Column) -> Column:
     return F.struct(F.array_join(F.transform(kept, lambda w: F.trim(w["text"])), " ").alias("text"), mean.alias("confidence"))
 
 
+# Errors of a field that is not read.
+NO_BOX, NO_CROP = "ROI has no box configured.", "ROI crop is empty or out of bounds."
+
+
+def recognized(images: Column, language: Column, field_type: Column) -> Column:
+    """words (text, confidence) and error of images, by the registered "ocr"
+    provider, which each task looks up once; without one, an error."""
+    providers = dict(backends.PROVIDERS)
+
+    @F.pandas_udf("struct<words: array<struct<text: string, confidence: double>>, error: string>")
+    def read(rasters: pd.DataFrame, languages: pd.Series, types: pd.Series) -> pd.DataFrame:
+        def each(image: dict, name: str | None, kind: str) -> tuple:
+            try:
+                if image["data"] is None:
+                    return None, None
+                return [{"text": t, "confidence": c} for t, c in backends.provider("ocr", providers)(raster.array_of(image), name or "english", kind)], None
+            except Exception as e:
+                return None, f"Extraction error: {e}"
+
+        return pd.DataFrame([each(*x) for x in zip(rasters.to_dict("records"), languages, types, strict=True)], columns=["words", "error"])
+
+    return read(images, language, field_type)
+
+
+def text_fields(pages: DataFrame, rois: DataFrame) -> DataFrame:
+    """document, roi_name, raw_value, confidence, below_threshold and error of
+    every region on pages (document, page, raster, native_w, native_h).
+
+    A region without a box, with a crop of less than two pixels, or that can't
+    be read has an error, and the others are read on.
+    """
+    missing = pages.select("document", "page").join(rois.where("box IS NULL"), "page").select("document", "roi_name", F.lit("").alias("raw_value"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("below_threshold"), F.lit(NO_BOX).alias("error"))
+    small = F.col("crop").isNull() | (F.col("crop.h") < 2) | (F.col("crop.w") < 2)
+    regions = raster.prepared(raster.crops(pages, rois).withColumn("_small", small).withColumn("crop", F.when(~F.col("_small"), F.col("crop"))))
+    read = regions.withColumn("_read", recognized(F.col("prepared.raster"), F.col("language"), F.col("field_type"))).withColumn("_text", ocr_text(F.coalesce("_read.words", F.array().cast("array<struct<text: string, confidence: double>>"))))
+    error = F.when(F.col("_small"), NO_CROP).otherwise(F.coalesce("prepared.error", "_read.error"))
+    found = read.select("document", "roi_name", F.col("_text.text").alias("raw_value"), F.col("_text.confidence").alias("confidence"), below_threshold(F.col("_text.confidence"), F.col("confidence_threshold"), error).alias("below_threshold"), error.alias("error"))
+    return found.unionByName(missing)
+
+
+def by_page(rois: DataFrame, values: DataFrame) -> DataFrame:
+    """document, page and its fields (roi_name, field_type, priority, value) in
+    template order, for review; regions without a value are left out."""
+    field = F.struct("position", F.struct("roi_name", "field_type", "priority", "value").alias("field"))
+    return values.join(rois.drop("document"), "roi_name").groupBy("document", "page").agg(F.transform(F.sort_array(F.collect_list(field)), lambda x: x["field"]).alias("fields"))
+
+
 def values(regions: DataFrame, mark_options: DataFrame) -> DataFrame:
     """document, roi_name, value of every routed region.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BOX = {"x0": "least", "y0": "least", "x1": "greatest", "y1": "greatest"}
 BAND = 6.0  # points; labels within one band of a mark's middle belong to it
 
 
@@ -24,11 +25,14 @@ def find_phrase(words: DataFrame, phrase: str, *keys: str) -> DataFrame:
     (occurrence), with the box around the words it touches."""
     needle = phrase.lower()
     at = F.instr(F.lower("text"), needle) - 1
-    spans = "transform(words, (w, i) -> named_struct('w', w, 's', aggregate(slice(words, 1, i), 0, (a, x) -> a + length(x.text) + 1)))"
-    hit = lines(words, *keys).withColumn("_at", at).where("_at >= 0").withColumn("_w", F.expr(f"transform(filter({spans}, p -> p.s < _at + {len(needle)} AND p.s + length(p.w.text) > _at), p -> p.w)"))
-    box = [F.array_min(F.col("_w.x0")).alias("x0"), F.array_min(F.col("_w.y0")).alias("y0"), F.array_max(F.col("_w.x1")).alias("x1"), F.array_max(F.col("_w.y1")).alias("y1")]
-    rows = hit.where(F.size("_w") > 0).withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, "page").orderBy("block", "line")) - 1)
-    return rows.select(*keys, "page", "block", "line", "occurrence", F.lit(phrase).alias("phrase"), *box)
+    # one pass over the words of a line: where each begins, and the box of those the hit touches
+    touched = f"a.at < _at + {len(needle)} AND a.at + length(w.text) > _at"
+    grown = ", ".join(f"'{c}', if({touched}, {f}(a.{c}, w.{c}), a.{c})" for c, f in BOX.items())
+    none = ", ".join(f"'{c}', CAST(NULL AS DOUBLE)" for c in BOX)
+    hit = lines(words.withColumns({c: F.col(c).cast("double") for c in BOX}), *keys).withColumn("_at", at).where("_at >= 0")
+    hit = hit.withColumn("_box", F.expr(f"aggregate(words, named_struct('at', 0, {none}), (a, w) -> named_struct('at', a.at + length(w.text) + 1, {grown}))"))
+    rows = hit.where("_box.x0 IS NOT NULL").withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, "page").orderBy("block", "line")) - 1)
+    return rows.select(*keys, "page", "block", "line", "occurrence", F.lit(phrase).alias("phrase"), *(F.col(f"_box.{c}").alias(c) for c in BOX))
 
 
 def pair_labels(circles: DataFrame, words: DataFrame, *keys: str, max_gap: float = 80.0) -> DataFrame:
@@ -50,17 +54,19 @@ def pair_labels(circles: DataFrame, words: DataFrame, *keys: str, max_gap: float
 
 def bind_options(pairs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """For each wanted label the first pair (position) whose label contains
-    it, in any case.  wanted is small and broadcast."""
-    hit = pairs.join(F.broadcast(wanted), F.contains(F.lower("label"), F.lower("wanted")))
+    it, in any case."""
+    hit = pairs.join(wanted, F.contains(F.lower("label"), F.lower("wanted")))
     first = F.row_number().over(Window.partitionBy(*keys, "wanted").orderBy("position"))
     return hit.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def anchored_box(hit: Column, page_w: float, page_h: float, width: float = 140, height: float = 16, dx: float = 6, dy: float = -3, below: bool = False) -> Column:
+def anchored_box(hit: Column, page_w: float, page_h: float, width: float = 140, height: float = 16, dx: float = 6, dy: float = -3, below: bool = False, y_override: float | None = None) -> Column:
     """The box to the right of (or below) a phrase's box struct, kept inside
     the page; without a hit a box at the origin.  A struct of box, calibrated."""
     right = F.array(*(F.round(x, 1) for x in (hit["x1"] + dx, hit["y0"] + dy, hit["x1"] + dx + width, hit["y0"] + dy + height)))
     under = F.array(*(F.round(x, 1) for x in (hit["x0"], hit["y1"] + 4, hit["x0"] + width, hit["y1"] + 4 + height)))
+    if y_override is not None:  # the row's own height on the page
+        right = F.array(right[0], F.lit(round(float(y_override), 1)), right[2], F.lit(round(float(y_override + height), 1)))
     box = F.when(hit.isNull(), F.array(*map(F.lit, (0.0, 0.0, float(width), float(height))))).otherwise(under if below else right)
     zero, w, h = F.lit(0.0), F.lit(float(page_w)), F.lit(float(page_h))
     return F.struct(F.array(F.greatest(zero, box[0]), F.greatest(zero, box[1]), F.least(w, box[2]), F.least(h, box[3])).alias("box"), hit.isNotNull().alias("calibrated"))
@@ -84,6 +90,13 @@ def page_statistics(words: DataFrame, circles: DataFrame, boxes: DataFrame) -> D
     return parts[0].union(parts[1]).union(parts[2]).groupBy("page").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("n_words", "n_circles", "n_date_boxes")))
 
 
+def table_rows(rois: DataFrame) -> DataFrame:
+    """Rows of table regions that have any box, one of an unknown column too,
+    with the number of their cells."""
+    rows = rois.withColumn("row", F.explode("rows")).withColumn("_boxes", F.try_element_at("cell_boxes", F.col("row"))).where(F.size("_boxes") > 0)
+    return rows.withColumn("cells", F.size(F.filter("columns", lambda c: F.try_element_at("_boxes", c).isNotNull()))).drop("_boxes")
+
+
 def table_cells(rois: DataFrame) -> DataFrame:
     """Cells of table regions (rows, columns, cell_boxes: row -> column ->
     box), named ``roi.row.col``; those without a box are left out."""

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.functions import geometry
+from attestor.functions import dates, geometry
 
 FEATURES = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("ink_ratio", "ink_share", "variance")), T.StructField("error", T.StringType())])
 RASTER = "struct<h: int, w: int, c: int, data: binary>"
+PREPARED = f"struct<raster: {RASTER}, skipped: array<string>, error: string>"
 #: Share of the radius that counts as the inside of a mark.
 INSIDE = 0.65
 # The steps of a field type's preparation.
@@ -31,8 +32,8 @@ def array_of(raster: dict) -> np.ndarray:
     return np.frombuffer(raster["data"], np.uint8).reshape(shape)
 
 
-def raster_of(x: np.ndarray) -> dict:
-    return {"h": x.shape[0], "w": x.shape[1], "c": 1 if x.ndim == 2 else x.shape[2], "data": np.ascontiguousarray(x, np.uint8).tobytes()}
+def raster_of(x: np.ndarray | None) -> dict:
+    return dict.fromkeys(("h", "w", "c", "data")) if x is None else {"h": x.shape[0], "w": x.shape[1], "c": 1 if x.ndim == 2 else x.shape[2], "data": np.ascontiguousarray(x, np.uint8).tobytes()}
 
 
 def grey(x: np.ndarray) -> np.ndarray:
@@ -83,13 +84,25 @@ def resize(x: np.ndarray, scale: float) -> np.ndarray:
     return np.rint(y[r0][:, c0] * (1 - fr) * (1 - fc) + y[r0][:, c1] * (1 - fr) * fc + y[r1][:, c0] * fr * (1 - fc) + y[r1][:, c1] * fr * fc).astype(np.uint8)
 
 
+def adaptive_threshold(x: np.ndarray, size: int = 25, offset: float = 15) -> np.ndarray:
+    """White where a grey image is above its Gaussian mean less the offset;
+    the border is repeated."""
+    x = grey(x)
+    at, sigma = np.arange(size) - size // 2, 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weight = np.exp(-(at**2) / (2 * sigma**2))
+    mean = np.pad(x.astype(float), size // 2, mode="edge")
+    for axis in (0, 1):
+        mean = np.apply_along_axis(np.convolve, axis, mean, weight / weight.sum(), "valid")
+    return np.where(x > np.rint(mean) - offset, 255, 0).astype(np.uint8)
+
+
 def sharpen(x: np.ndarray) -> np.ndarray:
     p = np.pad(x.astype(int), ((1, 1), (1, 1), *[(0, 0)] * (x.ndim - 2)), mode="reflect")
     return np.clip(5 * p[1:-1, 1:-1] - p[:-2, 1:-1] - p[2:, 1:-1] - p[1:-1, :-2] - p[1:-1, 2:], 0, 255).astype(np.uint8)
 
 
 #: Steps that need no image library; others can be registered here by name.
-STEPS = {"resize": resize, "grayscale": lambda x, _: grey(x), "threshold": lambda x, _: threshold(x), "sharpen": lambda x, _: sharpen(x), "swap_channels": lambda x, _: x[..., ::-1]}
+STEPS = {"resize": resize, "grayscale": lambda x, _: grey(x), "threshold": lambda x, _: threshold(x), "adaptive_threshold": lambda x, _: adaptive_threshold(x), "sharpen": lambda x, _: sharpen(x), "swap_channels": lambda x, _: x[..., ::-1]}
 
 
 def prepare(x: np.ndarray, field_type: str) -> tuple[np.ndarray, list[str]]:
@@ -103,9 +116,9 @@ def prepare(x: np.ndarray, field_type: str) -> tuple[np.ndarray, list[str]]:
     return x, skipped
 
 
-def crop(x: np.ndarray, bounds: list[int]) -> np.ndarray:
+def crop(x: np.ndarray, bounds: list[int]) -> np.ndarray | None:
     x0, y0, x1, y1 = bounds
-    return x[y0:y1, x0:x1] if x1 > x0 and y1 > y0 else x[:1, :1]
+    return x[y0:y1, x0:x1] if x1 > x0 and y1 > y0 else None
 
 
 @F.pandas_udf(FEATURES)
@@ -123,9 +136,9 @@ def features(rasters: pd.DataFrame) -> pd.DataFrame:
 
 
 def crops(pages: DataFrame, rois: DataFrame) -> DataFrame:
-    """Regions of pages (document, page, raster, native_w, native_h) as rasters.
-    rois are few and broadcast."""
-    joined = pages.join(F.broadcast(rois.where("box IS NOT NULL")), "page")
+    """Regions of pages (document, page, raster, native_w, native_h) as rasters; an
+    empty one is null."""
+    joined = pages.join(rois.where("box IS NOT NULL"), "page")
     scaled = geometry.scale_box(F.col("box"), F.col("native_w"), F.col("native_h"), F.col("raster.w").cast("double"), F.col("raster.h").cast("double"))
     bounds = geometry.crop_bounds(scaled, F.col("raster.w"), F.col("raster.h"))
 
@@ -133,7 +146,27 @@ def crops(pages: DataFrame, rois: DataFrame) -> DataFrame:
     def cut(rasters: pd.DataFrame, at: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([raster_of(crop(array_of(r), list(b))) for r, b in zip(rasters.to_dict("records"), at, strict=True)], columns=["h", "w", "c", "data"])
 
-    return joined.withColumn("crop", cut("raster", bounds))
+    return joined.withColumn("crop", dates.let(cut("raster", bounds), lambda x: F.when(x["h"].isNotNull(), x)))
+
+
+def prepared(regions: DataFrame) -> DataFrame:
+    """Adds prepared (raster, skipped, error): each crop after the steps of its
+    field_type, with the names of steps that no backend offers."""
+
+    @F.pandas_udf(PREPARED)
+    def steps(rasters: pd.DataFrame, field_types: pd.Series) -> pd.DataFrame:
+        def each(raster: dict, field_type: str) -> tuple:
+            try:
+                if raster["data"] is None:
+                    return None, [], None
+                x, skipped = prepare(array_of(raster), field_type)
+                return raster_of(x), skipped, None
+            except Exception as e:
+                return None, [], str(e)
+
+        return pd.DataFrame([each(r, t) for r, t in zip(rasters.to_dict("records"), field_types, strict=True)], columns=["raster", "skipped", "error"])
+
+    return regions.withColumn("prepared", steps("crop", "field_type"))
 
 
 def presence(found: DataFrame, kind: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.functions import match
+from attestor.functions import dates, match
 
 # The default field map and the verdicts by kind.
 FIELD_MAP = (
@@ -21,6 +21,9 @@ FIELD_MAP = (
     ("permanent_address_district", "permanent_district", "ADDRESS", "IMPORTANT"),
     ("issuing_office_and_district", "citizenship_issue_district_applicant_1", "TEXT", "CRITICAL"),
 )
+MAP_COLUMNS = {"position": "int", "certificate_field": "string", "form_field": "string", "field_type": "string", "priority": "string"}
+#: Most rows of a field map.
+MAP_ROWS = 1000
 MATCHED, REVIEW, MISMATCH, MISSING = ("MATCH", "EXACT_MATCH", "NORMALIZED_MATCH"), ("PROBABLE_MATCH", "REVIEW_REQUIRED"), ("MISMATCH",), ("UNREADABLE",)
 
 
@@ -29,19 +32,30 @@ def default_field_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, certificate_field string, form_field string, field_type string, priority string")
 
 
+def map_rows(field_map: DataFrame) -> list:
+    """The rows of a field map, in order.  It is a configuration and stands in
+    the plan, so one of more than MAP_ROWS rows is an error."""
+    rows = field_map.select("position", "certificate_field", "form_field", "field_type", "priority").orderBy("position").limit(MAP_ROWS + 1).collect()
+    if len(rows) > MAP_ROWS:
+        raise ValueError(f"a field map has at most {MAP_ROWS} rows")
+    return rows
+
+
 def pairs(certificate: DataFrame, form: DataFrame, field_map: DataFrame) -> DataFrame:
     """One row for each pair and map row, with "" where a value is missing.
 
-    The map is small and broadcast; values meet it, then one another by
-    (pair_id, position), so neither side is multiplied by the map's size
-    before its fields are known.
+    The values of mapped fields meet by pair in one shuffle; map rows are put
+    beside them from a literal.  Of repeated values of a field the greatest holds.
     """
-    fields = F.broadcast(field_map)
-    a = certificate.withColumnRenamed("field", "certificate_field").join(fields, "certificate_field").select("pair_id", "position", F.col("value").alias("value_a"))
-    b = form.withColumnRenamed("field", "form_field").join(fields, "form_field").select("pair_id", "position", F.col("value").alias("value_b"))
-    everyone = certificate.select("pair_id").union(form.select("pair_id")).distinct().withColumn("_map", F.lit(1)).join(F.broadcast(field_map.withColumn("_map", F.lit(1))), "_map").drop("_map")
-    rows = everyone.join(a, ["pair_id", "position"], "left").join(b, ["pair_id", "position"], "left")
-    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("value_a", "value_b")})
+    chosen = map_rows(field_map)
+    sides = ((0, certificate, "certificate_field"), (1, form, "form_field"))
+    # of fields that no row maps, only the pair is kept
+    parts = [rows.select("pair_id", F.when(F.col("field").isin(sorted({r[name] for r in chosen})), F.struct(F.lit(side).alias("side"), "field", "value")).alias("v")) for side, rows, name in sides]
+    values = parts[0].unionByName(parts[1]).groupBy("pair_id").agg(F.sort_array(F.collect_set("v"), asc=False).alias("_values"))
+    fields = F.array(*(F.struct(*(F.lit(r[c]).cast(t).alias(c) for c, t in MAP_COLUMNS.items())) for r in chosen))
+    value = lambda side, name: F.coalesce(F.get(F.filter("_values", lambda v: (v["side"] == side) & (v["field"] == F.col(f"_m.{name}")) & v["value"].isNotNull()), 0)["value"], F.lit(""))
+    rows = values.withColumn("_m", F.explode(fields))
+    return rows.select("pair_id", "_m.*", value(0, "certificate_field").alias("value_a"), value(1, "form_field").alias("value_b"))
 
 
 def matchers(field_map: DataFrame) -> tuple[str, ...]:
@@ -50,10 +64,19 @@ def matchers(field_map: DataFrame) -> tuple[str, ...]:
     return tuple(r["kind"] for r in field_map.select(kind).distinct().collect())
 
 
-def outcomes(rows: DataFrame, as_of_year: int, kinds: tuple[str, ...] = match.KINDS) -> DataFrame:
-    """Adds result, confidence and detail by the field's matcher."""
-    found = rows.withColumn("_o", match.match_field(F.col("form_field"), F.col("field_type"), F.col("value_a"), F.col("value_b"), as_of_year, kinds))
-    return found.select("*", "_o.*").drop("_o")
+def outcomes(rows: DataFrame, as_of_year: int, kinds: tuple[str, ...] = match.KINDS, months: DataFrame | None = None, start: str | None = None) -> DataFrame:
+    """Adds result, confidence and detail by the field's matcher.
+
+    With a table of months that begins on ``start``, BS dates are resolved.
+    """
+    parsed, kept = None, rows.columns
+    if months is not None and "date" in kinds:
+        dated = match.matcher_of(F.col("form_field"), F.col("field_type")) == "date"
+        for side in ("a", "b"):
+            rows = dates.resolve(rows.withColumn(f"_{side}", F.when(dated, dates.parse(F.col(f"value_{side}"), as_of_year))), f"_{side}", months, start)
+        parsed = (F.col("_a"), F.col("_b"))
+    found = rows.withColumn("_o", match.match_field(F.col("form_field"), F.col("field_type"), F.col("value_a"), F.col("value_b"), as_of_year, kinds, parsed))
+    return found.select(*kept, "_o.*")
 
 
 def status(critical_mismatch: Column, missing: Column, review: Column, mismatch: Column) -> Column:
@@ -61,17 +84,28 @@ def status(critical_mismatch: Column, missing: Column, review: Column, mismatch:
 
 
 def summarize(found: DataFrame, *keys: str) -> DataFrame:
-    """Counts by kind of verdict and the overall status of each key."""
+    """Counts by kind of verdict and the overall status of each key.
+
+    A form field (form_field; without it, each row is one) is critical if one
+    of its map rows is.
+    """
     count = lambda kinds: F.count_if(F.col("result").isin(*kinds))
+    is_critical, differs = F.col("priority") == "CRITICAL", F.col("result").isin(*MISMATCH)
+    if "form_field" in found.columns:
+        critical = F.arrays_overlap(F.collect_set(F.when(is_critical, F.col("form_field"))), F.collect_set(F.when(differs, F.col("form_field"))))
+    else:
+        critical = F.coalesce(F.bool_or(is_critical & differs), F.lit(False))
     totals = found.groupBy(*keys).agg(
         F.count("*").alias("total"), count(MATCHED).alias("matched"), count(REVIEW).alias("needs_review"), count(MISMATCH).alias("mismatched"), count(MISSING).alias("missing"),
-        F.coalesce(F.bool_or((F.col("priority") == "CRITICAL") & F.col("result").isin(*MISMATCH)), F.lit(False)).alias("_critical"),
+        critical.alias("_critical"),
     )
     return totals.withColumn("overall_status", status(F.col("_critical"), F.col("missing"), F.col("needs_review"), F.col("mismatched"))).drop("_critical")
 
 
-def run_validation(certificate: DataFrame, form: DataFrame, as_of_year: int, field_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, summary) of all pairs; without a map the default one holds."""
-    chosen = default_field_map(certificate.sparkSession) if field_map is None else field_map
-    found = outcomes(pairs(certificate, form, chosen), as_of_year, matchers(chosen))
+def run_validation(certificate: DataFrame, form: DataFrame, as_of_year: int, field_map: DataFrame | None = None, months: DataFrame | None = None, start: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, summary) of all pairs; without a map, or with an empty one,
+    the default one holds.  months (bs_year, bs_month, n_days) from the day
+    ``start`` on resolves BS dates, which else go to review."""
+    chosen = default_field_map(certificate.sparkSession) if field_map is None or field_map.isEmpty() else field_map
+    found = outcomes(pairs(certificate, form, chosen), as_of_year, matchers(chosen), months, start)
     return found, summarize(found, "pair_id")

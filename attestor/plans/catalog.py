@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import geometry, match, normalize, text
 from attestor.operators import export, layout, marks, validate
+from attestor.plans import forms
 from attestor.sources import templates
 
 AS_OF_YEAR = 2026
@@ -39,7 +40,7 @@ def q2_transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q3_match_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, customer = F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.col("o_custkey").cast("string")
     case = F.col("o_orderkey") % 4
-    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("-", key, customer).alias("a"), F.when(case == 0, F.concat_ws("-", key, customer)).when(case == 1, F.concat_ws("  ", key, customer)).when(case == 2, F.concat(key, F.lit("-9"), customer)).otherwise("").alias("b"))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("-", key, customer).alias("a"), F.when(case == 0, F.concat(F.lit("\t"), F.concat_ws("-", key, customer), F.lit("\u00a0\n"))).when(case == 1, F.concat_ws("  ", key, customer)).when(case == 2, F.concat(key, F.lit("-9"), customer)).otherwise("").alias("b"))
     return rows.withColumn("o", match.match_id(F.col("a"), F.col("b"))).select("o_orderkey", "o.*")
 
 
@@ -57,12 +58,12 @@ def _record_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     sexes = F.array(*map(F.lit, ("Male", "महिला", "others", "m")))
     long = lambda *fields: rows.select(key.alias("pair_id"), F.explode(F.array(*(F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in fields))).alias("f")).select("pair_id", "f.*")
     number, day = F.concat_ws("-", key, "n_name"), F.date_add(F.lit("1970-01-01").cast("date"), (key % 9999).cast("int"))
-    certificate = long(("number", number), ("sex", F.element_at(sexes, (key % 4 + 1).cast("int"))), ("born", F.date_format(day, "yyyy/MM/dd")), ("passport", F.when(key % 5 > 0, number)))
+    certificate = long(("number", number), ("alias", F.when(key % 17 == 0, F.concat(number, F.lit("x"))).otherwise(number)), ("sex", F.concat(F.lit("\t"), F.element_at(sexes, (key % 4 + 1).cast("int")), F.lit("\n"))), ("born", F.date_format(day, "yyyy/MM/dd")), ("passport", F.when(key % 5 > 0, number)))
     form = long(
         ("citizenship_no", F.when(key % 3 == 0, number).when(key % 3 == 1, F.concat_ws(" ", key, "n_name")).otherwise(F.when(key % 11 == 0, F.concat(number, F.lit("7"))).otherwise(number))),
         ("gender", F.element_at(sexes, ((key / 2).cast("long") % 4 + 1).cast("int"))), ("dob", F.date_format(F.date_add(day, F.when(key % 13 == 0, 1).otherwise(0)), "dd/MM/yyyy")), ("passport_no", number),
     )
-    fields = spark.createDataFrame([(0, "number", "citizenship_no", "TEXT", "CRITICAL"), (1, "sex", "gender", "TEXT", "IMPORTANT"), (2, "born", "dob", "DATE", "CRITICAL"), (3, "passport", "passport_no", "TEXT", "OPTIONAL")], "position int, certificate_field string, form_field string, field_type string, priority string")
+    fields = spark.createDataFrame([(0, "number", "citizenship_no", "TEXT", "CRITICAL"), (1, "sex", "gender", "TEXT", "IMPORTANT"), (2, "born", "dob", "DATE", "CRITICAL"), (3, "passport", "passport_no", "TEXT", "OPTIONAL"), (4, "alias", "citizenship_no", "TEXT", "OPTIONAL")], "position int, certificate_field string, form_field string, field_type string, priority string")
     return certificate, form, fields
 
 
@@ -100,17 +101,23 @@ def q9_build_lines_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.find_phrase(placed, "of the", "doc_id").select("doc_id", "line", "occurrence", "x0", "y0", "x1", "y1")
 
 
-def _regions(spark: SparkSession) -> DataFrame:
-    return templates.rois(spark.createDataFrame([("dir/form.json", TEMPLATE)], "template_path string, json string"))
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template for each customer, as (template_path, json)."""
+    own = F.concat(F.lit("t"), "c_custkey")
+    return _read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("dir/"), own, F.lit(".json")).alias("template_path"), F.replace(F.lit(TEMPLATE), F.lit('"t1"'), F.concat(F.lit('"'), own, F.lit('"'))).alias("json"))
 
 
 def q10_template_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regions(spark).select("template_id", "document_type", "roi_name", "field_type", "page", "language", F.array_join("box", ",").alias("box"), "required", "priority", "confidence_threshold", "calibrated", "notes", (F.col("calibrated") | (F.col("field_type") == "CHECKBOX_GROUP")).alias("usable"))
+    rows = templates.usable(templates.rois(_templates(spark, sf_dir)))
+    return rows.select("template_id", "template_path", "display_name", "document_type", "roi_name", "field_type", "page", "language", F.array_join("box", ",").alias("box"), "required", "priority", "validation", "confidence_threshold", "preprocessing", "ocr_engine", "calibrated", "notes")
 
 
 def q11_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _read(spark, sf_dir, "region").select(F.element_at(F.array(*map(F.lit, ("full_name", "dob", "nowhere", "sex", "unnamed"))), F.col("r_regionkey") + 1).alias("roi_name"), F.when(F.col("r_regionkey") == 1, "").otherwise(F.col("r_name")).alias("value"))
-    return export.rows(_regions(spark), values, "Form").select("Field", "Page", "Value", F.col("Field Type").alias("field_type"), "Priority", "Required", F.col("Review Status").alias("review_status"))
+    rois = templates.rois(spark.createDataFrame([("dir/form.json", TEMPLATE)], "template_path string, json string"))
+    name = F.element_at(F.array(*map(F.lit, ("full_name", "dob", "nowhere", "sex", "unnamed"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    values = _read(spark, sf_dir, "customer").select("c_custkey", name.alias("roi_name"), F.when(F.col("c_custkey") % 5 == 1, "").otherwise(F.col("c_name")).alias("value"))
+    parts = [export.rows(rois, values.where(f"c_custkey % 2 = {i}"), document).select("Field", "Page", "Value", F.col("Field Type").alias("field_type"), "Priority", "Required", "Document", F.col("Review Status").alias("review_status")) for i, document in enumerate(("Front", "Back"))]
+    return export.together(*parts)
 
 
 def q12_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,13 +126,16 @@ def q12_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).groupBy("vec_id").agg((F.var_pop(F.col("v").cast("double")) * 20000).alias("variance"), (F.count_if(F.col("v") > 0.25) / F.count("*")).alias("ink"))
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, v: a + f(v.cast("double")))
+    size = F.size("embedding")
+    rows = _read(spark, sf_dir, "embeddings").withColumn("_mean", total("embedding", lambda v: v) / size)
+    rows = rows.select("vec_id", (total("embedding", lambda v: (v - F.col("_mean")) * (v - F.col("_mean"))) / size * 20000).alias("variance"), (F.size(F.filter("embedding", lambda v: v > 0.25)) / size).alias("ink"))
     found = rows.withColumn("photo", geometry.detect_photo(F.col("variance"))).withColumn("mark", geometry.detect_ink(F.col("ink")))
     return found.select("vec_id", F.col("photo.present").alias("photo"), F.col("photo.status").alias("photo_status"), F.col("mark.present").alias("signed"), F.col("mark.status").alias("sign_status"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (q1_canonical_text, q2_transliterate, q3_match_id, q4_match_date, q5_validate_rollup, q6_match_name, q7_mark_group, q8_label_pairing, q9_build_lines_phrase, q10_template_rois, q11_export_rows, q12_redact, q13_presence)}
+    return forms.queries() | {f.__name__: f for f in (q1_canonical_text, q2_transliterate, q3_match_id, q4_match_date, q5_validate_rollup, q6_match_name, q7_mark_group, q8_label_pairing, q9_build_lines_phrase, q10_template_rois, q11_export_rows, q12_redact, q13_presence)}
 
 
 def _quoted(s: str) -> str:
@@ -139,6 +149,10 @@ def _sql_map(pairs: dict[str, str]) -> str:
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
 def _sql_canonical(text_sql: str) -> str:
     return f"lower(trim(regexp_replace(translate({text_sql}, {_quoted(normalize.PUNCTUATION)}, '{' ' * len(normalize.PUNCTUATION)}'), {_quoted(_SPACE + '+')}, ' ', 'g')))"
 
@@ -167,14 +181,14 @@ _VERDICT = "CASE WHEN a_y IS NULL OR b_y IS NULL THEN 'UNREADABLE' WHEN a_d IS N
 
 def _sql_id(a: str, b: str) -> str:
     norm = lambda x: f"regexp_replace(upper({x}), '[^A-Z0-9]', '', 'g')"
-    return f"CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 'UNREADABLE' WHEN {norm(a)} = '' OR {norm(b)} = '' THEN 'UNREADABLE' WHEN trim({a}) = trim({b}) THEN 'EXACT_MATCH' WHEN {norm(a)} = {norm(b)} THEN 'NORMALIZED_MATCH' ELSE 'MISMATCH' END"
+    return f"CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 'UNREADABLE' WHEN {norm(a)} = '' OR {norm(b)} = '' THEN 'UNREADABLE' WHEN {_sql_strip(a)} = {_sql_strip(b)} THEN 'EXACT_MATCH' WHEN {norm(a)} = {norm(b)} THEN 'NORMALIZED_MATCH' ELSE 'MISMATCH' END"
 
 
 def oracle_sql() -> dict[str, str]:
+    d = forms.oracle_sql()
     names = "[" + ", ".join(map(_quoted, NAMES)) + "]"
     least = _sql_map({x: min(group) for group in normalize.EQUAL_NAMES for x in group})
     deva = "regexp_matches(source, '[\\x{0900}-\\x{097F}]')"
-    d = {}
     d["q1_canonical_text"] = f"SELECT doc_id, {_sql_canonical('nfc_normalize(text)')} AS canonical FROM documents"
     d["q2_transliterate"] = f"""
 WITH s AS (SELECT n_nationkey, ({names})[n_nationkey % {len(NAMES)} + 1] || ' ' || n_name AS source FROM nation),
@@ -182,25 +196,25 @@ t AS (SELECT *, {_sql_transliterate('source')} AS latin, CASE WHEN {deva} THEN {
 SELECT n_nationkey, source, latin, array_to_string(list_transform(string_split({_sql_canonical('l')}, ' '), lambda w: coalesce({least}[w], w)), ' ') AS name FROM t"""
     d["q3_match_id"] = f"""
 WITH p AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS k, CAST(o_custkey AS VARCHAR) AS c FROM orders),
-q AS (SELECT o_orderkey, k || '-' || c AS a, CASE o_orderkey % 4 WHEN 0 THEN k || '-' || c WHEN 1 THEN k || '  ' || c WHEN 2 THEN k || '-9' || c ELSE '' END AS b FROM p),
+q AS (SELECT o_orderkey, k || '-' || c AS a, CASE o_orderkey % 4 WHEN 0 THEN chr(9) || k || '-' || c || chr(160) || chr(10) WHEN 1 THEN k || '  ' || c WHEN 2 THEN k || '-9' || c ELSE '' END AS b FROM p),
 r AS (SELECT o_orderkey, {_sql_id('a', 'b')} AS result FROM q)
 SELECT o_orderkey, result, CASE result WHEN 'EXACT_MATCH' THEN 100.0::DOUBLE WHEN 'NORMALIZED_MATCH' THEN 92.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
-CASE result WHEN 'UNREADABLE' THEN '{match.EMPTY}' WHEN 'NORMALIZED_MATCH' THEN 'Matches once spacing/hyphenation/case differences are removed.' WHEN 'MISMATCH' THEN 'Identifiers do not match.' END AS detail FROM r"""
+CASE result WHEN 'UNREADABLE' THEN '{match.EMPTY}' WHEN 'NORMALIZED_MATCH' THEN '{match.NORMALIZED}' WHEN 'MISMATCH' THEN '{match.DIFFERENT_IDS}' END AS detail FROM r"""
     d["q4_match_date"] = f"""
 WITH s AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) + CAST(([0, 1, 2, 5])[o_orderkey % 4 + 1] AS INT) AS DATE) AS moved FROM orders),
 p AS (SELECT o_orderkey, strftime(day, '%Y/%m/%d') || ' A.D.' AS a, CASE o_orderkey % 7 WHEN 0 THEN strftime(moved, '%d-%m-%Y') WHEN 1 THEN strftime(moved, '%Y/%-m/%-d') WHEN 2 THEN '2002/02/30' WHEN 3 THEN '2059/04/12 B.S.' WHEN 4 THEN 'not a date' ELSE strftime(moved, '%Y.%m.%d') || ' A.D.' END AS b FROM s),
 q AS (SELECT o_orderkey, {_sql_date('a')}, {_sql_date('b')} FROM p),
 r AS (SELECT *, {_VERDICT} AS result FROM q)
 SELECT o_orderkey, result, CASE result WHEN 'MATCH' THEN 97.0::DOUBLE WHEN 'REVIEW_REQUIRED' THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
-CASE WHEN result = 'UNREADABLE' THEN 'Could not parse one or both dates.' WHEN result = 'REVIEW_REQUIRED' AND (a_d IS NULL OR b_d IS NULL) THEN 'BS date could not be confidently resolved to AD (out of supported range) or dates differ by ~1 day.' END AS detail FROM r"""
+CASE WHEN result = 'UNREADABLE' THEN '{match.NO_DATE}' WHEN result = 'REVIEW_REQUIRED' AND (a_d IS NULL OR b_d IS NULL) THEN '{match.UNSURE_DATE}' END AS detail FROM r"""
     group = lambda x: f"CASE WHEN lower({x}) IN ('male', 'm') THEN 0 WHEN {x} = 'महिला' THEN 1 ELSE 2 END"
     d["q5_validate_rollup"] = f"""
 WITH s AS (SELECT c_custkey AS k, n_name, c_custkey || '-' || n_name AS number, CAST(DATE '1970-01-01' + CAST(c_custkey % 9999 AS INT) AS DATE) AS day FROM customer JOIN nation ON c_nationkey = n_nationkey),
 p AS (SELECT k, number AS ia, CASE k % 3 WHEN 0 THEN number WHEN 1 THEN k || ' ' || n_name ELSE CASE WHEN k % 11 = 0 THEN number || '7' ELSE number END END AS ib,
  (['Male', 'महिला', 'others', 'm'])[k % 4 + 1] AS ga, (['Male', 'महिला', 'others', 'm'])[(k // 2) % 4 + 1] AS gb, strftime(day, '%Y/%m/%d') AS a, strftime(day + CAST(CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS INT), '%d/%m/%Y') AS b,
- CASE WHEN k % 5 > 0 THEN number END AS pa, number AS pb FROM s),
+ CASE WHEN k % 5 > 0 THEN number END AS pa, number AS pb, CASE WHEN k % 17 = 0 THEN number || 'x' ELSE number END AS na FROM s),
 q AS (SELECT *, {_sql_date('a')}, {_sql_date('b')} FROM p),
-o AS (SELECT k, unnest([{_sql_id('ia', 'ib')}, CASE WHEN {group('ga')} = {group('gb')} THEN 'MATCH' ELSE 'MISMATCH' END, {_VERDICT}, {_sql_id('pa', 'pb')}]) AS result, unnest([true, false, true, false]) AS critical FROM q),
+o AS (SELECT k, unnest([{_sql_id('ia', 'ib')}, CASE WHEN {group('ga')} = {group('gb')} THEN 'MATCH' ELSE 'MISMATCH' END, {_VERDICT}, {_sql_id('pa', 'pb')}, {_sql_id('na', 'ib')}]) AS result, unnest([true, false, true, false, true]) AS critical FROM q),
 t AS (SELECT k AS pair_id, count(*) AS total, count(*) FILTER (result IN ('MATCH', 'EXACT_MATCH', 'NORMALIZED_MATCH')) AS matched, count(*) FILTER (result IN ('PROBABLE_MATCH', 'REVIEW_REQUIRED')) AS needs_review, count(*) FILTER (result = 'MISMATCH') AS mismatched, count(*) FILTER (result = 'UNREADABLE') AS missing, bool_or(critical AND result = 'MISMATCH') AS bad FROM o GROUP BY k)
 SELECT pair_id, total, matched, needs_review, mismatched, missing, CASE WHEN bad THEN 'MISMATCH' WHEN missing > 0 THEN 'INCOMPLETE' WHEN needs_review > 0 OR mismatched > 0 THEN 'PASS WITH REVIEW' ELSE 'PASS' END AS overall_status FROM t"""
     d["q7_mark_group"] = """
@@ -220,14 +234,14 @@ h AS (SELECT *, instr(lower(t), 'of the') - 1 AS hit FROM l WHERE instr(lower(t)
 w AS (SELECT doc_id, line, len(string_split(substr(t, 1, hit), ' ')) - 1 AS a, len(string_split(substr(t, 1, hit + 6), ' ')) - 1 AS b, string_split(t, ' ') AS ws FROM h)
 SELECT doc_id, CAST(line AS INT) AS line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INT) AS occurrence, a * 10.0::DOUBLE AS x0, line * 12.0::DOUBLE AS y0, b * 10.0::DOUBLE + length(ws[b + 1]) AS x1, line * 12.0::DOUBLE + 10 AS y1 FROM w"""
     d["q10_template_rois"] = """
-SELECT 't1' AS template_id, 'kyc' AS document_type, v.* FROM (VALUES
- ('full_name', 'NAME', 1, 'english', '1.0,2.0,3.0,4.0', true, 'CRITICAL', 60.0::DOUBLE, true, NULL, true), ('dob', 'DATE', 1, NULL, NULL, false, 'OPTIONAL', 60.0::DOUBLE, false, NULL, false),
- ('sex', 'CHECKBOX_GROUP', 2, 'english', NULL, false, 'OPTIONAL', 70.5::DOUBLE, false, NULL, true), ('unnamed', 'TEXT', 7, 'english', NULL, false, 'OPTIONAL', 60.0::DOUBLE, true, 'x', true))
-v(roi_name, field_type, page, language, box, required, priority, confidence_threshold, calibrated, notes, usable)"""
+SELECT 't' || c_custkey AS template_id, 'dir/t' || c_custkey || '.json' AS template_path, 'Form' AS display_name, 'kyc' AS document_type, 'none' AS validation, 'default' AS preprocessing, 'tesseract' AS ocr_engine, v.* FROM customer, (VALUES
+ ('full_name', 'NAME', 1, 'english', '1.0,2.0,3.0,4.0', true, 'CRITICAL', 60.0::DOUBLE, true, NULL),
+ ('sex', 'CHECKBOX_GROUP', 2, 'english', NULL, false, 'OPTIONAL', 70.5::DOUBLE, false, NULL), ('unnamed', 'TEXT', 7, 'english', NULL, false, 'OPTIONAL', 60.0::DOUBLE, true, 'x'))
+v(roi_name, field_type, page, language, box, required, priority, confidence_threshold, calibrated, notes)"""
     d["q11_export_rows"] = """
-WITH v AS (SELECT (['full_name', 'dob', 'nowhere', 'sex', 'unnamed'])[r_regionkey + 1] AS f, CASE WHEN r_regionkey = 1 THEN '' ELSE r_name END AS value FROM region),
+WITH v AS (SELECT c_custkey % 2 AS part, (['full_name', 'dob', 'nowhere', 'sex', 'unnamed'])[c_custkey % 5 + 1] AS f, CASE WHEN c_custkey % 5 = 1 THEN '' ELSE c_name END AS value FROM customer),
 t AS (SELECT * FROM (VALUES ('full_name', 1, 'NAME', 'CRITICAL', true), ('dob', 1, 'DATE', 'OPTIONAL', false), ('sex', 2, 'CHECKBOX_GROUP', 'OPTIONAL', false), ('unnamed', 7, 'TEXT', 'OPTIONAL', false)) t(f, page, kind, priority, required))
-SELECT f AS "Field", page AS "Page", value AS "Value", kind AS field_type, priority AS "Priority", required AS "Required", CASE WHEN value <> '' THEN 'OK' ELSE 'EMPTY' END AS review_status FROM t JOIN v USING (f)"""
+SELECT f AS "Field", page AS "Page", value AS "Value", kind AS field_type, priority AS "Priority", required AS "Required", (['Front', 'Back'])[part + 1] AS "Document", CASE WHEN value <> '' THEN 'OK' ELSE 'EMPTY' END AS review_status, CAST(part AS INT) AS part FROM t JOIN v USING (f)"""
     star = lambda x: f"CASE WHEN length({x}) <= 4 THEN repeat('*', length({x})) ELSE left({x}, 2) || repeat('*', length({x}) - 4) || right({x}, 2) END"
     d["q12_redact"] = f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN {star('c_name')} ELSE c_name END AS value, {star('substr(c_name, 1, CAST(c_custkey % 9 AS INT))')} AS short, replace(replace(lower(c_mktsegment || '. ' || c_name), ' ', '_'), '.', '') AS slug FROM customer"
     d["q13_presence"] = """

@@ -13,8 +13,10 @@ PROVIDERS: dict[str, Callable] = {}
 
 
 def register(kind: str, provider: Callable) -> None:
-    """kind: "pdf" (bytes, dpi) -> pages, "image" bytes -> page, "ocr" (raster,
-    language, field_type) -> words.  A page is (h, w, c, data, native_w, native_h)."""
+    """kind: "pdf" (bytes, dpi) -> pages, "image" bytes -> page, "count" bytes of
+    a PDF -> number of pages, "words" bytes of a PDF -> (page, x0, y0, x1, y1,
+    text, block, line, word_no), "ocr" (array, language, field_type) -> (text,
+    confidence).  A page is (h, w, c, data, native_w, native_h)."""
     PROVIDERS[kind] = provider
 
 
@@ -30,6 +32,13 @@ def pages_of(name: str, content: bytes, dpi: int, providers: dict[str, Callable]
     yield from enumerate(pages, 1)
 
 
+def count_of(name: str, content: bytes, providers: dict[str, Callable]) -> int:
+    """Pages of one file, counted without drawing them where a provider can."""
+    if name.lower().endswith(".pdf") and "count" in providers:
+        return providers["count"](content)
+    return sum(1 for _ in pages_of(name, content, 72, providers))
+
+
 def provider(kind: str, providers: dict[str, Callable]) -> Callable:
     if kind in providers:
         return providers[kind]

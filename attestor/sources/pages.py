@@ -48,5 +48,63 @@ def errors(pages: DataFrame) -> DataFrame:
     return pages.where("error IS NOT NULL").select("document", "path", "error")
 
 
-def single_page(pages: DataFrame, number: int) -> DataFrame:
-    return pages.where(F.col("page_in_file") == number)
+def page_counts(rows: DataFrame) -> DataFrame:
+    """document, path, page_count and error of files (document, path, content)."""
+    providers = dict(backends.PROVIDERS)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                try:
+                    out.append((row.document, row.path, backends.count_of(row.path, row.content, providers), None))
+                except Exception as e:
+                    out.append((row.document, row.path, None, str(e)))
+            yield pd.DataFrame(out, columns=["document", "path", "page_count", "error"]).astype({"page_count": "Int32"})
+
+    return rows.select("document", "path", "content").mapInPandas(each, "document string, path string, page_count int, error string")
+
+
+def single_page(rows: DataFrame, number: int, dpi: int = 200) -> DataFrame:
+    """One page of each file; a file without it gives a row with an error.
+
+    Pages come lazily from a provider, and none after this one is asked for.
+    """
+    providers = dict(backends.PROVIDERS)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                out = {"document": row.document, "file_order": row.file_order, "path": row.path, "page_in_file": None, "native_w": None, "native_h": None, "raster": None, "error": None}
+                try:
+                    last = 0
+                    for last, (h, w, c, data, nw, nh) in backends.pages_of(row.path, row.content, dpi, providers):  # noqa: B007
+                        if last == number:
+                            out |= {"page_in_file": last, "native_w": nw, "native_h": nh, "raster": {"h": h, "w": w, "c": c, "data": data}}
+                            break
+                    else:
+                        out["error"] = f"Page {number} not found (document has {last} pages)."
+                except Exception as e:
+                    out["error"] = str(e)
+                yield pd.DataFrame([out])
+
+    return rows.select("document", "file_order", "path", "content").mapInPandas(each, SCHEMA)
+
+
+def words(rows: DataFrame) -> DataFrame:
+    """The words of PDF files by the registered "words" provider, as the layout
+    operators take them; boxes are rounded to a tenth.  A file that can't be
+    read gives one row with its error."""
+    providers = dict(backends.PROVIDERS)
+    columns = ["page", "block", "line", "word_no", "x0", "y0", "x1", "y1", "text"]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                try:
+                    found = [(row.document, row.path, page, block, line, no, *(round(v, 1) for v in box), text, None) for page, *box, text, block, line, no in backends.provider("words", providers)(row.content)]
+                except Exception as e:
+                    found = [(row.document, row.path, *[None] * 9, str(e))]
+                yield pd.DataFrame(found, columns=["document", "path", *columns, "error"])
+
+    return rows.select("document", "path", "content").mapInPandas(each, "document string, path string, page int, block int, line int, word_no int, x0 double, y0 double, x1 double, y1 double, text string, error string")

@@ -6,9 +6,14 @@ the two apart.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.functions import geometry
+
 # The vocabularies and the defaults of a region's fields.
 FIELD_TYPES = ("TEXT", "NUMBER", "DATE", "NAME", "ADDRESS", "CHECKBOX", "CHECKBOX_GROUP", "SIGNATURE", "PHOTO", "THUMBPRINT", "TABLE", "OPTION_GROUP", "CUSTOM")
 DEFAULTS = {
@@ -18,6 +23,10 @@ DEFAULTS = {
 }
 
 
+#: A file's name without its extension, in a path.
+STEM = r"([^/]+?)(?:\.[^./]*)?$"
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """template_path and the JSON text of every file under a path."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("template_path"), F.col("value").alias("json"))
@@ -33,7 +42,7 @@ def _field(region: Column, name: str, page: Column) -> Column:
 def rois(templates: DataFrame) -> DataFrame:
     """One row for each region of (template_path, json): a flat ``rois`` list
     comes first, else the fields of ``pages``, which inherit the page number."""
-    raw = templates.withColumn("_raw", F.parse_json("json")).withColumn("_stem", F.regexp_extract("template_path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    raw = templates.withColumn("_raw", F.parse_json("json")).withColumn("_stem", F.regexp_extract("template_path", STEM, 1))
     part = lambda path, kind: F.try_variant_get("_raw", path, kind)
     raw = raw.select("*", part("$.rois", "array<variant>").alias("_flat"), part("$.pages", "array<variant>").alias("_pages"))
     flat = raw.where("_flat IS NOT NULL").select("*", F.posexplode("_flat").alias("_pos", "_roi")).withColumn("_order", F.struct(F.lit(0).alias("page"), F.col("_pos").alias("pos"))).withColumn("_page", F.lit(None).cast("int"))
@@ -53,8 +62,14 @@ def page_counts(templates: DataFrame) -> DataFrame:
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """bank and its sorted template files: root/bank/*.json but version.json."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root).select("path")
+    """bank and its sorted template files: root/bank/*.json but version.json;
+    no rows where there are none, or no root."""
+    try:
+        files = spark.read.format("binaryFile").load(f"{root}/*/*.json").select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "bank string, templates array<string>")
     name = F.regexp_extract("path", r"([^/]+)/([^/]+)$", 1).alias("bank")
     return files.where(~F.col("path").rlike(r"/version\.json$")).groupBy(name).agg(F.sort_array(F.collect_list("path")).alias("templates"))
 
@@ -79,29 +94,90 @@ def add(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(named, allowMissingColumns=True)
 
 
-def edit(rows: DataFrame, roi_name: str, **fields) -> DataFrame:
-    """Set known fields of a region; a new box also calibrates it."""
-    fields = {k: v for k, v in fields.items() if k in DEFAULTS} | ({"calibrated": True} if "box" in fields else {})
+def _place(rows: DataFrame, roi_name: str, template_id: str | None) -> Column:
+    """Whether a row is the region of that name, the first of a template.
+
+    A missing one is a KeyError; without a template_id just one template may
+    have the name.
+    """
+    named = rows.where(F.col("roi_name") == roi_name)
+    named = named if template_id is None else named.where(F.col("template_id") == template_id)
+    found = named.groupBy("template_id").agg(F.min("position").alias("position")).limit(2).collect()
+    if not found:
+        raise KeyError(f"no region named {roi_name}" + ("" if template_id is None else f" in template {template_id}"))
+    if len(found) > 1:
+        raise ValueError(f"several templates have a region named {roi_name}")
+    at = found[0]["position"]
+    place = F.lit(None) if at is None else F.struct(F.lit(at["page"]).alias("page"), F.lit(at["pos"]).alias("pos"))
+    return (F.col("roi_name") == roi_name) & (F.col("template_id") == found[0]["template_id"]) & F.col("position").eqNullSafe(place.cast(rows.schema["position"].dataType))
+
+
+def _set(rows: DataFrame, place: Column, values: dict[str, Column]) -> DataFrame:
+    return rows.withColumns({k: F.when(place, v.cast(DEFAULTS[k][0])).otherwise(F.col(k)) for k, v in values.items()})
+
+
+def edit(rows: DataFrame, roi_name: str, template_id: str | None = None, **fields) -> DataFrame:
+    """Set known fields of a region; others are ignored."""
     value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v)
-    return rows.withColumns({k: F.when(F.col("roi_name") == roi_name, value(v).cast(DEFAULTS[k][0])).otherwise(F.col(k)) for k, v in fields.items()})
+    return _set(rows, _place(rows, roi_name, template_id), {k: value(v) for k, v in fields.items() if k in DEFAULTS})
 
 
-def rename(rows: DataFrame, old: str, new: str) -> DataFrame:
-    if not rows.where(F.col("roi_name") == new).isEmpty():
+def update_box(rows: DataFrame, roi_name: str, box: list[float], template_id: str | None = None) -> DataFrame:
+    """A box that someone has placed; it calibrates the region."""
+    return edit(rows, roi_name, template_id, box=box, calibrated=True)
+
+
+def move(rows: DataFrame, roi_name: str, dx: float, dy: float, template_id: str | None = None) -> DataFrame:
+    return _set(rows, _place(rows, roi_name, template_id), {"box": geometry.move(F.col("box"), F.lit(dx), F.lit(dy))})
+
+
+def resize(rows: DataFrame, roi_name: str, width: float, height: float, template_id: str | None = None) -> DataFrame:
+    return _set(rows, _place(rows, roi_name, template_id), {"box": geometry.resize(F.col("box"), F.lit(width), F.lit(height))})
+
+
+def _taken(rows: DataFrame, place: Column, name: str) -> bool:
+    """Whether another region of the template of a place has the name."""
+    template = rows.where(place).select("template_id").distinct()
+    return not rows.where((F.col("roi_name") == name) & ~place).join(template, "template_id", "left_semi").isEmpty()
+
+
+def rename(rows: DataFrame, old: str, new: str, template_id: str | None = None) -> DataFrame:
+    place = _place(rows, old, template_id)
+    if new != old and _taken(rows, place, new):
         raise ValueError(f"a region named {new} exists")
-    return edit(rows, old, roi_name=new)
+    return _set(rows, place, {"roi_name": F.lit(new)})
+
 
+def delete(rows: DataFrame, roi_name: str, template_id: str | None = None) -> DataFrame:
+    """Without the regions of that name, if there are any."""
+    gone = F.col("roi_name") == roi_name
+    return rows.where(~(gone if template_id is None else gone & (F.col("template_id") == template_id)))
 
-def delete(rows: DataFrame, roi_name: str) -> DataFrame:
-    return rows.where(F.col("roi_name") != roi_name)
 
+def duplicate(rows: DataFrame, roi_name: str, new: str | None = None, template_id: str | None = None) -> DataFrame:
+    """A copy at the end; a name that is taken gets a random suffix."""
+    place, name = _place(rows, roi_name, template_id), new or f"{roi_name}_copy"
+    if not rows.where((F.col("roi_name") == name)).join(rows.where(place).select("template_id"), "template_id", "left_semi").isEmpty():
+        name = f"{name}_{uuid.uuid4().hex[:8]}"
+    return rows.unionByName(rows.where(place).withColumn("roi_name", F.lit(name)))
 
-def duplicate(rows: DataFrame, roi_name: str, new: str | None = None) -> DataFrame:
-    return rows.unionByName(rows.where(F.col("roi_name") == roi_name).withColumn("roi_name", F.lit(new or f"{roi_name}_copy")))
 
+def to_json(rows: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """template_id and its JSON, always in the flat layout, ready for write.text.
 
-def to_json(rows: DataFrame) -> DataFrame:
-    """template_id and its JSON, always in the flat layout, ready for write.text."""
+    With the templates (template_path, json) that the rows came from, their
+    other keys are kept, and so are templates that have no region left.
+    """
     region = F.struct("position", F.struct(*DEFAULTS).alias("roi"))
     packed = rows.groupBy("template_id", "display_name", "document_type").agg(F.transform(F.sort_array(F.collect_list(region)), lambda r: r["roi"]).alias("rois"))
-    return packed.select("template_id", F.to_json(F.struct("template_id", "display_name", "document_type", "rois"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    if templates is None:
+        return packed.select("template_id", F.to_json(F.struct("template_id", "display_name", "document_type", "rois"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    raw = templates.withColumn("_raw", F.parse_json("json")).withColumn("_stem", F.regexp_extract("template_path", STEM, 1))
+    named = lambda key, default: F.coalesce(F.try_variant_get("_raw", f"$.{key}", "string"), default)
+    raw = raw.select(named("template_id", F.col("_stem")).alias("template_id"), named("display_name", F.col("_stem")).alias("_name"), named("document_type", F.lit("kyc")).alias("_kind"), F.try_variant_get("_raw", "$", "map<string, variant>").alias("_raw"))
+    whole = raw.join(packed, "template_id", "left").withColumns({"display_name": F.coalesce("display_name", "_name"), "document_type": F.coalesce("document_type", "_kind"), "rois": F.coalesce("rois", F.array().cast(packed.schema["rois"].dataType))})
+    own = ("template_id", "display_name", "document_type", "rois")
+    rest = F.map_filter("_raw", lambda k, _: ~k.isin("pages", *own))
+    value = lambda c: F.expr(f"to_variant_object({c})") if c == "rois" else F.expr(f"CAST({c} AS VARIANT)")
+    every = F.map_concat(rest, F.create_map(*(x for c in own for x in (F.lit(c), value(c)))))
+    return whole.select("template_id", F.to_json(every, {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))

@@ -14,7 +14,7 @@ from attestor.operators import validate
 
 def outcomes(stream: DataFrame, field_map: DataFrame, as_of_year: int) -> DataFrame:
     """Outcomes of streamed rows (pair_id, form_field, value_a, value_b, ts)."""
-    rows = stream.join(F.broadcast(field_map.select("form_field", "field_type", "priority")), "form_field")
+    rows = stream.join(field_map.select("form_field", "field_type", "priority"), "form_field")
     return validate.outcomes(rows, as_of_year)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attestor.functions import geometry
 from attestor.operators import extraction, layout, marks, raster
 from attestor.plans import catalog
-from attestor.sources import pages, templates
+from attestor.sources import backends, pages, templates
 from attestor.streaming import validation
 
 
@@ -74,15 +74,64 @@ def test_templates(spark, tmp_path):
     assert templates.page_counts(files).first()["page_count"] == 7
     by = {r["roi_name"]: r for r in rows.collect()}
     assert by["dob"]["language"] is None and by["full_name"]["language"] == "english" and by["unnamed"]["page"] == 7
-    moved = templates.edit(rows, "dob", box=[1.0, 2.0, 3.0, 4.0]).where("roi_name = 'dob'").first()
+    moved = templates.update_box(rows, "dob", [1.0, 2.0, 3.0, 4.0]).where("roi_name = 'dob'").first()
     assert moved["calibrated"] and moved["box"] == [1.0, 2.0, 3.0, 4.0]
     assert templates.delete(templates.duplicate(rows, "dob"), "dob").where("roi_name = 'dob_copy'").count() == 1
     with pytest.raises(ValueError):
         templates.rename(rows, "dob", "sex")
+    assert templates.rename(rows, "dob", "dob").count() == 4 and templates.delete(rows, "nothing").count() == 4
+    for missing in (lambda: templates.edit(rows, "nothing", notes="x"), lambda: templates.rename(rows, "nothing", "y"), lambda: templates.duplicate(rows, "dob", template_id="t9"), lambda: templates.move(rows, "nothing", 1.0, 1.0)):
+        with pytest.raises(KeyError):
+            missing()
+    both = rows.unionByName(rows.withColumn("template_id", F.lit("t2")))
+    with pytest.raises(ValueError):
+        templates.edit(both, "dob", notes="x")
+    assert templates.edit(both, "dob", "t2", notes="x").where("notes = 'x' AND roi_name = 'dob'").count() == 1
+    twice = templates.duplicate(templates.duplicate(rows, "dob"), "dob")
+    assert len({r["roi_name"] for r in twice.collect()}) == 6
+    assert templates.catalog(spark, str(tmp_path / "nowhere")).count() == 0
     saved = json.loads(templates.to_json(rows).first()["value"])
     assert [r["roi_name"] for r in saved["rois"]] == ["full_name", "dob", "sex", "unnamed"]
 
 
+def test_files_with_backends(spark, tmp_path, monkeypatch):
+    def pdf(content: bytes, dpi: int):
+        for k in range(int(content)):
+            if k == 7:
+                raise AssertionError("a page that nobody asked for")
+            yield 4, 4, 1, bytes(range(k, k + 16)), 4.0, 4.0
+
+    (tmp_path / "doc").mkdir()
+    for name, content in (("a.pdf", b"3"), ("b.pdf", b"1"), ("c.pdf", b"broken")):
+        (tmp_path / "doc" / name).write_bytes(content)
+    monkeypatch.setattr(backends, "PROVIDERS", {"pdf": pdf, "words": lambda content: [(1, 0.04, 1.06, 2.0, 3.0, "word", 0, 1, k) for k in range(int(content))], "ocr": lambda image, language, kind: [(f"{kind} {image.shape}", 55.0), (" ", 1.0)] if language == "english" else 1 / 0})
+    rows = pages.files(spark, str(tmp_path))
+    counts = {r["path"][-5:]: (r["page_count"], r["error"] is None) for r in pages.page_counts(rows).collect()}
+    assert counts == {"a.pdf": (3, True), "b.pdf": (1, True), "c.pdf": (None, False)}
+    found = pages.ingest(rows)
+    assert [(r["page"], r["label"]) for r in pages.numbered(found).orderBy("page").collect()] == [(1, "Front"), (2, "Back"), (3, "Page 3"), (4, "Page 4")]
+    second = {r["path"][-5:]: (r["page_in_file"], r["error"]) for r in pages.single_page(rows, 2).collect()}
+    assert second["a.pdf"] == (2, None) and second["b.pdf"][1] == "Page 2 not found (document has 1 pages)." and second["c.pdf"][1]
+    many = rows.withColumn("content", F.lit(b"9"))
+    assert {r["page_in_file"] for r in pages.single_page(many, 5).collect()} == {5}
+    words = pages.words(rows)
+    assert words.where("x0 = 0.0 AND y0 = 1.1").count() == 4 and words.where("error IS NOT NULL").count() == 1
+    regions = spark.createDataFrame([("n", 1, "NUMBER", "english", [0.0, 0.0, 4.0, 4.0], 60.0), ("t", 1, "NUMBER", "odd", [0.0, 0.0, 4.0, 4.0], 60.0), ("s", 1, "TEXT", "english", [1.0, 1.0, 2.0, 4.0], 60.0), ("x", 1, "TEXT", "english", None, 60.0)], "roi_name string, page int, field_type string, language string, box array<double>, confidence_threshold double")
+    read = {r["roi_name"]: r for r in extraction.text_fields(pages.numbered(found), regions).collect()}
+    assert read["n"]["raw_value"] == "NUMBER (12, 12)" and read["n"]["confidence"] == 55.0 and read["n"]["below_threshold"] and read["n"]["error"] is None
+    assert read["t"]["error"].startswith("Extraction error") and read["s"]["error"] == extraction.NO_CROP and read["x"]["error"] == extraction.NO_BOX
+    assert all(read[k]["below_threshold"] for k in "tsx")
+    monkeypatch.setattr(backends, "PROVIDERS", {"pdf": pdf})
+    assert "no ocr backend" in {r["roi_name"]: r["error"] for r in extraction.text_fields(pages.numbered(found), regions).collect()}["n"]
+
+
+def test_adaptive_threshold():
+    x = np.full((40, 40), 200, np.uint8)
+    x[20, 20] = 0
+    out = raster.adaptive_threshold(x)
+    assert out[20, 20] == 0 and (out == 255).sum() == 1599 and raster.adaptive_threshold(np.zeros((3, 3), np.uint8)).tolist() == [[255] * 3] * 3
+
+
 def test_ingest_without_backends(spark, tmp_path):
     (tmp_path / "doc").mkdir()
     (tmp_path / "doc" / "a.pdf").write_bytes(b"this is not a pdf")

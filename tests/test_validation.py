@@ -96,3 +96,35 @@ def test_default_map(spark):
     assert found.count() == len(validate.FIELD_MAP)
     row = summary.first()
     assert (row["matched"], row["overall_status"]) == (2, "INCOMPLETE")
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    """OCR text ends in newlines: a translated value or an id is the same with them."""
+    rows = spark.createDataFrame([("Male\n", "पुरुष", "MATCH"), ("\tMale", "Female", "MISMATCH")], "a string, b string, want string")
+    assert all(r["r"] == r["want"] for r in rows.select("want", match.match_enum(F.col("a"), F.col("b"))["result"].alias("r")).collect())
+    ids = spark.createDataFrame([("12-34\n", "12-34", "EXACT_MATCH"), ("12-34\u00a0", " 12 34", "NORMALIZED_MATCH")], "a string, b string, want string")
+    assert all(r["r"] == r["want"] for r in ids.select("want", match.match_id(F.col("a"), F.col("b"))["result"].alias("r")).collect())
+
+
+def test_a_field_is_critical_by_name(spark):
+    fields = spark.createDataFrame([(0, "n", "citizenship_no", "TEXT", "CRITICAL"), (1, "m", "citizenship_no", "TEXT", "OPTIONAL")], "position int, certificate_field string, form_field string, field_type string, priority string")
+    certificate = spark.createDataFrame([(1, "n", "12"), (1, "m", "13")], "pair_id long, field string, value string")
+    form = spark.createDataFrame([(1, "citizenship_no", "12")], "pair_id long, field string, value string")
+    found, summary = validate.run_validation(certificate, form, 2026, fields)
+    assert [r["result"] for r in found.orderBy("position").collect()] == ["EXACT_MATCH", "MISMATCH"] and summary.first()["overall_status"] == "MISMATCH"
+    assert validate.run_validation(certificate, form, 2026, fields.limit(0))[0].count() == len(validate.FIELD_MAP)
+    twice = certificate.union(certificate.withColumn("value", F.lit("99")))
+    assert validate.run_validation(twice, form, 2026, fields)[0].count() == 2
+    with pytest.raises(ValueError):
+        validate.map_rows(spark.range(validate.MAP_ROWS + 1).select(F.col("id").cast("int").alias("position"), *(F.lit("x").alias(c) for c in list(validate.MAP_COLUMNS)[1:])))
+
+
+def test_bs_dates_meet_ad_dates_in_validation(spark):
+    """With a table of months a BS date is compared by its AD day, else it goes to review."""
+    months = spark.createDataFrame([(2059, m, 31) for m in range(1, 13)], "bs_year int, bs_month int, n_days int")
+    certificate = spark.createDataFrame([(1, "dob_bs", "2059/04/12 B.S."), (2, "dob_bs", "2059/04/12 B.S.")], "pair_id long, field string, value string")
+    form = spark.createDataFrame([(1, "dob_applicant_1", "2002/07/28 A.D."), (2, "dob_applicant_1", "1999/01/01 A.D.")], "pair_id long, field string, value string")
+    dob = lambda **more: {r["pair_id"]: r["result"] for r in validate.run_validation(certificate, form, 2026, **more)[0].where("form_field = 'dob_applicant_1'").collect()}
+    assert dob(months=months, start="2002-04-15") == {1: "MATCH", 2: "MISMATCH"}
+    assert dob(months=months, start="2002-04-14") == {1: "REVIEW_REQUIRED", 2: "MISMATCH"}
+    assert dob() == {1: "REVIEW_REQUIRED", 2: "REVIEW_REQUIRED"}
