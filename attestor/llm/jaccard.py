@@ -33,11 +33,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import kernels
-from attestor.llm.components import TASK_ROWS, components
+from attestor.llm.components import components
 from attestor.llm.session import release
 
 #: Slots (of a byte, up to 255) of the table of shingle counts, and bits of the table of wanted nodes.
@@ -45,6 +46,10 @@ COUNT_BITS, WANTED_BITS = 24, 24
 _SLICES = 64
 #: Nodes before a node in a list that are tried first, and tries of a node in a round.
 NEAR, CHOICES = 4, 3
+#: Rows of a list that one task takes; longer ones are dealt in parts.
+LIST_ROWS = 1 << 16
+#: Postings for each task over pairs; small tables take few tasks and leave few files.
+PAIR_ROWS = 200_000
 #: Pairs whose counts a task holds before it passes them on.
 HELD_PAIRS = 1 << 20
 #: Bits of a set's parity sketch.
@@ -101,7 +106,7 @@ def merged(tables: DataFrame, size: int, kind: type, join: Callable) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slot", "cells"])
 
     out = np.zeros((_SLICES, size // _SLICES), kind)
-    for row in tables.groupBy("slot").applyInArrow(add, "slot int, cells binary").toLocalIterator():
+    for row in tables.groupBy("slot").applyInArrow(add, "slot int, cells binary").collect():
         out[row["slot"]] = np.frombuffer(zlib.decompress(row["cells"]), kind)
     return out.ravel()
 
@@ -147,9 +152,9 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rows.where("slot IS NULL").select("doc_id", "n", "node", "parities"), table
 
 
-def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, node, n) of the short lists, once for each node and task at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def postings(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(token, node, n) of the short lists by the shared table of counts, once
+    for each node and task at most."""
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,35 +201,69 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[lis
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
-    """(token, node, n) of the lists with two nodes or more, a node once in each."""
+    """(token, n, node, length) of the lists with two nodes or more, a node once
+    in each; of a list of more than LIST_ROWS nodes also a row that has its
+    length and no node.  Lists are streamed, none is held."""
+    limit = LIST_ROWS
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, n, node), _ in _runs(batches, 3):
+        held: list[np.ndarray] | None = None  # the last row, as what follows it decides
+        begun, size = True, 0  # whether that row is its list's first, and the nodes of the list so far
+
+        def out(token: np.ndarray, n: np.ndarray, node: np.ndarray, ended: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, begun, size
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
             token, n, node = token[fresh], n[fresh], node[fresh]
-            first = np.concatenate([[True], token[1:] != token[:-1]])
-            alone = first & np.concatenate([first[1:], [True]])
-            keep = ~alone
+            first = np.concatenate([[begun], token[1:] != token[:-1]])
+            last = np.append(token[1:] != token[:-1], ended)
+            at = np.arange(len(token))
+            length = at - np.maximum.accumulate(np.where(first, at, 0)) + 1  # of the list up to each row
+            length[np.cumsum(first) == 0] += size
+            full = last & (length > limit)
+            keep = ~(first & last)
+            if not ended:
+                keep[-1] = False
+                held, begun = [token[-1:], n[-1:], node[-1:]], bool(first[-1])
+                size = int(length[-1]) - 1
+            none = pa.nulls(int(keep.sum()), pa.int64())
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(n[keep]), pa.array(node[keep])], ["token", "n", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(n[keep]), pa.array(node[keep]), none], ["token", "n", "node", "length"])
+            if full.any():
+                m = int(full.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(token[full]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(length[full])], ["token", "n", "node", "length"])
 
-    return posted.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "n", "node").mapInArrow(each, "token long, n int, node long")
+        for batch in batches:
+            part = [batch.column(c).to_numpy() for c in range(3)]
+            if len(part[0]):
+                yield from out(*(part if held is None else [np.concatenate([h, p]) for h, p in zip(held, part, strict=True)]), False)
+        if held is not None:
+            yield from out(*held, True)
 
+    return posted.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "n", "node").mapInArrow(each, "token long, n int, node long, length long")
 
-def _labelled(shared: DataFrame, labels: DataFrame | None, turn: int = 0) -> DataFrame:
-    """shared with each node's component, sorted within lists by size; on later
-    turns in an order of each turn's own, so that nodes meet others."""
-    rows = shared.withColumn("component", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    order = [F.xxhash64(F.lit(turn), "node")] if turn else ["n", "node"]
-    more = [c for c in rows.columns if c == "parities"]
-    return rows.repartition("token").sortWithinPartitions("token", *order).select("token", "n", "node", "component", *more)
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with each node's component."""
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _blocks(rows: DataFrame, long: DataFrame | None) -> DataFrame:
+    """rows with list, the key of their list or of their part of a long one."""
+    if long is None:
+        return rows.withColumn("list", F.col("token"))
+    part = F.xxhash64("token", F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / LIST_ROWS)))
+    return rows.join(long, "token", "left").withColumn("list", F.when(F.col("length").isNull(), F.col("token")).otherwise(part))
 
 
-def neighbour_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFrame | None, turn: int) -> DataFrame:
+def neighbour_pairs(shared: DataFrame, long: DataFrame | None, labels: DataFrame | None, tried: DataFrame | None, turn: int) -> DataFrame:
     """For every node its likeliest links to other components: of the nodes
     shortly before it and at the head of its lists, those it meets most often
-    and has not tried.  What this leaves out, other_pairs finds."""
+    and has not tried.  Lists are sorted by size, on later turns in an order of
+    each turn's own, so that nodes meet others; of long lists (token, length)
+    each part is one of its own.  What this leaves out, other_pairs finds."""
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +286,9 @@ def neighbour_pairs(shared: DataFrame, labels: DataFrame | None, tried: DataFram
                 rows, met = np.unique(np.stack([node[a], node[b], n[a].astype(np.int64)]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(met)], ["a", "b", "n", "met"])
 
-    found = _labelled(shared, labels, turn).mapInArrow(each, "a long, b long, n long, met long").groupBy("a", "b", "n").agg(F.sum("met").alias("met"))
+    order = [F.xxhash64(F.lit(turn), "node")] if turn else ["n", "node"]
+    rows = _blocks(_labelled(shared, labels), long).repartition("list").sortWithinPartitions("list", *order)
+    found = rows.select("list", "n", "node", "component").mapInArrow(each, "a long, b long, n long, met long").groupBy("a", "b", "n").agg(F.sum("met").alias("met"))
     likely = found.where(F.col("met") * 500 >= (100 - PERCENT) * F.col("n"))
     likely = likely.select("a", "met", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "b")
     if tried is not None:
@@ -267,7 +308,25 @@ def _counted(parts: list[np.ndarray]) -> np.ndarray:
     return rows
 
 
-def other_pairs(shared: DataFrame, sketches: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame) -> DataFrame:
+    """The long lists' rows (token, length, ...), dealt to cells of bounded size.
+
+    No two rows of a list's main component meet, so only the rest has to meet
+    all.  A cell is a part of the list's rows and, as guests, a part of its rest;
+    each row is in one cell for each part of the rest, each of the rest also in
+    one for each part of the rows, and so every pair has a cell.
+    """
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"))
+    rows = rows.join(main, "token").withColumn("rest", F.col("component") != F.col("main"))
+    rows = rows.withColumn("parts", F.ceil(F.col("all") / LIST_ROWS)).withColumn("guests", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / LIST_ROWS)))
+    row, guest = F.pmod(F.xxhash64("node"), F.col("parts")), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("guests"))
+    owned = rows.select("*", row.alias("x"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("y"), F.when(F.col("rest"), 1).otherwise(2).alias("role"))
+    asking = rows.where("rest").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), guest.alias("y"), F.lit(3).alias("role"))
+    return owned.unionByName(asking).withColumn("list", F.xxhash64("token", "x", "y"))
+
+
+def other_pairs(shared: DataFrame, long: DataFrame | None, sketches: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
     """All pairs of nodes of different components that occur together in
     short lists often enough to be linked, and whose sketches (node, parities)
     don't differ in more bits than linked sets do in shingles."""
@@ -280,25 +339,30 @@ def other_pairs(shared: DataFrame, sketches: DataFrame, labels: DataFrame | None
         def told(rows: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b", "na", "nb", "met"])
 
-        for (_, n, node, component, bits), begin in _runs(batches, 5):
+        for (_, n, node, component, role, bits), begin in _runs(batches, 6):
             n = n.astype(np.int64)
             bits = np.frombuffer(b"".join(bits.tolist()), np.uint64).reshape(len(n), -1)
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(n)], strict=True):
-                part = component[lo:hi]
+                part, own = component[lo:hi], role[lo:hi]
                 if (part == part[0]).all():
                     continue
-                _, which, sizes = np.unique(part, return_inverse=True, return_counts=True)
-                main = which == sizes.argmax()  # no two rows of the main component meet
-                for i in np.flatnonzero(~main).tolist():
+                if own[0]:  # a cell: its guests meet the others, two of the rest in the lesser one's cell
+                    rows, asking, main = np.flatnonzero(own < 3), np.flatnonzero(own == 3), own == 2
+                else:  # a whole list: no two rows of the main component meet
+                    _, which, sizes = np.unique(part, return_inverse=True, return_counts=True)
+                    main = which == sizes.argmax()
+                    rows, asking = np.arange(hi - lo), np.flatnonzero(~main)
+                size_of, name = n[lo + rows], node[lo:hi]
+                for i in asking.tolist():
                     size = n[lo + i]
-                    a = np.searchsorted(n[lo:hi], -(-PERCENT * size // 100))
-                    b = np.searchsorted(n[lo:hi], size * 100 // PERCENT, side="right")
-                    other = np.arange(a, b)
-                    other = other[(part[other] != part[i]) & (main[other] | (other < i))]
+                    a = np.searchsorted(size_of, -(-PERCENT * size // 100))
+                    b = np.searchsorted(size_of, size * 100 // PERCENT, side="right")
+                    other = rows[a:b]
+                    other = other[(part[other] != part[i]) & (main[other] | (name[other] < name[i]))]
                     differ = np.bitwise_count(bits[lo + other] ^ bits[lo + i]).sum(axis=1, dtype=np.int64)
                     other = other[differ <= size + n[lo + other] - 2 * needed(size, n[lo + other])]
                     if len(other):
-                        x, y = np.full(len(other), node[lo + i]), node[lo + other]
+                        x, y = np.full(len(other), name[i]), name[other]
                         nx, ny = np.full(len(other), size), n[lo + other]
                         swap = x < y
                         out.append(np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny), np.ones_like(x)]))
@@ -312,7 +376,13 @@ def other_pairs(shared: DataFrame, sketches: DataFrame, labels: DataFrame | None
         if out:
             yield told(_counted(out))
 
-    found = _labelled(shared.join(sketches, "node"), labels).mapInArrow(each, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
+    rows = _labelled(shared.join(sketches, "node"), labels)
+    columns = ["list", "n", "node", "component", "role", "parities"]
+    lists = rows if long is None else rows.join(long, "token", "left_anti")
+    lists = lists.select(F.col("token").alias("list"), F.lit(0).alias("role"), *columns[1:4], "parities").select(columns)
+    if long is not None:
+        lists = lists.unionByName(_cells(rows.join(long, "token")).select(columns))
+    found = lists.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(each, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     long_lists = lambda n: f"(ceil({PERCENT} * {n} / 100D) - 1)"
     least = f"ceil({PERCENT} * (na + nb) / {100 + PERCENT}D)"
     return found.where(f"met >= {least} - greatest({long_lists('na')}, {long_lists('nb')})").join(tried, ["a", "b"], "left_anti").select("a", "b")
@@ -363,32 +433,40 @@ def probed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = docs.select("text").where("doc_id IS NOT NULL").mapInArrow(chosen, "node long, set binary")
     sets = sets.groupBy("node").agg(F.first("set").alias("set"))
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").coalesce(pairs.rdd.getNumPartitions()).checkpoint()
+    found = rows.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").checkpoint()
+    shared.destroy()
+    return found
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     ids, counts = keyed(docs)
-    shared = shared_postings(postings(docs, counts)).checkpoint()
-    few = 1 + shared.count() // TASK_ROWS  # tasks that small tables take
+    table = docs.sparkSession.sparkContext.broadcast(counts)
+    stored = shared_postings(postings(docs, table)).checkpoint()
+    table.destroy()
+    del counts
+    sizes = stored.agg(F.count("node"), F.count("length")).first()
+    few = 1 + sizes[0] // PAIR_ROWS  # tasks that small tables take
+    shared, long = stored.where("node IS NOT NULL").drop("length"), stored.where("node IS NULL").select("token", "length") if sizes[1] else None
     release(docs.sparkSession)
     links, labels, tried, turn = None, None, None, 0
     while True:
-        pairs = neighbour_pairs(shared, labels, tried, turn).coalesce(few).checkpoint()
+        pairs = neighbour_pairs(shared, long, labels, tried, turn).coalesce(few).checkpoint()
         turn += 1
         found = probed(docs, pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
+        number = found.count()
+        if not number:
             break
-        labels = components(links).coalesce(few).checkpoint()
+        labels = components(links).checkpoint()
         release(docs.sparkSession)
-        if found.count() * 20 < pairs.count():  # most are no links: the next step is cheaper than another round
+        if number * 20 < pairs.count():  # most are no links: the next step is cheaper than another round
             break
     sketches = ids.where("n > 0").groupBy("node").agg(F.first("parities").alias("parities"))
-    found = probed(docs, other_pairs(shared, sketches, labels, tried).coalesce(few).checkpoint())
+    found = probed(docs, other_pairs(shared, long, sketches, labels, tried).coalesce(few).checkpoint())
     if not found.isEmpty():
-        labels = components(links.unionByName(found)).coalesce(few).checkpoint()
+        labels = components(links.unionByName(found)).checkpoint()
     # of each node the least document; of each component the least of those
     nodes = ids.where("n > 0").groupBy("n", "node").agg(F.min("doc_id").alias("least"))
     if labels is not None:
