@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard.
 
 Rows are dealt to shards by a hash of their id.  Every shard builds a
-hierarchical graph over its distinct vectors, kept as flat arrays of
-neighbours, and answers all queries; the shards' answers are merged.  Equal
-vectors are one node of the graph, so a hot vector costs no more than another.
+hierarchical graph over its distinct directions, stored as flat arrays of
+neighbours, and answers the queries block by block; the shards' answers are
+merged.  Vectors of one direction are one node of the graph with all its rows, so
+a hot vector costs no more than another.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
 component take no part, nor do rows without an id.  Rows of one id count once
@@ -14,14 +15,20 @@ compared.  Ties go to the smaller id.
 from __future__ import annotations
 
 import heapq
+import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a shard, in expectation.
-SHARD_ROWS = 4096
+from attestor.llm import kernels
+
+#: Least and most rows of a shard, in expectation; between them a table has SHARDS shards.
+SHARD_ROWS, MOST_ROWS, SHARDS = 4096, 1 << 16, 256
+#: Queries of a block, in expectation.
+QUERY_ROWS = 512
 LINKS, BREADTH_BUILD, BREADTH_SEARCH = 12, 80, 96
 
 
@@ -39,6 +46,12 @@ class Graph:
         for node in range(1, n):
             self._insert(node, int(height[node]))
 
+    @classmethod
+    def restored(cls, x: np.ndarray, links: list[np.ndarray], entry: int, top: int) -> Graph:
+        graph = cls(x[:0])
+        graph.x, graph.links, graph.entry, graph.top, graph.seen = x, links, entry, top, np.zeros(len(x), np.int64)
+        return graph
+
     def _search(self, q: np.ndarray, entries: list[tuple[float, int]], breadth: int, level: int) -> list[tuple[float, int]]:
         """The nearest nodes found on a level, as (likeness, node), best first."""
         self.stamp += 1
@@ -133,30 +146,42 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], x[first]
 
 
-def search_shard(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The best k rows of one shard for each query, by exact cosine of those found."""
+def _packed(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def build(rows: pa.Table) -> bytes:
+    """A shard's rows and its graph, as flat arrays.
+
+    Vectors of one direction, to the precision of the graph, are one node.
+    """
     ids, x = _matrix(rows)
-    asked, q = _matrix(queries)
+    units, node = np.unique((x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32), axis=0, return_inverse=True)
+    place = np.random.default_rng(3).permutation(len(units))  # nodes enter the graph in random order
+    graph = Graph(units[place])
+    order = np.argsort(np.argsort(place)[node.ravel()], kind="stable")
+    begin = np.searchsorted(np.argsort(place)[node.ravel()][order], np.arange(len(units) + 1))
+    links = {f"links{level}": part for level, part in enumerate(graph.links)}
+    return _packed(ids=ids, x=x, order=order, begin=begin, units=graph.x, entry=graph.entry, top=graph.top, **links)
+
+
+def answer(shard: bytes, block: bytes, k: int) -> list[tuple[int, int, float]]:
+    """(query, row, cosine) of the best k rows of a built shard for each query of
+    a block, by exact cosine of all rows of the nodes found."""
+    with np.load(io.BytesIO(shard)) as part, np.load(io.BytesIO(block)) as asked:
+        stored, queries, q = dict(part), asked["ids"], asked["x"]
+    ids, x, order, begin = (stored[c] for c in ("ids", "x", "order", "begin"))
+    graph = Graph.restored(stored["units"], [stored[f"links{level}"] for level in range(sum(c.startswith("links") for c in stored))], int(stored["entry"]), int(stored["top"]))
+    norm, norm_q = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     out: list[tuple[int, int, float]] = []
-    if len(ids) and len(asked):
-        norm, norm_q = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-        distinct, node = np.unique(x, axis=0, return_inverse=True)
-        node = node.ravel()
-        order = np.argsort(node, kind="stable")  # within a node in order of ids
-        begin = np.searchsorted(node[order], np.arange(len(distinct) + 1))
-        shuffle = np.random.default_rng(3).permutation(len(distinct))
-        graph = Graph((distinct / np.sqrt((distinct * distinct).sum(axis=1, keepdims=True)))[shuffle])
-        for i in range(len(asked)):
-            found = []
-            for g in graph.nearest((q[i] / norm_q[i]).astype(np.float32)):
-                rows_ = order[begin[shuffle[g]] : begin[shuffle[g] + 1]][: k + 1]
-                found.append(rows_[ids[rows_] != asked[i]][:k])
-            rows_ = np.concatenate(found)
-            likes = (x[rows_] * q[i]).sum(axis=1) / (norm[rows_] * norm_q[i])
-            for j in np.lexsort((ids[rows_], -likes))[:k].tolist():
-                out.append((int(asked[i]), int(ids[rows_[j]]), float(likes[j])))
-    columns = zip(*out, strict=True) if out else ([], [], [])
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+    for i in range(len(queries)):
+        rows = np.concatenate([order[begin[g] : begin[g + 1]] for g in graph.nearest((q[i] / norm_q[i]).astype(np.float32))])
+        rows = rows[ids[rows] != queries[i]]
+        likes = (x[rows] * q[i]).sum(axis=1) / (norm[rows] * norm_q[i])
+        out += [(int(queries[i]), int(ids[rows[j]]), float(likes[j])) for j in np.lexsort((ids[rows], -likes))[:k].tolist()]
+    return out
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -166,12 +191,38 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & good).select(F.col("vec_id").cast("long"), F.col(vector).cast("array<double>").alias("vector"), F.size(vector).alias("dim"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query."""
-    shards = max(1, -(-vectors.count() // shard_rows))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query.
+
+    Every graph is built once and stored in the checkpoint folder; then blocks
+    of queries meet the shards, each pair a row of its own that any task takes.
+    """
+    rows, number = vectors.count(), queries.count()
+    shard_rows = shard_rows or min(MOST_ROWS, max(SHARD_ROWS, rows // SHARDS))
+    shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-number // QUERY_ROWS))
+
+    @kernels.tidied
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, block in zip(batch.column(0), batch.column(1), strict=True):
+                found = answer(shard.as_py(), block.as_py(), k)
+                columns = zip(*found, strict=True) if found else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    def built(key: tuple, part: pa.Table) -> pa.Table:
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([build(part)], pa.binary())], names=["dim", "shard", "graph"])
+
+    def gathered(key: tuple, part: pa.Table) -> pa.Table:
+        ids, x = _matrix(part)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([_packed(ids=ids, x=x)], pa.binary())], names=["dim", "block", "queries"])
+
     dealt = usable(vectors).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = usable(queries).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInArrow(lambda a, b: search_shard(a, b, k), "query_id long, vec_id long, score double")
+    # a number of its own keeps this exchange from being coalesced: a shard's build is long for its size
+    graphs = dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(built, "dim int, shard int, graph binary").checkpoint()
+    asked = usable(queries).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    asked = asked.groupBy("dim", "block").applyInArrow(gathered, "dim int, block int, queries binary").checkpoint()
+    pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard", "block"])
+    found = pairs.select("graph", "queries").mapInArrow(answered, "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

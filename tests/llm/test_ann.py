@@ -1,7 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
-import pyarrow as pa
+from pyspark.sql import functions as F
 
 from attestor.llm import ann
 from attestor.llm.session import prepare
@@ -44,4 +44,40 @@ def test_graph_is_flat_arrays():
     graph = ann.Graph(np.eye(30, dtype=np.float32))
     assert all(isinstance(x, np.ndarray) and x.dtype == np.int32 for x in graph.links)
     assert graph.nearest(np.eye(30, dtype=np.float32)[4])[0] == 4
-    assert isinstance(ann.search_shard(pa.table({"vec_id": pa.array([1]), "vector": pa.array([[1.0]])}), pa.table({"vec_id": pa.array([], pa.int64()), "vector": pa.array([], pa.list_(pa.float64()))}), 5), pa.Table)
+    again = ann.Graph.restored(graph.x, graph.links, graph.entry, graph.top)
+    assert again.nearest(np.eye(30, dtype=np.float32)[9]) == graph.nearest(np.eye(30, dtype=np.float32)[9])
+
+
+def test_recall_in_shards_of_the_registered_size(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5000, 24))
+    df = prepare(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest_to_every_fiftieth(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    likes = unit[::50] @ unit.T
+    likes[np.arange(100), np.arange(0, 5000, 50)] = -9
+    want = np.argsort(-likes, axis=1)[:, :5]
+    assert np.mean([len(got[50 * i] & set(row.tolist())) / 5 for i, row in enumerate(want)]) >= 0.9
+
+
+def test_one_direction_is_one_node_with_all_its_rows(spark):
+    """More vectors of one direction, of all lengths, than a search looks at."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [(i, (base * (1 + i % 7)).tolist()) for i in range(1, 301)] + [(i, rng.normal(size=8).tolist()) for i in range(301, 500)] + [(0, base.tolist())]
+    df = prepare(spark).createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clashing")).withColumn("shard", F.lit(1))
+    x = np.array([v for _, v in sorted(rows)])
+    likes = (x * x[0]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[0] * x[0]).sum()))
+    want = [i for i in np.lexsort((np.arange(500), -likes)).tolist() if i != 0][:5]
+    got = ann.nearest(df, df.where("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == want and got[0]["score"] == likes[want[0]]
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(400, 6))
+    df = prepare(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = ann.nearest(df, df.where("vec_id % 4 = 0"), shard_rows=150).collect()
+    monkeypatch.setattr(ann, "QUERY_ROWS", 7)
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, ann.nearest(df, df.where("vec_id % 4 = 0"), shard_rows=150).collect()))
