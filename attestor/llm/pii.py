@@ -3,8 +3,9 @@
 Base spans are the leftmost matches of four patterns that pass their checks;
 they always stay.  High-recall generators then propose further, overlapping
 spans of all kinds; boosted trees rate each one by its format and its context,
-and thresholds calibrated for each kind select the spans that are added, the
-best-rated first where some overlap.  Everything on the main path is built of
+and thresholds, calibrated for each kind on examples held back from the trees,
+select the spans that are added.  Where some overlap the best-rated stay, then,
+of those that overlap none of these, the best-rated again.  Everything on the main path is built of
 SQL functions.
 
 Offsets count code points, ends are exclusive.  Defined cases: null and empty
@@ -80,6 +81,29 @@ def located(text: str, guard: str, pattern: str) -> str:
     return f"if({text} rlike {quote(guard)}, {let('found', f'regexp_extract_all({text}, {quote(pattern)}, 0)', f'if(size(found) = 0, {none}, {body})')}, {none})"
 
 
+def near(spans: str, others: str, keep: str) -> str:
+    """SQL: the spans c, sorted by start, for which ``keep`` holds of near, those
+    of the others that overlap their block of _BLOCK spans.
+
+    So a span is compared with its neighbourhood only, however many there are.
+    """
+    block = f"slice({spans}, b * {_BLOCK} + 1, {_BLOCK})"
+    chosen = f"transform(array(filter({others}, o -> o.start < array_max(part.end) AND part[0].start < o.end)), near -> filter(part, c -> {keep}))[0]"
+    return f"if(size({spans}) = 0, {spans}, flatten(transform(sequence(0, (size({spans}) - 1) div {_BLOCK}), b -> transform(array({block}), part -> {chosen})[0])))"
+
+
+#: SQL: the text in pieces of _PIECE characters, so that a part of it is found without counting from its beginning.
+_PIECE = 4096
+CUT = f"transform(sequence(0, length(text) div {_PIECE}), i -> substring(text, i * {_PIECE} + 1, {_PIECE}))"
+
+
+def piece(start: str, end: str) -> str:
+    """SQL: characters start to end (or the text's end) of _cut, the text in pieces."""
+    i, j = f"(({start}) div {_PIECE})", f"least(({end}) div {_PIECE}, size(_cut) - 1)"
+    head, tail = f"substring(_cut[{i}], ({start}) - {i} * {_PIECE} + 1", f"substring(_cut[{j}], 1, ({end}) - ({j}) * {_PIECE})"
+    return f"if({i} = {j}, {head}, ({end}) - ({start})), concat({head}), array_join(slice(_cut, CAST({i} + 2 AS INT), CAST(greatest(0, {j} - {i} - 1) AS INT)), ''), {tail}))"
+
+
 def sealed(docs: DataFrame) -> DataFrame:
     """The same rows behind a generator of one row, so that Catalyst does not
     move a scan of the text into the lambda that reads its result."""
@@ -99,13 +123,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = []
     for i, (kind, guard, pattern) in enumerate(PROPOSED):
         docs = docs.withColumn(f"_p{i}", F.expr(located("text", guard, pattern)))
-        found.append(f"transform(_p{i}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.end, 'm', s.m))")
-    docs = sealed(docs.withColumn("_all", F.expr(f"array_distinct(concat({', '.join(found)}))")).drop(*(f"_p{i}" for i in range(len(PROPOSED)))))
-    docs = docs.withColumn("_all", F.expr("filter(_all, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end))"))
-    around = "named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'm', c.m, 'd', regexp_replace(c.m, '[^0-9]', ''), 'before', substring(text, greatest(1, c.start - 15), least(16, c.start)), 'after', substring(text, c.end + 1, 3))"
+        found.append(f"transform(_p{i}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{kind}', 'm', s.m))")
+    docs = sealed(docs.withColumn("_all", F.expr(f"array_sort(concat({', '.join(found)}))")).drop(*(f"_p{i}" for i in range(len(PROPOSED)))))
+    docs = sealed(docs.withColumn("_all", F.expr("filter(_all, (c, i) -> i = 0 OR c <> _all[i - 1])")))
+    docs = sealed(docs.withColumn("_all", F.expr(near("_all", "base", "NOT exists(near, o -> o.start < c.end AND c.start < o.end)"))))
+    docs = sealed(docs.withColumn("_cut", F.expr(f"if(size(_all) = 0, CAST(array() AS array<string>), {CUT})")))
+    around = f"named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'm', c.m, 'd', regexp_replace(c.m, '[^0-9]', ''), 'before', {piece('greatest(0, c.start - 16)', 'c.start')}, 'after', {piece('c.end', 'c.end + 3')})"
     named = ", ".join(f"'f{i}', coalesce({x}, false)" for i, x in enumerate(FEATURES))
     rated = f"transform(transform(_all, c -> {around}), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, {named}))"
-    return sealed(docs.withColumn("proposed", F.expr(rated)).drop("_all"))
+    return sealed(docs.withColumn("proposed", F.expr(rated)).drop("_all", "_cut"))
 
 
 def examples(seed: int = 17, each: int = 60) -> list[tuple[str, str, int]]:
@@ -181,15 +207,17 @@ def leaf(tree: tuple, x: tuple[bool, ...]) -> float:
 
 @cache
 def trained(key: int = 0) -> tuple[list[tuple], dict[str, float]]:
-    """The trees and each kind's threshold, learned once a process from the
-    examples' distinct feature vectors."""
+    """The trees, learned once a process from the distinct feature vectors of
+    half of the examples, and each kind's threshold, from the other half."""
     spark = SparkSession.getActiveSession()
-    rows = spark.createDataFrame(examples(), "text string, want string, label int").withColumn("base", F.expr("CAST(array() AS array<struct<kind: string, start: int, end: int>>)"))
-    shown = candidates(rows).select("want", "label", F.explode("proposed").alias("c")).where("c.kind = want")
+    made = [(*row, held) for held, seed in ((0, 17), (1, 18)) for row in examples(seed)]
+    rows = spark.createDataFrame(made, "text string, want string, label int, held int").withColumn("base", F.expr("CAST(array() AS array<struct<kind: string, start: int, end: int>>)"))
+    shown = candidates(rows).select("want", "label", "held", F.explode("proposed").alias("c")).where("c.kind = want")
     names = [f"f{i}" for i in range(len(FEATURES))]
-    seen = shown.select("label", "c.*").groupBy(*names, "kind", "label").count().collect()
+    seen = shown.select("label", "held", "c.*").groupBy(*names, "kind", "label", "held").count().collect()
     seen.sort(key=lambda r: tuple(r))
-    trees = boost([(tuple(r[n] for n in names), r["label"], r["count"]) for r in seen])
+    trees = boost([(tuple(r[n] for n in names), r["label"], r["count"]) for r in seen if not r["held"]])
+    seen = [r for r in seen if r["held"]]  # the cuts are those of examples that the trees have not met
     cuts = {}
     for kind in KINDS:
         rated = sorted((sum(leaf(t, tuple(r[n] for n in names)) for t in trees), r["label"], r["count"]) for r in seen if r["kind"] == kind)
@@ -216,11 +244,38 @@ def detect(docs: DataFrame) -> DataFrame:
     better = "o.start < c.end AND c.start < o.end AND (o.v > c.v OR o.v = c.v AND (o.end - o.start > c.end - c.start OR o.end - o.start = c.end - c.start AND (o.start < c.start OR o.start = c.start AND o.kind < c.kind)))"
     docs = docs.withColumn("_rated", F.expr(f"if(size(proposed) = 0, CAST(array() AS array<struct<kind: string, start: int, end: int, v: double>>), {rated})"))
     docs = sealed(docs.drop("proposed"))
-    docs = docs.withColumn("_added", F.expr(f"transform(filter(_rated, c -> NOT exists(_rated, o -> {better})), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))"))
+    kept = near("_rated", "_rated", f"NOT exists(near, o -> {better})")
+    docs = sealed(docs.withColumn("_best", F.expr(kept)))
+    # one that only lost to a loser is free again; what is left then may be overlapped by a better one of its own
+    free = near("_rated", "_best", "NOT exists(near, o -> o.start < c.end AND c.start < o.end)")
+    docs = sealed(docs.withColumn("_free", F.expr(free)))
+    docs = sealed(docs.withColumn("_more", F.expr(near("_free", "_free", f"NOT exists(near, o -> {better})"))))
+    docs = sealed(docs.withColumn("_added", F.expr("transform(concat(_best, _more), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))")).drop("_best", "_free", "_more"))
     order = "array_position(array('email', 'ip', 'card', 'phone'), "
     return docs.withColumn("spans", F.expr(f"if(size(_added) = 0, base, transform(array_sort(transform(concat(base, _added), s -> named_struct('k', {order}s.kind), 'start', s.start, 'end', s.end, 'kind', s.kind))), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end)))")).drop("_rated", "_added")
 
 
+def folded(spans: str) -> str:
+    """SQL: sorted spans (start, less, kind) with those that overlap made one
+    (start, end, kind), block by block, then over the blocks."""
+    none = "CAST(array() AS array<struct<start: int, end: int, kind: string>>)"
+    step = "if(size(a) > 0 AND a[size(a) - 1].end > s.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end), 'kind', a[size(a) - 1].kind))), concat(a, array(named_struct('start', s.start, 'end', s.end, 'kind', s.kind))))"
+    block = f"aggregate(transform(slice({spans}, b * {_BLOCK} + 1, {_BLOCK}), s -> named_struct('start', s.start, 'end', -s.less, 'kind', s.kind)), {none}, (a, s) -> {step})"
+    # spans of a kind that reach over a block's end are joined with the next block's first ones
+    blocks = f"transform(sequence(0, (size({spans}) - 1) div {_BLOCK}), b -> {block})"
+    return f"if(size({spans}) = 0, {none}, {joined_blocks(blocks)})"
+
+
+def joined_blocks(blocks: str) -> str:
+    """SQL: the blocks of made-one spans one after another, with those that overlap a block before joined to it."""
+    reach = "aggregate(slice(bs, 1, i), -1, (m, p) -> greatest(m, array_max(p.end)))"
+    inner = f"transform(bs, (x, i) -> transform(array({reach}), r -> named_struct('own', filter(x, s -> s.start >= r), 'late', filter(x, s -> s.start < r)))[0])"
+    # a late span lengthens the last one before it; its block keeps the others
+    longer = "aggregate(slice(ps, i + 2, size(ps)), o.end, (m, p) -> aggregate(p.late, m, (n, s) -> if(s.start < n, greatest(n, s.end), n)))"
+    final = f"flatten(transform(ps, (p, i) -> transform(p.own, (o, k) -> if(k < size(p.own) - 1, o, named_struct('start', o.start, 'end', {longer}, 'kind', o.kind)))))"
+    return f"transform(array({blocks}), bs -> transform(array({inner}), ps -> {final})[0])[0]"
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind, as ``<EMAIL>``.
 
@@ -228,9 +283,13 @@ def redact(docs: DataFrame) -> DataFrame:
     the longer one) names the whole stretch.  Null texts stay null.
     """
     found = detect(docs.select(F.struct("*").alias("_doc"), "text"))
-    merged = "aggregate(array_sort(transform(spans, s -> named_struct('start', s.start, 'less', -s.end, 'kind', s.kind))), CAST(array() AS array<struct<start: int, end: int, kind: string>>), (a, s) -> if(size(a) > 0 AND a[size(a) - 1].end > s.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, -s.less), 'kind', a[size(a) - 1].kind))), concat(a, array(named_struct('start', s.start, 'end', -s.less, 'kind', s.kind)))))"
-    found = sealed(found.withColumn("_m", F.expr(merged)))
-    pieces = "concat(array_join(transform(_m, (s, i) -> concat(substring(text, if(i = 0, 0, _m[i - 1].end) + 1, s.start - if(i = 0, 0, _m[i - 1].end)), '<', upper(s.kind), '>')), ''), substring(text, _m[size(_m) - 1].end + 1))"
+    # a span's stretch begins where it starts after the end of all before it; running ends come block by block
+    ordered = "array_sort(transform(spans, s -> named_struct('start', s.start, 'less', -s.end, 'kind', s.kind)))"
+    found = sealed(found.withColumn("_s", F.expr(ordered)))
+    found = sealed(found.withColumn("_m", F.expr(folded("_s"))).drop("_s"))
+    found = sealed(found.withColumn("_cut", F.expr(f"if(size(_m) = 0, CAST(array() AS array<string>), {CUT})")))
+    between = piece("if(i = 0, 0, _m[i - 1].end)", "s.start")
+    pieces = f"concat(array_join(transform(_m, (s, i) -> concat({between}, '<', upper(s.kind), '>')), ''), {piece('_m[size(_m) - 1].end', 'length(text)')})"
     text = F.expr(f"CASE WHEN _doc.text IS NULL THEN NULL WHEN size(_m) = 0 THEN text ELSE {pieces} END")
     return found.select(*(text.alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))
 
