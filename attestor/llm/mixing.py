@@ -15,7 +15,9 @@ holds, and nothing is collected but one number for each level.
 
 Defined cases: null texts have size 0 and are taken 0 times; null sources are
 one source, last in order.  Equal rows are counted once with their number and
-taken alike.  The table of sources (a row for each) is ordered in one task.
+taken alike; draws are hashes of ids and sizes, so ties need no order.  Very long
+texts are only counted.  An empty table has no rows; columns other than doc_id,
+source and text are ignored, whatever their names.  The table of sources (a row for each) is ordered in one task.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Documents that are rounded together in one step, in expectation.
 CHUNK = 256
+#: Parts that a source is dealt to where its rows meet its target.
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,6 +80,13 @@ def meet(level: int) -> str:
     return f"aggregate(slice(units, 2, size(units)), {start}, (a, u) -> {step})"
 
 
+def _beside(rows: DataFrame, few: DataFrame, by: str) -> DataFrame:
+    """rows with their source's row of few, joined by _key and SALTS parts of
+    each source, so that no task holds a source that has most of the rows."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).drop("_salt")
+
+
 def take(docs: DataFrame, chunk: int = CHUNK, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row."""
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).checkpoint()
@@ -86,7 +97,7 @@ def take(docs: DataFrame, chunk: int = CHUNK, weights: tuple[int, ...] = (1, 2,
     goals = goals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"), "target")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     plan = sources.select("_key", "_n", "source_size").join(goals, "_key").withColumn("whole", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
-    placed = keyed.join(plan, "_key").withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "size", F.lit(0)), F.ceil(F.col("_n") / chunk)))
+    placed = _beside(keyed, plan, "doc_id").withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "size", F.lit(0)), F.ceil(F.col("_n") / chunk)))
     about = ["_key", "source", "source_size", "target", "whole"]
     unit = F.struct("size", "doc_id", "rows", "p").alias("unit")
     done, level = [], 0
@@ -102,7 +113,7 @@ def take(docs: DataFrame, chunk: int = CHUNK, weights: tuple[int, ...] = (1, 2,
             done.append(rest.select(*about, "unit", last.cast("int").alias("extra")))
             break
         level += 1
-        waiting = rest.join(counts, "_key").withColumn("_chunk", F.pmod(F.xxhash64(F.col("unit.doc_id"), F.col("unit.size"), F.lit(level)), F.ceil(F.col("_n") / chunk)))
+        waiting = _beside(rest, counts, "unit.doc_id").withColumn("_chunk", F.pmod(F.xxhash64(F.col("unit.doc_id"), F.col("unit.size"), F.lit(level)), F.ceil(F.col("_n") / chunk)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
