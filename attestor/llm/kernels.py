@@ -2,8 +2,9 @@
 
 Everything here works on the UTF-8 buffers of one Arrow batch.  A *word* is a
 maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; all separators are
-ASCII, so words can be found without decoding.  Temporaries are bounded by
-``CHUNK`` bytes of text, whatever the length of one document.
+ASCII, so words can be found without decoding.  Hashes of words are taken in
+chunks of CHUNK bytes, cut anywhere; other kernels cut theirs only where a
+function of theirs may, so a text without separators is one chunk to them.
 """
 
 from __future__ import annotations
@@ -82,26 +83,38 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table
         return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk's first byte, chunk, starts, ends) of the words, chunk by chunk."""
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets[:-1]] = True
-    gap = _SEPARATOR[data]
-    for lo, hi in chunks(first[:-1] | gap):
-        inside, new = ~gap[lo:hi], first[lo:hi]
-        before = np.concatenate([[False], inside[:-1]])
-        after = np.concatenate([inside[1:] & ~new[1:], [False]])
-        yield lo, data[lo:hi], np.flatnonzero(inside & (~before | new)), np.flatnonzero(inside & ~after) + 1
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and each document's number of words.
 
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and each document's number of words."""
-    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for lo, part, starts, ends in words(data, offsets):
-        hashes.append(segment_hashes(part, starts, ends, _BYTE_LOWER if lower else _BYTE))
+    Chunks are cut anywhere: of a word that goes on in the next one the sums are
+    joined, so that a text without separators needs no more memory than another.
+    """
+    table = _BYTE_LOWER if lower else _BYTE
+    sums, lengths, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    heads = offsets[:-1]
+    open_ = False  # whether the last chunk ended within a word
+    for lo in range(0, len(data), size):
+        part = data[lo : lo + size]
+        inside, new = ~_SEPARATOR[part], np.zeros(len(part), bool)
+        new[heads[np.searchsorted(heads, lo) : np.searchsorted(heads, lo + len(part))] - lo] = True
+        starts = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | new))
+        ends = np.flatnonzero(inside & ~np.concatenate([inside[1:] & ~new[1:], [False]])) + 1
+        up, down = powers(len(part) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(table[part] * up[: len(part)], dtype=np.uint64)])
+            own, length = (total[ends] - total[starts]) * down[starts], ends - starts
+            if open_ and inside[0] and not new[0]:  # the first one ends the word before
+                last = next(k for k in range(len(sums) - 1, -1, -1) if len(sums[k]))
+                sums[last][-1] += np.uint64(pow(int(_MULT), int(lengths[last][-1]), 1 << 64)) * own[0]
+                lengths[last][-1] += length[0]
+                own, length, starts = own[1:], length[1:], starts[1:]
+        sums.append(own)
+        lengths.append(length)
         places.append(starts + lo)
+        open_ = bool(inside[-1])
     at = np.searchsorted(np.concatenate(places), offsets)
-    return np.concatenate(hashes), np.diff(at)
+    with np.errstate(over="ignore"):
+        return mix64(np.concatenate(sums) + np.concatenate(lengths).astype(np.uint64)), np.diff(at)
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
