@@ -1,22 +1,23 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
 Texts are cut into sentences.  A sentence is the set of its units: its words,
-its pairs of adjacent words of at most SHORT characters and its runs of single
-characters ("mo ron" and "i d i o t" are units too); of a unit longer than
-WINDOW the pieces of that length, each begun half of one after the last.  Two
-units are as alike as the gap-weighted subsequences of three characters they
-share, normalised and to the power POWER; the beginning of a unit is a
-character, punctuation and spaces are gaps, so that gaps and inserted characters
-only weaken a match.  The kernel of two sentences is the sum over their pairs of
-units.
+their first four and six characters, its pairs of adjacent words of at most
+SHORT characters, and its runs of single characters with their beginnings ("mo
+ron" and "i d i o t" are units too); of a unit longer than WINDOW the pieces of
+that length, each begun half of one after the last.  Two units are as alike as
+the gap-weighted subsequences of three characters they share, normalised and to
+the power POWER; the beginning of a unit is a character, punctuation and spaces
+are gaps, so that gaps and inserted characters only weaken a match; one gap
+between single characters is left out.  The kernel of two sentences is the sum
+over their pairs of units.
 
 The machine is trained on sentences of labelled documents, mapped to their
 kernels with Nystroem landmarks.  Landmarks are sentences of one unit: those in
 whose direction the loss falls by more than chance, round by round.  A sentence
 of a clean document is clean; of a toxic one the STRONGEST are toxic, chosen by
-the machine of the round before (the first takes all).  A document's margin adds
-up those of its STRONGEST sentences, the bias standing in for missing ones; its
-score is the calibrated chance of label 1.
+the machine of the round before (the first takes all).  A document's score
+is the chance of label 1 by a logistic curve over the margins of its STRONGEST
+sentences, the bias standing in for missing ones.
 
 Defined cases: null and empty texts are one empty sentence, whose margin is the
 bias, as are texts without letters.  A sentence ends at one of .!? before white
@@ -46,6 +47,8 @@ from attestor.llm.langid import held_out
 DECAY, POWER = 0.7, 3
 #: Longest unit, in characters; longest sentence, in bytes; longest word of a pair, in characters.
 WINDOW, SENTENCE, SHORT = 24, 4096, 4
+#: Beginnings of longer words that are units too, in characters.
+STEMS = (4, 6)
 #: Bounds of the training sample: labelled documents and, of each label, sentences (all in expectation).
 TOXIC_DOCUMENTS, CLEAN_DOCUMENTS = 2000, 4000
 SENTENCES = 16000
@@ -153,10 +156,14 @@ def units(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     run_last = np.flatnonzero(joined & ~np.append(joined[1:], False)) + 1 if len(joined) else run_first
     a, b = np.concatenate([starts, starts[pair], starts[run_first]]), np.concatenate([ends, ends[pair + 1] if len(pair) else ends[:0], ends[run_last]])
     owner = np.concatenate([sentence, sentence[pair], sentence[run_first]])
+    first = np.append(np.flatnonzero(np.diff(size)), len(part))  # first byte of each character
+    for n in STEMS:
+        more = np.flatnonzero(length > n)
+        runs = run_first[run_last - run_first >= n]
+        a, b = np.concatenate([a, starts[more], starts[runs]]), np.concatenate([b, first[size[starts[more]] + n], ends[runs + n - 1] if len(runs) else ends[:0]])
+        owner = np.concatenate([owner, sentence[more], sentence[runs]])
     long = size[b] - size[a] > WINDOW
     if long.any():  # pieces of WINDOW characters, each half of one after the last
-        first = np.flatnonzero(np.diff(size))  # first byte of each character
-        first = np.append(first, len(part))
         x, y = size[a[long]], size[b[long]]
         count = -(-(y - x - WINDOW) // (WINDOW // 2)) + 1
         at = np.repeat(x, count) + kernels.ragged(count, np.zeros(len(count), np.int64)) * (WINDOW // 2)
@@ -172,7 +179,13 @@ def coded(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     text = part[kernels.ragged(size, starts)]
     points = np.frombuffer(text.tobytes().decode().encode("utf-32-le"), "<u4")
     cuts = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])[np.concatenate([[0], np.cumsum(size)])]
-    return np.insert(codes(points), cuts[:-1], _BEGIN), cuts + np.arange(len(cuts))
+    flat, cuts = np.insert(codes(points), cuts[:-1], _BEGIN), cuts + np.arange(len(cuts))
+    # a gap between two single characters is left out: "i.d.i.o.t" is "idiot"
+    on = np.concatenate([[False], (flat > 0) & (flat != _BEGIN), [False]])
+    single = on[1:-1] & ~on[:-2] & ~on[2:]
+    keep = np.ones(len(flat), bool)
+    keep[1:-1] = (flat[1:-1] > 0) | ~single[:-2] | ~single[2:]
+    return flat[keep], np.concatenate([[0], np.cumsum(keep)])[cuts]
 
 
 def ranks(groups: np.ndarray) -> np.ndarray:
@@ -222,11 +235,11 @@ class Machine:
     landmarks: Landmarks | None
     beta: np.ndarray  # weight of each landmark
     bias: float
-    slope: float  # of the score's logistic curve over the margin
+    slope: np.ndarray  # of the score's logistic curve over the strongest margins
     middle: float
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.middle, -50, 50)))
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(margins @ self.slope + self.middle, -50, 50)))
 
 
 class Scorer:
@@ -278,17 +291,23 @@ class Scorer:
             at = to
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        """Each text's strongest sentence."""
+        """(texts, STRONGEST): the margins of each text's strongest sentences."""
         if self.machine.landmarks is None:
-            return np.zeros(len(texts))
+            return np.zeros((len(texts), STRONGEST))
         parts = [(owner, margin) for owner, _, _, margin in self.sentences(texts)]
         if not parts:
-            return np.zeros(len(texts))
+            return np.zeros((len(texts), STRONGEST))
         owner, margin = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((-margin, owner))
         owner, margin = owner[order], margin[order]
-        top = ranks(owner) < STRONGEST
-        return self.machine.bias * STRONGEST + np.bincount(owner[top], margin[top] - self.machine.bias, len(texts))
+        rank = ranks(owner)
+        top = rank < STRONGEST
+        out = np.full((len(texts), STRONGEST), self.machine.bias)
+        out[owner[top], rank[top]] = margin[top]
+        return out
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return self.machine.score(self.margins(texts))
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, gram: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -407,24 +426,29 @@ def fit(texts: list[str], docs: list[int], toxic: list[int], seed: int = 11) ->
         margin = sample.columns @ beta + bias
         place = np.lexsort((-margin, docs))
         used[place] = ranks(docs[place]) < STRONGEST
-    return Machine(sample.landmarks(), beta, bias, 1.0, 0.0)
-
-
-def logistic(margin: np.ndarray, toxic: np.ndarray, number: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of the chance of label 1 over the margin, by Newton steps."""
-    centre, width = np.average(margin, weights=number), max(1e-6, float(margin.max() - margin.min()))
-    x = np.stack([(margin - centre) / width, np.ones(len(margin))])
-    positive, negative = number[toxic == 1].sum(), number[toxic == 0].sum()
-    goal = np.where(toxic == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    w = np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(w @ x, -50, 50)))
-        step = np.linalg.solve((x * (number * p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (number * (p - goal)) + 1e-6 * w)
-        w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-8:
+    return Machine(sample.landmarks(), beta, bias, np.ones(STRONGEST), 0.0)
+
+
+def logistic(margins: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and middle of the chance of label 1 over the strongest margins, by
+    Newton steps; no slope is negative."""
+    used, n = np.arange(margins.shape[1]), len(toxic)
+    positive = toxic.sum()
+    goal = np.where(toxic == 1, (positive + 1) / (positive + 2), 1 / (n - positive + 2))
+    while True:
+        x, w = np.hstack([margins[:, used], np.ones((n, 1))]), np.zeros(len(used) + 1)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-6 * np.eye(len(w)), x.T @ (p - goal) + 1e-6 * w)
+            w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all():
             break
-    slope = max(0.0, w[0] / width)
-    return float(slope), float(w[1] - slope * centre)
+        used = np.delete(used, int(w[:-1].argmin()))
+    slope = np.zeros(margins.shape[1])
+    slope[used] = w[:-1]
+    return slope, float(w[-1])
 
 
 def packed(machine: Machine) -> bytes:
@@ -438,13 +462,13 @@ def unpacked(data: bytes) -> Machine:
     parts = np.load(io.BytesIO(data))
     place = np.full(_SIZE**3, -1, np.int32)
     place[parts["codes"]] = np.arange(len(parts["codes"]))
-    return Machine(Landmarks(place, parts["weights"]), parts["beta"], float(parts["bias"]), 1.0, 0.0)
+    return Machine(Landmarks(place, parts["weights"]), parts["beta"], float(parts["bias"]), np.ones(STRONGEST), 0.0)
 
 
 def constant(share: float) -> Machine:
     """The machine that scores every text alike."""
     share = min(max(share, 1e-6), 1 - 1e-6)
-    return Machine(None, np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
+    return Machine(None, np.zeros(0), 0.0, np.zeros(STRONGEST), float(np.log(share / (1 - share))))
 
 
 def counts_of(rows: DataFrame) -> dict[int, int]:
@@ -509,15 +533,14 @@ def train(docs: DataFrame, marks: DataFrame, seed: int = 11) -> Machine:
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scorer.margins(batch.column(0)))], ["toxic", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(scorer.margins(batch.column(0))), pa.list_(pa.float64()))], ["toxic", "margins"])
 
-    # the logistic curve of document margins; a histogram comes to the driver
-    bins = checked.mapInArrow(margins, "toxic int, margin double").withColumn("bin", F.round(F.greatest(F.least(F.col("margin"), F.lit(30.0)), F.lit(-30.0)), 2)).groupBy("toxic", "bin").count().collect()
-    bins = sorted((r["bin"], r["toxic"], r["count"]) for r in bins)
+    # the logistic curve; margins of the checked part of the bounded sample come to the driver
+    rows = sorted((r["toxic"], r["margins"]) for r in checked.mapInArrow(margins, "toxic int, margins array<double>").collect())
     shared.destroy()
-    if {t for _, t, _ in bins} != {0, 1}:
+    if {t for t, _ in rows} != {0, 1}:
         return base
-    machine.slope, machine.middle = logistic(*(np.array(x, float) for x in zip(*bins, strict=True)))
+    machine.slope, machine.middle = logistic(np.array([m for _, m in rows]), np.array([t for t, _ in rows]))
     return machine
 
 
@@ -529,7 +552,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.machine.score(scorer.margins(batch.column(1))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, score double")
 
@@ -543,7 +566,7 @@ def filtered(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) ->
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(scorer.machine.score(scorer.margins(batch.column(place))) < threshold))
+            yield batch.filter(pa.array(scorer.scores(batch.column(place)) < threshold))
 
     return docs.mapInArrow(each, docs.schema)
 

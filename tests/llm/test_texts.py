@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attestor.llm import chat, fingerprints, jaccard, kernels, langid, mixing, pii, sentencepieces, tokencounts, toxicity, vocabulary
+from attestor.llm import chat, components, fingerprints, jaccard, kernels, langid, mixing, pii, sentencepieces, tokencounts, toxicity, vocabulary
 from attestor.llm.session import prepare
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -70,6 +70,17 @@ def test_chunks_do_not_change_hashes(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def test_words_go_on_over_chunks():
+    texts = pa.array([*corpus(), "z" * 700, "ab " * 50, "", "q" * 64, "r" * 64 + " s", None, " t"])
+    data, offsets = kernels.utf8(texts)
+    hashes, counts = kernels.word_hashes(data, offsets)
+    alone = [kernels.segment_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), kernels._BYTE_LOWER)[0] for t in texts.to_pylist() for w in WORD.findall(t or "")]
+    assert hashes.tolist() == [int(x) for x in alone] and counts.tolist() == [len(WORD.findall(t or "")) for t in texts.to_pylist()]
+    for size in (1, 7, 64):
+        again = kernels.word_hashes(data, offsets, size=size)
+        assert (again[0] == hashes).all() and (again[1] == counts).all()
+
+
 def test_fingerprints(spark):
     texts = corpus()
     rows = {r["doc_id"]: r for r in fingerprints.compare_with_next(documents(spark, texts)).collect()}
@@ -144,13 +155,53 @@ def test_compiled_character_map():
     assert rules == {b"a": b"x", b"ab": b"yz"}
 
 
+def best_paths(word, grams):
+    """Score, number of pieces and the pieces of a word's best path, by an independent forward recurrence."""
+    names, longest = grams.by_text, max(map(len, grams.by_text))
+    best = {0: (0.0, 0, ())}
+    for end in range(1, len(word) + 1):
+        options = [(best[end - n][0] + names[word[end - n : end]], -best[end - n][1] - 1, (*best[end - n][2], word[end - n : end])) for n in range(1, min(end, longest) + 1) if word[end - n : end] in names]
+        if word[end - 1] not in names:
+            size = len(word[end - 1].encode())
+            options.append((best[end - 1][0] + size * grams.strange, -best[end - 1][1] - size, best[end - 1][2]))
+        score, count, pieces = max(options)
+        best[end] = (score, -count, pieces)
+    return best[len(word)]
+
+
+def words_of(text):
+    return [w.replace(" ", "▁") for w in re.findall(r" +[^ ]*|^[^ ]+", " " + text)] if text else []
+
+
 def test_token_counts(spark):
     model = vocabulary.Vocabulary.load(MODEL)
-    grams = tokencounts.Unigrams(model)
-    rows = {r["doc_id"]: r for r in tokencounts.token_counts(documents(spark, corpus()), model).collect()}
-    for i, text in enumerate(corpus()):
-        words = [w.replace(" ", "▁") for w in re.findall(r" +[^ ]*|^[^ ]+", " " + text)] if text else []
-        assert (rows[i]["n_words"], rows[i]["n_tokens"]) == (len(words), sum(tokencounts.count_word(w, grams) for w in words))
+    texts = [*corpus(), "the motion of " * 5, "nospace" * 60, "한국어" * 90]
+    docs = documents(spark, texts).withColumn("n_tokens", F.lit("clashing"))
+    grams = tokencounts.estimated(docs, model)
+    assert np.isclose(np.exp(grams.scores[np.isfinite(grams.scores)]).sum(), 1.0)  # log-probabilities
+    rows = {r["doc_id"]: r for r in tokencounts.token_counts(docs, model).collect()}
+    known = {}
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        known |= {w: best_paths(w, grams)[1] for w in words if w not in known}
+        assert (rows[i]["n_words"], rows[i]["n_tokens"]) == (len(words), sum(known[w] for w in words)), text
+    assert any(len(w) > tokencounts.DEEP for w in known) and all(tokencounts.count_word(w, grams) == n for w, n in known.items() if len(w) < 400)
+    assert tokencounts.token_counts(docs.limit(0), model).count() == 0
+
+
+def test_scores_are_estimated_from_best_paths():
+    grams = tokencounts.Unigrams(vocabulary.Vocabulary.load(MODEL))
+    texts = [t for t in corpus()[len(ODD) : len(ODD) + 30]] + ["é the motion of the thing", "the the the"]
+    counts = [{} for _ in range(2)]
+    for turn in counts:
+        for w in (w for t in texts for w in words_of(t)):
+            for piece in best_paths(w, grams)[2]:
+                turn[piece] = turn.get(piece, 0) + 1
+        used = tokencounts.usage(pa.array(texts), grams)
+        got = {grams.texts[i]: used[i] for i in grams.texts if used[i]}
+        assert got == turn or (turn is counts[0] and sum(got.values()) == sum(turn.values()))  # of equally good paths either may be taken
+        grams.estimate(used)
+    assert grams.by_text["▁the"] > grams.by_text["the"]
 
 
 def test_jaccard_join(spark):
@@ -173,6 +224,60 @@ def test_jaccard_join(spark):
     assert jaccard.linked(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_long_lists_are_dealt_in_parts(spark, monkeypatch):
+    texts = corpus(3) + [f"c d e f g h {i % 9} i j {i % 5} k l m {'n o p q r s t u v w ' * 3} x{i}" for i in range(40)]
+    want = {tuple(r) for r in jaccard.linked(documents(spark, texts)).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "LIST_ROWS", 4)
+        m.setattr(jaccard, "CHOICES", 1)  # leaves more to the last step
+        m.setattr("attestor.llm.components.TASK_ROWS", 20)
+        assert {tuple(r) for r in jaccard.linked(documents(spark, texts)).collect()} == want
+
+
+def test_lists_are_streamed(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, rng.randrange(5, 60)]), x, 3 + x % 5) for x in (rng.randrange(90) for _ in range(400))]
+    lists = {}
+    for token, node, _ in rows:
+        lists.setdefault(token, set()).add(node)
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(jaccard, "LIST_ROWS", 20)
+        prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        got = jaccard.shared_postings(spark.createDataFrame(rows, "token long, node long, n int")).collect()
+        assert sorted((r["token"], r["node"]) for r in got if r["node"] is not None) == sorted((t, x) for t, xs in lists.items() if len(xs) > 1 for x in xs)
+        assert {r["token"]: r["length"] for r in got if r["node"] is None} == {t: len(xs) for t, xs in lists.items() if len(xs) > 20}
+    prepare(spark)
+
+
+def test_every_pair_of_a_long_list_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 3)
+    rows = [(5, 1, x, min(x, 3 + 2 * (x % 2)), 20) for x in range(1, 21)]  # (token, n, node, component, length)
+    cells = {}
+    for r in jaccard._cells(spark.createDataFrame(rows, "token long, n int, node long, component long, length long")).collect():
+        cells.setdefault(r["list"], []).append(r)
+    met = []
+    for cell in cells.values():
+        assert len(cell) < 24
+        met += [tuple(sorted((a["node"], b["node"]))) for a in cell for b in cell if a["role"] == 3 and b["role"] < 3 and a["component"] != b["component"] and (b["role"] == 2 or b["node"] < a["node"])]
+    of = {r[2]: r[3] for r in rows}
+    assert sorted(met) == [(a, b) for a in of for b in of if a < b and of[a] != of[b]]
+
+
+def test_components(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(400):
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    links = prepare(spark).createDataFrame(pairs, "a long, b long")
+    for rows in (1 << 20, 50):
+        monkeypatch.setattr(components, "TASK_ROWS", rows)
+        assert dict(map(tuple, components.components(links).collect())) == least
+    assert components.components(links.limit(0)).count() == 0
+
+
 def test_chat_reads_back(spark):
     turns = [(1, 0, "user", "<|im_end|> <\\|x"), (1, 1, "assistant", "ok<|im_start|>"), (2, 0, "system", None), (2, 1, "assistant", ""), (3, 5, "assistant", "z" * 5000), (3, 5, "assistant", "z")]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -256,6 +361,40 @@ def test_personal_data(spark):
     assert {r["doc_id"]: (r["text"], r["base"]) for r in clean.collect()} == {0: (None, 1), 1: ("mail <EMAIL> now", 1), 2: ("plain", 1)}
 
 
+def test_many_spans_of_one_text(spark, monkeypatch):
+    """Blocks of spans and pieces of text, however small, change nothing."""
+    rng = random.Random(12)
+    bits = ["a@b.co ", "joe (at) mail (dot) com ", "1.2.3.4 ", "4111 1111 1111 1111 ", "+1 (269) 555-3296 4524132264652876 ", "call 555-123-4567 ", "é😀 ", "plain words ", "0049 30 1234 5678 9012 3456 "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(60)] + ["", None, "x" * 9000 + " a@b.co " + "é" * 9000]
+    docs = documents(spark, texts)
+    want = {r["doc_id"]: r["spans"] for r in pii.spans_of(docs).collect()}
+    for i, text in enumerate(texts):
+        spans = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in want[i].split(",") if x))
+        out, at, last = [], 0, None
+        for a, b, k in spans:
+            if last and a < last[1]:
+                last[1] = max(last[1], -b)
+            else:
+                last = [a, -b, k]
+                out.append(last)
+        clean = ""
+        for a, b, k in out:
+            clean, at = clean + (text or "")[at:a] + f"<{k.upper()}>", b
+        texts[i] = (None if text is None else clean + text[at:])
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert [clean[i] for i in range(len(texts))] == texts
+    with monkeypatch.context() as m:
+        m.setattr(pii, "_BLOCK", 3)
+        assert {r["doc_id"]: r["spans"] for r in pii.spans_of(docs).collect()} == want
+        assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == clean
+
+
+def test_personal_data_of_nothing_and_of_clashing_columns(spark):
+    docs = documents(spark, ["mail a@b.co", "mail a@b.co"]).withColumns({"base": F.lit(1), "spans": F.lit("x"), "_m": F.lit(2), "_cut": F.lit(3)})
+    assert pii.redact(docs).columns == docs.columns and {r["text"] for r in pii.redact(docs).collect()} == {"mail <EMAIL>"}
+    assert pii.spans_of(docs).count() == 2 and pii.spans_of(docs.limit(0)).count() == pii.redact(docs.limit(0)).count() == 0
+
+
 LANGUAGES = {"aa": "the tion ing and ent ness of".split(), "bb": "und ein schaft keit ung der".split(), "cc": "ción mente que los ado ía".split()}
 
 
@@ -348,6 +487,7 @@ def units_of(text):
 
 def brute_features(unit):
     """Subsequence -> weight of the three-character subsequences, by definition."""
+    unit = re.sub(r"(?<=\b\w)[^\w](?=\w\b)", "", unit)  # gaps between single characters are left out
     x, out = [toxicity._BEGIN, *toxicity.codes(np.array([ord(c) for c in unit])).tolist()], {}
     for i, j, k in itertools.combinations(range(len(x)), 3):
         if x[i] and x[j] and x[k]:
@@ -363,13 +503,15 @@ def brute_kernel(a, b):
 
 def test_sentences_are_cut_into_units():
     assert units_of("One. Two b!") == [(0, "One."), (1, "Two"), (1, "b!"), (1, "Two b!")]
+    assert [u for _, u in units_of("éworthy")] == ["éworthy", "éwor", "éworth"]
     assert [u for _, u in units_of("w o r thing") if " " in u] == ["w o r"]
-    assert [u for _, u in units_of("x" * 40)] == ["x" * 24] * 3 and units_of("") == units_of(" \n ") == []
+    assert [u for _, u in units_of("w o r t h")[5:]] == ["w o r t h", "w o r t"]
+    assert [u for _, u in units_of("x" * 40)] == ["xxxx", "xxxxxx", *["x" * 24] * 3] and units_of("") == units_of(" \n ") == []
     assert {o for o, _ in units_of("é" * 5000)} == {0, 1, 2}  # after 4,096 bytes, between characters
 
 
 def test_kernel_is_that_of_the_definition():
-    words = ["worthless", "w.o.r.t.h", "abcabc", "aaaa", "x", "..", "wörthless"]
+    words = ["worthless", "w.o.r.t.h", "w o r", "abcabc", "aa-bb", "a.b cd", "aaaa", "x", "..", "wörthless"]
     flat, cuts = toxicity.coded(np.frombuffer("".join(words).encode(), np.uint8), *(np.cumsum([0, *(len(w.encode()) for w in words)])[k : len(words) + k] for k in (0, 1)))
     got = toxicity.Landmarks.of(flat, cuts).kernel(flat, cuts)
     assert np.allclose(got, [[brute_kernel(a, b) for b in words] for a in words], atol=1e-5)
@@ -387,11 +529,11 @@ def test_machine_is_the_best_one():
     beta, bias = toxicity.fit_svm(x, y, cost, gram)
     loss = lambda b, c: toxicity.RIDGE * b @ gram @ b / 2 + (cost * np.maximum(0, 1 - y * (x @ b + c)) ** 2).sum() / 2
     assert all(loss(beta, bias) <= loss(beta + 0.02 * step[:-1], bias + 0.02 * step[-1]) + 1e-4 for step in np.random.default_rng(1).normal(size=(200, len(beta) + 1)))
-    machine = toxicity.Machine(toxicity.Landmarks.of(*toxicity.Sample(landmarks).pick(np.arange(0))), np.zeros(0), -1.5, 1.0, 0.0)
-    assert (toxicity.Scorer(machine).margins(pa.array([*texts, None, ""])) == -1.5 * toxicity.STRONGEST).all()
+    machine = toxicity.Machine(toxicity.Landmarks.of(*toxicity.Sample(landmarks).pick(np.arange(0))), np.zeros(0), -1.5, np.ones(3), 0.0)
+    assert (toxicity.Scorer(machine).margins(pa.array([*texts, None, ""])) == -1.5).all()
 
 
-def test_margins_add_up_the_strongest_sentences(monkeypatch):
+def test_margins_are_those_of_the_strongest_sentences(monkeypatch):
     texts = ["you idiot. a moron! an idle thing\nthe idiot and moron", None, "", "x y z " * 300, "idiot", "é😀 moron"] * 3
     machine = toxicity.fit(["you idiot", "a moron", "an idle thing", "the motion", "idiot thing", "moron and"] * 12, [i % 24 for i in range(72)], [1, 1, 0, 0, 1, 1] * 12)
     names = lambda t: {u for _, u in units_of(t)}
@@ -400,7 +542,7 @@ def test_margins_add_up_the_strongest_sentences(monkeypatch):
         parts = [p for p in re.findall(r".*?(?:[.!?](?=[ \n])[ \n]?|\n|$)", text or "", re.S) if p] or [""]
         flats = [[toxicity.coded(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u.encode())])) for u in names(p)] for p in parts]
         margins = sorted((machine.bias + sum(float((machine.landmarks.kernel(*u) @ machine.beta)[0]) for u in f) for f in flats), reverse=True)[: toxicity.STRONGEST]
-        want.append(sum(margins) + machine.bias * (toxicity.STRONGEST - len(margins)))
+        want.append(margins + [machine.bias] * (toxicity.STRONGEST - len(margins)))
     scorer = toxicity.Scorer(machine)
     assert np.allclose(scorer.margins(pa.array(texts)), want, atol=1e-4) and np.allclose(scorer.margins(pa.array(texts)), want, atol=1e-4)
     monkeypatch.setattr(kernels, "CHUNK", 16)
