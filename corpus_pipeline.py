@@ -1,4 +1,9 @@
-"""The corpus pipeline: STAGES over documents, each written before the next."""
+"""The corpus pipeline: STAGES over documents, each written before the next.
+
+Every stage takes nulls in any column, repeated rows and ids, empty and very long
+texts and tables without rows, and returns the columns of documents (the last
+one its own), whatever other columns its input has.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine, trained on the labels, rejects go."""
+    """Documents that the toxicity machine, trained on the labels, rejects go.
+
+    Null and empty texts score as an empty sentence does; repeated rows stay or
+    go alike; without labels of both kinds every score is their share.
+    """
     docs = docs.select(*COLUMNS)
     machine = toxicity.learn(docs, session.read(spark, sf_dir, "labels"))
     return toxicity.filtered(docs, machine)
@@ -30,13 +39,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind; n_chars follows the text."""
+    """Personal data gives way to its kind; n_chars follows the text.
+
+    Null texts stay null, with 0 characters; each row has its own result.
+    """
     session.prepare(spark)
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: each document as often as it is taken."""
+    """Sources at their target weights: each document as often as it is taken.
+
+    Documents without words are taken 0 times; null sources are one source;
+    repeated rows (of one id, source and size) are taken alike.
+    """
     session.prepare(spark)
     copies = mixing.take(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
     rows = docs.select(*COLUMNS, mixing.word_count().alias("size"))
@@ -47,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of its text with begin and end, their number, and the
-    source bytes' start and end of each."""
+    source bytes' start and end of each.  Null texts are empty ones."""
     session.prepare(spark)
     encoded = sentencepieces.encode(docs, vocabulary())
     return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "starts", "ends")
