@@ -88,7 +88,8 @@ def near(spans: str, others: str, keep: str) -> str:
     So a span is compared with its neighbourhood only, however many there are.
     """
     block = f"slice({spans}, b * {_BLOCK} + 1, {_BLOCK})"
-    chosen = f"transform(array(filter({others}, o -> o.start < array_max(part.end) AND part[0].start < o.end)), near -> filter(part, c -> {keep}))[0]"
+    ends = "named_struct('from', part[0].start, 'to', array_max(part.end))"  # computed once for a block
+    chosen = f"transform(transform(array({ends}), r -> filter({others}, o -> o.start < r.to AND r.from < o.end)), near -> filter(part, c -> {keep}))[0]"
     return f"if(size({spans}) = 0, {spans}, flatten(transform(sequence(0, (size({spans}) - 1) div {_BLOCK}), b -> transform(array({block}), part -> {chosen})[0])))"
 
 
