@@ -16,13 +16,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and name the shared checkpoint folder.
 
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary one is taken.
+    unset on a local master (tests) a temporary one is taken; else it is an error.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestor-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; executors need a folder that all of them share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attestor-"))
     return spark
 
 
