@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import ann, chat, fingerprints, jaccard, langid, mixing, pii, sentencepieces, tokencounts, toxicity
+from attestor.llm import ann, chat, fingerprints, jaccard, langid, mixing, packing, pii, sentencepieces, tokencounts, toxicity
 from attestor.llm.session import read
 from attestor.llm.vocabulary import Vocabulary
 
-#: The public tokenizer that op5 and op6 take; a parameter of the operators.
-MODEL = "piece_bpe_32k.model"
+#: The public tokenizers that op5 and op6, and op11, take; parameters of the operators.
+MODEL, BYTE_LEVEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op4_personal_data, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_jaccard_join, op9_nearest, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op4_personal_data, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_jaccard_join, op9_nearest, op10_language_id, op11_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
