@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import ann, chat, fingerprints, jaccard, langid, mixing, packing, pii, quantizer, sentencepieces, tokencounts, toxicity
+from attestor.llm import ann, chat, fingerprints, jaccard, langid, mixing, packing, pii, quantizer, sentencepieces, spelling, tokencounts, toxicity
 from attestor.llm.session import read
 from attestor.llm.vocabulary import Vocabulary
 
@@ -68,13 +68,17 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantizer.compress(read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op4_personal_data, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_jaccard_join, op9_nearest, op10_language_id, op11_packing, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat_format, op3_mixing, op4_personal_data, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_jaccard_join, op9_nearest, op10_language_id, op11_packing, op12_spelling, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op13_vector_codes": quantizer.ORACLE}
+    return {"op2_chat_format": chat.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op12_spelling": spelling.ORACLE, "op13_vector_codes": quantizer.ORACLE}
