@@ -2,16 +2,24 @@
 
 A source's documents are taken target / size times each: the whole part
 always, the fraction as the probability of one more copy.  The fractions are
-rounded dependently: two documents meet, mass (in words) is moved at random
-from one to the other until one of them is integral, and the other goes on to
-meet the next.  Chunks of documents do so on their own, the largest documents
-first; what each leaves over meets in the next level of a reduction tree,
-until every source has one residual, which is drawn.  So a source's words miss
-their target by a part of that one document, and reruns agree, as all draws
-are hashes.
-
-All of it is DataFrame code.  Chunks have about CHUNK rows whatever the source
-holds, and nothing is collected but one number for each level.
+rounded dependently: where units meet, mass (in words) is moved at random from
+one to the other until one of them is integral.
+
+Units meet in a tree of nodes, about CHUNK documents to a leaf and BRANCHES
+children to a node.  A document belongs to the lowest node of its branch that is SHARE
+times as large.  From the root down, each document of a node, large ones
+first, meets all that come after it and all below the node: it becomes integral,
+and what it gains or loses they lose or gain, each in proportion.  So a
+large document is made up for by many small ones, and of a leaf only the last unit, a small
+one, stays fractional.  These meet in the levels of a reduction tree of
+their own, until every source has one residual, which is drawn.  A source's
+words miss their target by a part of that residual; only a document of at least 1/LARGE
+of its source that nothing can make up for goes the nearer way instead.  Reruns
+agree, as all draws are hashes.
+
+All of it is DataFrame code.  Nodes hold a bounded number of rows whatever the
+source holds, and nothing is collected but one number for each level.  The table of sources is broadcast if it
+has at most FEW rows; beyond that it is dealt to SALTS parts.
 
 Defined cases: null texts have size 0 and are taken 0 times; null sources are
 one source, last in order.  Equal rows are counted once with their number and
@@ -25,10 +33,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents that are rounded together in one step, in expectation.
-CHUNK = 256
-#: Parts that a source is dealt to where its rows meet its target.
-SALTS = 64
+#: Documents that are rounded together in one step, in expectation; children of a node.
+CHUNK, BRANCHES = 256, 64
+#: How many times as large as a document its node is; documents of so large a part of their source are rounded apart.
+SHARE, LARGE = 16, 64
+#: Rows of a table of sources that is broadcast; else, parts that a source is dealt to where its rows meet it.
+FEW, SALTS = 1 << 16, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,13 +90,90 @@ def meet(level: int) -> str:
     return f"aggregate(slice(units, 2, size(units)), {start}, (a, u) -> {step})"
 
 
+def settle() -> str:
+    """A node's units, largest first, rounded against all that comes after them (a SQL expression).
+
+    Of a node with units (weight, size, doc_id, rows), mass and total (the words
+    of its units and of all below).  The accumulator holds the mass m and the
+    words left, the copies out so far, and, once a unit holds the only
+    fraction (at, f), what all others take (fixed).  A unit of weight s meets what is left with mass m:
+    both can take either end; or only one end leaves the other between its own, and the unit keeps a
+    fraction with the odds that keep its expected mass.
+    """
+    rest, p = "(a.left - u.weight)", "(a.m / a.left)"
+    drawn = _draw("u.doc_id", "u.size", "u.rows", "-2")
+    made = lambda x, fixed="-1", f="0D": f"named_struct('x', {x}, 'fixed', {fixed}, 'f', {f})"
+    part = lambda m: f"greatest(0D, least(1D, {m} / v.s))"
+    choice = f"""CASE
+        WHEN a.fixed >= 0 THEN {made("a.fixed", "a.fixed", "a.f")}
+        WHEN v.m >= v.s AND v.m <= v.rest THEN {made("CAST(v.h < v.p AS INT)")}
+        WHEN v.s * {LARGE} >= source_size THEN {made("CAST(v.s - v.m < v.m - v.rest AS INT)")}
+        WHEN v.rest < 0.5 THEN {made("0", "0", part("v.m"))}
+        WHEN v.m < v.s AND v.m <= v.rest THEN if(v.h * v.m < v.s * v.p, {made("0", "0", part("v.m"))}, {made("0")})
+        WHEN v.m >= v.s THEN if(v.h * (v.s - v.m + v.rest) < (1 - v.p) * v.s, {made("0", "1", part("(v.m - v.rest)"))}, {made("1")})
+        ELSE if(v.h * v.rest < v.p * v.s - v.m + v.rest, {made("0", "0", part("v.m"))}, {made("0", "1", part("(v.m - v.rest)"))}) END"""
+    known = f"named_struct('s', u.weight, 'rest', {rest}, 'm', a.m, 'p', {p}, 'h', {drawn})"
+    # where the unit becomes the one with the fraction, the others' mass is all or none of their words
+    after = (
+        "named_struct('i', a.i + 1, 'left', w.v.rest, 'fixed', w.c.fixed, 'f', w.c.f, 'at', if(a.fixed < 0 AND w.c.fixed >= 0, a.i, a.at), 'out', concat(a.out, array(w.c.x)), "
+        "'m', CASE WHEN w.c.fixed = 0 THEN 0D WHEN w.c.fixed = 1 THEN w.v.rest ELSE greatest(0D, least(w.v.rest, a.m - w.c.x * w.v.s)) END)"
+    )
+    step = f"transform(transform(array({known}), v -> named_struct('v', v, 'c', {choice})), w -> {after})[0]"
+    start = "named_struct('i', 0, 'left', CAST(total AS DOUBLE), 'fixed', -1, 'f', 0D, 'at', -1, 'out', CAST(array() AS array<int>), 'm', CAST(mass AS DOUBLE))"
+    return f"aggregate(units, {start}, (a, u) -> {step})"
+
+
 def _beside(rows: DataFrame, few: DataFrame, by: str) -> DataFrame:
-    """rows with their source's row of few, joined by _key and SALTS parts of
+    """rows with their source's row of few, joined by _key: broadcast if it is small, else by SALTS parts of
     each source, so that no task holds a source that has most of the rows."""
+    if few.count() <= FEW:
+        return rows.join(F.broadcast(few), "_key")
     salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).drop("_salt")
 
 
+def _placed(keyed: DataFrame, plan: DataFrame, chunk: int) -> DataFrame:
+    """Every unit with its weight in words, its leaf, the level of its node, and that of its source's root."""
+    bits = BRANCHES.bit_length() - 1
+    rows = _beside(keyed, plan, "doc_id").withColumn("weight", (F.col("size") * F.col("rows")).cast("double"))
+    leaves = F.ceil(F.col("_n") / chunk)
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "size", F.lit(0)), leaves)).withColumn("root", F.ceil(F.log2(leaves.cast("double")) / bits).cast("int"))
+    ratio = F.try_divide(F.col("weight") * SHARE * leaves, F.col("source_size"))
+    return rows.withColumn("level", F.greatest(F.lit(0), F.least(F.col("root"), F.coalesce(F.ceil(F.log2(ratio) / bits).cast("int"), F.lit(0)))))
+
+
+def _settled(placed: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of every level of nodes, the units that are done with their extra copies, and the units with a fraction."""
+    about, bits = ["_key", "source", "source_size", "target", "whole"], BRANCHES.bit_length() - 1
+    unit = F.struct("weight", "size", "doc_id", "rows")
+    words = placed.where("weight > 0").groupBy(*about, "p", "root", "leaf", "level").agg(F.sum("weight").alias("words")).checkpoint()
+    top = words.agg(F.max("root")).first()[0] or 0
+    done, rest, parents = [], [], None
+    for level in range(top, -1, -1):
+        node = F.shiftright("leaf", level * bits).alias("node")
+        nodes = words.where((F.col("level") <= level) & (F.col("root") >= level)).groupBy(*about, "p", "root", node).agg(F.sum("words").alias("total"), F.sum(F.when(F.col("level") < level, F.col("words")).otherwise(0.0)).alias("below"))
+        mass = F.when(F.col("root") == level, F.col("p") * F.col("total"))
+        if parents is None:
+            nodes = nodes.withColumn("mass", mass)
+        else:
+            nodes = nodes.withColumn("parent", F.shiftright("node", bits)).join(parents, ["_key", "parent"], "left").withColumn("mass", F.coalesce(mass, F.try_divide(F.col("_m") * F.col("total"), F.col("_below")), F.lit(0.0)))
+        units = placed.where((F.col("level") == level) & (F.col("weight") > 0)).groupBy("_key", node).agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
+        folded = nodes.join(units, ["_key", "node"], "left").withColumn("units", F.coalesce("units", F.array().cast(units.schema["units"].dataType))).withColumn("fold", F.expr(settle())).checkpoint()
+        every = folded.select(*about, "fold", F.posexplode("units").alias("_i", "unit"))
+        done.append(every.where("_i <> fold.at").select(*about, "unit", F.element_at("fold.out", F.col("_i") + 1).alias("extra")))
+        rest.append(every.where("_i = fold.at").select(*about, F.struct("unit.size", "unit.doc_id", "unit.rows", F.col("fold.f").alias("p")).alias("unit")))
+        parents = folded.select("_key", F.col("node").alias("parent"), F.col("fold.m").alias("_m"), F.col("below").alias("_below"))
+    nothing = placed.where("weight <= 0").select(*about, unit.alias("unit"), F.lit(0).alias("extra"))
+    return [d.select(*about, F.struct("unit.size", "unit.doc_id", "unit.rows", F.lit(0.0).alias("p")).alias("unit"), "extra") for d in (*done, nothing)], rest
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def take(docs: DataFrame, chunk: int = CHUNK, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row."""
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).checkpoint()
@@ -97,16 +184,10 @@ def take(docs: DataFrame, chunk: int = CHUNK, weights: tuple[int, ...] = (1, 2,
     goals = goals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"), "target")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     plan = sources.select("_key", "_n", "source_size").join(goals, "_key").withColumn("whole", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
-    placed = _beside(keyed, plan, "doc_id").withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "size", F.lit(0)), F.ceil(F.col("_n") / chunk)))
+    done, left = _settled(_placed(keyed, plan.checkpoint(), chunk).checkpoint())
     about = ["_key", "source", "source_size", "target", "whole"]
-    unit = F.struct("size", "doc_id", "rows", "p").alias("unit")
-    done, level = [], 0
-    waiting = placed.select(*about, "_chunk", unit)
+    rest, level = _union(left).checkpoint(), 0
     while True:
-        # large documents first: what is left over at the end is small
-        folded = waiting.groupBy(*about, "_chunk").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units")).withColumn("fold", F.expr(meet(level))).select(*about, "fold").checkpoint()
-        done.append(folded.select(*about, F.explode("fold.done").alias("_done")).select(*about, "_done.unit", "_done.extra"))
-        rest = folded.select(*about, F.col("fold.unit").withField("p", F.col("fold.p")).alias("unit"))
         counts = rest.groupBy("_key").agg(F.count("*").alias("_n"))
         if (counts.agg(F.max("_n")).first()[0] or 0) <= 1:
             last = F.expr(_draw("unit.doc_id", "unit.size", "-1")) < F.col("unit.p")
@@ -114,10 +195,11 @@ def take(docs: DataFrame, chunk: int = CHUNK, weights: tuple[int, ...] = (1, 2,
             break
         level += 1
         waiting = _beside(rest, counts, "unit.doc_id").withColumn("_chunk", F.pmod(F.xxhash64(F.col("unit.doc_id"), F.col("unit.size"), F.lit(level)), F.ceil(F.col("_n") / chunk)))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    out = out.select("unit.*", *about, (F.col("whole") + F.col("extra")).alias("copies")).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+        # large units first: what is left over at the end is small
+        folded = waiting.groupBy(*about, "_chunk").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units")).withColumn("fold", F.expr(meet(level))).select(*about, "fold").checkpoint()
+        done.append(folded.select(*about, F.explode("fold.done").alias("_done")).select(*about, "_done.unit", "_done.extra"))
+        rest = folded.select(*about, F.col("fold.unit").withField("p", F.col("fold.p")).alias("unit"))
+    out = _union(done).select("unit.*", *about, (F.col("whole") + F.col("extra")).alias("copies")).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 

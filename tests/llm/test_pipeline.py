@@ -64,5 +64,5 @@ def test_stages_on_odd_tables(spark, tmp_path, rows):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
