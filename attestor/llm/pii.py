@@ -33,9 +33,9 @@ BASE = {
 }
 #: Generators of further candidates; they may overlap one another.
 PROPOSED = (
-    ("email", r"(?i)\b(?:at|dot)\b", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[({<]\s?at\s?[\])}>]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[({<]\s?dot\s?[\])}>]|\.)\s?[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9-])"),
-    ("email", r"(?i) at .{1,80} dot ", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9-])"),
-    ("email", "@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?@\x20?[A-Za-z0-9-]{1,63}(?:\x20?\.\x20?[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9-])"),
+    ("email", r"(?i)\b(?:at|dot)\b", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[\[({<]\s?at\s?[\])}>]\s?[A-Za-z0-9-]++(?:\s?(?:[\[({<]\s?dot\s?[\])}>]|\.)\s?[A-Za-z0-9-]{2,}+)++(?![A-Za-z0-9-])"),
+    ("email", r"(?i) at [A-Za-z0-9-]++ dot ", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]{2,}+)++(?![A-Za-z0-9-])"),
+    ("email", "@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?@\x20?[A-Za-z0-9-]++(?:\x20?\.\x20?[A-Za-z0-9-]{2,}+)++(?![A-Za-z0-9-])"),
     ("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
     ("ip", r"[0-9] ?[\[(]\.[\])] ?[0-9]", r"(?<![0-9])[0-9]{1,3}(?: ?[\[(]\.[\])] ?[0-9]{1,3}){3}(?![0-9])"),
     ("card", r"[0-9]{13}", r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
