@@ -185,25 +185,37 @@ def test_token_counts(spark):
         words = words_of(text)
         known |= {w: best_paths(w, grams)[1] for w in words if w not in known}
         assert (rows[i]["n_words"], rows[i]["n_tokens"]) == (len(words), sum(known[w] for w in words)), text
-    assert any(len(w) > tokencounts.DEEP for w in known) and all(tokencounts.count_word(w, grams) == n for w, n in known.items() if len(w) < 400)
+    assert any(len(w) > tokencounts.DEEP for w in known) and all(tokencounts.best_path(w, grams)[0] == n for w, n in known.items() if len(w) < 400)
     assert tokencounts.token_counts(docs.limit(0), model).count() == 0
 
 
 def test_scores_are_estimated_from_best_paths():
     grams = tokencounts.Unigrams(vocabulary.Vocabulary.load(MODEL))
-    texts = [t for t in corpus()[len(ODD) : len(ODD) + 30]] + ["é the motion of the thing", "the the the"]
-    counts = [{} for _ in range(2)]
-    for turn in counts:
-        for w in (w for t in texts for w in words_of(t)):
+    texts = [t for t in corpus()[len(ODD) : len(ODD) + 30]] + ["é the motion of the thing", "the the the", "nospace" * 60]
+    words = {}
+    for w in (w for t in texts for w in words_of(t)):
+        words[w] = words.get(w, 0) + 1
+    assert max(map(len, words)) > tokencounts.DEEP
+    for turn in range(2):
+        want = {}
+        for w, n in words.items():
             for piece in best_paths(w, grams)[2]:
-                turn[piece] = turn.get(piece, 0) + 1
-        used = tokencounts.usage(pa.array(texts), grams)
+                want[piece] = want.get(piece, 0) + n
+        used = tokencounts.usage(list(words), list(words.values()), grams)
         got = {grams.texts[i]: used[i] for i in grams.texts if used[i]}
-        assert got == turn or (turn is counts[0] and sum(got.values()) == sum(turn.values()))  # of equally good paths either may be taken
+        assert got == want or (turn == 0 and sum(got.values()) == sum(want.values()))  # of equally good paths either may be taken
         grams.estimate(used)
     assert grams.by_text["▁the"] > grams.by_text["the"]
 
 
+def test_words_of_a_sample(spark):
+    texts = [t for t in corpus() if "\x00" not in (t or "")]
+    want = {}
+    for w in (w for t in texts for w in words_of(t)):
+        want[w] = want.get(w, 0) + 1
+    assert {r["word"]: r["n"] for r in tokencounts._words_of(documents(spark, texts), True).collect()} == want
+
+
 def test_jaccard_join(spark):
     texts = corpus()
     got = {r["doc_id"]: r for r in jaccard.linked(documents(spark, texts)).collect()}
@@ -300,8 +312,7 @@ def test_chat_events(spark):
 
 def test_mix(spark):
     rng = random.Random(5)
-    # a source misses its target by its last residual, so no text here is larger than that tolerance
-    texts = [t for t in ODD if len(WORD.findall(t or "")) < 60] + [" ".join("w" for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    texts = ODD + [" ".join("w" for _ in range(rng.randint(1, 60))) for _ in range(600)]
     docs = documents(spark, texts)
     rows = mixing.take(docs, chunk=16).collect()
     again = {(r["doc_id"], r["taken"]) for r in mixing.take(docs, chunk=16).collect()}
@@ -319,6 +330,37 @@ def test_mix(spark):
     assert mixing.take(docs.limit(0)).count() == 0
 
 
+def test_mix_makes_up_for_large_texts(spark, monkeypatch):
+    """A text of a fifth of its source, and others by powers of three, are settled against the small ones."""
+    rng = random.Random(6)
+    sizes = [[2000] + [3**k for k in range(1, 7) for _ in range(6)] + [rng.randint(1, 9) for _ in range(300)] for _ in range(5)]
+    rows = [(i, "w " * n, f"s{j}") for j, own in enumerate(sizes) for i, n in enumerate(own, 1000 * j)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, source string")
+    for few in (mixing.FEW, 0):
+        monkeypatch.setattr(mixing, "FEW", few)
+        for chunk, branches in ((256, 64), (8, 4)):
+            monkeypatch.setattr(mixing, "BRANCHES", branches)
+            got = mixing.take(docs, chunk=chunk).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+            assert len(got) == 5 and all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in got), got
+
+
+def test_mix_keeps_expected_copies(spark):
+    """Over many sources alike, large and small texts are taken as often as their rate says."""
+    sizes = [90, 30, 30, 30] + [5] * 40 + [1] * 20
+    rows = [(100 * j + i, "w " * n, f"s{j:03d}") for j in range(240) for i, n in enumerate(sizes)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.take(docs, chunk=8).withColumn("rate", F.col("target") / F.col("source_size")).groupBy("rate", "size").agg(F.avg("copies").alias("copies"), F.count("*").alias("n")).collect()
+    assert len(got) == 12
+    for r in got:
+        assert abs(r["copies"] - r["rate"]) <= 4 * 0.5 / r["n"] ** 0.5, r
+
+
+def test_mix_of_single_texts(spark):
+    """A text that is its whole source goes the nearer way."""
+    docs = prepare(spark).createDataFrame([(i, "w " * 40, f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+    assert all(abs(r["copies"] - r["target"] / r["source_size"]) < 0.5 + 1e-9 for r in mixing.take(docs).collect())
+
+
 def water(sizes, total):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
@@ -389,6 +431,14 @@ def test_many_spans_of_one_text(spark, monkeypatch):
         assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == clean
 
 
+def test_long_and_obfuscated_addresses(spark):
+    """Local parts, domains and labels of any length and number are proposed."""
+    local, label = "l" * 65, "d" * 70
+    texts = [f"{local} (at) {label} (dot) {label} (dot) com", f"{local}@ {label} . {label} . com", f"{local} at {label} dot " + " dot ".join([label] * 5) + " dot com"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.spans_of(documents(spark, [f"mail {t} now" for t in texts])).collect()}
+    assert rows == {i: f"email:5:{5 + len(t)}" for i, t in enumerate(texts)}
+
+
 def test_personal_data_of_nothing_and_of_clashing_columns(spark):
     docs = documents(spark, ["mail a@b.co", "mail a@b.co"]).withColumns({"base": F.lit(1), "spans": F.lit("x"), "_m": F.lit(2), "_cut": F.lit(3)})
     assert pii.redact(docs).columns == docs.columns and {r["text"] for r in pii.redact(docs).collect()} == {"mail <EMAIL>"}
