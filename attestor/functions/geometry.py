@@ -5,6 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestor.functions import dates
+
+
+def round_half_even(c: Column, places: int = 1) -> Column:
+    """A double rounded by its binary value, ties to even, as IEEE decimal rounding does.
+
+    c * 10 is a sum of two doubles without error (8c + 2c and what their sum
+    loses), so what lies beside a tie is told from the tie itself.
+    """
+    if places != 1:
+        raise ValueError("only one place is supported")
+
+    def rounded(x: Column) -> Column:
+        return dates.let(
+            F.struct((x * 8 + x * 2).alias("s"), x.alias("x")),
+            lambda p: dates.let(
+                F.struct((p["s"] - p["x"] * 8).alias("b"), F.floor(p["s"]).cast("double").alias("r"), p["s"].alias("s"), p["x"].alias("x")),
+                lambda q: F.when(F.abs(q["x"]) < 1e14, (q["r"] + _up(q["s"] - q["r"] - 0.5, (q["x"] * 8 - (q["s"] - q["b"])) + (q["x"] * 2 - q["b"]), q["r"])) / 10).otherwise(q["x"]),
+            ),
+        )
+
+    return dates.let(c.cast("double"), rounded)
+
+
+def _up(over: Column, lost: Column, floor: Column) -> Column:
+    """1 where a number over half past its floor, with what its sum lost, goes up."""
+    odd = F.pmod(floor, F.lit(2.0)) == 1
+    return ((over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & odd)))).cast("double")
+
 
 def scale_box(box: Column, from_w: Column, from_h: Column, to_w: Column, to_h: Column) -> Column:
     """Null parts where the source has no size."""
@@ -34,7 +63,7 @@ def resize(box: Column, width: Column, height: Column) -> Column:
 
 
 def _result(status: str, confidence: Column, yes: bool | None, name: str) -> Column:
-    return F.struct(F.lit(yes).cast("boolean").alias(name), F.round(confidence.cast("double"), 1).alias("confidence"), F.lit(status).alias("status"))
+    return F.struct(F.lit(yes).cast("boolean").alias(name), round_half_even(confidence).alias("confidence"), F.lit(status).alias("status"))
 
 
 def detect_mark(ink: Column) -> Column:

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 SENSITIVE = ("citizenship_number", "citizenship_no", "national_id_no", "passport_no", "pan_number", "id_number", "id_no", "dob", "date_of_birth")
 
 
+# Codes of the language packs for a region's language.
+LANGUAGES = {"english": "eng", "nepali": "nep", "mixed": "eng+nep"}
+
+
+def language_code(name: str | None, installed: frozenset[str] | None = None) -> str:
+    """The packs of a language by name, ``eng`` if one is not installed (None: not known)."""
+    code = LANGUAGES.get(name or "english", "eng")
+    return code if installed is None or installed.issuperset(code.split("+")) else "eng"
+
+
 def redact(c: Column, keep: int = 2) -> Column:
     """Stars but for ``keep`` characters at either end; short values all stars."""
     text = F.coalesce(c, F.lit(""))

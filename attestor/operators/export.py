@@ -7,14 +7,15 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.sources import templates
+from attestor.sources import spreadsheet, templates
 
 
 def rows(rois: DataFrame, values: DataFrame, document: str) -> DataFrame:
     """Values (roi_name, value) beside their regions, in template order
-    (position); regions without a value are left out."""
+    (position); regions without a value are left out.  Values that name their
+    template (template_id) meet the regions of that one alone."""
     status = F.when(F.coalesce("value", F.lit("")) != "", "OK").otherwise("EMPTY")
-    return rois.join(values, "roi_name").select(
+    return templates.beside(values, rois, "roi_name").select(
         "position", F.lit(document).alias("Document"), F.col("roi_name").alias("Field"), F.col("page").alias("Page"), F.col("roi_name").alias("ROI"), F.col("value").alias("Value"),
         F.col("field_type").alias("Field Type"), F.col("priority").alias("Priority"), F.col("required").alias("Required"), status.alias("Review Status"),
     )
@@ -42,13 +43,23 @@ def json_reports(exported: DataFrame, outcomes: DataFrame, summary: DataFrame) -
 
 
 def write_csv(exported: DataFrame, path: str) -> None:
-    exported.orderBy("part", "position").drop("part", "position").write.mode("overwrite").option("header", True).csv(path)
+    """CSV files in order, values as they are: quotes are doubled, null is nothing, like an empty text."""
+    kept = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    exported.orderBy("part", "position").drop("part", "position").write.mode("overwrite").options(**kept).csv(path)
 
 
 def write_json(reports: DataFrame, path: str) -> None:
+    """A JSON text for each pair, one after another."""
     reports.select("value").write.mode("overwrite").text(path)
 
 
+def write_workbook(exported: DataFrame, outcomes: DataFrame, path: str) -> None:
+    """One workbook: the extracted fields, and the validation results beside them."""
+    results = outcomes.select("pair_id", "position", F.col("form_field").alias("Field"), F.col("value_a").alias("Citizenship Value"), F.col("value_b").alias("KYC Value"), F.col("result").alias("Result"), F.col("confidence").alias("Confidence"))
+    fields = (exported, ["part", "position"])
+    spreadsheet.write(exported.sparkSession, path, {"Extracted Fields": fields, "Validation": (results, ["pair_id", "position"])})
+
+
 def layout_report(pairs: DataFrame, statistics: DataFrame) -> DataFrame:
     """Per page counts and the paired marks, as nested rows for write.json."""
     marks = pairs.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("circle_id", F.array("x0", "y0", "x1", "y1").alias("box"), "label"))).alias("checkboxes"))

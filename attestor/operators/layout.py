@@ -6,11 +6,19 @@ named in ``keys``, such as a document).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestor.functions.geometry import round_half_even
+
 BOX = {"x0": "least", "y0": "least", "x1": "greatest", "y1": "greatest"}
 BAND = 6.0  # points; labels within one band of a mark's middle belong to it
+#: Phrases of one automaton, whose size bounds what is broadcast.
+PHRASES = 1 << 16
+GRAM = 3
 
 
 def lines(words: DataFrame, *keys: str) -> DataFrame:
@@ -20,19 +28,78 @@ def lines(words: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("text", F.array_join(F.col("words.text"), " "))
 
 
+def _boxed(hits: DataFrame, phrase: Column, size: Column, *keys: str) -> DataFrame:
+    """The boxes around the words that hits touch: lines with _at (from 0) and the size of what is found,
+    numbered from 0 within a page and phrase (occurrence)."""
+    # one pass over the words of a line: where each begins, and the box of those the hit touches
+    touched = "a.at < _at + _size AND a.at + length(w.text) > _at"
+    grown = ", ".join(f"'{c}', if({touched}, {f}(a.{c}, CAST(w.{c} AS DOUBLE)), a.{c})" for c, f in BOX.items())
+    none = ", ".join(f"'{c}', CAST(NULL AS DOUBLE)" for c in BOX)
+    box = F.expr(f"aggregate(words, named_struct('at', 0, {none}), (a, w) -> named_struct('at', a.at + length(w.text) + 1, {grown}))")
+    rows = hits.withColumn("phrase", phrase).withColumn("_size", size).withColumn("_box", box).where("_box.x0 IS NOT NULL")
+    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, "page", "phrase").orderBy("block", "line")) - 1)
+    return rows.select(*keys, "page", "block", "line", "occurrence", "phrase", *(F.col(f"_box.{c}").alias(c) for c in BOX))
+
+
 def find_phrase(words: DataFrame, phrase: str, *keys: str) -> DataFrame:
     """The first hit in every line that has one, numbered from 0 within a page
     (occurrence), with the box around the words it touches."""
-    needle = phrase.lower()
-    at = F.instr(F.lower("text"), needle) - 1
-    # one pass over the words of a line: where each begins, and the box of those the hit touches
-    touched = f"a.at < _at + {len(needle)} AND a.at + length(w.text) > _at"
-    grown = ", ".join(f"'{c}', if({touched}, {f}(a.{c}, w.{c}), a.{c})" for c, f in BOX.items())
-    none = ", ".join(f"'{c}', CAST(NULL AS DOUBLE)" for c in BOX)
-    hit = lines(words.withColumns({c: F.col(c).cast("double") for c in BOX}), *keys).withColumn("_at", at).where("_at >= 0")
-    hit = hit.withColumn("_box", F.expr(f"aggregate(words, named_struct('at', 0, {none}), (a, w) -> named_struct('at', a.at + length(w.text) + 1, {grown}))"))
-    rows = hit.where("_box.x0 IS NOT NULL").withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, "page").orderBy("block", "line")) - 1)
-    return rows.select(*keys, "page", "block", "line", "occurrence", F.lit(phrase).alias("phrase"), *(F.col(f"_box.{c}").alias(c) for c in BOX))
+    hits = lines(words, *keys).withColumn("_at", F.instr(F.lower("text"), phrase.lower()) - 1).where("_at >= 0")
+    return _boxed(hits, F.lit(phrase), F.lit(len(phrase)), *keys)
+
+
+def find_phrases(words: DataFrame, phrases: DataFrame, *keys: str) -> DataFrame:
+    """find_phrase for every phrase of a table (phrase), in one pass over the lines."""
+    return phrases_in(lines(words, *keys), phrases, *keys)
+
+
+def phrases_in(found_lines: DataFrame, phrases: DataFrame, *keys: str, most: int = PHRASES) -> DataFrame:
+    """The boxes of the first hit of every phrase in every line (see lines()).
+
+    An automaton of the phrases, in any case, reads each line's text once, and
+    only the hits become rows.  Null and empty phrases are not found.  An automaton has ``most`` phrases
+    at most; of a longer table there are several, each of which reads the lines.
+    """
+    named = phrases.select("phrase", F.lower("phrase").alias("lower")).where("phrase <> ''").distinct()
+    parts = 1 + (named.count() - 1) // most
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    out = None
+    for part in range(max(1, parts)):
+        own: dict[str, list[str]] = {}
+        for row in dealt.where(F.col("part") == part).collect():
+            own.setdefault(row["lower"], []).append(row["phrase"])
+        hits = found_lines.withColumn("_hit", F.explode(_automaton(found_lines.sparkSession, own)(F.lower("text"))))
+        hits = hits.withColumn("_at", F.col("_hit.at"))
+        boxes = _boxed(hits, F.col("_hit.phrase"), F.length("_hit.phrase"), *keys)
+        out = boxes if out is None else out.unionByName(boxes)
+    return out
+
+
+def _automaton(spark: SparkSession, phrases: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """(phrase, at) of the first place of each phrase, by its lower-cased text, in a text."""
+    shared = spark.sparkContext.broadcast(phrases)
+
+    @F.pandas_udf("array<struct<phrase: string, at: int>>")
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for lower, names in shared.value.items():
+            automaton.add_word(lower, (len(lower), names))
+        automaton.make_automaton()
+
+        def each(text: str | None) -> list[dict]:
+            first: dict[str, int] = {}
+            if text and len(automaton):
+                for last, (size, names) in automaton.iter(text):
+                    for name in names:
+                        first.setdefault(name, last - size + 1)
+            return [{"phrase": name, "at": at} for name, at in first.items()]
+
+        for texts in batches:
+            yield pd.Series([each(t) for t in texts])
+
+    return hits
 
 
 def pair_labels(circles: DataFrame, words: DataFrame, *keys: str, max_gap: float = 80.0) -> DataFrame:
@@ -52,19 +119,42 @@ def pair_labels(circles: DataFrame, words: DataFrame, *keys: str, max_gap: float
     return joined.groupBy(*keys, "page", "circle_id", "x0", "y0", "x1", "y1").agg(nearest.alias("_n")).withColumn("label", F.col("_n.text")).drop("_n")
 
 
+def _grams(text: str, size: str) -> str:
+    """SQL: the distinct runs of ``size`` characters of a text; of size 0 the empty one."""
+    return f"CASE WHEN {size} = 0 THEN array('') WHEN length({text}) < {size} THEN CAST(array() AS array<string>) ELSE array_distinct(transform(sequence(1, length({text}) - {size} + 1), i -> substring({text}, i, {size}))) END"
+
+
+def labels_with(labels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(label, wanted) of all distinct labels that contain a wanted text, in any case.
+
+    An inverted index of the labels' grams of up to GRAM characters (those that
+    occur in wanted texts): of a wanted text's grams the rarest
+    gives the candidates, which are then searched for the whole.
+    """
+    want = wanted.select("wanted").where("wanted IS NOT NULL").distinct().withColumn("_w", F.lower("wanted"))
+    asked = want.select("wanted", "_w", F.explode(F.expr(_grams("_w", f"least({GRAM}, length(_w))"))).alias("gram"))
+    texts = labels.select("label").where("label IS NOT NULL").distinct().withColumn("_l", F.lower("label"))
+    every = F.flatten(F.array(*(F.expr(_grams("_l", str(size))) for size in range(GRAM + 1))))
+    postings = texts.select("label", "_l", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    lengths = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(lengths, "gram", "left").groupBy("wanted", "_w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("wanted", "_w", "r.gram")
+    return postings.join(rarest, "gram").where(F.contains("_l", F.col("_w"))).select("label", "wanted")
+
+
 def bind_options(pairs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """For each wanted label the first pair (position) whose label contains
-    it, in any case."""
-    hit = pairs.join(wanted, F.contains(F.lower("label"), F.lower("wanted")))
-    first = F.row_number().over(Window.partitionBy(*keys, "wanted").orderBy("position"))
+    it, in any case; a label that many pairs have is searched once.  Of pairs of
+    one position the one with the least label is the first."""
+    hit = pairs.join(labels_with(pairs, wanted), "label").join(wanted, "wanted")
+    first = F.row_number().over(Window.partitionBy(*keys, "wanted").orderBy("position", "label"))
     return hit.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def anchored_box(hit: Column, page_w: float, page_h: float, width: float = 140, height: float = 16, dx: float = 6, dy: float = -3, below: bool = False, y_override: float | None = None) -> Column:
     """The box to the right of (or below) a phrase's box struct, kept inside
     the page; without a hit a box at the origin.  A struct of box, calibrated."""
-    right = F.array(*(F.round(x, 1) for x in (hit["x1"] + dx, hit["y0"] + dy, hit["x1"] + dx + width, hit["y0"] + dy + height)))
-    under = F.array(*(F.round(x, 1) for x in (hit["x0"], hit["y1"] + 4, hit["x0"] + width, hit["y1"] + 4 + height)))
+    right = F.array(*(round_half_even(x, 1) for x in (hit["x1"] + dx, hit["y0"] + dy, hit["x1"] + dx + width, hit["y0"] + dy + height)))
+    under = F.array(*(round_half_even(x, 1) for x in (hit["x0"], hit["y1"] + 4, hit["x0"] + width, hit["y1"] + 4 + height)))
     if y_override is not None:  # the row's own height on the page
         right = F.array(right[0], F.lit(round(float(y_override), 1)), right[2], F.lit(round(float(y_override + height), 1)))
     box = F.when(hit.isNull(), F.array(*map(F.lit, (0.0, 0.0, float(width), float(height))))).otherwise(under if below else right)
@@ -74,14 +164,14 @@ def anchored_box(hit: Column, page_w: float, page_h: float, width: float = 140,
 
 def small_circles(drawings: DataFrame) -> DataFrame:
     """Drawings with a curve, 10 to 16 points wide and high."""
-    w, h = F.round(F.col("x1") - F.col("x0"), 1), F.round(F.col("y1") - F.col("y0"), 1)
+    w, h = round_half_even(F.col("x1") - F.col("x0"), 1), round_half_even(F.col("y1") - F.col("y0"), 1)
     return drawings.where(F.exists("items", lambda i: i["kind"] == "c") & w.between(10, 16) & h.between(10, 16))
 
 
 def date_boxes(drawings: DataFrame) -> DataFrame:
     """Rectangles of drawings, 12 to 18 points wide and high."""
     rows = drawings.select("page", F.explode("items").alias("i")).where("i.kind = 're'").select("page", "i.x0", "i.y0", "i.x1", "i.y1")
-    return rows.where(F.round(F.col("x1") - F.col("x0"), 1).between(12, 18) & F.round(F.col("y1") - F.col("y0"), 1).between(12, 18))
+    return rows.where(round_half_even(F.col("x1") - F.col("x0"), 1).between(12, 18) & round_half_even(F.col("y1") - F.col("y0"), 1).between(12, 18))
 
 
 def page_statistics(words: DataFrame, circles: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -6,16 +6,21 @@ blue first where there are three.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.functions import dates, geometry
+from attestor.functions import dates, geometry, images
+from attestor.functions.images import grey, otsu
+from attestor.sources import templates
 
 FEATURES = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("ink_ratio", "ink_share", "variance")), T.StructField("error", T.StringType())])
 RASTER = "struct<h: int, w: int, c: int, data: binary>"
+RASTER_TYPE = T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("h", "w", "c")), T.StructField("data", T.BinaryType())])
 PREPARED = f"struct<raster: {RASTER}, skipped: array<string>, error: string>"
 #: Share of the radius that counts as the inside of a mark.
 INSIDE = 0.65
@@ -28,7 +33,9 @@ PIPELINES = {
 
 
 def array_of(raster: dict) -> np.ndarray:
-    shape = (raster["h"], raster["w"]) if raster["c"] == 1 else (raster["h"], raster["w"], raster["c"])
+    # beside null rasters pandas has sizes as floats
+    h, w, c = (int(raster[k]) for k in ("h", "w", "c"))
+    shape = (h, w) if c == 1 else (h, w, c)
     return np.frombuffer(raster["data"], np.uint8).reshape(shape)
 
 
@@ -36,21 +43,6 @@ def raster_of(x: np.ndarray | None) -> dict:
     return dict.fromkeys(("h", "w", "c", "data")) if x is None else {"h": x.shape[0], "w": x.shape[1], "c": 1 if x.ndim == 2 else x.shape[2], "data": np.ascontiguousarray(x, np.uint8).tobytes()}
 
 
-def grey(x: np.ndarray) -> np.ndarray:
-    return x if x.ndim == 2 else np.rint(x[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
-
-
-def otsu(x: np.ndarray) -> int:
-    """The level that parts a grey image with most variance between the parts."""
-    count = np.bincount(x.ravel(), minlength=256).astype(float)
-    below, total = np.cumsum(count), count.sum()
-    mass = np.cumsum(count * np.arange(256))
-    both = below * (total - below)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = np.where(both > 0, (mass[-1] * below - mass * total) ** 2 / both, 0)
-    return int(between.argmax()) if between.max() > 0 else 0
-
-
 def threshold(x: np.ndarray) -> np.ndarray:
     x = grey(x)
     return np.where(x > otsu(x), 255, 0).astype(np.uint8)
@@ -72,18 +64,6 @@ def ink_share(x: np.ndarray) -> float:
     return float((threshold(x) == 0).mean())
 
 
-def resize(x: np.ndarray, scale: float) -> np.ndarray:
-    """Bilinear; a stand-in where no image library gives the cubic one."""
-    h, w = max(1, round(x.shape[0] * scale)), max(1, round(x.shape[1] * scale))
-    at = lambda n, m: np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
-    r, c = at(h, x.shape[0]), at(w, x.shape[1])
-    r0, c0 = r.astype(int), c.astype(int)
-    r1, c1 = np.minimum(r0 + 1, x.shape[0] - 1), np.minimum(c0 + 1, x.shape[1] - 1)
-    fr, fc = (r - r0).reshape(-1, *[1] * (x.ndim - 1)), (c - c0).reshape(1, -1, *[1] * (x.ndim - 2))
-    y = x.astype(float)
-    return np.rint(y[r0][:, c0] * (1 - fr) * (1 - fc) + y[r0][:, c1] * (1 - fr) * fc + y[r1][:, c0] * fr * (1 - fc) + y[r1][:, c1] * fr * fc).astype(np.uint8)
-
-
 def adaptive_threshold(x: np.ndarray, size: int = 25, offset: float = 15) -> np.ndarray:
     """White where a grey image is above its Gaussian mean less the offset;
     the border is repeated."""
@@ -101,8 +81,11 @@ def sharpen(x: np.ndarray) -> np.ndarray:
     return np.clip(5 * p[1:-1, 1:-1] - p[:-2, 1:-1] - p[2:, 1:-1] - p[1:-1, :-2] - p[1:-1, 2:], 0, 255).astype(np.uint8)
 
 
-#: Steps that need no image library; others can be registered here by name.
-STEPS = {"resize": resize, "grayscale": lambda x, _: grey(x), "threshold": lambda x, _: threshold(x), "adaptive_threshold": lambda x, _: adaptive_threshold(x), "sharpen": lambda x, _: sharpen(x), "swap_channels": lambda x, _: x[..., ::-1]}
+#: Steps by name; others can be registered here.
+STEPS = {
+    "resize": images.resize, "grayscale": lambda x, _: grey(x), "denoise": lambda x, _: images.denoise(x), "contrast": lambda x, _: images.contrast(x), "deskew": lambda x, _: images.deskew(x),
+    "threshold": lambda x, _: threshold(x), "adaptive_threshold": lambda x, _: adaptive_threshold(x), "sharpen": lambda x, _: sharpen(x), "swap_channels": lambda x, _: x[..., ::-1],
+}
 
 
 def prepare(x: np.ndarray, field_type: str) -> tuple[np.ndarray, list[str]]:
@@ -137,8 +120,9 @@ def features(rasters: pd.DataFrame) -> pd.DataFrame:
 
 def crops(pages: DataFrame, rois: DataFrame) -> DataFrame:
     """Regions of pages (document, page, raster, native_w, native_h) as rasters; an
-    empty one is null."""
-    joined = pages.join(rois.where("box IS NOT NULL"), "page")
+    empty one is null.  Pages that name their template (template_id) have the
+    regions of that one alone."""
+    joined = templates.beside(pages, rois.where("box IS NOT NULL"), "page")
     scaled = geometry.scale_box(F.col("box"), F.col("native_w"), F.col("native_h"), F.col("raster.w").cast("double"), F.col("raster.h").cast("double"))
     bounds = geometry.crop_bounds(scaled, F.col("raster.w"), F.col("raster.h"))
 
@@ -169,6 +153,25 @@ def prepared(regions: DataFrame) -> DataFrame:
     return regions.withColumn("prepared", steps("crop", "field_type"))
 
 
+@F.pandas_udf(T.BinaryType())
+def png(rasters: pd.DataFrame) -> pd.Series:
+    """PNG bytes of each raster; null for a null one."""
+    return pd.Series([None if r["data"] is None else images.to_png(array_of(r)) for r in rasters.to_dict("records")])
+
+
+@F.pandas_udf(RASTER_TYPE)
+def from_png(files: pd.Series) -> pd.DataFrame:
+    """Rasters of PNG bytes; all fields are null for null or unreadable ones."""
+
+    def each(data: bytes | None) -> dict:
+        try:
+            return raster_of(None if data is None else images.from_png(data))
+        except (ValueError, zlib.error):
+            return raster_of(None)
+
+    return pd.DataFrame([each(f) for f in files], columns=["h", "w", "c", "data"])
+
+
 def presence(found: DataFrame, kind: Column) -> Column:
     """Verdict by the kind of region, from the features."""
     return F.when(kind == "PHOTO", geometry.detect_photo(F.col("variance"))).otherwise(geometry.detect_ink(F.col("ink_share")))

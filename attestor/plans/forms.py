@@ -1,7 +1,7 @@
 """Queries of form operators over rows derived from the tables, with SQL twins.
 
 Each applies the library's own function; its twin states the same result in
-plain SQL.  Values are chosen so that rounding has no ties.
+plain SQL.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import dates, geometry, match, text
 from attestor.operators import export, extraction, layout, marks, raster, validate
-from attestor.sources import pages, templates
+from attestor.sources import edits, pages, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str]] = {}
@@ -69,15 +69,21 @@ def q15_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", extraction.branch(_pick(templates.FIELD_TYPES, F.col("o_orderkey") % 13), customer % 3 > 0, customer % 2 == 0).alias("branch"), extraction.effective_value(F.col("o_orderstatus"), edited).alias("value"), below.alias("below"))
 
 
-@registered("""
-WITH e AS (SELECT event_id, (event_id * 37 % 101) / 250.0::DOUBLE AS ink, (event_id * 37 % 101) / 4000.0::DOUBLE AS low, (event_id * 37 % 101) * 4.0::DOUBLE AS v FROM events)
-SELECT event_id, round(CASE WHEN ink <= 0.10 THEN 100 * (1 - ink / 0.10) WHEN ink >= 0.22 THEN least(100, 100 * ink / 0.44) ELSE greatest(0, 100 * (1 - abs(ink - 0.16) / 0.06)) END, 1) AS mark_confidence,
+def _round(x: str) -> str:
+    """SQL: one place by the binary value, ties to even, as the formatter has it."""
+    return f"CAST(printf('%.1f', {x}) AS DOUBLE)"
+
+
+@registered(f"""
+WITH e AS (SELECT event_id, (event_id * 37 % 2001) / 2000.0::DOUBLE AS ink, (event_id * 37 % 2001) / 80000.0::DOUBLE AS low, (event_id * 37 % 2001) / 5.0::DOUBLE AS v FROM events)
+SELECT event_id, {_round("CASE WHEN ink <= 0.10 THEN 100 * (1 - ink / 0.10::DOUBLE) WHEN ink >= 0.22 THEN least(100, 100 * ink / 0.44::DOUBLE) ELSE greatest(0, 100 * (1 - abs(ink - 0.16::DOUBLE) / 0.06::DOUBLE)) END")} AS mark_confidence,
  CASE WHEN ink <= 0.10 THEN 'UNCHECKED' WHEN ink >= 0.22 THEN 'CHECKED' ELSE 'REVIEW_REQUIRED' END AS mark_status,
- round(CASE WHEN low < 0.006 THEN 90 + 10 * (1 - low) WHEN low >= 0.015 THEN least(100, 60 + 400 * low) ELSE 40 END, 1) AS ink_confidence, CASE WHEN low < 0.006 THEN 'NOT_DETECTED' WHEN low >= 0.015 THEN 'PRESENT' ELSE 'REVIEW_REQUIRED' END AS ink_status,
- round(CASE WHEN v >= 250 THEN least(100, 50 + v / 20) WHEN v < 75 THEN 80 ELSE 35 END, 1) AS photo_confidence, v >= 250 AS photo FROM e""")
+ {_round("CASE WHEN low < 0.006 THEN 90 + 10 * (1 - low) WHEN low >= 0.015 THEN least(100, 60 + 400 * low) ELSE 40 END")} AS ink_confidence, CASE WHEN low < 0.006 THEN 'NOT_DETECTED' WHEN low >= 0.015 THEN 'PRESENT' ELSE 'REVIEW_REQUIRED' END AS ink_status,
+ {_round("CASE WHEN v >= 250 THEN least(100, 50 + v / 20) WHEN v < 75 THEN 80 ELSE 35 END")} AS photo_confidence, v >= 250 AS photo FROM e""")
 def q16_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = F.col("event_id") * 37 % 101
-    rows = _read(spark, sf_dir, "events").select("event_id", geometry.detect_mark(step / F.lit(250.0)).alias("m"), geometry.detect_ink(step / F.lit(4000.0)).alias("i"), geometry.detect_photo(step * F.lit(4.0)).alias("p"))
+    """Confidences of marks, ink and photos, some of them on a tie of their last digit."""
+    step = F.col("event_id") * 37 % 2001
+    rows = _read(spark, sf_dir, "events").select("event_id", geometry.detect_mark(step / F.lit(2000.0)).alias("m"), geometry.detect_ink(step / F.lit(80000.0)).alias("i"), geometry.detect_photo(step / F.lit(5.0)).alias("p"))
     return rows.select("event_id", F.col("m.confidence").alias("mark_confidence"), F.col("m.status").alias("mark_status"), F.col("i.confidence").alias("ink_confidence"), F.col("i.status").alias("ink_status"), F.col("p.confidence").alias("photo_confidence"), F.col("p.present").alias("photo"))
 
 
@@ -153,7 +159,7 @@ def q20_page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
 WITH p AS (SELECT l_orderkey AS page, l_linenumber AS position, l_linestatus || ' ' || l_returnflag AS label FROM lineitem), w AS (SELECT unnest(['o n', 'F', 'R', 'none']) AS wanted),
-h AS (SELECT *, row_number() OVER (PARTITION BY page, wanted ORDER BY position) AS n FROM p JOIN w ON contains(lower(label), lower(wanted)))
+h AS (SELECT *, row_number() OVER (PARTITION BY page, wanted ORDER BY position, label) AS n FROM p JOIN w ON contains(lower(label), lower(wanted)))
 SELECT page, wanted, position, label FROM h WHERE n = 1""")
 def q21_bind_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("position"), F.concat_ws(" ", "l_linestatus", "l_returnflag").alias("label"))
@@ -161,12 +167,12 @@ def q21_bind_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.bind_options(found, wanted, "page").select("page", "wanted", "position", "label")
 
 
-@registered("""
-WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey % 5 > 0 AS hit, (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 700)::DOUBLE AS y0, (l_partkey % 500 + 20)::DOUBLE AS x1, (l_suppkey % 700 + 10)::DOUBLE AS y1 FROM lineitem)
-SELECT l_orderkey, l_linenumber, hit AS calibrated, CASE WHEN hit THEN least(595, greatest(0, x1 + 6)) ELSE 0 END::DOUBLE AS x0, CASE WHEN hit THEN greatest(0, y0 - 3) ELSE 0 END::DOUBLE AS y0, CASE WHEN hit THEN least(595, x1 + 146) ELSE 140 END::DOUBLE AS x1, CASE WHEN hit THEN least(842, y0 + 13) ELSE 16 END::DOUBLE AS y1,
- CASE WHEN hit THEN y1 + 4 ELSE 0 END::DOUBLE AS below_y0, CASE WHEN hit THEN least(595, x0 + 140) ELSE 140 END::DOUBLE AS below_x1, CASE WHEN hit THEN 100.5 ELSE 0 END::DOUBLE AS set_y0, CASE WHEN hit THEN 116.5 ELSE 16 END::DOUBLE AS set_y1 FROM h""")
+@registered(f"""
+WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey % 5 > 0 AS hit, (l_partkey % 500) / 16.0::DOUBLE AS x0, (l_suppkey % 700) / 20.0::DOUBLE AS y0, (l_partkey % 500) / 16.0::DOUBLE + 20 AS x1, (l_suppkey % 700) / 20.0::DOUBLE + 10 AS y1 FROM lineitem)
+SELECT l_orderkey, l_linenumber, hit AS calibrated, CASE WHEN hit THEN least(595, greatest(0, {_round("x1 + 6")})) ELSE 0 END::DOUBLE AS x0, CASE WHEN hit THEN greatest(0, {_round("y0 - 3")}) ELSE 0 END::DOUBLE AS y0, CASE WHEN hit THEN least(595, {_round("x1 + 6 + 140")}) ELSE 140 END::DOUBLE AS x1, CASE WHEN hit THEN least(842, {_round("y0 - 3 + 16")}) ELSE 16 END::DOUBLE AS y1,
+ CASE WHEN hit THEN {_round("y1 + 4")} ELSE 0 END::DOUBLE AS below_y0, CASE WHEN hit THEN least(595, {_round("x0 + 140")}) ELSE 140 END::DOUBLE AS below_x1, CASE WHEN hit THEN 100.5 ELSE 0 END::DOUBLE AS set_y0, CASE WHEN hit THEN 116.5 ELSE 16 END::DOUBLE AS set_y1 FROM h""")
 def q22_anchored_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 700).cast("double")
+    x, y = (F.col("l_partkey") % 500) / F.lit(16.0), (F.col("l_suppkey") % 700) / F.lit(20.0)
     hit = F.when(F.col("l_partkey") % 5 > 0, F.struct(x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 10).alias("y1")))
     rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", hit.alias("hit"))
     right, under, fixed = (layout.anchored_box(F.col("hit"), 595, 842, **more) for more in ({}, {"below": True}, {"y_override": 100.5}))
@@ -254,13 +260,15 @@ def q28_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey", text.bytes_to_human(F.abs(F.col("c_acctbal").cast("double")) * 1000 + 1).alias("size"), text.confidence_badge(score, F.lit(60.0)).alias("badge"), text.resolve_language(_pick(("eng", "eng+nep", "nep+hin"), key % 3), ["eng", "nep"]).alias("language"))
 
 
-@registered("""
-WITH w AS (SELECT c_custkey, [c_name, '', 'n' || c_nationkey] AS t, [CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 90 + 1.0 ELSE -1.0 END, 50.0, CASE WHEN c_custkey % 2 > 0 THEN 40.0 END]::DOUBLE[] AS c FROM customer)
-SELECT c_custkey, t[1] || ' ' || t[3] AS text, CASE WHEN c[1] >= 0 AND c[3] IS NOT NULL THEN round((c[1] + c[3]) / 2, 1) WHEN c[1] >= 0 THEN round(c[1], 1) ELSE c[3] END AS confidence FROM w""")
+@registered(f"""
+WITH w AS (SELECT c_custkey, [c_name, '', 'n' || c_nationkey] AS t, [CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 90 + 1.25 ELSE -1.0 END, 50.0, CASE WHEN c_custkey % 2 > 0 THEN 40.25 END]::DOUBLE[] AS c FROM customer)
+SELECT c_custkey, t[1] || ' ' || t[3] AS text, {_round("CASE WHEN c[1] >= 0 AND c[3] IS NOT NULL THEN (c[1] + c[3]) / 2 WHEN c[1] >= 0 THEN c[1] ELSE c[3] END")} AS confidence FROM w""")
 def q29_recognized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with white space of several kinds around them, or of nothing else."""
     key = F.col("c_custkey")
     word = lambda t, c: F.struct(t.alias("text"), c.cast("double").alias("confidence"))
-    words = F.array(word(F.concat(F.lit(" "), "c_name"), F.when(key % 4 > 0, key % 90 + 1.0).otherwise(-1.0)), word(F.lit(" "), F.lit(50.0)), word(F.concat(F.lit("n"), "c_nationkey"), F.when(key % 2 > 0, 40.0)))
+    blank = _pick((" ", "\t", "\n\u00a0", ""), key % 4)
+    words = F.array(word(F.concat(blank, "c_name", F.lit("\n")), F.when(key % 4 > 0, key % 90 + 1.25).otherwise(-1.0)), word(blank, F.lit(50.0)), word(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), blank), F.when(key % 2 > 0, 40.25)))
     return _read(spark, sf_dir, "customer").select("c_custkey", extraction.ocr_text(words).alias("o")).select("c_custkey", "o.*")
 
 
@@ -284,11 +292,15 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH n AS (SELECT c_custkey, rpad(c_name, 16, '~') AS s FROM customer), v AS (SELECT c_custkey, var_pop(ascii(substr(s, CAST(i AS INT), 1))::DOUBLE) AS v FROM n, range(1, 17) t(i) GROUP BY c_custkey)
-SELECT CAST(c_custkey AS VARCHAR) AS document, round(v, 6) AS variance, CASE WHEN v >= 250 THEN 'PRESENT' WHEN v < 75 THEN 'NOT_DETECTED' ELSE 'REVIEW_REQUIRED' END AS status FROM v""")
+WITH n AS (SELECT c_custkey, rpad(c_name, 16, '~') AS s FROM customer), b AS (SELECT c_custkey, i - 1 AS i, ascii(substr(s, CAST(i AS INT), 1)) AS x FROM n, range(1, 17) t(i)),
+l AS (SELECT a.c_custkey, a.x, count(*) FILTER (b.x <= a.x) AS below, sum(b.x) FILTER (b.x <= a.x) AS mass, sum(b.x) AS total FROM (SELECT DISTINCT c_custkey, x FROM b) a JOIN b USING (c_custkey) GROUP BY a.c_custkey, a.x),
+o AS (SELECT c_custkey, arg_max(x, (between_, -x)) AS level FROM (SELECT c_custkey, x, CASE WHEN below < 16 THEN (total * below - mass * 16.0::DOUBLE) ** 2 / (below * (16 - below)) ELSE 0 END AS between_ FROM l) GROUP BY c_custkey)
+SELECT CAST(c_custkey AS VARCHAR) AS document, round(var_pop(x::DOUBLE), 6) AS variance, CASE WHEN var_pop(x::DOUBLE) >= 250 THEN 'PRESENT' WHEN var_pop(x::DOUBLE) < 75 THEN 'NOT_DETECTED' ELSE 'REVIEW_REQUIRED' END AS status,
+ count(*) FILTER (x <= level) / 16.0::DOUBLE AS ink_share, count(*) FILTER (x <= level AND i IN (6, 9, 10, 11, 14)) / 5.0::DOUBLE AS ink_ratio FROM b JOIN o USING (c_custkey) GROUP BY c_custkey""")
 def q31_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance, and the shares of ink in a picture and in its circle by its own threshold."""
     found = _rasters(spark, sf_dir).withColumn("f", raster.features("raster")).select("document", "f.*")
-    return found.select("document", F.round("variance", 6).alias("variance"), raster.presence(found, F.lit("PHOTO"))["status"].alias("status"))
+    return found.select("document", F.round("variance", 6).alias("variance"), raster.presence(found, F.lit("PHOTO"))["status"].alias("status"), "ink_share", "ink_ratio")
 
 
 @registered("""
@@ -301,11 +313,12 @@ def q32_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-SELECT CAST(c_custkey AS VARCHAR) AS document, p.page, p.names, CASE WHEN p.page = 2 THEN c_name ELSE c_phone END AS first_value FROM (SELECT c_custkey, c_name, c_name AS c_phone FROM customer) c, (VALUES (2, 'name'), (3, 'dob')) p(page, names) WHERE NOT (p.page = 3 AND c_custkey % 2 = 0)""")
+SELECT CAST(c_custkey AS VARCHAR) AS document, p.page, p.names, c_name AS first_value FROM customer, (VALUES (2, 'name'), (3, 'dob')) p(page, names) WHERE NOT (p.page = 3 AND c_custkey % 2 = 0)""")
 def q33_fields_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rois = templates.first_named(templates.rois(_forms(spark, sf_dir).where("template_path = 'x/f1.json'"))).withColumn("document", F.lit(""))
+    """Values of documents of many templates, each beside the regions of its own."""
+    rois = templates.first_named(templates.rois(_forms(spark, sf_dir))).withColumn("document", F.lit(""))
     names = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("name"), F.lit("nowhere"))).otherwise(F.array(F.lit("name"), F.lit("dob")))
-    values = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("document"), F.explode(names).alias("roi_name"), F.col("c_name").alias("value"))
+    values = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("document"), F.concat(F.lit("t"), "c_custkey").alias("template_id"), F.explode(names).alias("roi_name"), F.col("c_name").alias("value"))
     return extraction.by_page(rois, values).select("document", "page", F.array_join("fields.roi_name", ",").alias("names"), F.col("fields")[0]["value"].alias("first_value"))
 
 
@@ -341,6 +354,113 @@ def q36_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("template_id", get("$.form_code").alias("form_code"), F.regexp_replace(get("$.page_size_pts"), r"\s", "").alias("page_size"), F.array_join(names, ",").alias("names"))
 
 
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with their words placed, as arrays; a word is a unit wide for each character."""
+    by_line = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(i.alias("word_no"), (i * 10.0).alias("x0"), (F.col("line") * 12.0).alias("y0"), (i * 10.0 + F.length(w)).alias("x1"), (F.col("line") * 12.0 + 10).alias("y1"), w.alias("text")))
+    return by_line.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), "line", words.alias("words"), "text")
+
+
+@registered(f"""
+WITH p AS (SELECT DISTINCT unnest([list_aggregate(list_slice(w, 1, 2), 'string_agg', ' '), list_aggregate(list_slice(w, 3, 4), 'string_agg', ' ')]) AS phrase FROM (SELECT string_split(text, ' ') AS w FROM benchmark)),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+h AS (SELECT *, instr(lower(t), lower(phrase)) - 1 AS hit FROM l JOIN p ON phrase <> '' AND contains(lower(t), lower(phrase))),
+w AS (SELECT doc_id, line, phrase, len(string_split(substr(t, 1, hit), ' ')) - 1 AS a, len(string_split(substr(t, 1, hit + length(phrase)), ' ')) - 1 AS b, string_split(t, ' ') AS ws FROM h),
+r AS (SELECT doc_id, line, phrase, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY line) - 1 AS occurrence, a * 10.0::DOUBLE AS x0, line * 12.0::DOUBLE AS y0, b * 10.0::DOUBLE + length(ws[b + 1]) AS x1, line * 12.0::DOUBLE + 10 AS y1 FROM w)
+SELECT doc_id, phrase, CAST(line AS INT) AS line, CAST(occurrence AS INT) AS occurrence, x0, y0, x1, y1, least(20000, {_round("x1 + 6")}) AS box_x0, greatest(0, {_round("y0 - 3")}) AS box_y0 FROM r""")
+def q37_phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase of a table in every line of documents, and the box that it anchors."""
+    words = F.split("text", " ")
+    pair = lambda at: F.array_join(F.slice(words, at, 2), " ")
+    phrases = _read(spark, sf_dir, "benchmark").select(F.explode(F.array(pair(1), pair(3))).alias("phrase"))
+    found = layout.phrases_in(_document_lines(spark, sf_dir), phrases, "doc_id")
+    box = layout.anchored_box(F.struct("x0", "y0", "x1", "y1"), 20000, 2000000)
+    return found.select("doc_id", "phrase", "line", "occurrence", "x0", "y0", "x1", "y1", box["box"][0].alias("box_x0"), box["box"][1].alias("box_y0"))
+
+
+@registered("""
+WITH p AS (SELECT o_custkey AS page, o_orderkey AS position, o_orderpriority || ' ' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS label FROM orders), w AS (SELECT DISTINCT right(c_name, 4) AS wanted FROM customer),
+h AS (SELECT *, row_number() OVER (PARTITION BY page, wanted ORDER BY position, label) AS n FROM p JOIN w ON contains(lower(label), lower(wanted)))
+SELECT page, wanted, position, label FROM h WHERE n = 1""")
+def q38_option_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many wanted texts as pages, found in labels through the index of their grams."""
+    found = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("position"), F.concat_ws(" ", "o_orderpriority", F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("label"))
+    wanted = _read(spark, sf_dir, "customer").select(F.right("c_name", F.lit(4)).alias("wanted")).distinct()
+    return layout.bind_options(found, wanted, "page").select("page", "wanted", "position", "label")
+
+
+_EDITED = ("add", "update_box", "move", "resize", "rename", "set_field", "delete", "duplicate", "nonsense")
+_NAMES, _NEW = ("name", "dob", "name_copy", "other"), ("full", "dob", "name")
+
+
+@registered(f"""
+WITH RECURSIVE log AS (
+  SELECT 't' || o_custkey AS t, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, {_list(_EDITED)}[o_orderkey % 9 + 1] AS op,
+   {_list(_NAMES)}[o_orderkey // 9 % 4 + 1] AS name, CASE WHEN o_orderkey % 5 > 0 THEN {_list(_NEW)}[o_orderkey % 3 + 1] END AS new, (o_orderkey % 50)::DOUBLE AS x, o_orderkey % 7 = 0 AS bad FROM orders),
+start AS (SELECT 't' || c_custkey AS t, [{{'name': 'name', 'page': 2, 'x0': 1.0::DOUBLE, 'cal': true, 'note': NULL::VARCHAR}}, {{'name': 'dob', 'page': 3, 'x0': NULL, 'cal': false, 'note': NULL}}, {{'name': 'name', 'page': 5, 'x0': NULL, 'cal': false, 'note': NULL}}] AS rs FROM customer),
+steps AS (
+  SELECT t, 0::BIGINT AS k, rs, []::STRUCT(seq BIGINT, op VARCHAR, name VARCHAR, error VARCHAR)[] AS es FROM start
+  UNION ALL
+  SELECT t, k + 1, CASE WHEN error IS NOT NULL THEN rs
+     WHEN op = 'add' THEN list_append(rs, {{'name': CASE WHEN list_contains(names, name) THEN name || '_' || suffix ELSE name END, 'page': 1, 'x0': x, 'cal': true, 'note': 'n' || seq}})
+     WHEN op = 'duplicate' THEN list_append(rs, {{'name': CASE WHEN list_contains(names, coalesce(new, name || '_copy')) THEN coalesce(new, name || '_copy') || '_' || suffix ELSE coalesce(new, name || '_copy') END, 'page': rs[place].page, 'x0': rs[place].x0, 'cal': rs[place].cal, 'note': rs[place].note}})
+     WHEN op = 'delete' THEN list_filter(rs, lambda r: r.name <> name)
+     ELSE list_transform(rs, lambda r, i: CASE WHEN i <> place THEN r
+       WHEN op = 'update_box' THEN {{'name': r.name, 'page': r.page, 'x0': x, 'cal': true, 'note': r.note}}
+       WHEN op = 'move' THEN {{'name': r.name, 'page': r.page, 'x0': r.x0 + x, 'cal': r.cal, 'note': r.note}}
+       WHEN op = 'rename' THEN {{'name': new, 'page': r.page, 'x0': r.x0, 'cal': r.cal, 'note': r.note}}
+       WHEN op = 'set_field' THEN {{'name': r.name, 'page': r.page, 'x0': x, 'cal': r.cal, 'note': 'n' || seq}} ELSE r END) END,
+   CASE WHEN error IS NULL THEN es ELSE list_append(es, {{'seq': seq, 'op': op, 'name': name, 'error': error}}) END
+  FROM (SELECT *, CASE WHEN op = 'nonsense' THEN 'unknown edit nonsense' WHEN op = 'add' AND bad THEN 'unknown field type ODD' WHEN op NOT IN ('add', 'delete') AND place IS NULL THEN 'no region named ' || name
+      WHEN op = 'rename' AND new IS NULL THEN 'a new name is missing' WHEN op = 'rename' AND new <> name AND list_contains(names, new) THEN 'a region named ' || new || ' exists' END AS error
+    FROM (SELECT s.t, s.k, s.rs, s.es, l.seq, l.op, l.name, l.new, l.x, l.bad, list_transform(s.rs, lambda r: r.name) AS names, list_position(list_transform(s.rs, lambda r: r.name), l.name) AS place, left(md5(s.t || ':' || l.seq), 8) AS suffix
+      FROM steps s JOIN log l ON l.t = s.t AND l.k = s.k + 1))),
+last AS (SELECT t, rs, es FROM steps QUALIFY row_number() OVER (PARTITION BY t ORDER BY k DESC) = 1)
+SELECT t AS template_id, 'region' AS kind, n, r.name AS roi_name, CAST(r.page AS INT) AS page, r.x0 AS x0, r.cal AS calibrated, r.note AS note FROM (SELECT t, unnest(rs) AS r, unnest(range(len(rs))) AS n FROM last)
+UNION ALL SELECT t, e.op, e.seq, e.name, NULL, NULL, NULL, e.error FROM (SELECT t, unnest(es) AS e FROM last)""")
+def q39_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of edits, one for each order, over a template for each customer; what is left, and what failed."""
+    key = F.col("o_orderkey")
+    field = F.when((key % 7 == 0) & (key % 9 == 0), '"field_type": "ODD", ').otherwise("")
+    x = (key % 50).cast("string")
+    args = F.concat(F.lit("{"), field, F.lit('"box": ['), x, F.lit(', 0, 90, 9], "dx": '), x, F.lit(', "width": 5, "height": 6, "notes": "n'), key.cast("string"), F.lit('", "unheard_of": 1}'))
+    log = _read(spark, sf_dir, "orders").select(F.concat(F.lit("t"), "o_custkey").alias("template_id"), key.alias("seq"), _pick(_EDITED, key % 9).alias("op"), _pick(_NAMES, F.floor(key / 9) % 4).alias("roi_name"), F.when(key % 5 > 0, _pick(_NEW, key % 3)).alias("new_name"), args.alias("args"))
+    left, errors = edits.apply(templates.rois(_forms(spark, sf_dir)), log)
+    regions = left.select("template_id", F.lit("region").alias("kind"), F.col("position.pos").cast("long").alias("n"), "roi_name", "page", F.get("box", 0).alias("x0"), "calibrated", F.col("notes").alias("note"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return regions.unionByName(errors.select("template_id", F.col("op").alias("kind"), F.col("seq").alias("n"), "roi_name", none("int").alias("page"), none("double").alias("x0"), none("boolean").alias("calibrated"), F.col("error").alias("note")))
+
+
+@registered("""
+WITH n AS (SELECT CAST(c_custkey AS VARCHAR) AS document, rpad(c_name, 16, '~') AS s FROM customer)
+SELECT document, s AS data, 'image' AS kind, 4 AS h, 4 AS w, 12 AS prepared_h, 12 AS prepared_w, true AS two_levels, 0 AS n_skipped FROM n""")
+def q40_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures written as image files and read back, and prepared for reading numbers."""
+    rows = _rasters(spark, sf_dir).withColumn("file", raster.png("raster")).withColumn("back", raster.from_png("file"))
+    rows = raster.prepared(rows.withColumn("crop", F.col("raster")).withColumn("field_type", F.lit("NUMBER")))
+    levels = F.translate(F.hex("prepared.raster.data"), "F0", "") == ""
+    kind = F.when(F.hex(F.substring("file", 1, 4)) == "89504E47", "image")
+    return rows.select("document", F.decode("back.data", "US-ASCII").alias("data"), kind.alias("kind"), "back.h", "back.w", F.col("prepared.raster.h").alias("prepared_h"), F.col("prepared.raster.w").alias("prepared_w"), levels.alias("two_levels"), F.size("prepared.skipped").alias("n_skipped"))
+
+
+def _banded(bands: tuple, details: tuple) -> str:
+    text = lambda d: "NULL" if d is None else f"'{d}'"
+    case = lambda values: "CASE WHEN m = n THEN {} WHEN ratio >= {} THEN {} WHEN ratio >= {} THEN {} WHEN ratio >= {} THEN {} ELSE {} END".format(values[0], bands[0], values[1], bands[1], values[2], bands[2], values[3], values[4])
+    return f"{case(tuple(map(repr, ('MATCH', 'MATCH', 'PROBABLE_MATCH', 'REVIEW_REQUIRED', 'MISMATCH'))))}, {case((text(match.EXACT), *map(text, details)))}"
+
+
+@registered(f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS n, l_partkey % (CAST(l_quantity AS INT) + 1) AS m FROM lineitem), s AS (SELECT *, 2.0::DOUBLE * m / (2 * n) AS ratio FROM r)
+SELECT l_orderkey, l_linenumber, CASE WHEN m = n THEN 99.0 ELSE {_round("ratio * 100")} END AS confidence, {_banded(match.NAME_BANDS, match.NAME_DETAILS).replace(" END, CASE", " END AS name_result, CASE")} AS name_detail, {_banded(match.TEXT_BANDS, (None,) * 4).split(", CASE")[0]} AS text_result FROM s""")
+def q41_similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and texts that agree in m of n characters, so that their similarity is m / n."""
+    n = F.col("l_quantity").cast("int")
+    m = F.col("l_partkey") % (n + 1)
+    a, b = F.repeat(F.lit("x"), n), F.concat(F.repeat(F.lit("x"), m.cast("int")), F.repeat(F.lit("y"), (n - m).cast("int")))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", match.match_name(a, b).alias("name"), match.match_text(a, b).alias("text"))
+    return rows.select("l_orderkey", "l_linenumber", "name.confidence", F.col("name.result").alias("name_result"), F.col("name.detail").alias("name_detail"), F.col("text.result").alias("text_result"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in FOUND.items()}
 

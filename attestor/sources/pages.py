@@ -21,7 +21,8 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest(rows: DataFrame, dpi: int = 200) -> DataFrame:
-    """All pages; a file that can't be read gives one row with its error."""
+    """All pages; a page that can't be drawn has a placeholder, and a file that
+    can't be read any further gives one row with its error after the pages before it."""
     providers = dict(backends.PROVIDERS)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,7 +33,7 @@ def ingest(rows: DataFrame, dpi: int = 200) -> DataFrame:
                     for at, (h, w, c, data, nw, nh) in backends.pages_of(row.path, row.content, dpi, providers):
                         out.append(base | {"page_in_file": at, "native_w": nw, "native_h": nh, "raster": {"h": h, "w": w, "c": c, "data": data}, "error": None})
                 except Exception as e:
-                    out = [base | {"page_in_file": None, "native_w": None, "native_h": None, "raster": None, "error": str(e)}]
+                    out.append(base | {"page_in_file": None, "native_w": None, "native_h": None, "raster": None, "error": str(e)})
                 yield pd.DataFrame(out, columns=["document", "file_order", "path", "page_in_file", "native_w", "native_h", "raster", "error"])
 
     return rows.select("document", "file_order", "path", "content").mapInPandas(each, SCHEMA)

@@ -23,6 +23,7 @@ DEFAULTS = {
 }
 
 
+SALTS = 16
 #: A file's name without its extension, in a path.
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -32,6 +33,47 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("template_path"), F.col("value").alias("json"))
 
 
+#: Templates by session and path: what their files were, and their rows.
+_LOADED: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+#: Most files of a path that is kept; rows of regions that are broadcast to what they are joined with.
+KEPT_FILES, FEW_REGIONS = 10_000, 1 << 16
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The regions of all template files under a path, kept until one of the files changes.
+
+    A file is known by its path, length and time of change, which are listed
+    without reading it; so a path of more than KEPT_FILES is read each time.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path", "length", "modificationTime")
+    files = tuple(sorted(map(tuple, listed.limit(KEPT_FILES + 1).collect())))
+    if len(files) > KEPT_FILES:
+        return rois(read_files(spark, path))
+    place = (spark.sparkContext.applicationId, path)
+    known, rows = _LOADED.get(place, (None, None))
+    if known != files:
+        if rows is not None:
+            rows.unpersist()
+        rows = rois(read_files(spark, path)).persist()
+        _LOADED[place] = files, rows
+    return rows
+
+
+def beside(rows: DataFrame, regions: DataFrame, *on: str) -> DataFrame:
+    """rows with their regions, joined on the columns named and, if both have it, on the template.
+
+    Few keys take most rows (page 1, a usual name), so rows are not shuffled by
+    them: up to FEW_REGIONS regions are broadcast; of more, each is dealt to SALTS parts of its key.
+    """
+    keys = [*on, *(["template_id"] if "template_id" in rows.columns and "template_id" in regions.columns and "template_id" not in on else [])]
+    own = regions.drop(*(c for c in rows.columns if c in regions.columns and c not in keys))
+    if own.limit(FEW_REGIONS + 1).count() <= FEW_REGIONS:
+        return rows.join(F.broadcast(own), keys)
+    plain = [c for c, kind in rows.dtypes if kind in ("string", "int", "bigint", "double", "boolean", "date", "timestamp")]
+    salt = F.pmod(F.xxhash64(F.lit("salt"), *plain), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"]).drop("_salt")
+
+
 def _field(region: Column, name: str, page: Column) -> Column:
     kind, default = DEFAULTS[name]
     missing = F.try_variant_get(region, f"$.{name}", "variant").isNull()
@@ -85,12 +127,15 @@ def first_named(rows: DataFrame) -> DataFrame:
 
 
 def add(rows: DataFrame, new: DataFrame) -> DataFrame:
-    """New regions; one whose name is taken gets a random suffix, one of an
+    """New regions; one whose name is taken, by a region or a new one before it, gets a random suffix, one of an
     unknown type is an error."""
     taken = rows.select("template_id", "roi_name").distinct().withColumn("_taken", F.lit(True))
     known = F.when(F.col("field_type").isin(*FIELD_TYPES), F.col("field_type")).otherwise(F.raise_error(F.concat(F.lit("unknown field type "), F.col("field_type"))))
     suffix = F.concat(F.col("roi_name"), F.lit("_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))
-    named = new.withColumn("field_type", known).join(taken, ["template_id", "roi_name"], "left").withColumn("roi_name", F.when(F.col("_taken"), suffix).otherwise(F.col("roi_name"))).drop("_taken")
+    order = "position" if "position" in new.columns else "roi_name"
+    again = F.expr(f"row_number() OVER (PARTITION BY template_id, roi_name ORDER BY {order})") > 1
+    named = new.withColumn("field_type", known).withColumn("_again", again).join(taken, ["template_id", "roi_name"], "left")
+    named = named.withColumn("roi_name", F.when(F.coalesce("_taken", "_again"), suffix).otherwise(F.col("roi_name"))).drop("_taken", "_again")
     return rows.unionByName(named, allowMissingColumns=True)
 
 
