@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from attestor.llm import kernels
 
-#: Least and most rows of a shard, in expectation; between them a table has SHARDS shards.
-SHARD_ROWS, MOST_ROWS, SHARDS = 4096, 1 << 16, 256
-#: Queries of a block, in expectation.
-QUERY_ROWS = 512
+#: Least and most rows of a shard, in expectation; between them a table has SHARDS shards.  Most bytes of its vectors.
+SHARD_ROWS, MOST_ROWS, SHARDS, SHARD_BYTES = 4096, 1 << 16, 256, 64 << 20
+#: Queries of a block, in expectation, and blocks that one copy of a graph serves.
+QUERY_ROWS, BLOCKS = 512, 256
 LINKS, BREADTH_BUILD, BREADTH_SEARCH = 12, 80, 96
 
 
@@ -167,14 +167,23 @@ def build(rows: pa.Table) -> bytes:
     return _packed(ids=ids, x=x, order=order, begin=begin, units=graph.x, entry=graph.entry, top=graph.top, **links)
 
 
-def answer(shard: bytes, block: bytes, k: int) -> list[tuple[int, int, float]]:
-    """(query, row, cosine) of the best k rows of a built shard for each query of
+def opened(shard: bytes) -> tuple[Graph, dict[str, np.ndarray]]:
+    """The graph of a built shard, and its rows with their norms."""
+    with np.load(io.BytesIO(shard)) as part:
+        stored = dict(part)
+    links = [stored[f"links{level}"] for level in range(sum(c.startswith("links") for c in stored))]
+    graph = Graph.restored(stored["units"], links, int(stored["entry"]), int(stored["top"]))
+    return graph, stored | {"norm": np.sqrt((stored["x"] * stored["x"]).sum(axis=1))}
+
+
+def answer(shard: tuple[Graph, dict[str, np.ndarray]], block: bytes, k: int) -> list[tuple[int, int, float]]:
+    """(query, row, cosine) of the best k rows of an opened shard for each query of
     a block, by exact cosine of all rows of the nodes found."""
-    with np.load(io.BytesIO(shard)) as part, np.load(io.BytesIO(block)) as asked:
-        stored, queries, q = dict(part), asked["ids"], asked["x"]
-    ids, x, order, begin = (stored[c] for c in ("ids", "x", "order", "begin"))
-    graph = Graph.restored(stored["units"], [stored[f"links{level}"] for level in range(sum(c.startswith("links") for c in stored))], int(stored["entry"]), int(stored["top"]))
-    norm, norm_q = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    graph, stored = shard
+    with np.load(io.BytesIO(block)) as asked:
+        queries, q = asked["ids"], asked["x"]
+    ids, x, order, begin, norm = (stored[c] for c in ("ids", "x", "order", "begin", "norm"))
+    norm_q = np.sqrt((q * q).sum(axis=1))
     out: list[tuple[int, int, float]] = []
     for i in range(len(queries)):
         rows = np.concatenate([order[begin[g] : begin[g + 1]] for g in graph.nearest((q[i] / norm_q[i]).astype(np.float32))])
@@ -184,6 +193,19 @@ def answer(shard: bytes, block: bytes, k: int) -> list[tuple[int, int, float]]:
     return out
 
 
+def served(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Answers of a stream in which each graph (not asked) comes before its blocks of queries."""
+    shard = None
+    for batch in batches:
+        for asked, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if not asked:
+                shard = opened(payload.as_py())
+                continue
+            found = answer(shard, payload.as_py(), k)
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """vec_id, vector and dim of the rows that take part."""
     v = F.col(vector)
@@ -195,19 +217,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
     """query_id, rank, vec_id, score: the k nearest found of each query.
 
     Every graph is built once and stored in the checkpoint folder; then blocks
-    of queries meet the shards, each pair a row of its own that any task takes.
+    of queries are sent to the shards.  A task opens a graph once and answers the
+    blocks that stream past it, BLOCKS at most, which bounds its time; so a graph is
+    copied once for that many blocks.
     """
-    rows, number = vectors.count(), queries.count()
-    shard_rows = shard_rows or min(MOST_ROWS, max(SHARD_ROWS, rows // SHARDS))
+    seen = usable(vectors).agg(F.count("*"), F.max("dim")).first()
+    rows, number, dim = seen[0], queries.count(), seen[1] or 1
+    shard_rows = shard_rows or max(1, min(MOST_ROWS, max(SHARD_ROWS, rows // SHARDS), SHARD_BYTES // (12 * dim)))
     shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-number // QUERY_ROWS))
+    copies = -(-blocks // BLOCKS)
 
     @kernels.tidied
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, block in zip(batch.column(0), batch.column(1), strict=True):
-                found = answer(shard.as_py(), block.as_py(), k)
-                columns = zip(*found, strict=True) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+        yield from served(batches, k)
 
     def built(key: tuple, part: pa.Table) -> pa.Table:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([build(part)], pa.binary())], names=["dim", "shard", "graph"])
@@ -221,8 +243,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
     graphs = dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(built, "dim int, shard int, graph binary").checkpoint()
     asked = usable(queries).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     asked = asked.groupBy("dim", "block").applyInArrow(gathered, "dim int, block int, queries binary").checkpoint()
-    pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard", "block"])
-    found = pairs.select("graph", "queries").mapInArrow(answered, "query_id long, vec_id long, score double")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    held = graphs.select("dim", "shard", every(copies).alias("copy"), F.lit(0).alias("asked"), F.lit(-1).alias("block"), F.col("graph").alias("payload"))
+    sent = asked.select("dim", every(shards).alias("shard"), (F.col("block") % copies).alias("copy"), F.lit(1).alias("asked"), "block", F.col("queries").alias("payload"))
+    # blocks go where a graph of their dimension is
+    sent = sent.join(graphs.select("dim", "shard").checkpoint(), ["dim", "shard"], "left_semi").select(*held.columns)
+    stream = held.unionByName(sent).repartition(4 * shards * copies, "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "asked", "block")
+    found = stream.select("asked", "payload").mapInArrow(answered, "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

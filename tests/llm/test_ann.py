@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attestor.llm import ann
@@ -34,6 +35,33 @@ def test_recall_and_ties(spark):
     assert [i for i, *_ in got[100]] == [7, 101, 102, 103, 104]
 
 
+def test_a_graph_is_opened_once_for_its_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    tables = [pa.table([pa.array(range(at, at + 90)), pa.array(rng.normal(size=(90, 8)).tolist())], names=["vec_id", "vector"]) for at in (0, 1000)]
+    graphs = [ann.build(t) for t in tables]
+    blocks = [ann._packed(ids=np.array([5000 + i]), x=rng.normal(size=(1, 8))) for i in range(6)]
+    opened, loads = ann.opened, []
+    monkeypatch.setattr(ann, "opened", lambda g: loads.append(g) or opened(g))
+    stream = [(0, graphs[0]), *((1, b) for b in blocks), (0, graphs[1]), *((1, b) for b in blocks)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in stream[i : i + 3]]), pa.array([p for _, p in stream[i : i + 3]])], ["asked", "payload"]) for i in range(0, len(stream), 3)]
+    rows = [r for batch in ann.served(iter(batches), 5) for r in batch.to_pylist()]
+    assert loads == graphs and len(rows) == 6 * 2 * 5 and {r["vec_id"] // 1000 for r in rows} == {0, 1}
+
+
+def test_blocks_over_copies_of_shards(spark, monkeypatch):
+    """Few queries a block and few blocks a copy change nothing; shards are bounded by bytes."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))] + [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    df = prepare(spark).createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {tuple(r) for r in ann.nearest(df, df.where("vec_id % 10 = 0"), shard_rows=150).collect()}
+    for name, value in (("QUERY_ROWS", 7), ("BLOCKS", 2)):
+        monkeypatch.setattr(ann, name, value)
+    assert {tuple(r) for r in ann.nearest(df, df.where("vec_id % 10 = 0"), shard_rows=150).collect()} == want and len(want) == 46 * 5
+    monkeypatch.setattr(ann, "SHARD_BYTES", 12 * 8 * 100)
+    bounded = {tuple(r) for r in ann.nearest(df, df.where("vec_id % 10 = 0")).collect()}
+    assert len(bounded & want) >= 0.9 * len(want)
+
+
 def test_few_and_none(spark):
     df = prepare(spark).createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest_to_every_fiftieth(df).collect()] == [(0, 1)]
