@@ -367,7 +367,7 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(
 h AS (SELECT *, instr(lower(t), lower(phrase)) - 1 AS hit FROM l JOIN p ON phrase <> '' AND contains(lower(t), lower(phrase))),
 w AS (SELECT doc_id, line, phrase, len(string_split(substr(t, 1, hit), ' ')) - 1 AS a, len(string_split(substr(t, 1, hit + length(phrase)), ' ')) - 1 AS b, string_split(t, ' ') AS ws FROM h),
 r AS (SELECT doc_id, line, phrase, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY line) - 1 AS occurrence, a * 10.0::DOUBLE AS x0, line * 12.0::DOUBLE AS y0, b * 10.0::DOUBLE + length(ws[b + 1]) AS x1, line * 12.0::DOUBLE + 10 AS y1 FROM w)
-SELECT doc_id, phrase, CAST(line AS INT) AS line, CAST(occurrence AS INT) AS occurrence, x0, y0, x1, y1, least(20000, {_round("x1 + 6")}) AS box_x0, greatest(0, {_round("y0 - 3")}) AS box_y0 FROM r""")
+SELECT doc_id, phrase, CAST(line AS INT) AS line, CAST(occurrence AS INT) AS occurrence, x0, y0, x1, y1, greatest(0, {_round("x1 + 6")}) AS box_x0, greatest(0, {_round("y0 - 3")}) AS box_y0 FROM r""")
 def q37_phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every phrase of a table in every line of documents, and the box that it anchors."""
     words = F.split("text", " ")
