@@ -310,6 +310,37 @@ def test_chat_events(spark):
         assert chat.unescape(chat.escape(text)) == text
 
 
+def test_chat_logs_with_revisions(spark):
+    """The log of op2 holds every kind of event; a plain fold of it, row by row, gives the turns that it came from."""
+    rng = random.Random(8)
+    bits = ["<|im_end|>", "<|im_start|>assistant\n", "<\\|", "word ", "é😀", "\n", ""]
+    turns = [(c, t, rng.choice(["user", "assistant", "system"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 900)))) for c in range(30) for t in range(rng.randint(1, 7))]
+    turns += [turns[3], (5, None, "user", "x"), (None, 1, "user", "x"), (40, 0, None, None)]
+    table = prepare(spark).createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit("x"), "kind": F.lit(1), "_piece": F.lit(2), "_event": F.lit(3)})
+    log = chat.as_events(table, 400, revised=True)
+    events = log.orderBy("conv_id", "seq").collect()
+    assert {e["kind"] for e in events} == {"message", "delta", "edit", "regenerate"} and max(len(e["text"]) for e in events if e["kind"] == "delta") <= 406
+    state = {}
+    for e in events:
+        own = state.setdefault(e["conv_id"], {})
+        if e["kind"] == "message":
+            own.setdefault(e["turn"], [e["role"], e["text"]])
+        elif e["kind"] == "delta":
+            own[e["turn"]][1] += e["text"]
+        elif e["kind"] == "edit":
+            own[e["turn"]][1] = e["text"]
+        else:
+            state[e["conv_id"]] = {t: m for t, m in own.items() if t <= e["turn"]}
+            state[e["conv_id"]][e["turn"]][1] = ""
+    want = {}
+    for c, t, r, x in sorted((c, t, r or "", x or "") for c, t, r, x in turns if c is not None and t is not None):
+        want.setdefault(c, []).append((r, x))
+    assert {c: [tuple(m) for _, m in sorted(own.items())] for c, own in state.items()} == want
+    assert {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.reconstruct(log).collect()} == want
+    empty = chat.format_all(spark, table.limit(0)).collect()
+    assert [(r["conv_id"], r["n_turns"], r["loss_chars"]) for r in empty] == [(-1, 2, 34)]
+
+
 def test_mix(spark):
     rng = random.Random(5)
     texts = ODD + [" ".join("w" for _ in range(rng.randint(1, 60))) for _ in range(600)]
