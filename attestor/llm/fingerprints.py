@@ -7,8 +7,9 @@ between very unequal documents: the share of one sketch that the other holds.
 
 Defined cases: null and empty texts, and texts without words, have the empty
 sketch ``""``; two equal sketches (empty ones too) are alike to 1.0, an empty
-and a non-empty one to 0.0.  Repeated rows each get a row.  Extra columns of
-the input are ignored.
+and a non-empty one to 0.0.  Repeated rows each get a row; rows of one id share a
+task.  Very long texts are hashed in chunks.  An empty table has no rows; extra
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from attestor.llm import kernels
 
 #: The share of the hash space that sketches keep.
 FRACTION = 1 / 8
-#: Most ranges of ids that neighbours() deals documents to.
-MAX_RANGES = 4096
-RANGE_ROWS = 1000
+#: Most ranges of ids that neighbours() deals documents to, rows of a range, and sampled ids for each.
+MAX_RANGES, RANGE_ROWS, SAMPLED = 1 << 18, 1000, 8
 
 
 def keep(hashes: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
@@ -77,14 +77,23 @@ def fingerprint(docs: DataFrame, fraction: float = FRACTION, text: str = "text")
     return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(each, T.StructType([T.StructField("doc_id", kind), T.StructField("sketch", T.ArrayType(T.LongType()))]))
 
 
+def range_bounds(docs: DataFrame) -> np.ndarray:
+    """Ids that part the documents into ranges of about RANGE_ROWS rows, from a sample of ids by hash."""
+    rows = docs.count()
+    count = max(1, min(MAX_RANGES, rows // RANGE_ROWS))
+    if count == 1:
+        return np.zeros(0, np.int64)
+    share = min(1.0, SAMPLED * count / rows)
+    ids = docs.select("doc_id").where(F.pmod(F.xxhash64(F.lit("range"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).toPandas()["doc_id"].to_numpy(np.int64)
+    return np.unique(np.sort(ids)[SAMPLED::SAMPLED])
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """(_range, doc_id, text, _guest): documents dealt to ranges of ids; each
     range also gets, as a guest, the first document of the next range (of the
-    first one after the last).  Only range bounds, at most MAX_RANGES ids, are
-    seen by the driver."""
-    rows = docs.count()
-    count = max(1, min(MAX_RANGES, rows // RANGE_ROWS))
-    bounds = np.array(sorted(set(docs.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count))) if count > 1 else [], np.float64)
+    first one after the last).  Only sampled ids and the ranges' first ones, at
+    most SAMPLED * MAX_RANGES, are seen by the driver."""
+    bounds = range_bounds(docs)
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -81,9 +82,41 @@ def test_words_go_on_over_chunks():
         assert (again[0] == hashes).all() and (again[1] == counts).all()
 
 
-def test_fingerprints(spark):
-    texts = corpus()
-    rows = {r["doc_id"]: r for r in fingerprints.compare_with_next(documents(spark, texts)).collect()}
+def brute_hashes(text):
+    """The hash of every 5-word shingle, by whole numbers alone."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & top
+        return x ^ (x >> 31)
+
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode()) for w in WORD.findall(text)]
+    sums = [mix((sum(int(kernels._BYTE[c]) * pow(int(kernels._MULT), k, 1 << 64) for k, c in enumerate(w)) + len(w)) & top) for w in words]
+    mixed, place = [mix(h) for h in sums], [int(p) for p in kernels._POSITION]
+    if len(words) < 5:
+        return {mix((sum(h * p for h, p in zip(mixed, place)) + len(words) * place[5]) & top)} if words else set()
+    return {mix(sum(h * p for h, p in zip(mixed[i : i + 5], place)) & top) for i in range(len(words) - 4)}
+
+
+def brute_sketch(text):
+    hashes = sorted(brute_hashes(text))
+    return [h for h in hashes if h < 1 << 61] or hashes[:1]
+
+
+def brute_likeness(a, b):
+    return len(set(a) & set(b)) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
+
+
+def test_fingerprints(spark, monkeypatch):
+    """Against hashes, sketches and likenesses of a second implementation, over one range of ids and over many."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 9)
+    texts = [t for t in corpus() if len(t or "") < 4000]
+    want = [brute_sketch(t or "") for t in texts]
+    shared = [brute_set(t) for t in texts]
+    table = documents(spark, texts).withColumns({"_range": F.lit("x"), "fingerprint": F.lit(1), "_guest": F.lit(2)})
+    assert len(fingerprints.range_bounds(table)) > 3
+    rows = {r["doc_id"]: r for r in fingerprints.compare_with_next(table).collect()}
     assert len(rows) == len(texts)
     for i, text in enumerate(t or "" for t in texts):
         other = texts[(i + 1) % len(texts)] or ""
@@ -91,10 +124,12 @@ def test_fingerprints(spark):
         edited = text[: len(text) - half] + other[:half]
         r = rows[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        own, changed = fingerprints.sketches(pa.array([text, edited]))
-        assert r["fingerprint"] == fingerprints.pack(own) and r["edited_fingerprint"] == fingerprints.pack(changed)
-        assert r["near_edited"] == fingerprints.likeness(own, changed) and 0 <= r["near_next"] <= 1
-        assert (fingerprints.unpack(r["fingerprint"]) == own).all()
+        changed = brute_sketch(edited)
+        assert fingerprints.unpack(r["fingerprint"]).tolist() == want[i] and fingerprints.unpack(r["edited_fingerprint"]).tolist() == changed
+        assert r["near_edited"] == brute_likeness(want[i], changed) and r["near_next"] == brute_likeness(want[i], want[(i + 1) % len(texts)])
+        # sketches stand for sets of words: equal sets are wholly alike, sets apart not at all
+        following = shared[(i + 1) % len(texts)]
+        assert r["near_next"] == 1.0 if shared[i] == following else shared[i] & following or r["near_next"] == 0.0
 
 
 def test_fingerprints_merge():
@@ -497,6 +532,33 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_proportions_are_those_of_the_definition():
+    """Expectation-maximisation of one document's blocks, written out."""
+    rng = np.random.default_rng(5)
+    odds = np.log(rng.dirichlet(np.ones(4), size=(9, 3)).max(axis=2))
+    doc = np.array([0, 0, 0, 0, 1, 1, 1, 1, 1])
+    share, total = langid._fit(odds, doc, np.array([[0, 2], [1, 2]]))
+    for d, langs in enumerate(([0, 2], [1, 2])):
+        like = [[math.exp(odds[b, j]) for j in langs] for b in np.flatnonzero(doc == d)]
+        p = [0.5, 0.5]
+        for _ in range(langid.ROUNDS):
+            post = [[x * q / sum(y * r for y, r in zip(row, p)) for x, q in zip(row, p)] for row in like]
+            p = [sum(row[k] for row in post) / len(post) for k in range(2)]
+        assert np.allclose(share[d], p) and np.isclose(total[d], sum(math.log(sum(x * q for x, q in zip(row, p))) for row in like))
+
+
+def test_language_of_odd_tables(spark):
+    """Ties, repeated rows, long texts without separators, clashing columns and no rows at all."""
+    texts = ["und die schaft " * 20] * 12 + ["the tion and " * 20] * 12 + ["x" * 70000, "the" * 30000, "", None, "123 456"]
+    rows = [(i, t, ("de" if i < 12 else "en") if i < 24 else None, "x", 1) for i, t in enumerate(texts)]
+    rows += rows[:3] + [(7, texts[12], "de", "x", 1)]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, l string, share int").withColumns({"held_out": F.lit("x"), "langs": F.lit(1), "score": F.lit("y")})
+    found = [tuple(r) for r in langid.predict(df).select("doc_id", "lang_pred", "score").collect()]
+    assert len(found) == len(rows) and {p for i, p, _ in found if i < 12 and i != 7} == {"de"} and {p for i, p, _ in found if 12 <= i < 24} == {"en"}
+    assert {p for i, p, _ in found if i > 25} == {"und"} and all(0 <= s <= 1 for *_, s in found)
+    assert langid.predict(df.limit(0)).count() == 0 and {r["lang_pred"] for r in langid.predict(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
 def test_mixtures_of_every_size():
     rng = random.Random(6)
     syllables = {f"l{k}": [a + b + c for a in "bdgklmnprst"[k : k + 5] for b in "aeiou"[k % 3 :] for c in "zxvfhjw"[k : k + 2]] for k in range(6)}
