@@ -33,9 +33,10 @@ def default_field_map(spark: SparkSession) -> DataFrame:
 
 
 def map_rows(field_map: DataFrame) -> list:
-    """The rows of a field map, in order.  It is a configuration and stands in
+    """The rows of a field map, in order, with their matchers.  It is a configuration and stands in
     the plan, so one of more than MAP_ROWS rows is an error."""
-    rows = field_map.select("position", "certificate_field", "form_field", "field_type", "priority").orderBy("position").limit(MAP_ROWS + 1).collect()
+    kind = match.matcher_of(F.col("form_field"), F.col("field_type")).alias("kind")
+    rows = field_map.select("position", "certificate_field", "form_field", "field_type", "priority", kind).orderBy("position").limit(MAP_ROWS + 1).collect()
     if len(rows) > MAP_ROWS:
         raise ValueError(f"a field map has at most {MAP_ROWS} rows")
     return rows
@@ -47,7 +48,10 @@ def pairs(certificate: DataFrame, form: DataFrame, field_map: DataFrame) -> Data
     The values of mapped fields meet by pair in one shuffle; map rows are put
     beside them from a literal.  Of repeated values of a field the greatest holds.
     """
-    chosen = map_rows(field_map)
+    return _pairs(certificate, form, map_rows(field_map))
+
+
+def _pairs(certificate: DataFrame, form: DataFrame, chosen: list) -> DataFrame:
     sides = ((0, certificate, "certificate_field"), (1, form, "form_field"))
     # of fields that no row maps, only the pair is kept
     parts = [rows.select("pair_id", F.when(F.col("field").isin(sorted({r[name] for r in chosen})), F.struct(F.lit(side).alias("side"), "field", "value")).alias("v")) for side, rows, name in sides]
@@ -60,8 +64,7 @@ def pairs(certificate: DataFrame, form: DataFrame, field_map: DataFrame) -> Data
 
 def matchers(field_map: DataFrame) -> tuple[str, ...]:
     """The matchers that a field map needs, of the five there are."""
-    kind = match.matcher_of(F.col("form_field"), F.col("field_type")).alias("kind")
-    return tuple(r["kind"] for r in field_map.select(kind).distinct().collect())
+    return tuple(sorted({r["kind"] for r in map_rows(field_map)}))
 
 
 def outcomes(rows: DataFrame, as_of_year: int, kinds: tuple[str, ...] = match.KINDS, months: DataFrame | None = None, start: str | None = None) -> DataFrame:
@@ -106,6 +109,7 @@ def run_validation(certificate: DataFrame, form: DataFrame, as_of_year: int, fie
     """(outcomes, summary) of all pairs; without a map, or with an empty one,
     the default one holds.  months (bs_year, bs_month, n_days) from the day
     ``start`` on resolves BS dates, which else go to review."""
-    chosen = default_field_map(certificate.sparkSession) if field_map is None or field_map.isEmpty() else field_map
-    found = outcomes(pairs(certificate, form, chosen), as_of_year, matchers(chosen), months, start)
+    chosen = [] if field_map is None else map_rows(field_map)
+    chosen = chosen or map_rows(default_field_map(certificate.sparkSession))
+    found = outcomes(_pairs(certificate, form, chosen), as_of_year, tuple(sorted({r["kind"] for r in chosen})), months, start)
     return found, summarize(found, "pair_id")

@@ -194,9 +194,13 @@ def rename(rows: DataFrame, old: str, new: str, template_id: str | None = None)
 
 
 def delete(rows: DataFrame, roi_name: str, template_id: str | None = None) -> DataFrame:
-    """Without the regions of that name, if there are any."""
+    """Without the regions of that name, if there are any; without a template_id just one template may have it."""
     gone = F.col("roi_name") == roi_name
-    return rows.where(~(gone if template_id is None else gone & (F.col("template_id") == template_id)))
+    if template_id is not None:
+        return rows.where(~(gone & (F.col("template_id") == template_id)))
+    if rows.where(gone).select("template_id").distinct().limit(2).count() > 1:
+        raise ValueError(f"several templates have a region named {roi_name}")
+    return rows.where(~gone)
 
 
 def duplicate(rows: DataFrame, roi_name: str, new: str | None = None, template_id: str | None = None) -> DataFrame:

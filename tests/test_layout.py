@@ -172,8 +172,10 @@ def test_templates(spark, tmp_path):
         with pytest.raises(KeyError):
             missing()
     both = rows.unionByName(rows.withColumn("template_id", F.lit("t2")))
-    with pytest.raises(ValueError):
-        templates.edit(both, "dob", notes="x")
+    for several in (lambda: templates.edit(both, "dob", notes="x"), lambda: templates.delete(both, "dob")):
+        with pytest.raises(ValueError):
+            several()
+    assert templates.delete(both, "dob", "t2").count() == 7
     assert templates.edit(both, "dob", "t2", notes="x").where("notes = 'x' AND roi_name = 'dob'").count() == 1
     twice = templates.duplicate(templates.duplicate(rows, "dob"), "dob")
     assert len({r["roi_name"] for r in twice.collect()}) == 6
@@ -259,6 +261,11 @@ def test_bad_pages_beside_good_ones(spark, tmp_path, monkeypatch):
     assert bytes(rows[1]["raster"]["data"][:3]) == b"\xc8\xc8\xff" and [r["error"] for r in pages.errors(found).collect()] == ["the rest is torn"]
 
 
+def test_new_ids(spark):
+    found = [r[0] for r in spark.range(50).select(text.new_id("roi")).collect()]
+    assert len(set(found)) == 50 and all(len(x) == 12 and x.startswith("roi_") and int(x[4:], 16) >= 0 for x in found)
+
+
 def test_adaptive_threshold():
     x = np.full((40, 40), 200, np.uint8)
     x[20, 20] = 0
