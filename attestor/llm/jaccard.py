@@ -8,8 +8,9 @@ merged, and the common ones (the long lists) are only probed, by binary
 search, for candidates that occur in the short lists at least T minus the
 number of long lists times.
 
-1. One pass takes each text's set key and adds up a fixed-size table of
-   shingle counts, which orders shingles; any order gives the same links.
+1. One pass takes each text's set key and adds up a table of shingle counts,
+   sized by the corpus up to a bound and kept on a scale of doublings, which
+   orders shingles; any order gives the same links.
 2. A second pass emits the short lists' postings; lists of one node go.
 3. Within each list, neighbours are linked first and linked nodes contracted,
    until no more links are found that way: so a group of near copies costs
@@ -21,7 +22,8 @@ number of long lists times.
 Every link between different components is thus found; links within one are
 not needed, since the result is the components.  Defined cases: null texts and
 texts without words have an empty set, which links with nothing; a text of
-fewer than five words has one shingle, its whole sequence.  Repeated rows each
+fewer than five words has one shingle, its whole sequence.  Very long texts are
+hashed in chunks; an empty table has no rows, and other columns are ignored.  Repeated rows each
 get a row; rows without an id are left out.  Sets are told apart by a 64-bit
 hash and their size.
 """
@@ -41,8 +43,10 @@ from attestor.llm import kernels
 from attestor.llm.components import components
 from attestor.llm.session import release
 
-#: Slots (of a byte, up to 255) of the table of shingle counts, and bits of the table of wanted nodes.
-COUNT_BITS, WANTED_BITS = 24, 24
+#: Least and most bits of the table of shingle counts, which has a byte for about SHARED shingles; bits of the table of wanted nodes.
+COUNT_BITS, SHARED, WANTED_BITS = (20, 26), 8, 24
+#: Levels of a count for each doubling; a byte holds counts up to 2**31.
+LEVELS = 8
 _SLICES = 64
 #: Nodes before a node in a list that are tried first, and tries of a node in a round.
 NEAR, CHOICES = 4, 3
@@ -92,22 +96,24 @@ def parities(sets: np.ndarray) -> bytes:
     return np.packbits((flips & 1).astype(bool)).tobytes()
 
 
-def merged(tables: DataFrame, size: int, kind: type, join: Callable) -> np.ndarray:
-    """The table of ``size`` cells that the rows' slices (slot, cells) make up.
+def merged(tables: DataFrame, size: int, kind: type, join: Callable, total: type | None = None, done: Callable | None = None) -> np.ndarray:
+    """The table of ``size`` cells that the rows' slices (slot, cells) make up, each
+    joined on an executor (in cells of type ``total``) and made ready there by ``done``.
 
-    It has a fixed size, whatever the input.
+    Its size is bounded, whatever the input.
     """
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size // _SLICES, kind)
+        cells = np.zeros(size // _SLICES, total or kind)
         for batch in batches:
-            for cells in batch.column(1).to_pylist():
-                total = join(total, np.frombuffer(zlib.decompress(cells), kind))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slot", "cells"])
+            for part in batch.column(1).to_pylist():
+                cells = join(cells, np.frombuffer(zlib.decompress(part), kind))
+        cells = done(cells) if done else cells
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], ["slot", "cells"])
 
-    out = np.zeros((_SLICES, size // _SLICES), kind)
+    out = np.zeros((_SLICES, size // _SLICES), np.uint8)
     for row in tables.groupBy("slot").applyInArrow(add, "slot int, cells binary").collect():
-        out[row["slot"]] = np.frombuffer(zlib.decompress(row["cells"]), kind)
+        out[row["slot"]] = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
     return out.ravel()
 
 
@@ -115,8 +121,15 @@ def slices(table: np.ndarray) -> list[bytes]:
     return [zlib.compress(x.tobytes(), 1) for x in table.reshape(_SLICES, -1)]
 
 
-def saturated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a.astype(np.int64) + b, 255).astype(np.uint8)
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes on a scale of doublings, so that no count of a large corpus reaches the top."""
+    return np.minimum(np.rint(LEVELS * np.log2(counts.astype(float) + 1)), 255).astype(np.uint8)
+
+
+def table_bits(docs: DataFrame) -> int:
+    """Bits of the table of counts, from the characters of all texts (about six a shingle)."""
+    shingles = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
+    return min(COUNT_BITS[1], max(COUNT_BITS[0], (shingles // SHARED).bit_length()))
 
 
 def _slot(values: np.ndarray, bits: int) -> np.ndarray:
@@ -124,22 +137,23 @@ def _slot(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node, parities) of every document, and the table of shingle counts."""
+    """(doc_id, n, node, parities) of every document, and the table of levels of shingle counts."""
+    bits = table_bits(docs)
     schema = "doc_id long, n long, node long, parities binary, slot int, cells binary"
     names = ["doc_id", "n", "node", "parities", "slot", "cells"]
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.uint8)
+        counts = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             nodes, sizes, sketches, slots = [], [], [], [np.zeros(0, np.int64)]
             for found in sets_of(batch.column(1)):
                 nodes.append(node_of(found))
                 sizes.append(len(found))
                 sketches.append(parities(found))
-                slots.append(_slot(found, COUNT_BITS))
+                slots.append(_slot(found, bits))
             at, times = np.unique(np.concatenate(slots), return_counts=True)
-            counts[at] = saturated(counts[at], times)
+            counts[at] = np.minimum(counts[at] + times, 65535)  # of one task's texts
             empty = pa.nulls(len(nodes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], names)
         if counts.any():
@@ -148,7 +162,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(each, schema).checkpoint()
-    table = merged(rows.where("slot IS NOT NULL").select("slot", "cells"), 1 << COUNT_BITS, np.uint8, saturated)
+    table = merged(rows.where("slot IS NOT NULL").select("slot", "cells"), 1 << bits, np.uint16, np.add, np.uint32, levels)
     return rows.where("slot IS NULL").select("doc_id", "n", "node", "parities"), table
 
 
@@ -159,6 +173,7 @@ def postings(docs: DataFrame, shared: Broadcast) -> DataFrame:
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
+        bits = len(counts).bit_length() - 1
         for batch in batches:
             nodes, sizes, lists = [], [], []
             for found in sets_of(batch.column(0)):
@@ -167,7 +182,7 @@ def postings(docs: DataFrame, shared: Broadcast) -> DataFrame:
                     continue
                 if len(seen) < 1 << 17:
                     seen.add(node)
-                order = np.lexsort((found, counts[_slot(found, COUNT_BITS)]))[: short_length(len(found))]
+                order = np.lexsort((found, counts[_slot(found, bits)]))[: short_length(len(found))]
                 nodes.append(node)
                 sizes.append(len(found))
                 lists.append(found[order].view(np.int64))

@@ -271,6 +271,22 @@ def test_jaccard_join(spark):
     assert jaccard.linked(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_counts_order_shingles_in_small_tables(spark, monkeypatch):
+    """With far more shingles than slots, common ones still come after rare ones, and no slot is full."""
+    assert jaccard.levels(np.array([0, 1, 3, 1 << 20, 1 << 31, (1 << 32) - 1])).tolist() == [0, 8, 16, 160, 248, 255]
+    monkeypatch.setattr(jaccard, "COUNT_BITS", (12, 12))
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [f"{common} " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(600)]  # 38,400 shingles in 4,096 slots
+    ids, table = jaccard.keyed(documents(spark, texts).withColumns({"node": F.lit("x"), "n": F.lit("y"), "slot": F.lit(1)}))
+    assert len(table) == 4096 and table.max() < 255 and ids.count() == 600
+    shared = list(jaccard.sets_of(pa.array([common])))[0]
+    everyday, rare = jaccard._slot(shared, 12), jaccard._slot(np.setdiff1d(list(jaccard.sets_of(pa.array(texts[:1])))[0], shared), 12)
+    assert table[everyday].min() > np.quantile(table[rare], 0.9)
+    assert jaccard.linked(documents(spark, texts).withColumn("component_id", F.lit("x"))).where("doc_id <> component_id").count() == 0
+    monkeypatch.setattr(jaccard, "COUNT_BITS", (4, 30))
+    assert [jaccard.table_bits(documents(spark, ["a" * n])) for n in (0, 48, 4800, 48000)] == [4, 4, 7, 10]
+
+
 def test_long_lists_are_dealt_in_parts(spark, monkeypatch):
     texts = corpus(3) + [f"c d e f g h {i % 9} i j {i % 5} k l m {'n o p q r s t u v w ' * 3} x{i}" for i in range(40)]
     want = {tuple(r) for r in jaccard.linked(documents(spark, texts)).collect()}
