@@ -33,25 +33,34 @@ WIDE = 40
 
 def normalise(data: np.ndarray, offsets: np.ndarray, model: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Normalised bytes with one space byte for each space symbol, their
-    offsets, and the source offset of each byte (None: unchanged)."""
-    raw = data.tobytes()
+    offsets, and the source offset of each byte (None: unchanged).
+
+    At each place where a rule can begin, by its first byte, the longest rule
+    that fits holds; what lies between is copied.
+    """
     mark = SPACE.encode()
-    if not model.charmap and mark not in raw:
+    rules = {mark: b" "} | {key: put.replace(mark, b" ") for key, put in model.charmap.items()}
+    opens = np.zeros(256, bool)
+    opens[[key[0] for key in rules]] = True
+    places = np.flatnonzero(opens[data])
+    raw, longest = data.tobytes() if len(places) else b"", max(map(len, rules))
+    hits, after = [], 0
+    for at, end in zip(places.tolist(), offsets[np.searchsorted(offsets, places, side="right")].tolist(), strict=True):
+        if at >= after and (key := next((raw[at : at + n] for n in range(min(longest, end - at), 0, -1) if raw[at : at + n] in rules), None)):
+            hits.append((at, len(key), rules[key]))
+            after = at + len(key)
+    if not hits:
         return data, offsets, None
-    rules = model.charmap or {mark: b" "}
-    longest = max(map(len, rules))
-    parts, origin, ends = [], [], [0]
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        at, size = lo, ends[-1]
-        while at < hi:
-            key = next((raw[at : at + n] for n in range(min(longest, hi - at), 0, -1) if raw[at : at + n] in rules), None)
-            step = len(key) if key else 1 + sum((raw[at] & m) == m for m in (0xC0, 0xE0, 0xF0))
-            put = (rules[key] if key else raw[at : at + step]).replace(mark, b" ")
-            parts.append(put)
-            origin.extend(range(at, at + len(put)) if not key else [at] * len(put))
-            size, at = size + len(put), at + step
-        ends.append(size)
-    return np.frombuffer(b"".join(parts), np.uint8), np.array(ends), np.array(origin, np.int64)
+    parts, origin, last = [], [], 0
+    for at, size, put in hits:
+        parts += [raw[last:at], put]
+        origin += [np.arange(last, at), np.full(len(put), at)]
+        last = at + size
+    parts.append(raw[last:])
+    origin.append(np.arange(last, len(raw)))
+    grown = np.cumsum([0] + [len(put) - size for _, size, put in hits])
+    moved = offsets + grown[np.searchsorted([at for at, *_ in hits], offsets, side="left")]
+    return np.frombuffer(b"".join(parts), np.uint8), moved, np.concatenate(origin)
 
 
 def merge_words(symbols: np.ndarray, model: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -174,6 +174,35 @@ def test_sentencepiece_queries_carry_spans(spark):
         assert (staged[r["doc_id"]]["starts"], staged[r["doc_id"]]["ends"]) == (r["starts"], r["ends"])
 
 
+def test_normalising_by_the_longest_rule():
+    """Against a walk from character to character, over texts side by side."""
+    rng = random.Random(4)
+    model = vocabulary.Vocabulary.load(MODEL)
+    for charmap in ({}, {b"a": b"bb", b"ab": b"", "é".encode(): "e\u2581".encode(), b"abc": b"xyz"}):
+        model.charmap = charmap
+        rules = {"▁".encode(): b" "} | charmap
+        texts = ["".join(rng.choice(["a", "b", "c", "é", "▁", " ", "한", "ab", "abc", "“"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+        data, offsets = kernels.utf8(pa.array(texts))
+        out, moved, origin = sentencepieces.normalise(data, offsets, model)
+        want, source, ends = [], [], [0]
+        for lo, text in zip(offsets[:-1].tolist(), texts, strict=True):
+            raw, at = text.encode(), 0
+            while at < len(raw):
+                key = max((k for k in rules if raw.startswith(k, at)), key=len, default=None)
+                put = raw[at : at + 1] if key is None else rules[key].replace("▁".encode(), b" ")
+                want.append(put)
+                source += [lo + at] * len(put)
+                at += len(key or b" ")
+            ends.append(sum(map(len, want)))
+        assert out.tobytes() == b"".join(want) and moved.tolist() == ends and origin.tolist() == source
+
+
+def test_sentencepieces_of_no_documents(spark):
+    model = vocabulary.Vocabulary.load(MODEL)
+    table = documents(spark, ["x"]).withColumns({"ids": F.lit("x"), "n_tokens": F.lit(1)})
+    assert sentencepieces.digests(table.limit(0), model).count() == 0 and sentencepieces.digests(table, model).count() == 1
+
+
 def test_compiled_character_map():
     """A small map, built here: 'a' -> 'x', 'ab' -> 'yz'; the longest prefix wins."""
     texts = b"x\0yz\0"
