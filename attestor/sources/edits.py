@@ -51,7 +51,7 @@ def _fold() -> str:
         WHEN e.op NOT IN ('add', 'delete') AND v.at = 0 THEN concat('no region named ', coalesce(e.roi_name, 'null'))
         WHEN e.op = 'rename' AND e.new_name IS NULL THEN 'a new name is missing'
         WHEN e.op = 'rename' AND e.new_name <> e.roi_name AND array_contains(v.names, e.new_name) THEN concat('a region named ', e.new_name, ' exists') END"""
-    free = lambda name: f"if(array_contains(v.names, {name}), concat({name}, '_', substring(md5(concat(template_id, ':', e.seq)), 1, 8)), {name})"
+    free = lambda name: f"if(array_contains(w.v.names, {name}), concat({name}, '_', substring(md5(concat(template_id, ':', e.seq)), 1, 8)), {name})"
 
     def after(name: str) -> str:
         """A field of the edited region r."""
@@ -69,13 +69,13 @@ def _fold() -> str:
     renamed = lambda source, name: f"named_struct({', '.join(f"'{n}', {name if n == 'roi_name' else f'{source}.{n}'}" for n in DEFAULTS)})"
     regions = f"""CASE WHEN w.error IS NOT NULL THEN a.regions
         WHEN e.op = 'add' THEN concat(a.regions, array({renamed('e.patch', free("coalesce(e.roi_name, e.patch.roi_name)"))}))
-        WHEN e.op = 'duplicate' THEN concat(a.regions, array({renamed('element_at(a.regions, v.at)', free("coalesce(e.new_name, concat(e.roi_name, '_copy'))"))}))
+        WHEN e.op = 'duplicate' THEN concat(a.regions, array({renamed('element_at(a.regions, w.v.at)', free("coalesce(e.new_name, concat(e.roi_name, '_copy'))"))}))
         WHEN e.op = 'delete' THEN filter(a.regions, r -> NOT (r.roi_name <=> e.roi_name))
-        ELSE transform(a.regions, (r, i) -> if(i = v.at - 1, named_struct({', '.join(map(after, DEFAULTS))}), r)) END"""
+        ELSE transform(a.regions, (r, i) -> if(i = w.v.at - 1, named_struct({', '.join(map(after, DEFAULTS))}), r)) END"""
     errors = "if(w.error IS NULL, a.errors, concat(a.errors, array(named_struct('seq', e.seq, 'op', e.op, 'roi_name', e.roi_name, 'error', w.error))))"
     names = "transform(a.regions, r -> r.roi_name)"
     looked = f"transform(array({names}), n -> named_struct('names', n, 'at', CAST(coalesce(array_position(n, e.roi_name), 0) AS INT)))"
-    step = f"transform(transform({looked}, v -> named_struct('v', v, 'error', {error})), w -> named_struct('regions', {regions.replace('v.', 'w.v.')}, 'errors', {errors}))[0]"
+    step = f"transform(transform({looked}, v -> named_struct('v', v, 'error', {error})), w -> named_struct('regions', {regions}, 'errors', {errors}))[0]"
     start = "named_struct('regions', regions, 'errors', CAST(array() AS array<struct<seq: bigint, op: string, roi_name: string, error: string>>))"
     return f"aggregate(edits, {start}, (a, e) -> {step})"
 
