@@ -30,15 +30,17 @@ def lines(words: DataFrame, *keys: str) -> DataFrame:
 
 def _boxed(hits: DataFrame, phrase: Column, size: Column, *keys: str) -> DataFrame:
     """The boxes around the words that hits touch: lines with _at (from 0) and the size of what is found,
-    numbered from 0 within a page and phrase (occurrence)."""
+    numbered from 0 within a page and phrase (occurrence), and where the last of these words ends (end_x1), which is
+    left of the box's side if a word before it reaches further."""
     # one pass over the words of a line: where each begins, and the box of those the hit touches
     touched = "a.at < _at + _size AND a.at + length(w.text) > _at"
     grown = ", ".join(f"'{c}', if({touched}, {f}(a.{c}, CAST(w.{c} AS DOUBLE)), a.{c})" for c, f in BOX.items())
-    none = ", ".join(f"'{c}', CAST(NULL AS DOUBLE)" for c in BOX)
+    grown += f", 'end_x1', if({touched}, CAST(w.x1 AS DOUBLE), a.end_x1)"
+    none = ", ".join(f"'{c}', CAST(NULL AS DOUBLE)" for c in (*BOX, "end_x1"))
     box = F.expr(f"aggregate(words, named_struct('at', 0, {none}), (a, w) -> named_struct('at', a.at + length(w.text) + 1, {grown}))")
     rows = hits.withColumn("phrase", phrase).withColumn("_size", size).withColumn("_box", box).where("_box.x0 IS NOT NULL")
     rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, "page", "phrase").orderBy("block", "line")) - 1)
-    return rows.select(*keys, "page", "block", "line", "occurrence", "phrase", *(F.col(f"_box.{c}").alias(c) for c in BOX))
+    return rows.select(*keys, "page", "block", "line", "occurrence", "phrase", *(F.col(f"_box.{c}").alias(c) for c in (*BOX, "end_x1")))
 
 
 def find_phrase(words: DataFrame, phrase: str, *keys: str) -> DataFrame:

@@ -98,7 +98,7 @@ def q9_build_lines_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_line = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_line"))
     words = by_line.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), "line", F.posexplode(F.split("_line", " ")).alias("word_no", "text"))
     placed = words.select("*", (F.col("word_no") * 10.0).alias("x0"), (F.col("line") * 12.0).alias("y0"), (F.col("word_no") * 10.0 + F.length("text")).alias("x1"), (F.col("line") * 12.0 + 10).alias("y1"))
-    return layout.find_phrase(placed, "of the", "doc_id").select("doc_id", "line", "occurrence", "x0", "y0", "x1", "y1")
+    return layout.find_phrase(placed, "of the", "doc_id").select("doc_id", "line", "occurrence", "x0", "y0", F.col("end_x1").alias("x1"), "y1")
 
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
