@@ -24,7 +24,7 @@ GRAM = 3
 def lines(words: DataFrame, *keys: str) -> DataFrame:
     """Each line's words in order, as an array, and its text."""
     word = F.struct("word_no", "x0", "y0", "x1", "y1", "text")
-    rows = words.groupBy(*keys, "page", "block", "line").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    rows = words.groupBy(*keys, "page", "block", "line").agg(F.sort_array(F.collect_list(word)).alias("words"))  # array_sort would call a lambda for each comparison
     return rows.withColumn("text", F.array_join(F.col("words.text"), " "))
 
 
@@ -33,11 +33,12 @@ def _boxed(hits: DataFrame, phrase: Column, size: Column, *keys: str) -> DataFra
     numbered from 0 within a page and phrase (occurrence), and where the last of these words ends (end_x1), which is
     left of the box's side if a word before it reaches further."""
     # one pass over the words of a line: where each begins, and the box of those the hit touches
-    touched = "a.at < _at + _size AND a.at + length(w.text) > _at"
+    # the hit's place goes along in the state: in the body its expression would be computed anew, with the whole line's text, for each word
+    touched = "a.at < a.hit + a.size AND a.at + length(w.text) > a.hit"
     grown = ", ".join(f"'{c}', if({touched}, {f}(a.{c}, CAST(w.{c} AS DOUBLE)), a.{c})" for c, f in BOX.items())
     grown += f", 'end_x1', if({touched}, CAST(w.x1 AS DOUBLE), a.end_x1)"
     none = ", ".join(f"'{c}', CAST(NULL AS DOUBLE)" for c in (*BOX, "end_x1"))
-    box = F.expr(f"aggregate(words, named_struct('at', 0, {none}), (a, w) -> named_struct('at', a.at + length(w.text) + 1, {grown}))")
+    box = F.expr(f"aggregate(words, named_struct('at', 0, 'hit', _at, 'size', _size, {none}), (a, w) -> named_struct('at', a.at + length(w.text) + 1, 'hit', a.hit, 'size', a.size, {grown}))")
     rows = hits.withColumn("phrase", phrase).withColumn("_size", size).withColumn("_box", box).where("_box.x0 IS NOT NULL")
     rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, "page", "phrase").orderBy("block", "line")) - 1)
     return rows.select(*keys, "page", "block", "line", "occurrence", "phrase", *(F.col(f"_box.{c}").alias(c) for c in (*BOX, "end_x1")))
