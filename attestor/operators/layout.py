@@ -13,12 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.geometry import round_half_even
+from attestor.sources import templates
 
 BOX = {"x0": "least", "y0": "least", "x1": "greatest", "y1": "greatest"}
 BAND = 6.0  # points; labels within one band of a mark's middle belong to it
 #: Phrases of one automaton, whose size bounds what is broadcast.
 PHRASES = 1 << 16
-GRAM = 3
+#: Characters of a gram of the index of labels.
+GRAM = 8
+#: Pairs that a label has at most if one task may have them all.
+COMMON = 1 << 16
 
 
 def lines(words: DataFrame, *keys: str) -> DataFrame:
@@ -130,25 +134,42 @@ def _grams(text: str, size: str) -> str:
 def labels_with(labels: DataFrame, wanted: DataFrame) -> DataFrame:
     """(label, wanted) of all distinct labels that contain a wanted text, in any case.
 
-    An inverted index of the labels' grams of up to GRAM characters (those that
-    occur in wanted texts): of a wanted text's grams the rarest
+    An inverted index of the labels' grams of up to GRAM characters (of the sizes that wanted texts have).
+    A wanted text of GRAM characters at most is a gram itself.  Of the grams of a longer one the rarest
     gives the candidates, which are then searched for the whole.
     """
     want = wanted.select("wanted").where("wanted IS NOT NULL").distinct().withColumn("_w", F.lower("wanted"))
-    asked = want.select("wanted", "_w", F.explode(F.expr(_grams("_w", f"least({GRAM}, length(_w))"))).alias("gram"))
+    sizes = sorted(r["size"] for r in want.select(F.least(F.lit(GRAM + 1), F.length("_w")).alias("size")).distinct().collect())
+    used = sorted({min(size, GRAM) for size in sizes})
     texts = labels.select("label").where("label IS NOT NULL").distinct().withColumn("_l", F.lower("label"))
-    every = F.flatten(F.array(*(F.expr(_grams("_l", str(size))) for size in range(GRAM + 1))))
-    postings = texts.select("label", "_l", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    every = F.flatten(F.array(*(F.expr(_grams("_l", str(size))) for size in used))) if used else F.expr("CAST(array() AS array<string>)")
+    postings = texts.select("label", "_l", F.explode(every).alias("gram"))
+    whole = want.where(F.length("_w") <= GRAM).select("wanted", F.col("_w").alias("gram"))
+    found = templates.beside(postings.select("label", "gram"), whole, "gram").select("label", "wanted")
+    if GRAM + 1 not in sizes:
+        return found
+    asked = want.where(F.length("_w") > GRAM).select("wanted", "_w", F.explode(F.expr(_grams("_w", str(GRAM)))).alias("gram"))
+    postings = postings.join(asked.select("gram").distinct(), "gram", "left_semi")
     lengths = postings.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(lengths, "gram", "left").groupBy("wanted", "_w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("wanted", "_w", "r.gram")
-    return postings.join(rarest, "gram").where(F.contains("_l", F.col("_w"))).select("label", "wanted")
+    return found.unionByName(postings.join(rarest, "gram").where(F.contains("_l", F.col("_w"))).select("label", "wanted"))
 
 
 def bind_options(pairs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """For each wanted label the first pair (position) whose label contains
     it, in any case; a label that many pairs have is searched once.  Of pairs of
-    one position the one with the least label is the first."""
-    hit = pairs.join(labels_with(pairs, wanted), "label").join(wanted, "wanted")
+    one position the one with the least label is the first.
+
+    A label that most pairs have is no one task's: up to FEW_REGIONS hits are broadcast to the pairs; of more, those
+    of labels that more than COMMON pairs have, and the other pairs meet theirs by label.
+    """
+    hits = labels_with(pairs, wanted).join(wanted, "wanted")
+    if hits.limit(templates.FEW_REGIONS + 1).count() <= templates.FEW_REGIONS:
+        hit = pairs.join(F.broadcast(hits), "label")
+    else:
+        common = F.broadcast(pairs.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") > COMMON).select("label"))
+        often = pairs.join(common, "label", "left_semi").join(F.broadcast(hits.join(common, "label", "left_semi")), "label")
+        hit = often.unionByName(pairs.join(common, "label", "left_anti").join(hits, "label"))
     first = F.row_number().over(Window.partitionBy(*keys, "wanted").orderBy("position", "label"))
     return hit.withColumn("_n", first).where("_n = 1").drop("_n")
 
