@@ -160,16 +160,20 @@ def bind_options(pairs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     it, in any case; a label that many pairs have is searched once.  Of pairs of
     one position the one with the least label is the first.
 
-    A label that most pairs have is no one task's: up to FEW_REGIONS hits are broadcast to the pairs; of more, those
-    of labels that more than COMMON pairs have, and the other pairs meet theirs by label.
+    A label that most pairs have is no one task's: hits of labels that more than COMMON pairs have are broadcast to
+    these pairs, and the other pairs meet theirs by label.
     """
-    hits = labels_with(pairs, wanted).join(wanted, "wanted")
-    if hits.limit(templates.FEW_REGIONS + 1).count() <= templates.FEW_REGIONS:
-        hit = pairs.join(F.broadcast(hits), "label")
-    else:
-        common = F.broadcast(pairs.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") > COMMON).select("label"))
-        often = pairs.join(common, "label", "left_semi").join(F.broadcast(hits.join(common, "label", "left_semi")), "label")
-        hit = often.unionByName(pairs.join(common, "label", "left_anti").join(hits, "label"))
+    often = pairs.where("label IS NOT NULL").groupBy("label").agg((F.count("*") > COMMON).alias("_often"))
+    n = {r["_often"]: r["n"] for r in often.groupBy("_often").agg(F.count("*").alias("n")).collect()}
+    common = F.broadcast(often.where("_often").select("label"))
+    parts = []
+    if n.get(True):
+        own = pairs.join(common, "label", "left_semi")
+        parts.append(own.join(F.broadcast(labels_with(own, wanted).join(wanted, "wanted")), "label"))
+    if n.get(False) or not parts:
+        own = pairs.join(common, "label", "left_anti") if n.get(True) else pairs
+        parts.append(own.join(labels_with(own, wanted).join(wanted, "wanted"), "label"))
+    hit = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     first = F.row_number().over(Window.partitionBy(*keys, "wanted").orderBy("position", "label"))
     return hit.withColumn("_n", first).where("_n = 1").drop("_n")
 
