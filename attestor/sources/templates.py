@@ -139,6 +139,14 @@ def add(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(named, allowMissingColumns=True)
 
 
+def apart(rows: DataFrame, *template_ids: str) -> tuple[DataFrame, DataFrame]:
+    """The regions of some templates, kept (persisted), and all others.
+
+    Each single edit looks its region up first.  Edits of the few kept rows don't read all templates anew for that."""
+    own = F.coalesce(F.col("template_id").isin(*template_ids), F.lit(False))
+    return rows.where(own).persist(), rows.where(~own)
+
+
 def _place(rows: DataFrame, roi_name: str, template_id: str | None) -> Column:
     """Whether a row is the region of that name, the first of a template.
 
