@@ -2,12 +2,14 @@
 
 Everything but the similarity of unequal strings is native; that one is a
 pandas UDF (Ratcliff-Obershelp, asymmetric: the first value stays first) and
-gets only pairs whose canonical forms differ.
+gets only pairs whose canonical forms differ; pairs that come again (a name and a
+text of one form, usual values) are remembered by the process, the last 65,536.
 """
 
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,9 +37,14 @@ def outcome(result: str | Column, confidence: float | Column, detail: str | None
     return F.struct(lit(result, "string").alias("result"), lit(confidence, "double").alias("confidence"), lit(detail, "string").alias("detail"))
 
 
+@lru_cache(1 << 16)
+def _ratio(x: str, y: str) -> float:
+    return difflib.SequenceMatcher(None, x, y).ratio() if x and y else float(not x and not y)
+
+
 @F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("confidence", T.DoubleType())]))
 def _similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    ratio = [None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() if x and y else float(not x and not y) for x, y in zip(a, b, strict=True)]
+    ratio = [None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame({"ratio": ratio, "confidence": [None if r is None else round(r * 100, 1) for r in ratio]})
 
 
