@@ -1,14 +1,15 @@
 """Token counts by trie-shared dynamic programming over a unigram vocabulary.
 
-The pieces of a vocabulary get unigram log-probabilities, estimated from a
-bounded sample of the documents by expectation-maximisation over best paths; the
+The pieces of a vocabulary get unigram log-probabilities, estimated from all
+documents by expectation-maximisation over best paths; the
 count of a pre-token (a run of spaces and the word after it) is the number of
 pieces on its best path.  The distinct pre-tokens of a chunk form a trie; the forward
 score of each prefix is computed once, level by level, and the counts are
 stored at the ends.
 
-Only the estimate is from a sample (SAMPLE documents in expectation, chosen by a
-hash of their text); all documents are counted, by the same model.
+The estimate takes each distinct pre-token of the whole table once a round, weighted
+by how often it occurs; they are stored sorted, so that the words of a trie share
+their beginnings.
 
 Defined cases: null and empty texts have 0 words and 0 tokens.  Of equally
 good paths the one with fewer pieces counts.  A character that is no piece
@@ -33,22 +34,30 @@ from attestor.llm.vocabulary import SPACE, HashTable, Vocabulary
 CHUNK = 2 << 20
 #: Characters of a pre-token up to which it enters the trie; words of a trie of the estimate.
 DEEP, TRIE = 200, 1 << 16
-#: Documents that the scores are estimated from, in expectation, and rounds of the estimate.
-SAMPLE, ROUNDS = 2000, 4
+#: Words, and their bytes, whose counts a task holds before it passes them on.
+HELD_WORDS, HELD_BYTES = 1 << 20, 32 << 20
+#: Rounds of the estimate.
+ROUNDS = 4
 #: Added to the count of every piece, so that none is impossible.
 SMOOTH = 0.1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 class Unigrams:
-    """Pieces by a hash of their code points read from the end."""
+    """Pieces by a hash of their code points read from the end; -2 for what only ends longer pieces."""
 
     def __init__(self, model: Vocabulary):
         ids = [i for i, p in enumerate(model.pieces) if model.kinds[i] == 1]
         self.longest = max((len(model.pieces[i]) for i in ids), default=1)
         self.weights = np.array([pow(_BASE, j, 1 << 64) for j in range(self.longest)], np.uint64)
-        keys = [sum(int(self.weights[j]) * (ord(c) + 1) for j, c in enumerate(reversed(model.pieces[i]))) % (1 << 64) for i in ids]
-        self.table = HashTable(kernels.mix64(np.array(keys, np.uint64)), np.array(ids, np.int32))
+        found: dict[int, int] = {}
+        for i in ids:
+            key = 0
+            for weight, c in zip(self.weights.tolist(), reversed(model.pieces[i]), strict=False):
+                key = (key + weight * (ord(c) + 1)) % (1 << 64)
+                found.setdefault(key, -2)
+            found[key] = i
+        self.table = HashTable(kernels.mix64(np.array(list(found), np.uint64)), np.array(list(found.values()), np.int32))
         self.texts = {i: model.pieces[i] for i in ids}
         self.score(np.full(len(model.pieces), -1.0))  # before an estimate: as few pieces as can be
 
@@ -109,22 +118,24 @@ def count_words(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, mod
         key = (node[rows].astype(np.uint64) << np.uint64(21)) | points[starts[rows] + depth]
         level, back = np.unique(key, return_inverse=True)
         up, char = (level >> np.uint64(21)).astype(np.int64), (level & np.uint64((1 << 21) - 1)).astype(np.uint32)
-        best, count = np.full(len(level), -np.inf), np.zeros(len(level), np.int64)
-        source, chosen = up.copy(), np.full(len(level), -1, np.int64)
-        at, suffix, last = up, np.zeros(len(level), np.uint64), char
+        at, suffix, last, live = up, np.zeros(len(level), np.uint64), char, np.arange(len(level))
         for size in range(1, min(model.longest, depth + 1) + 1):
             with np.errstate(over="ignore"):
                 suffix = suffix + (last.astype(np.uint64) + np.uint64(1)) * model.weights[size - 1]
             piece = model.table.get(kernels.mix64(suffix))
-            value = np.where(piece >= 0, score[at] + model.scores[piece], -np.inf)
-            number = pieces[at] + 1
             if size == 1:
-                width = _bytes_of(char)
-                value = np.where(piece >= 0, value, score[at] + model.strange * width)
-                number = np.where(piece >= 0, number, pieces[at] + width)
-            better = (value > best) | ((value == best) & (number < count))
-            best, count = np.where(better, value, best), np.where(better, number, count)
-            source, chosen = np.where(better, at, source), np.where(better, piece, chosen)
+                known, width = piece >= 0, _bytes_of(char)
+                best = score[at] + np.where(known, model.scores[piece], model.strange * width)
+                count = pieces[at] + np.where(known, 1, width)
+                source, chosen = up.copy(), np.where(known, piece, -1).astype(np.int64)
+            else:
+                hit = np.flatnonzero(piece >= 0)
+                value, number, to = score[at[hit]] + model.scores[piece[hit]], pieces[at[hit]] + 1, live[hit]
+                better = (value > best[to]) | ((value == best[to]) & (number < count[to]))
+                hit, to = hit[better], to[better]
+                best[to], count[to], source[to], chosen[to] = value[better], number[better], at[hit], piece[hit]
+            on = np.flatnonzero(piece != -1)  # longer pieces end so
+            live, suffix, at = live[on], suffix[on], at[on]
             last, at = point[at], parent[at]
         node[rows] = len(parent) + back
         parent, point = np.concatenate([parent, up]), np.concatenate([point, char])
@@ -202,25 +213,40 @@ def _words_of(docs: DataFrame, dummy_prefix: bool) -> DataFrame:
 
     @kernels.tidied
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a word occurs in many chunks of a task: counts are held and added up first
+        held: list[pa.RecordBatch] = []
+        rows, size = 0, 0
+
+        def added() -> pa.Table:
+            return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for batch in batches:
             for _, which, points, cuts in pretokens(batch.column(0), dummy_prefix):
-                words = [points[lo:hi].tobytes().decode("utf-32-le") for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(which, minlength=len(words)))], ["word", "n"])
+                data = points.astype("<u4").tobytes().decode("utf-32-le").encode()
+                ends = np.concatenate([[0], np.cumsum(_bytes_of(points))])[cuts].astype(np.int64)
+                words = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(ends), pa.py_buffer(data)).cast(pa.string())
+                held.append(pa.RecordBatch.from_arrays([words, pa.array(np.bincount(which, minlength=len(words)))], ["word", "n"]))
+                rows, size = rows + len(words), size + len(data)
+                if rows > HELD_WORDS or size > HELD_BYTES:
+                    held = added().to_batches()
+                    rows, size = sum(len(b) for b in held), sum(b.nbytes for b in held)
+                    if rows > HELD_WORDS // 2 or size > HELD_BYTES // 2:
+                        yield from held
+                        held, rows, size = [], 0, 0
+        if held:
+            yield from added().to_batches()
 
     return docs.select("text").mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def estimated(docs: DataFrame, vocabulary: Vocabulary) -> Unigrams:
-    """The vocabulary's pieces with scores from a sample of the documents.
+    """The vocabulary's pieces with scores from all documents.
 
-    The sample's distinct words are found once.  Each round counts pieces on the executors; a row for each piece at most
+    The distinct words are found once.  Each round counts pieces on the executors; a row for each piece at most
     leaves a task, and the counts of the whole vocabulary come to the driver.
     """
     model = Unigrams(vocabulary)
-    rows = docs.count()
-    share = min(1.0, SAMPLE / max(1, rows))
-    sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(1 << 30)) < share * (1 << 30))
-    words = _words_of(sample, vocabulary.dummy_prefix).checkpoint()
+    words = _words_of(docs, vocabulary.dummy_prefix).sortWithinPartitions("word").checkpoint()
     for _ in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -280,6 +280,18 @@ def test_words_of_a_sample(spark):
     assert {r["word"]: r["n"] for r in tokencounts._words_of(documents(spark, texts), True).collect()} == want
 
 
+def test_scores_are_estimated_from_all_documents(spark):
+    model = vocabulary.Vocabulary.load(MODEL)
+    texts = [f"the motion {'of' * (i % 7)} thing{i} number {i % 90}" for i in range(4100)]
+    words = {}
+    for w in (w for t in texts for w in words_of(t)):
+        words[w] = words.get(w, 0) + 1
+    want = tokencounts.Unigrams(model)
+    for _ in range(tokencounts.ROUNDS):
+        want.estimate(tokencounts.usage(sorted(words), [words[w] for w in sorted(words)], want))
+    assert np.allclose(tokencounts.estimated(documents(spark, texts), model).scores, want.scores, rtol=1e-9)
+
+
 def test_jaccard_join(spark):
     texts = corpus()
     got = {r["doc_id"]: r for r in jaccard.linked(documents(spark, texts)).collect()}
