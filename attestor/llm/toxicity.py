@@ -103,8 +103,10 @@ def by_length(flat: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray,
             x = flat[cuts[part][:, None] + np.arange(n)].astype(np.int32)
             a, b, c = (x[:, at[:, i]] for i in range(3))
             code = np.where((a > 0) & (b > 0) & (c > 0), (a * _SIZE + b) * _SIZE + c, 0)
-            order = np.argsort(code, axis=1)
-            code = np.take_along_axis(code, order, axis=1)
+            # codes and their places are sorted as one number
+            bits = len(at).bit_length()
+            code = np.sort(code.astype(np.int32 if bits <= 12 else np.int64) << bits | np.arange(len(at), dtype=np.int32), axis=1)
+            order, code = code & ((1 << bits) - 1), code >> bits
             fresh = np.ones(code.shape, bool)
             fresh[:, 1:] = code[:, 1:] != code[:, :-1]
             first = np.flatnonzero(fresh)
@@ -214,8 +216,12 @@ class Landmarks:
 
     def kernel(self, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """(units, landmarks): the kernel of each unit with each landmark."""
-        out = np.zeros((len(cuts) - 1, self.weights.shape[1]), np.float32)
-        used = len(self.weights)
+        width = self.weights.shape[1]
+        out = np.zeros((len(cuts) - 1, width), np.float32)
+        # few landmarks have a code: only their weights are multiplied
+        have, mark = np.nonzero(self.weights)
+        value, number = self.weights[have, mark], np.bincount(have, minlength=len(self.weights))
+        begin = np.cumsum(number) - number
         for part, row, code, weight, norm in by_length(flat, cuts):
             at = self.place[code]
             hit = at >= 0
@@ -223,10 +229,10 @@ class Landmarks:
             for lo in range(0, len(part), 2048):
                 a, b = np.searchsorted(row, [lo, lo + 2048])
                 if b > a:
-                    n = min(2048, len(part) - lo)
-                    dense = np.zeros(n * used, np.float32)
-                    dense[(row[a:b] - lo) * used + at[a:b]] = weight[a:b]
-                    out[part[lo : lo + n]] = dense.reshape(n, used) @ self.weights
+                    n, times = min(2048, len(part) - lo), number[at[a:b]]
+                    which = kernels.ragged(times, begin[at[a:b]])
+                    cell = np.repeat((row[a:b] - lo) * width, times) + mark[which]
+                    out[part[lo : lo + n]] = np.bincount(cell, np.repeat(weight[a:b], times) * value[which], n * width).reshape(n, width)
         return math.prod([np.minimum(out, 1.0, out=out)] * POWER)
 
 

@@ -757,3 +757,20 @@ def test_toxicity_of_nothing_and_of_clashing_columns(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int, text string")
     assert len(toxicity.classify(docs, labels).collect()) == 2 and toxicity.classify(docs.limit(0), labels).count() == 0
     assert toxicity.filtered(docs, toxicity.learn(docs, labels)).columns == docs.columns
+
+
+def test_only_landmarks_that_have_a_code_are_multiplied():
+    import tracemalloc
+
+    draw = np.random.default_rng(5)
+    flat, cuts = draw.integers(1, 37, 2000 * 9), np.arange(2001) * 9
+    table = toxicity.Landmarks.of(flat[: 300 * 9], cuts[:301])
+    tracemalloc.start()
+    got = table.kernel(flat, cuts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # not units times codes
+    own = toxicity.Landmarks.of(flat[-300 * 9 :], cuts[:301])
+    shared = np.flatnonzero((table.place >= 0) & (own.place >= 0))
+    want = own.weights[own.place[shared]].T @ table.weights[table.place[shared]]
+    assert np.allclose(got[-300:], want**toxicity.POWER, atol=1e-5) and np.allclose(np.diag(got[:300]), 1.0, atol=1e-5)
