@@ -24,22 +24,30 @@ are empty ones; rows without a template_id or seq are errors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.sources import templates
 from attestor.sources.templates import DEFAULTS, FIELD_TYPES
 
 OPS = ("add", "update_box", "move", "resize", "rename", "set_field", "delete", "duplicate")
 _TEMPLATE = ("template_path", "display_name", "document_type")
+_NUMBERS = ("dx", "dy", "width", "height")
 REGION = ", ".join(f"{name}: {kind}" for name, (kind, _) in DEFAULTS.items())
 
 
-def _edit(args: Column) -> Column:
-    """An edit as a struct: its fields with defaults, the names of those given, and its numbers."""
-    given = lambda name, kind: F.try_variant_get(args, f"$.{name}", kind)
-    fields = [F.when(given(n, "variant").isNull(), F.lit(1 if n == "page" else default).cast(kind)).otherwise(given(n, kind)).alias(n) for n, (kind, default) in DEFAULTS.items()]
-    names = F.filter(F.array(*(F.when(given(n, "variant").isNotNull(), F.lit(n)) for n in DEFAULTS)), lambda n: n.isNotNull())
-    return F.struct("seq", "op", "roi_name", "new_name", names.alias("given"), *(F.coalesce(given(n, "double"), F.lit(0.0)).alias(n) for n in ("dx", "dy", "width", "height")), F.struct(*fields).alias("patch"))
+def _edits(log: DataFrame) -> DataFrame:
+    """template_id and e, an edit as a struct: its fields with defaults, the names of those given, and its
+    numbers, as far as its op takes them.  Its args are parsed once, and read in one pass for all fields."""
+    takes = lambda ops, value: F.when(F.col("op").isin(*ops), value)
+    parsed = takes(("add", "update_box", "set_field", "move", "resize"), F.try_parse_json(F.coalesce("args", F.lit("{}"))))
+    rows = log.select("template_id", F.col("seq").cast("long").alias("seq"), "op", "roi_name", "new_name", parsed.alias("_args"))
+    got, given = templates.fields(F.col("_args"), *_NUMBERS)
+    rows = rows.select("*", got.alias("_got"), given.alias("_given"))
+    patch = F.struct(*(templates.field(n, F.col("_got"), F.col("_given")) for n in DEFAULTS))
+    numbers = (takes(("move", "resize"), F.coalesce(f"_got.{n}", F.lit(0.0))).alias(n) for n in _NUMBERS)
+    edit = F.struct("seq", "op", "roi_name", "new_name", takes(("set_field",), F.col("_given")).alias("given"), *numbers, takes(("add", "update_box", "set_field"), patch).alias("patch"))
+    return rows.select("template_id", edit.alias("e"))
 
 
 def _fold() -> str:
@@ -86,8 +94,7 @@ def apply(rows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     region = F.struct("position", F.struct(*(F.col(n).cast(kind).alias(n) for n, (kind, _) in DEFAULTS.items())).alias("region"))
     own = rows.select("template_id", *_TEMPLATE, region.alias("r"))
     placed = F.col("template_id").isNotNull() & F.col("seq").isNotNull()
-    edits = log.where(placed).withColumn("seq", F.col("seq").cast("long")).select("template_id", _edit(F.try_parse_json(F.coalesce("args", F.lit("{}")))).alias("e"))
-    both = own.unionByName(edits, allowMissingColumns=True)
+    both = own.unionByName(_edits(log.where(placed)), allowMissingColumns=True)
     joined = both.groupBy("template_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _TEMPLATE), F.transform(F.array_sort(F.collect_list("r")), lambda r: r["region"]).alias("regions"), F.array_sort(F.collect_list("e")).alias("edits"))
     folded = joined.withColumn("after", F.expr(_fold())).select("template_id", *_TEMPLATE, "after.*")
     left = folded.select("template_id", *_TEMPLATE, F.posexplode("regions").alias("pos", "r")).select("template_path", "template_id", "display_name", "document_type", F.struct(F.lit(0).alias("page"), F.col("pos").alias("pos")).alias("position"), "r.*")

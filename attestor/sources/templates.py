@@ -74,26 +74,35 @@ def beside(rows: DataFrame, regions: DataFrame, *on: str) -> DataFrame:
     return rows.withColumn("_salt", salt).join(own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"]).drop("_salt")
 
 
-def _field(region: Column, name: str, page: Column) -> Column:
+def fields(region: Column, *numbers: str) -> tuple[Column, Column]:
+    """A region's fields, and numbers if asked, as a struct, and the names of all that it gives: each from one
+    pass over its VARIANT, as a look at every path in turn takes many times as long."""
+    kinds = ", ".join([f"{name}: {kind}" for name, (kind, _) in DEFAULTS.items()] + [f"{name}: double" for name in numbers])
+    return F.try_variant_get(region, "$", f"struct<{kinds}>"), F.map_keys(F.try_variant_get(region, "$", "map<string, variant>"))
+
+
+def field(name: str, got: Column, given: Column, page: Column | None = None) -> Column:
+    """A field of what fields() gave, or its default if the region has no such key."""
     kind, default = DEFAULTS[name]
-    missing = F.try_variant_get(region, f"$.{name}", "variant").isNull()
-    value = F.try_variant_get(region, f"$.{name}", kind)
-    return F.when(missing, F.coalesce(page, F.lit(1)) if name == "page" else F.lit(default).cast(kind)).otherwise(value).alias(name)
+    missing = F.coalesce(F.lit(1) if page is None else page, F.lit(1)) if name == "page" else F.lit(default).cast(kind)
+    return F.when(F.array_contains(given, name), got[name]).otherwise(missing).alias(name)
 
 
 def rois(templates: DataFrame) -> DataFrame:
     """One row for each region of (template_path, json): a flat ``rois`` list
     comes first, else the fields of ``pages``, which inherit the page number."""
-    raw = templates.withColumn("_raw", F.parse_json("json")).withColumn("_stem", F.regexp_extract("template_path", STEM, 1))
-    part = lambda path, kind: F.try_variant_get("_raw", path, kind)
-    raw = raw.select("*", part("$.rois", "array<variant>").alias("_flat"), part("$.pages", "array<variant>").alias("_pages"))
-    flat = raw.where("_flat IS NOT NULL").select("*", F.posexplode("_flat").alias("_pos", "_roi")).withColumn("_order", F.struct(F.lit(0).alias("page"), F.col("_pos").alias("pos"))).withColumn("_page", F.lit(None).cast("int"))
-    paged = raw.where("_flat IS NULL AND _pages IS NOT NULL").select("*", F.posexplode("_pages").alias("_block", "_p"))
-    paged = paged.withColumn("_page", F.coalesce(F.try_variant_get("_p", "$.page_number", "int"), F.lit(1))).select("*", F.posexplode(F.try_variant_get("_p", "$.fields", "array<variant>")).alias("_pos", "_roi"))
-    paged = paged.withColumn("_order", F.struct(F.col("_block").alias("page"), F.col("_pos").alias("pos"))).drop("_block", "_p")
-    rows = flat.select(*(keep := ["template_path", "_stem", "_raw", "_order", "_page", "_roi"])).unionByName(paged.select(*keep))
+    raw = templates.select("template_path", F.parse_json("json").alias("_raw"), F.regexp_extract("template_path", STEM, 1).alias("_stem"))
+    part = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    placed = lambda block, pos, page, roi: F.struct(F.struct(block.alias("page"), pos.alias("pos")).alias("order"), page.alias("page"), roi.alias("roi"))
+    flat = F.transform(part("_raw", "$.rois", "array<variant>"), lambda r, i: placed(F.lit(0), i, F.lit(None).cast("int"), r))
+    paged = F.transform(part("_raw", "$.pages", "array<variant>"), lambda p, b: F.transform(part(p, "$.fields", "array<variant>"), lambda r, i: placed(b, i, F.coalesce(part(p, "$.page_number", "int"), F.lit(1)), r)))
+    # one list, made where it is exploded: a filter on a list would parse each file again
+    lists = F.coalesce(flat, F.flatten(F.filter(paged, lambda rows: rows.isNotNull())))
+    rows = raw.select("*", F.explode(lists).alias("_r")).select("template_path", "_stem", "_raw", F.col("_r.order").alias("_order"), F.col("_r.page").alias("_page"), F.col("_r.roi").alias("_roi"))
+    got, given = fields(F.col("_roi"))
+    rows = rows.withColumns({"_got": got, "_given": given})
     named = lambda key, default: F.coalesce(F.try_variant_get("_raw", f"$.{key}", "string"), default).alias(key)
-    return rows.select("template_path", named("template_id", F.col("_stem")), named("display_name", F.col("_stem")), named("document_type", F.lit("kyc")), F.col("_order").alias("position"), *(_field(F.col("_roi"), n, F.col("_page")) for n in DEFAULTS))
+    return rows.select("template_path", named("template_id", F.col("_stem")), named("display_name", F.col("_stem")), named("document_type", F.lit("kyc")), F.col("_order").alias("position"), *(field(n, F.col("_got"), F.col("_given"), F.col("_page")) for n in DEFAULTS))
 
 
 def page_counts(templates: DataFrame) -> DataFrame:
