@@ -774,3 +774,14 @@ def test_only_landmarks_that_have_a_code_are_multiplied():
     shared = np.flatnonzero((table.place >= 0) & (own.place >= 0))
     want = own.weights[own.place[shared]].T @ table.weights[table.place[shared]]
     assert np.allclose(got[-300:], want**toxicity.POWER, atol=1e-5) and np.allclose(np.diag(got[:300]), 1.0, atol=1e-5)
+
+
+def test_count_slices_take_little_more_than_their_information():
+    """op8: each task's counts are stored and shuffled; their bytes grew faster than the input."""
+    rng = np.random.default_rng(3)
+    for kind, counts in ((np.uint16, rng.poisson(0.5, 1 << 18)), (np.uint16, np.full(1 << 12, 65535)), (np.uint8, rng.integers(0, 256, 1 << 12))):
+        table = counts.astype(kind)
+        parts = jaccard.slices(table)
+        assert np.array_equal(np.concatenate([jaccard.cells_of(p, kind) for p in parts]), table)
+        if counts.max() < 100:
+            assert 8 * sum(map(len, parts)) < 1.8 * len(table)
