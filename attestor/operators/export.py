@@ -68,12 +68,17 @@ def layout_report(pairs: DataFrame, statistics: DataFrame) -> DataFrame:
 
 def config(rois: DataFrame, **keys) -> DataFrame:
     """template_id and the JSON of a configuration: the regions, and keys such
-    as a form's code; see config_statistics for its counts."""
-    head = templates.to_json(rois).withColumnRenamed("value", "json")
-    more = rois.select("template_id").distinct().select(F.concat("template_id", F.lit(".json")).alias("template_path"), F.lit(json.dumps(keys)).alias("json"), "template_id")
-    named = more.join(head.withColumnRenamed("json", "_own"), "template_id")
-    merged = named.select("template_path", F.to_json(F.map_concat(F.expr("CAST(parse_json(json) AS MAP<STRING, VARIANT>)"), F.expr("CAST(parse_json(_own) AS MAP<STRING, VARIANT>)"))).alias("json"))
-    return templates.to_json(rois, merged)
+    as a form's code; see config_statistics for its counts.
+
+    One grouping has all of a template, so that nothing is joined or broadcast.
+    Regions of no template (template_id) are left out; a key that the rows have is an error.
+    """
+    stem = F.regexp_extract(F.concat("template_id", F.lit(".json")), templates.STEM, 1)
+    # a plain filter on the ids would move to where files are read, and parse each again
+    named = F.when(F.size("rois") > 0, F.col("template_id")).isNotNull()
+    whole = templates.packed(rois).where(named).withColumns({"display_name": F.coalesce("display_name", stem), "document_type": F.coalesce("document_type", F.lit("kyc"))})
+    more = F.parse_json(F.lit(json.dumps({k: v for k, v in keys.items() if k != "pages"}))).cast("map<string, variant>")
+    return templates.written(whole, more)
 
 
 def config_statistics(rois: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ DEFAULTS = {
 SALTS = 16
 #: A file's name without its extension, in a path.
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
+#: The keys of a file that are written from its rows.
+OWN = ("template_id", "display_name", "document_type", "rois")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -228,22 +230,31 @@ def duplicate(rows: DataFrame, roi_name: str, new: str | None = None, template_i
     return rows.unionByName(rows.where(place).withColumn("roi_name", F.lit(name)))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """template_id, display_name, document_type and rois, its regions in order."""
+    region = F.struct("position", F.struct(*DEFAULTS).alias("roi"))
+    return rows.groupBy("template_id", "display_name", "document_type").agg(F.transform(F.sort_array(F.collect_list(region)), lambda r: r["roi"]).alias("rois"))
+
+
+def written(whole: DataFrame, rest: Column) -> DataFrame:
+    """template_id and the JSON of packed() rows, after the other keys: a map of VARIANT."""
+    value = lambda c: F.expr(f"to_variant_object({c})") if c == "rois" else F.expr(f"CAST({c} AS VARIANT)")
+    every = F.map_concat(rest, F.create_map(*(x for c in OWN for x in (F.lit(c), value(c)))))
+    return whole.select("template_id", F.to_json(every, {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+
+
 def to_json(rows: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """template_id and its JSON, always in the flat layout, ready for write.text.
 
     With the templates (template_path, json) that the rows came from, their
     other keys are kept, and so are templates that have no region left.
     """
-    region = F.struct("position", F.struct(*DEFAULTS).alias("roi"))
-    packed = rows.groupBy("template_id", "display_name", "document_type").agg(F.transform(F.sort_array(F.collect_list(region)), lambda r: r["roi"]).alias("rois"))
     if templates is None:
-        return packed.select("template_id", F.to_json(F.struct("template_id", "display_name", "document_type", "rois"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+        return packed(rows).select("template_id", F.to_json(F.struct(*OWN), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
     raw = templates.withColumn("_raw", F.parse_json("json")).withColumn("_stem", F.regexp_extract("template_path", STEM, 1))
     named = lambda key, default: F.coalesce(F.try_variant_get("_raw", f"$.{key}", "string"), default)
     raw = raw.select(named("template_id", F.col("_stem")).alias("template_id"), named("display_name", F.col("_stem")).alias("_name"), named("document_type", F.lit("kyc")).alias("_kind"), F.try_variant_get("_raw", "$", "map<string, variant>").alias("_raw"))
-    whole = raw.join(packed, "template_id", "left").withColumns({"display_name": F.coalesce("display_name", "_name"), "document_type": F.coalesce("document_type", "_kind"), "rois": F.coalesce("rois", F.array().cast(packed.schema["rois"].dataType))})
-    own = ("template_id", "display_name", "document_type", "rois")
-    rest = F.map_filter("_raw", lambda k, _: ~k.isin("pages", *own))
-    value = lambda c: F.expr(f"to_variant_object({c})") if c == "rois" else F.expr(f"CAST({c} AS VARIANT)")
-    every = F.map_concat(rest, F.create_map(*(x for c in own for x in (F.lit(c), value(c)))))
-    return whole.select("template_id", F.to_json(every, {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    # a plan knows how large the files are, not the regions made of them, and would broadcast all of these
+    own = packed(rows).hint("merge")
+    whole = raw.join(own, "template_id", "left").withColumns({"display_name": F.coalesce("display_name", "_name"), "document_type": F.coalesce("document_type", "_kind"), "rois": F.coalesce("rois", F.array().cast(own.schema["rois"].dataType))})
+    return written(whole, F.map_filter("_raw", lambda k, _: ~k.isin("pages", *OWN)))
